@@ -62,13 +62,13 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def word_table(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(is a word's byte, byte with A-Z lowered) for each of the 256 bytes."""
+    """(is in a word once lowered, byte with A-Z lowered) for each of the 256 bytes."""
     inside = np.ones(256, bool)
     inside[np.frombuffer(separators, np.uint8)] = False
     low = np.arange(256, dtype=np.uint8)
     if lower:
         low[65:91] += 32
-    return inside, low
+    return inside[low], low
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]):

@@ -29,6 +29,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.digests(token_io.read_tokens(spark, path))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import packing
 
@@ -37,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_token_files": op4_token_files,
+    "op5_minhash_neardup": op5_minhash_neardup,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 

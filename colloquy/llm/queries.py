@@ -20,6 +20,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import sharding
+
+    found = sharding.assign(table(spark, sf_dir, "documents"), n_shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import token_io
     from colloquy.llm.scratch import new_path
@@ -35,6 +42,12 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import fingerprints
+
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import decontaminate
 
@@ -48,8 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
     "op4_token_files": op4_token_files,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op7_winnowing": op7_winnowing,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }

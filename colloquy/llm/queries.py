@@ -42,6 +42,12 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import fingerprints
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op4_token_files": op4_token_files,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_winnowing": op7_winnowing,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,

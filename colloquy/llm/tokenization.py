@@ -18,7 +18,7 @@ from colloquy.llm.arrays import BASE, INVERSE, blocks, mix, powers, text_bytes
 
 #: Code points worked on at once, and distinct words kept by a worker before it starts anew.
 BLOCK_BYTES = 4 << 20
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 800_000
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 

@@ -23,7 +23,7 @@ from colloquy.llm.arrays import blocks, text_bytes, word_table, words
 TABLE = word_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 WINDOW = 10
 #: Benchmark text held by a task at a time, and bytes of a shard.
-BLOCK_ITEM_BYTES, SHARD_BYTES = 16 << 20, 32 << 20
+BLOCK_ITEM_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 
 
 class TestSuffixes:

@@ -54,6 +54,12 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_consensus_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import decontaminate
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_secret_scan": op6_secret_scan,
     "op7_winnowing": op7_winnowing,
+    "op8_consensus_extraction": op8_consensus_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }

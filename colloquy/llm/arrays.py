@@ -71,8 +71,9 @@ def word_table(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.nd
     return inside[low], low
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
-    """Starts, ends and 64-bit hashes of all words, and each row's first word (n + 1 values).
+def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray], stems: tuple[int, ...] = ()):
+    """Starts, ends and 64-bit hashes of all words, and each row's first word (n + 1 values); with
+    ``stems``, also a list of the hashes of the words' first so many bytes.
 
     A row's end always ends a word, so words never run from one text into the next.
     """
@@ -95,7 +96,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.nda
     np.cumsum(value, out=prefix[1:])
     hashes = (prefix[ends] - prefix[starts]) * powers(INVERSE, len(data) + 1)[starts]
     hashes ^= (ends - starts).astype(np.uint64) << np.uint64(48)
-    return starts, ends, mix(hashes), np.searchsorted(starts, offsets)
+    first = np.searchsorted(starts, offsets)
+    if not stems:
+        return starts, ends, mix(hashes), first
+    scale = powers(INVERSE, len(data) + 1)[starts]
+    cut = [mix((prefix[np.minimum(starts + k, ends)] - prefix[starts]) * scale + np.uint64(k)) for k in stems]
+    return starts, ends, mix(hashes), first, cut
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:

@@ -27,6 +27,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, labels.where(~held_out).select("doc_id", "toxic"))
+    found = toxicity.scores(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "flagged")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import token_io
     from colloquy.llm.scratch import new_path
@@ -74,6 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity_cnn": op2_toxicity_cnn,
     "op4_token_files": op4_token_files,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_secret_scan": op6_secret_scan,

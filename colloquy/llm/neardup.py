@@ -6,9 +6,9 @@ share a bucket. Links are found in two steps, so that no group's pairs are ever
 
 1. Every class of a bucket is paired with the bucket's least class, verified on full sets, and
    components are formed. That settles most of a group of copies.
-2. A bucket whose classes still lie in several components is searched in blocks: signatures are
-   compared in numpy, pairs within a component are skipped, and only pairs that look close enough
-   are verified on full sets. Blocks of a hot bucket are separate groups.
+2. A bucket whose classes still lie in several components is searched in groups of bounded size:
+   pairs across components whose signatures agree enough are verified on full sets, and only the
+   links that join components leave the group.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ TABLE = word_table(bytes([0x20, *range(0x09, 0x0E)]))
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 8
 #: Classes of a bucket compared as one group in step 2.
-GROUP = 1500
+GROUP = 800
 BLOCK_BYTES = 4 << 20
 
 
@@ -158,25 +158,34 @@ def _alike(percent: int, n_hashes: int):
 
 
 def _close(percent: int, n_hashes: int):
-    """Pairs of one group of a bucket, from different components, whose signatures agree enough."""
+    """Links within one group of a bucket that join different components. Pairs whose signatures
+    agree enough are verified on full sets, the most alike first; once components are joined,
+    their other pairs need no look. So a group gives fewer links than it has classes."""
     least = _least_agreement(percent, n_hashes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = frame["node"].to_numpy()
+        nodes, members = frame["node"].to_numpy(), frame["members"].to_numpy()
         sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), n_hashes)
-        group, size, side = pd.factorize(frame["root"])[0], frame["n_shingles"].to_numpy(), frame["side"].to_numpy()
+        label, size, side = pd.factorize(frame["root"])[0], frame["n_shingles"].to_numpy(), frame["side"].to_numpy()
         within = not side.any()
         first = np.arange(len(frame)) if within else np.flatnonzero(side == 0)
         second = np.arange(len(frame)) if within else np.flatnonzero(side == 1)
-        pairs = []
+        links = []
         for i in first.tolist():
             others = second[second > i] if within else second
-            others = others[group[others] != group[i]]
+            others = others[label[others] != label[i]]
             others = others[np.minimum(size[others], size[i]) * 100 >= percent * np.maximum(size[others], size[i])]
-            if len(others):
-                agree = (sketch[others] == sketch[i]).sum(axis=1)
-                pairs += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others[agree >= least].tolist()]
-        return pd.DataFrame(pairs, columns=["u", "v"], dtype=object)
+            if not len(others):
+                continue
+            agree = (sketch[others] == sketch[i]).sum(axis=1)
+            own = np.frombuffer(members[i], np.uint64)
+            for j in others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())].tolist():
+                if label[j] != label[i]:
+                    both = len(np.intersect1d(own, np.frombuffer(members[j], np.uint64), assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                        label[label == label[j]] = label[i]
+        return pd.DataFrame(links, columns=["u", "v"], dtype=object)
 
     return run
 
@@ -204,18 +213,18 @@ def _class_sets(docs: DataFrame, features: DataFrame, members: DataFrame, k: int
     return materialize(texts.select("text").mapInArrow(_sets(k), "node binary, members binary").where("node is not null").dropDuplicates(["node"]), "sets")
 
 
-def _unsettled(members: DataFrame, roots: DataFrame, features: DataFrame) -> DataFrame:
-    """Rows (mark, a, b, side, node, root, n_shingles, sketch) of the buckets of three or more classes
+def _unsettled(members: DataFrame, roots: DataFrame, features: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (mark, a, b, side, node, root, n_shingles, sketch, members) of the buckets of three or more classes
     in several components, in groups of bounded size. Buckets of the same classes count once."""
     rooted = members.where("n > 2").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("mark").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     split = split.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("mark").alias("mark"))
     looks = features.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    rows = rooted.drop("n").join(split, "mark").join(looks, "node")
+    rows = rooted.drop("n").join(split, "mark").join(looks, "node").join(sets, "node")
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     a, b = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select("mark", a.alias("a"), b.alias("b"), (F.col("own") != a).cast("int").alias("side"), "node", "root", "n_shingles", "sketch")
+    return rows.select("mark", a.alias("a"), b.alias("b"), (F.col("own") != a).cast("int").alias("side"), "node", "root", "n_shingles", "sketch", "members")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -237,9 +246,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE_WORDS,
     stars = stars.select("u", "v", "su", "sv").mapInArrow(_alike(percent, bands * rows), "u binary, v binary")
     links = materialize(_verified(stars, sets, percent), "star-links")
     roots = components(links)
-    groups = _unsettled(members, roots, features).groupBy("mark", "a", "b")
-    more = groups.applyInPandas(_close(percent, bands * rows), "u binary, v binary").distinct()
-    more = materialize(_verified(more, sets, percent), "more-links")
+    groups = _unsettled(members, roots, features, sets).groupBy("mark", "a", "b")
+    more = materialize(groups.applyInPandas(_close(percent, bands * rows), "u binary, v binary").distinct(), "more-links")
     if not more.isEmpty():
         roots = components(roots.union(more))
     classes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -37,6 +37,13 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "flagged")
 
 
+def op3_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.trusted_docs(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import token_io
     from colloquy.llm.scratch import new_path
@@ -85,6 +92,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity_cnn": op2_toxicity_cnn,
+    "op3_quality_kneser_ney": op3_quality_kneser_ney,
     "op4_token_files": op4_token_files,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_secret_scan": op6_secret_scan,

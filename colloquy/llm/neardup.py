@@ -260,6 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE_WORDS,
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents (all columns) without near duplicates: of every component one row stays."""
+    """The documents (all columns) without near duplicates: of every component the one of least id
+    stays, and of rows that repeat its id and text one."""
     found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text", F.lit(1))).dropDuplicates(["doc_id", "_text"]).drop("_text")

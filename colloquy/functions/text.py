@@ -112,13 +112,10 @@ def phrase_hits(text: Column, phrases: Iterable[str]) -> Column:
 
 def phrase_occurrences(text: Column, phrases: Iterable[str], overlapping: bool = False) -> Column:
     """Occurrences of all phrases, each counted non-overlapping or at every position."""
-    def every(p: str) -> Column:
-        return F.size(F.filter(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(text, i, F.lit(len(p))) == p))
-
     out = F.lit(0)
     for p in phrases:
         if overlapping:
-            out = out + every(p)
+            out = out + F.regexp_count(text, F.lit(f"(?={_quoted(p)})"))
         else:
             out = out + ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")
     return out

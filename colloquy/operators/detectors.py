@@ -210,7 +210,7 @@ def confidence_miscalibration(turns: DataFrame, least: float = 0.5, min_words: i
 def decisions(turns: DataFrame, topic_words: int = 8) -> DataFrame:
     """(conv_id, turn_number, topic, told, reasoned, weak): the words after a decision marker."""
     rows = low(turns).withColumn("m", T.phrase_first(F.col("low"), L.DECISION)).where("m is not null")
-    after = F.substr("low", F.locate(F.col("m"), F.col("low")) + F.length("m"), F.length("low"))
+    after = F.substr("low", F.position("m", "low") + F.length("m"), F.length("low"))
     topic = F.slice(T.tokenize(after), 1, topic_words)
     return rows.select("conv_id", "turn_number", topic.alias("topic"), T.phrase_any(F.col("low"), L.RATIONALE).alias("reasoned"), T.phrase_any(F.col("low"), L.WEAK_DECISION).alias("weak"))
 

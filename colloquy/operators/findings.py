@@ -76,16 +76,24 @@ def conflict_pairs(findings: DataFrame) -> DataFrame:
     return a.join(b, "conv_id").where((F.col("a") < F.col("b")) & clash).select("conv_id", "a", "b")
 
 
-def conflict_clusters(findings: DataFrame, rounds: int = 6) -> DataFrame:
+def conflict_clusters(findings: DataFrame, rounds: int = 4) -> DataFrame:
     """(conv_id, finding_id, cluster): components of the conflict pairs, named by their least finding.
-    A conversation has a finding per detector, so paths are short and rounds few."""
+
+    A conversation has at most one finding per detector, so its pairs fit one small array: each
+    round every pair takes the least name its two ends have met.
+    """
     pairs = conflict_pairs(findings)
-    links = pairs.select("conv_id", "a", "b").union(pairs.select("conv_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = links.select("conv_id", F.col("a").alias("finding_id"), F.col("a").alias("cluster")).distinct()
+    ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    grouped = pairs.select("conv_id", F.explode(ends).alias("e")).groupBy("conv_id").agg(F.collect_list("e").alias("links"))
+    names = F.transform(F.array_distinct(F.col("links")["x"]), lambda n: F.struct(n.alias("n"), n.alias("c")))
+    rows = grouped.select("conv_id", "links", names.alias("names"))
     for _ in range(rounds):
-        heard = links.join(label.withColumnRenamed("finding_id", "b"), ["conv_id", "b"]).select("conv_id", F.col("a").alias("finding_id"), "cluster")
-        label = label.union(heard).groupBy("conv_id", "finding_id").agg(F.min("cluster").alias("cluster"))
-    return label
+        def heard(n: Column) -> Column:
+            met = F.transform(F.filter("links", lambda e: e["x"] == n["n"]), lambda e: F.element_at(F.filter("names", lambda m: m["n"] == e["y"]), 1)["c"])
+            return F.struct(n["n"].alias("n"), F.least(n["c"], F.array_min(met)).alias("c"))
+
+        rows = rows.select("conv_id", "links", F.transform("names", heard).alias("names"))
+    return rows.select("conv_id", F.explode("names").alias("m")).select("conv_id", F.col("m.n").alias("finding_id"), F.col("m.c").alias("cluster"))
 
 
 def apply_panel_score(findings: DataFrame, scores: DataFrame) -> DataFrame:

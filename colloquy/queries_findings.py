@@ -73,7 +73,7 @@ _opp = " OR ".join(f"(a.finding_type = '{x}' AND b.finding_type = '{y}') OR (a.f
 CON = f"""cp AS (SELECT a.conv_id, a.finding_id AS a, b.finding_id AS b FROM found a JOIN found b ON a.conv_id = b.conv_id AND a.finding_id < b.finding_id
 WHERE (a.finding_type = b.finding_type AND ((a.confidence > 0.6 AND b.confidence < 0.4) OR (b.confidence > 0.6 AND a.confidence < 0.4))) OR {_opp})"""
 of_findings("conflict_pairs", lambda t, f: P.conflict_pairs(f), "SELECT * FROM cp", CON)
-of_findings("conflict_clusters", lambda t, f: P.conflict_clusters(f.cache()), """SELECT s.conv_id, s.finding_id, min(r.b) AS cluster FROM (SELECT conv_id, a AS finding_id FROM cp UNION SELECT conv_id, b FROM cp) s
+of_findings("conflict_clusters", lambda t, f: P.conflict_clusters(f), """SELECT s.conv_id, s.finding_id, min(r.b) AS cluster FROM (SELECT conv_id, a AS finding_id FROM cp UNION SELECT conv_id, b FROM cp) s
 JOIN (WITH RECURSIVE l AS (SELECT conv_id, a, b FROM cp UNION ALL SELECT conv_id, b, a FROM cp UNION ALL SELECT conv_id, a, a FROM cp UNION ALL SELECT conv_id, b, b FROM cp), r(conv_id, a, b) AS (SELECT * FROM l UNION SELECT r.conv_id, r.a, l.b FROM r JOIN l ON r.conv_id = l.conv_id AND r.b = l.a) SELECT * FROM r) r ON r.conv_id = s.conv_id AND r.a = s.finding_id GROUP BY ALL""", CON)
 
 
@@ -117,7 +117,7 @@ def fuzzy_sql(source: str, name: str) -> str:
 
 
 RISK = "ri AS (SELECT conv_id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS n, max(severity) / 4.0::DOUBLE AS severity, avg(confidence) AS confidence FROM found GROUP BY conv_id)"
-of_findings("fuzzy_score", lambda t, f: P.risk_inputs(f).withColumn("risk", Z.fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")})), "SELECT conv_id, round(n, 6) AS n, round(severity, 6) AS severity, round(confidence, 6) AS confidence, round(risk, 6) AS risk FROM fz", RISK, fuzzy_sql("ri", "fz"))
+of_findings("fuzzy_score", lambda t, f: P.risk_inputs(f).withColumn("risk", F.round(Z.fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}), 4)).withColumn("confidence", F.round("confidence", 4)), "SELECT conv_id, round(n, 6) AS n, round(severity, 6) AS severity, round(confidence, 4) AS confidence, round(risk, 4) AS risk FROM fz", RISK, fuzzy_sql("ri", "fz"))
 of_findings("compound_pathology", lambda t, f: P.compound_pathology(f, 0.5, 0.8), "SELECT conv_id, 'COMPOUND_PATHOLOGY' AS finding_type, (CASE WHEN risk > 0.8 THEN 4 ELSE 3 END)::INTEGER AS severity, round(risk, 6) AS confidence FROM fz WHERE round(risk, 9) > 0.5", RISK, fuzzy_sql("ri", "fz"))
 ARB = "ra AS (SELECT conv_id, least(count(*) / 4.0::DOUBLE, 1.0::DOUBLE) AS n, max(severity) / 4.0::DOUBLE AS severity, count(*) FILTER (action = 'PASS')::DOUBLE / count(*)::DOUBLE AS confidence FROM inhibited GROUP BY conv_id)"
 of_findings("arbitrate", lambda t, f: P.arbitrate(P.inhibit(f, t)), "SELECT conv_id, round(risk, 6) AS risk, CASE WHEN round(risk, 9) <= 0.35 THEN 'dismiss' WHEN round(risk, 9) <= 0.65 THEN 'monitor' ELSE 'investigate' END AS decision FROM fa", NEAR, GAIN, INH, ARB, fuzzy_sql("ra", "fa"))
@@ -136,7 +136,7 @@ of_findings("detector_metrics", lambda t, f: P.detector_metrics(validated(f)), "
 of_findings("list_outcomes", lambda t, f: P.record_outcomes(f).where("detector_name = 'evidence_quality'").select("conv_id", "confidence", "severity").orderBy(F.desc("conv_id"), "severity").limit(20), "SELECT conv_id, round(confidence, 6) AS confidence, severity FROM oc WHERE detector_name = 'evidence_quality' ORDER BY conv_id DESC, severity LIMIT 20", OUT)
 of_findings("candidates", lambda t, f: f.where("round(confidence, 9) > 0.7").join(S.conversation_text(t), "conv_id").select(*KEEP, "conversation_text"), f"""SELECT {_keep}, ct.conversation_text FROM found JOIN (SELECT conv_id, left(string_agg(trim(raw_text, ' ' || chr(10) || chr(9)), ' ' ORDER BY turn_number), 2000) AS conversation_text FROM turns WHERE turn_number <= 5 GROUP BY conv_id) ct USING (conv_id) WHERE round(confidence, 9) > 0.7""")
 of_findings("batch_summary", lambda t, f: t.agg(F.count_distinct("conv_id").alias("processed")).join(f.agg(F.count("*").alias("total_findings"), F.count_if(F.col("confidence") > 0.7).alias("candidates"))), "SELECT (SELECT count(DISTINCT conv_id) FROM turns) AS processed, count(*) AS total_findings, count(*) FILTER (confidence > 0.7) AS candidates FROM found")
-of_findings("unprocessed", lambda t, f: f.join(P.record_outcomes(f).select("conv_id", "detector_name"), ["conv_id", "detector_name"], "left_anti").select(*KEEP), f"SELECT {_keep} FROM found WHERE round(confidence, 9) < 0.6")
+of_findings("unprocessed", lambda t, f: f.join(P.record_outcomes(f, 0.75).select("conv_id", "detector_name"), ["conv_id", "detector_name"], "left_anti").select(*KEEP), f"SELECT {_keep} FROM found WHERE round(confidence, 9) < 0.75")
 of_findings("label_distribution", lambda t, f: E.label_distribution(f), "SELECT finding_type, count(*) AS n FROM found GROUP BY finding_type")
 of_findings("alert_text", lambda t, f: P.alert_text(f), "SELECT conv_id, string_agg(l, '; ' ORDER BY l) AS alert FROM (SELECT conv_id, finding_type || ' (' || severity || ') ' || detector_name AS l FROM found WHERE round(confidence, 9) >= 0.2) GROUP BY conv_id")
 of_findings("grounding_signal", lambda t, f: t.select("conv_id").distinct().join(f.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("finding_type")), ",").alias("types")), "conv_id", "left").select("conv_id", F.col("types").isNotNull().alias("positive"), F.coalesce("types", F.lit("")).alias("types")),

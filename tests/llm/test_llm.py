@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, and on nulls, empties, ties and repeats."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -43,10 +44,15 @@ def docs(spark):
 
 
 # Tokenization, token files, packing.
-def reference_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def reference_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_fast_bpe_equals_the_library():

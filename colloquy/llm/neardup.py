@@ -31,7 +31,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 8
 #: Classes of a bucket compared as one group in step 2.
 GROUP = 800
-BLOCK_BYTES = 4 << 20
+#: Text handled at once; hashing takes about 30 bytes of memory a byte of text.
+BLOCK_BYTES = 1 << 20
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:

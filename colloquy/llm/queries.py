@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Rows of an Arrow batch: texts are long, and a Python worker holds a few batches at a time.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and a Python worker holds a few batches at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; the session's Arrow batches are made fit for long texts on the way."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

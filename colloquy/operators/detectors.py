@@ -95,6 +95,23 @@ def sunk_cost_proximity(turns: DataFrame, decay: float = 0.3, least: float = 0.3
     return finding(best, "SUNK_COST_FALLACY", steps(F.col("c"), (0.8, WARNING), (0.6, CAUTION), otherwise=INFO), F.col("c"), "sunk_cost_proximity", F.array("at", "on"))
 
 
+def merge_enrichment(enrichment: DataFrame) -> DataFrame:
+    """(conv_id, phrases, formality) of an outside model's rows (conv_id, turn_number, phrases, formality): lists joined
+    in order of turns; the formality of the last turn that has one."""
+    parts = F.array_sort(F.collect_list(F.struct("turn_number", "phrases")))
+    rows = enrichment.groupBy("conv_id").agg(parts.alias("p"), F.max_by("formality", F.when(F.col("formality").isNotNull(), F.col("turn_number"))).alias("formality"))
+    return rows.select("conv_id", F.flatten(F.filter(F.col("p")["phrases"], lambda x: x.isNotNull())).alias("phrases"), "formality")
+
+
+def sunk_cost_ml(turns: DataFrame, enrichment: DataFrame, boost: float = 0.1, lone: float = 0.4) -> DataFrame:
+    """sunk_cost, surer where the enrichment has phrases of it too; where only that has them, a weak finding."""
+    told = merge_enrichment(enrichment).where(F.size("phrases") > 0).select("conv_id", F.lit(True).alias("told"))
+    rows = sunk_cost(turns).join(told, "conv_id", "full_outer")
+    own = F.col("confidence").isNotNull()
+    surer = F.when(own & F.col("told"), T.clamp(F.col("confidence") + boost)).when(own, F.col("confidence")).otherwise(lone)
+    return finding(rows, "SUNK_COST_FALLACY", F.coalesce("severity", F.lit(INFO)), surer, "sunk_cost", F.coalesce("relevant_turns", F.array().cast("array<int>")))
+
+
 def sentence_table(turns: DataFrame) -> DataFrame:
     """(conv_id, speaker, turn_number, at, s, w): sentences of 15 bytes or more and their content words."""
     rows = turns.select("conv_id", "speaker", "turn_number", F.posexplode(T.sentences(F.col("raw_text"))).alias("at", "s")).where(F.octet_length("s") >= 15)
@@ -144,9 +161,8 @@ def contradiction_kind() -> Column:
     return F.when(denied(F.col("ta")) != denied(F.col("tb")), "negation").when(T.phrase_any(T.lowered(F.col("sb")), L.REVERSALS), "reversal").when(opposed, "antonym")
 
 
-def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: int = 2, window: int = 3) -> DataFrame:
-    """(conv_id, turn_number, distance): weighted Jaccard distance of the last window+1 turns' stems from
-    the objective's (counted twice) and the first turns'."""
+def drift_windows(turns: DataFrame, objectives: DataFrame, reference_turns: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """((conv_id, turn_number, w, c), (conv_id, w, r)): stem counts of each turn's window and of the reference."""
     kw = turns.select("conv_id", "turn_number", F.explode(T.keywords(F.col("raw_text"))).alias("w"))
     goal = objectives.select("conv_id", F.explode(T.keywords(F.col("objective"))).alias("w")).withColumn("n", F.lit(2.0))
     ref = kw.where(F.col("turn_number") <= reference_turns).select("conv_id", "w", F.lit(1.0).alias("n")).union(goal).groupBy("conv_id", "w").agg(F.sum("n").alias("r"))
@@ -154,6 +170,13 @@ def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: in
     last = turns.groupBy("conv_id").agg(F.max("turn_number").alias("last"))
     spread = kw.join(last, "conv_id").select("conv_id", "w", F.explode(F.sequence(F.col("turn_number"), F.least(F.col("turn_number") + window, F.col("last")))).alias("turn_number"))
     own = spread.groupBy("conv_id", "turn_number", "w").agg(F.count("*").cast("double").alias("c"))
+    return own, ref
+
+
+def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: int = 2, window: int = 3) -> DataFrame:
+    """(conv_id, turn_number, distance): weighted Jaccard distance of the last window+1 turns' stems from
+    the objective's (counted twice) and the first turns'."""
+    own, ref = drift_windows(turns, objectives, reference_turns, window)
     both = own.join(ref, ["conv_id", "w"], "left").groupBy("conv_id", "turn_number").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0.0)))).alias("both"), F.sum("c").alias("sc"))
     total = ref.groupBy("conv_id").agg(F.sum("r").alias("sr"))
     return both.join(total, "conv_id").where(F.col("turn_number") > reference_turns).select("conv_id", "turn_number", (1 - F.col("both") / (F.col("sc") + F.col("sr") - F.col("both"))).alias("distance"))
@@ -169,6 +192,37 @@ def scope_drift(turns: DataFrame, objectives: DataFrame, threshold: float = 0.79
     return finding(found, "SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), "scope_drift", F.col("t"))
 
 
+def drift_divergences(turns: DataFrame, objectives: DataFrame, reference_turns: int = 4, window: int = 3, smoothing: float = 0.01) -> DataFrame:
+    """(conv_id, turn_number, kl): smoothed divergence of the reference's stem frequencies from those of the
+    turn's window, over the words of both. Windows or references without words give no row.
+
+    The words that only the reference has contribute a sum that is known per conversation, so an
+    inner part over the window's words is enough and no full outer join is made.
+    """
+    own, ref = drift_windows(turns, objectives, reference_turns, window)
+    s = F.lit(smoothing)
+    r = F.coalesce("r", F.lit(0.0)) + s
+    seen = own.join(ref, ["conv_id", "w"], "left").groupBy("conv_id", "turn_number").agg(
+        F.sum("c").alias("sc"), F.count("*").alias("n_own"), F.count("r").alias("shared"),
+        F.sum(r * F.log(r / (F.col("c") + s))).alias("inner"), F.sum(F.when(F.col("r").isNotNull(), r * F.log(r / s)).otherwise(0.0)).alias("counted"),
+    )
+    total = ref.groupBy("conv_id").agg(F.sum("r").alias("sr"), F.count("*").alias("n_ref"), F.sum((F.col("r") + s) * F.log((F.col("r") + s) / s)).alias("outer"))
+    rows = seen.join(total, "conv_id").where(F.col("turn_number") > reference_turns)
+    v = (F.col("n_own") + F.col("n_ref") - F.col("shared")) * s
+    kl = (F.col("inner") + F.col("outer") - F.col("counted")) / (F.col("sr") + v) + F.log((F.col("sc") + v) / (F.col("sr") + v))
+    return rows.select("conv_id", "turn_number", kl.alias("kl"))
+
+
+def scope_drift_kl(turns: DataFrame, objectives: DataFrame, threshold: float = 2.0, sustained: int = 5, reference_turns: int = 4) -> DataFrame:
+    """As scope_drift, by divergence; the confidence is a quarter of it, 1 at most."""
+    d = drift_divergences(turns, objectives, reference_turns).withColumn("far", F.round("kl", 9) > threshold)
+    order = Window.partitionBy("conv_id").orderBy("turn_number")
+    runs = d.withColumn("run", F.sum((~F.col("far")).cast("int")).over(order)).where("far")
+    counted = runs.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn_number"))).where(F.col("k") >= sustained)
+    found = counted.groupBy("conv_id").agg(F.max("kl").alias("kl"), F.array_sort(F.collect_list("turn_number")).alias("t")).withColumn("d", F.least(F.col("kl") / F.lit(4.0), F.lit(1.0)))
+    return finding(found, "SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), "scope_drift_kl", F.col("t"))
+
+
 def scope_drift_centroid(turns: DataFrame, objectives: DataFrame, threshold: float = 0.85, sustained: int = 7, decay: float = 0.8) -> DataFrame:
     """Distance from a centroid that follows only turns which don't drift: a fold over each
     conversation's turns in order, with the centroid as map state. Conversations are bounded by validate_format."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy import oracle as O
+from colloquy.functions import text as T
 from colloquy.operators import context as C
 from colloquy.operators import detectors as D
 from colloquy.queries_text import LONG, OBJECTIVES, objectives
@@ -125,6 +126,26 @@ _runs = "df AS (SELECT *, round(distance, 9) > 0.79 AS far FROM dd), dr AS (SELE
 _sev_d = "CASE WHEN round(d, 9) >= 0.95 THEN 4 WHEN round(d, 9) >= 0.85 THEN 3 WHEN round(d, 9) >= 0.75 THEN 2 ELSE 1 END"
 of_turns("scope_drift", lambda t: D.scope_drift(t, objectives(t), sustained=2, reference_turns=2), f"{O.base(drift_sql('', 'turns'), _runs.format(k=2)).replace('> 0.79', '> 0.79')} {found('SCOPE_DRIFT', _sev_d, 'd', 'scope_drift', 't', 'dg')}")
 of_turns("scope_drift_long", lambda t: D.scope_drift(t, objectives(t), reference_turns=2), f"{O.base(drift_sql(LONG + ', ', 'longt'), _runs.format(k=8))} {found('SCOPE_DRIFT', _sev_d, 'd', 'scope_drift', 't', 'dg')}", long=True)
+KLD = """kg AS (SELECT o.conv_id, o.turn_number, ref.w, ref.r, 0.0::DOUBLE AS c FROM (SELECT DISTINCT conv_id, turn_number FROM own) o JOIN ref ON o.conv_id = ref.conv_id UNION ALL SELECT conv_id, turn_number, w, 0.0, c FROM own),
+ku AS (SELECT conv_id, turn_number, w, sum(r) + 0.01::DOUBLE AS r, sum(c) + 0.01::DOUBLE AS c FROM kg GROUP BY ALL), kz AS (SELECT *, r / sum(r) OVER z AS p, c / sum(c) OVER z AS q FROM ku WINDOW z AS (PARTITION BY conv_id, turn_number)),
+kd AS (SELECT conv_id, turn_number, sum(p * ln(p / q)) AS kl FROM kz WHERE turn_number > 2 AND conv_id IN (SELECT conv_id FROM ref) GROUP BY ALL)"""
+of_turns("drift_divergences", lambda t: D.drift_divergences(t, objectives(t), 2), f"{O.base(drift_sql('', 'turns'), KLD)} SELECT conv_id, turn_number, round(kl, 6) AS kl FROM kd")
+_kl_runs = "df AS (SELECT *, round(kl, 9) > 2.0 AS far FROM kd), dr AS (SELECT *, sum((NOT far)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn_number) AS run FROM df), dn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn_number) AS k FROM dr WHERE far), dg AS (SELECT conv_id, least(max(kl) / 4.0::DOUBLE, 1.0::DOUBLE) AS d, string_agg(turn_number::VARCHAR, ' ' ORDER BY turn_number) AS t FROM dn WHERE k >= 5 GROUP BY conv_id)"
+of_turns("scope_drift_kl", lambda t: D.scope_drift_kl(t, objectives(t), reference_turns=2), f"{O.base(drift_sql(LONG + ', ', 'longt'), KLD, _kl_runs)} {found('SCOPE_DRIFT', _sev_d, 'd', 'scope_drift_kl', 't', 'dg')}", long=True)
+
+
+def enrichment(turns: DataFrame) -> DataFrame:
+    """What an outside model might say: continuation phrases of two turns of three, formality of some."""
+    phrases = F.filter(F.array(*[F.when(T.lowered(F.col("raw_text")).contains(p), F.lit(p)) for p in L.CONTINUATION]), lambda x: x.isNotNull())
+    formality = F.when(F.col("turn_number") % 2 == 0, (F.col("conv_id") % 5) / F.lit(10.0) + F.col("turn_number") / F.lit(20.0))
+    return turns.select("conv_id", "turn_number", F.when(F.col("turn_number") % 3 != 0, phrases).alias("phrases"), formality.alias("formality"))
+
+
+ENR = f"""en AS (SELECT conv_id, turn_number, CASE WHEN turn_number % 3 <> 0 THEN list_filter({O.strings(L.CONTINUATION)}, lambda p: contains(low, p)) END AS phrases, CASE WHEN turn_number % 2 = 0 THEN (conv_id % 5) / 10.0::DOUBLE + turn_number / 20.0::DOUBLE END AS formality FROM lowt),
+em AS (SELECT conv_id, coalesce(string_agg(array_to_string(phrases, ' '), ' ' ORDER BY turn_number) FILTER (len(phrases) > 0), '') AS phrases, arg_max(formality, turn_number) FILTER (formality IS NOT NULL) AS formality FROM en GROUP BY conv_id)"""
+of_turns("merge_enrichment", lambda t: D.merge_enrichment(enrichment(t)), f"{O.base(ENR)} SELECT conv_id, phrases, round(formality, 6) AS formality FROM em")
+of_turns("sunk_cost_ml", lambda t: D.sunk_cost_ml(t, enrichment(t)), f"""WITH f AS ({ORACLE['sunk_cost']}), e AS ({O.base(ENR)} SELECT conv_id FROM em WHERE phrases <> '')
+SELECT coalesce(f.conv_id, e.conv_id) AS conv_id, 'SUNK_COST_FALLACY' AS finding_type, coalesce(severity, 1)::INTEGER AS severity, round(CASE WHEN f.conv_id IS NULL THEN 0.4::DOUBLE WHEN e.conv_id IS NULL THEN confidence ELSE least(confidence + 0.1::DOUBLE, 1.0::DOUBLE) END, 6) AS confidence, 'sunk_cost' AS detector_name, coalesce(relevant_turns, '') AS relevant_turns FROM f FULL JOIN e ON f.conv_id = e.conv_id""")
 QUERIES["scope_drift_centroid"] = lambda spark, sf_dir: rounded(D.scope_drift_centroid(S.long_turns(S.seeded_turns(spark, sf_dir)), objectives(S.long_turns(S.seeded_turns(spark, sf_dir)))))
 MIS = f"""m0 AS (SELECT conv_id, turn_number, CASE WHEN {O.any_of('low', L.CERTAIN)} AND len({O.words('low')}) >= 5 THEN 3 WHEN {O.any_of('low', L.LIKELY)} THEN 2 WHEN {O.any_of('low', L.POSSIBLE)} THEN 1 WHEN {O.any_of('low', L.SPECULATIVE)} THEN 0 END AS c,
  {O.hits('low', L.EVIDENCE)} + len(regexp_extract_all(low, '\\[[0-9]+\\]')) AS marks FROM lowt), m1 AS (SELECT *, CASE WHEN marks >= 2 THEN 3 WHEN marks = 1 THEN 2 ELSE 1 END AS e FROM m0 WHERE c IS NOT NULL), m2 AS (SELECT *, abs(c - e)::DOUBLE / 3.0::DOUBLE AS ece FROM m1)"""

@@ -31,6 +31,36 @@ def screen_toxicity(turns: DataFrame, blocklist: tuple[str, ...] = L.BLOCKLIST)
     return found.select("conv_id", F.array_join(matched, "|").alias("matched"), (F.size(matched).cast("double") / F.lit(float(len(blocklist)))).alias("score"))
 
 
+def language_samples(turns: DataFrame, chars: int = 2000) -> DataFrame:
+    """(conv_id, sample): the first ``chars`` characters of each conversation's turns, joined by blanks and lowered."""
+    before = Window.partitionBy("conv_id").orderBy("turn_number").rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.withColumn("used", F.coalesce(F.sum(F.length("raw_text") + 1).over(before), F.lit(0))).where(F.col("used") < chars)
+    parts = F.array_sort(F.collect_list(F.struct("turn_number", F.left("raw_text", F.lit(chars)).alias("t"))))
+    return rows.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.lower(F.trim(F.left(F.array_join(F.col("p")["t"], " "), F.lit(chars)))).alias("sample"))
+
+
+def detect_language(turns: DataFrame, profiles: DataFrame, supported: tuple[str, ...] = ("en",), fallback: str = "en", min_chars: int = 20, least: float = 0.55) -> DataFrame:
+    """(conv_id, language, confidence, supported) by trigram profiles (lang, trigram, freq).
+
+    The score mixes the root of the cosine with the share of the sample's trigrams that the profile has;
+    ties go to the first language by name. Samples under ``min_chars`` get the fallback with 0.5, those
+    that share no trigram with any profile get an empty language with 0.
+    """
+    samples = language_samples(turns)
+    rows = samples.where(F.length("sample") >= min_chars).select("conv_id", F.explode(T.trigrams(F.col("sample"))).alias("trigram")).groupBy("conv_id", "trigram").agg(F.count("*").cast("double").alias("n"))
+    sizes = rows.groupBy("conv_id").agg(F.sum("n").alias("total"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("own"))
+    norms = profiles.groupBy("lang").agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("norm"))
+    met = rows.join(profiles, "trigram").groupBy("conv_id", "lang").agg(F.sum(F.col("n") * F.col("freq")).alias("dot"), F.sum("n").alias("n"))
+    scored = met.join(sizes, "conv_id").join(norms, "lang")
+    score = F.least(F.lit(0.4) * F.sqrt(F.col("dot") / (F.col("own") * F.col("norm"))) + F.lit(0.6) * F.col("n") / F.col("total"), F.lit(1.0))
+    order = Window.partitionBy("conv_id").orderBy(F.round("score", 9).desc(), "lang")
+    best = scored.select("conv_id", "lang", score.alias("score")).withColumn("k", F.row_number().over(order)).where("k = 1")
+    short = F.length("sample") < min_chars
+    known = F.coalesce("lang", F.lit(""))
+    ok = F.when(short, F.lit(fallback).isin(*supported)).otherwise(known.isin(*supported) & (F.round(F.coalesce("score", F.lit(0.0)), 9) >= least))
+    return samples.join(best, "conv_id", "left").select("conv_id", F.when(short, fallback).otherwise(known).alias("language"), F.when(short, 0.5).otherwise(F.coalesce("score", F.lit(0.0))).alias("confidence"), ok.alias("supported"))
+
+
 def gain(turns: DataFrame) -> DataFrame:
     """(conv_id, urgency, complexity, formality, mode)."""
     rows = low(turns)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
@@ -15,7 +15,7 @@ from colloquy import oracle as O
 from colloquy.functions import text as T
 from colloquy.operators import context as C
 from colloquy.operators import detectors as D
-from colloquy.queries_text import LONG, OBJECTIVES, objectives
+from colloquy.queries_text import _TRI, LONG, OBJECTIVES, objectives, trigram_profiles
 from colloquy.sources import turns as S
 
 QUERIES, ORACLE = {}, {}
@@ -81,6 +81,31 @@ SELECT conv_id, (CASE WHEN c THEN 0.7 WHEN r THEN 0.85 ELSE 0.79 END)::DOUBLE AS
 of_turns("orchestration_mode", C.orchestration_mode, f"""{O.base()} SELECT conv_id, count(*) > 4 AND sum({O.hits('low', L.PROJECT)}) >= 3 AS orchestrating, round(CASE WHEN count(*) > 4 AND sum({O.hits('low', L.PROJECT)}) >= 3 THEN least(0.79::DOUBLE * 1.2::DOUBLE, 0.98::DOUBLE) ELSE 0.79::DOUBLE END, 6) AS drift FROM lowt GROUP BY conv_id""")
 
 
+def language_profiles(docs: DataFrame, size: int = 800) -> DataFrame:
+    """Each language's ``size`` most frequent trigrams, as shares of 1."""
+    order = Window.partitionBy("lang").orderBy(F.round("freq", 12).desc(), "trigram")
+    top = trigram_profiles(docs).withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+    return top.select("lang", "trigram", (F.col("freq") / F.sum("freq").over(Window.partitionBy("lang"))).alias("freq"))
+
+
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = language_profiles(spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null"))
+    return rounded(C.detect_language(S.seeded_turns(spark, sf_dir), profiles))
+
+
+QUERIES["detect_language"] = detect_language
+LANG = f"""{_TRI.replace("WHERE length(text) >= 3", "WHERE length(text) >= 3 AND lang IS NOT NULL")},
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(freq, 12) DESC, trigram) AS k FROM profile), pr AS (SELECT lang, trigram, freq / sum(freq) OVER (PARTITION BY lang) AS freq FROM top WHERE k <= 800), pn AS (SELECT lang, sqrt(sum(freq * freq)) AS norm FROM pr GROUP BY lang),
+us AS (SELECT *, coalesce(sum(length(raw_text) + 1) OVER (PARTITION BY conv_id ORDER BY turn_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM turns),
+sm AS (SELECT conv_id, lower(trim(left(string_agg(left(raw_text, 2000), ' ' ORDER BY turn_number), 2000))) AS sample FROM us WHERE used < 2000 GROUP BY conv_id),
+sg AS (SELECT conv_id, unnest(list_transform(range(1, length(sample) - 1), lambda i: substr(sample, i, 3))) AS trigram FROM sm WHERE length(sample) >= 20), sn AS (SELECT conv_id, trigram, count(*)::DOUBLE AS n FROM sg GROUP BY ALL),
+sz AS (SELECT conv_id, sum(n) AS total, sqrt(sum(n * n)) AS own FROM sn GROUP BY conv_id), mt AS (SELECT conv_id, pr.lang, sum(n * freq) AS dot, sum(n) AS n FROM sn JOIN pr ON sn.trigram = pr.trigram GROUP BY ALL),
+ls AS (SELECT mt.conv_id, mt.lang, least(0.4::DOUBLE * sqrt(dot / (own * norm)) + 0.6::DOUBLE * n / total, 1.0::DOUBLE) AS score FROM mt JOIN sz ON mt.conv_id = sz.conv_id JOIN pn ON mt.lang = pn.lang),
+lb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, lang) AS rn FROM ls) WHERE rn = 1)"""
+ORACLE["detect_language"] = f"""{O.base(LANG)} SELECT sm.conv_id, CASE WHEN length(sample) < 20 THEN 'en' ELSE coalesce(lang, '') END AS language, round(CASE WHEN length(sample) < 20 THEN 0.5::DOUBLE ELSE coalesce(score, 0) END, 6) AS confidence,
+length(sample) < 20 OR (coalesce(lang, '') = 'en' AND round(coalesce(score, 0), 9) >= 0.55) AS supported FROM sm LEFT JOIN lb ON sm.conv_id = lb.conv_id"""
+
+
 # Detectors.
 def found(kind: str, severity: str, confidence: str, name: str, turns: str, source: str, where: str = "true") -> str:
     kind = kind if kind.startswith("CASE") else O.lit(kind)

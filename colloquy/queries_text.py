@@ -137,14 +137,9 @@ QUERIES["topic_vector"] = topic_vectors
 ORACLE["topic_vector"] = f"{O.base(O.keywords_cte())} SELECT conv_id, turn_number, {', '.join(f'round({x}, 6) AS {t}' for t, x in zip(sorted(L.TOPICS), O.topic_totals('k')))} FROM kw"
 
 
-def trigrams(text: Column) -> Column:
-    """All character trigrams, overlapping, in one pass."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
-
-
 def trigram_profiles(docs: DataFrame) -> DataFrame:
     """(lang, trigram, freq): relative frequencies over all documents of a language."""
-    rows = docs.where(F.length("text") >= 3).select("lang", F.explode(trigrams(F.lower("text"))).alias("trigram")).groupBy("lang", "trigram").agg(F.count("*").alias("n"))
+    rows = docs.where(F.length("text") >= 3).select("lang", F.explode(T.trigrams(F.lower("text"))).alias("trigram")).groupBy("lang", "trigram").agg(F.count("*").alias("n"))
     total = rows.groupBy("lang").agg(F.sum("n").alias("total"))
     return rows.join(total, "lang").select("lang", "trigram", (F.col("n").cast("double") / F.col("total").cast("double")).alias("freq"))
 

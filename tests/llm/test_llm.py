@@ -455,6 +455,23 @@ def test_language_model_against_recursion_and_joins(spark, odd, none, monkeypatc
     assert sorted(map(tuple, quality.keep_good(odd, trusted).select("doc_id", "text").collect()), key=repr) == sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr)
 
 
+def test_word_model_against_recursion(spark, monkeypatch):
+    """Word order and repetition count, and no step gathers the model."""
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "cats"]
+    trusted = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    asked = ["the cat", "cat the", "sat on the mat", "the the the the", "zzz the", "mat the on sat", "the cat  !"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*asked, "", None])], "doc_id long, text string, lang string")
+    monkeypatch.setattr(quality, "Tables", type("NoGathering", (), {"_find": staticmethod(quality.Tables._find)}))
+    got = {r.doc_id: r.perplexity for r in quality.score_words(frame.union(frame.limit(1)), quality.fit(trusted, quality.WORD_GRAMS)).collect()}
+    names = {}
+    coded = lambda t: "".join(chr(100 + names.setdefault(w, len(names))) for w in re.findall(r"\w+|[^\w ]|(?<= ) ", t))
+    model = [coded(t) for t in texts]
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(brute_kneser_ney(model, coded(t), order=3), rel=1e-9)
+    assert got[2] < got[5] and got[2] < got[3] and got[7] is None and got[8] is None
+    assert quality.classify(frame, trusted).count() == 9 and quality.keep_good(frame, trusted).where("text is null or text = ''").count() == 2
+
+
 # Queries and the pipeline.
 def test_every_number_has_a_query():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]

@@ -472,6 +472,14 @@ def test_word_model_against_recursion(spark, monkeypatch):
     assert quality.classify(frame, trusted).count() == 9 and quality.keep_good(frame, trusted).where("text is null or text = ''").count() == 2
 
 
+def test_limits_come_from_held_out_texts(spark):
+    """The upper limit is the held-out texts' own quantile; texts of the fit, better known, only count for the lower one."""
+    rows = [(i, "en", 10.0 + i, False) for i in range(100)] + [(i, "en", 1000.0 + i, True) for i in range(40)] + [(1, "de", 5.0, False), (2, "de", 3000.0, True)]
+    kept = quality.limits(spark.createDataFrame(rows, "doc_id long, lang string, perplexity double, held boolean"))
+    assert kept == {"en": (10.0, 1039.0), "": (5.0, 3000.0)}
+    assert quality.limits(spark.createDataFrame([(1, "en", 7.0, False)], "doc_id long, lang string, perplexity double, held boolean")) == {"": (7.0, 7.0)}
+
+
 # Queries and the pipeline.
 def test_every_number_has_a_query():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]

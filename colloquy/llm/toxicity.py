@@ -3,7 +3,7 @@
 Words are looked up in hashed embedding tables: two by the word, so that words which collide in one
 differ in the other, and two by its first letters, so that inflected forms are alike. Filters of several widths slide over them, and the greatest response of each filter in the whole text feeds a logistic output. Training reads a bounded sample of labelled documents;
 class balance, which the sample distorts, is put back from counts over all labels. Per-language thresholds
-are calibrated on labelled documents kept out of the fit.
+are calibrated on all labelled documents outside the fit, by histograms of their scores.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 #: Bound of the training sample: documents of each class.
 SAMPLE = 2500
 BLOCK_BYTES = 4 << 20
+#: Score histograms: bins of a unit of log odds, which are cut at +- REACH.
+BINS, REACH = 100, 20
+#: Labelled documents outside the fit from which on a language has its own threshold.
+LEAST = 50
 
 
 @dataclass
@@ -158,16 +162,53 @@ def train(texts: list[np.ndarray], labels: np.ndarray, steps: int = 600, batch:
     return Model(tables, filters, biases, out, float(dense["c", 0][0]))
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float) -> float:
-    """The score from which on F1 is greatest; ``default`` where one class is missing."""
-    if labels.sum() in (0, len(labels)):
+def best_threshold(counts: np.ndarray, totals: np.ndarray, default: float) -> float:
+    """The score from which on F1 is greatest, from histograms of clean and toxic documents (2 x bins) that stand for
+    ``totals`` of each class; ``default`` where one class is missing."""
+    seen = counts.sum(axis=1)
+    if not seen.all():
         return default
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    i = int(np.argmax(f1))
-    below = scores[order[i + 1]] if i + 1 < len(order) else 0.0
-    return float((scores[order[i]] + below) / 2)
+    clean, toxic = np.cumsum(counts[:, ::-1], axis=1) * (totals / seen)[:, None]
+    best = int(np.argmax(2 * toxic / (toxic + clean + totals[1])))
+    return float(1 / (1 + np.exp(REACH - (counts.shape[1] - 1 - best) / BINS)))
+
+
+def _bins(shared):
+    """(doc_id, lang, bin of the score); bin -1 for texts of the fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, inside = shared.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            found = [score_texts(model, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets, BLOCK_BYTES)]
+            value = np.concatenate(found) if found else np.zeros(0)
+            with np.errstate(divide="ignore"):
+                odds = np.clip(np.log(value) - np.log1p(-value), -REACH, REACH)
+            place = np.where(np.isin(batch.column(3).to_numpy(), inside), -1, np.floor((odds + REACH) * BINS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place)], ["doc_id", "lang", "bin"])
+
+    return run
+
+
+def calibrated(docs: DataFrame, labels: DataFrame, model: Model, inside: np.ndarray, threshold: float) -> dict[str, float]:
+    """Thresholds by language, and overall under "", from all documents of ``labels`` but texts of the fit, whose
+    hashes are ``inside``; each class counts as often as it is labelled."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, inside))
+    # Scored before the join, so that it deals no texts.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    rows = rows.mapInArrow(_bins(shared), "doc_id long, lang string, bin int").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
+    counts: dict[str, np.ndarray] = {}
+    # A language has two times the bins at most.
+    for r in rows.groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["lang"], np.zeros((2, 2 * REACH * BINS + 2)))[r["toxic"], r["bin"] + 1] += r["n"]
+    if not counts:
+        return {}
+    every = sum(counts.values())
+    found = {"": best_threshold(every[:, 1:], every.sum(axis=1), threshold)}
+    for lang, own in counts.items():
+        if lang and own[:, 1:].sum() >= LEAST:
+            found[lang] = best_threshold(own[:, 1:], own.sum(axis=1), found[""])
+    return found
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +218,20 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in blocks(offsets, BLOCK_BYTES):
             found, first = buckets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             packed += [found[:, a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["lang", "toxic", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary()), batch.column(3)], ["lang", "toxic", "buckets", "key"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> Model:
     """Trains on the texts of ``labels`` (doc_id, toxic): of each class the ``sample`` documents whose ids
-    hash lowest. Every fifth of them is kept out of the fit and calibrates the thresholds by language."""
+    hash lowest. Every fifth of them is kept out of the fit and calibrates, with all documents beyond the sample, the thresholds by language."""
     labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(sample) for y in (0, 1)]
     # Two times ``sample`` ids at most.
-    rows = docs.join(F.broadcast(parts[0].union(parts[1])), "doc_id").dropDuplicates(["doc_id"]).select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic"))
-    frame = rows.mapInArrow(_buckets, "lang string, toxic int, buckets binary").toArrow()
+    rows = docs.join(F.broadcast(parts[0].union(parts[1])), "doc_id").dropDuplicates(["doc_id"]).select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    frame = rows.mapInArrow(_buckets, "lang string, toxic int, buckets binary, key long").toArrow()
     texts = [np.frombuffer(x.as_py(), np.uint16).reshape(TABLES, -1) for x in frame.column("buckets").combine_chunks()]
-    labels = np.array(frame.column("toxic").to_pylist(), np.int64)
-    langs = frame.column("lang").to_pylist()
+    marked = np.array(frame.column("toxic").to_pylist(), np.int64)
     if not len(texts):
         model = train([np.zeros((TABLES, 0), np.uint16)], np.zeros(1, np.int64), steps=1)
         model.bias = -5.0
@@ -199,19 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: flo
         return model
     marks = np.array([zlib.crc32(h.tobytes()) % 5 for h in texts])
     use = np.flatnonzero(marks != 0) if len(texts) > 50 else np.arange(len(texts))
-    model = train([texts[i] for i in use], labels[use])
-    used = np.bincount(labels[use], minlength=2) + 1
+    model = train([texts[i] for i in use], marked[use])
+    used = np.bincount(marked[use], minlength=2) + 1
     model.shift = float(np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1)) - np.log(used[1] / used[0]))
     model.prepare()
-    held = np.flatnonzero(marks == 0)
-    if len(held):
-        column = np.concatenate([score_buckets(model, texts[i], np.array([0, texts[i].shape[1]])) for i in held])
-        model.thresholds[""] = best_threshold(column, labels[held], threshold)
-        for lang in sorted(set(langs)):
-            own = np.array([langs[i] == lang for i in held])
-            if lang and own.sum() >= 50:
-                model.thresholds[lang] = best_threshold(column[own], labels[held][own], model.thresholds[""])
     model.tables = []
+    model.thresholds = calibrated(docs, labels, model, frame.column("key").to_numpy()[use], threshold)
     return model
 
 

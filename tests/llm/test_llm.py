@@ -395,6 +395,21 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert toxicity.scores(odd, toxicity.fit(none, labels)).count() == 9
 
 
+def test_thresholds_read_all_labels_beyond_the_fit(spark):
+    """A sample of 20 a class leaves no language 50 held-out documents; all labels do, with their true balance."""
+    rng = random.Random(3)
+    rows = [(i, ("de", "en", "fr")[i % 29 == 0 and 2 or i % 2], " ".join(["vile"] * (i % 5 == 0) + [f"w{rng.randrange(50)}" for _ in range(20)]), int(i % 5 == 0)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int")
+    model = toxicity.fit(frame.drop("toxic"), frame.select("doc_id", "toxic"), sample=20)
+    assert set(model.thresholds) == {"", "de", "en"}
+    counts = np.zeros((2, 4001))
+    counts[0, 1900], counts[0, 2100], counts[1, 2100], counts[1, 2300] = 50, 10, 40, 20
+    # As sampled, flagging from bin 2100 on is best; where clean documents are a hundred times as many, from 2300 on.
+    sampled, true = toxicity.best_threshold(counts, np.array([60, 60]), 0.3), toxicity.best_threshold(counts, np.array([6000, 60]), 0.3)
+    assert sampled == pytest.approx(1 / (1 + math.exp(-1))) and true == pytest.approx(1 / (1 + math.exp(-3)))
+    assert toxicity.best_threshold(counts * [[1], [0]], np.array([60, 0]), 0.3) == 0.3
+
+
 def brute_kneser_ney(texts, k, order=4):
     """The same model by plain recursion over dictionaries."""
     grams = collections.Counter()

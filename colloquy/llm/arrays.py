@@ -104,6 +104,13 @@ def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.nda
     return starts, ends, mix(hashes), first, cut
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs between ``starts`` and ``ends``."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * powers(INVERSE, len(data) + 1)[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A list column from flat values and n + 1 offsets."""
     flat = pa.array(values) if kind is None else pa.array(values, kind)

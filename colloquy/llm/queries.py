@@ -48,8 +48,7 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm import quality
 
-    docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.trusted_docs(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

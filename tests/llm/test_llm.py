@@ -410,92 +410,99 @@ def test_thresholds_read_all_labels_beyond_the_fit(spark):
     assert toxicity.best_threshold(counts * [[1], [0]], np.array([60, 0]), 0.3) == 0.3
 
 
-def brute_kneser_ney(texts, k, order=4):
-    """The same model by plain recursion over dictionaries."""
-    grams = collections.Counter()
-    for t in texts:
-        padded = "\x02" * (order - 1) + t
-        grams.update(padded[i : i + order] for i in range(len(t)))
-    tables = {order: grams}
-    for n in range(order - 1, 0, -1):
-        tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
-    uniform = 1 / (len(tables[1]) + 1)
-
-    def discount(n):
-        c = collections.Counter(tables[n].values())
-        if not c[1] or not c[2]:
-            return [0.5, 0.75, 0.9]
-        y = c[1] / (c[1] + 2 * c[2])
-        raw = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3] if c[3] else 1.5]
-        return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
-
-    ds = {n: discount(n) for n in tables}
-    followers = {n: collections.defaultdict(list) for n in tables}
-    for n, t in tables.items():
-        for g, c in t.items():
-            followers[n][g[:-1]].append(c)
-
-    def p(g):
-        if not g:
-            return uniform
-        own = followers[len(g)].get(g[:-1])
+def spelled(texts):
+    """Tokens of a text: words in pieces of 32 bytes, and other bytes but for single blanks behind something else."""
+    out = []
+    for text in texts:
+        own, raw = [], (text or "").encode()
+        for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|(?s:.)", raw):
+            x = m[0]
+            if x == b" " and m.start() and raw[m.start() - 1 : m.start()] != b" ":
+                continue
+            own += [x[i : i + quality.PIECE] for i in range(0, len(x), quality.PIECE)]
+        out.append(own)
+    return out
+
+
+def brute_discounts(counts):
+    n = collections.Counter(counts)
+    if not n[1] or not n[2]:
+        return [0, 0.5, 0.75, 0.9]
+    y = n[1] / (n[1] + 2 * n[2])
+    raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+    return [0] + [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+
+
+def brute_model(texts):
+    """log p of a word by recursion over its spelling, from dictionaries."""
+    words = collections.Counter(w for own in spelled(texts) for w in own)
+    tables = [collections.Counter((bytes(2) + w + b"\0")[i : i + 3] for w in words for i in range(len(w) + 1))]
+    for _ in range(2):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    cuts = [brute_discounts(t.values()) for t in tables]
+
+    def byte(gram):
+        if not gram:
+            return 1 / 256
+        t, d = tables[3 - len(gram)], cuts[3 - len(gram)]
+        own = [(g, n) for g, n in t.items() if g[:-1] == gram[:-1]]
+        below = byte(gram[1:])
         if not own:
-            return p(g[1:])
-        d = lambda c: ds[len(g)][min(c, 3) - 1]
-        c = tables[len(g)].get(g, 0)
-        return (max(c - d(c), 0) if c else 0) / sum(own) + sum(map(d, own)) / sum(own) * p(g[1:])
-
-    padded = "\x02" * (order - 1) + k
-    logs = [math.log(p(padded[i : i + order])) for i in range(len(k))]
-    return math.exp(-sum(logs) / len(logs))
-
-
-def test_language_model_against_recursion_and_joins(spark, odd, none, monkeypatch):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "cats"]
-    trusted = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    model = quality.fit(trusted)
-    asked = ["the cat", "zzz!", "on a log", "é"]
-    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*asked, "", None])], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.perplexity for r in quality.score(frame, model).collect()}
-    for i, t in enumerate(asked):
-        assert got[i] == pytest.approx(brute_kneser_ney(texts, t), rel=1e-9)
-    assert got[4] is None and got[5] is None
-    joined = {r.doc_id: r.perplexity for r in quality.score_by_joins(frame.select("doc_id", "lang", "text"), model).collect()}
-    assert all(joined[i] == pytest.approx(got[i], rel=1e-9) for i in range(4)) and joined[4] is None
-    assert quality.classify(odd, trusted).count() == 9 and quality.classify(none, trusted).count() == 0
-    assert quality.classify(odd, none).where("accepted").count() == 9
-    kept = quality.keep_good(odd, trusted)
-    assert kept.columns == odd.columns
-    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
-    assert sorted(map(tuple, quality.keep_good(odd, trusted).select("doc_id", "text").collect()), key=repr) == sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr)
-
-
-def test_word_model_against_recursion(spark, monkeypatch):
-    """Word order and repetition count, and no step gathers the model."""
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "cats"]
-    trusted = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    asked = ["the cat", "cat the", "sat on the mat", "the the the the", "zzz the", "mat the on sat", "the cat  !"]
-    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*asked, "", None])], "doc_id long, text string, lang string")
-    monkeypatch.setattr(quality, "Tables", type("NoGathering", (), {"_find": staticmethod(quality.Tables._find)}))
-    got = {r.doc_id: r.perplexity for r in quality.score_words(frame.union(frame.limit(1)), quality.fit(trusted, quality.WORD_GRAMS)).collect()}
-    names = {}
-    coded = lambda t: "".join(chr(100 + names.setdefault(w, len(names))) for w in re.findall(r"\w+|[^\w ]|(?<= ) ", t))
-    model = [coded(t) for t in texts]
-    for i, t in enumerate(asked):
-        assert got[i] == pytest.approx(brute_kneser_ney(model, coded(t), order=3), rel=1e-9)
-    assert got[2] < got[5] and got[2] < got[3] and got[7] is None and got[8] is None
-    assert quality.classify(frame, trusted).count() == 9 and quality.keep_good(frame, trusted).where("text is null or text = ''").count() == 2
+            return below
+        n, total = t.get(gram, 0), sum(n for _, n in own)
+        return (n - d[min(n, 3)]) / total + sum(d[min(m, 3)] for _, m in own) / total * below
+
+    d, total = brute_discounts(words.values()), sum(words.values())
+    freed = sum(d[min(n, 3)] for n in words.values()) / total if total else 1.0
+
+    def log_p(w):
+        raw = bytes(2) + w + b"\0"
+        below = freed * math.prod(byte(raw[i : i + 3]) for i in range(len(w) + 1))
+        return math.log((words[w] - d[min(words[w], 3)]) / total + below if words[w] else below)
+
+    return log_p
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model_against_recursion(spark, odd, none, monkeypatch, small):
+    if small:  # many shards, parts and blocks give the same
+        for name, value in (("SHARD_WORDS", 5), ("GROUP_BYTES", 64), ("BLOCK_BYTES", 40)):
+            monkeypatch.setattr(quality, name, value)
+    texts = ["the cat sat on the mat, the cat", "the dog sat on the log!", "a cat and a dog  sat", "x" * 70 + " caf\u00e9 the"]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, log_p = quality.fit(trusted), brute_model(texts)
+    asked = [*texts, "the elephant caf\u00e9 sat $$ mat", "", None, "zz zz zz", "the the"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in frame.withColumn("row", quality.row_key()).join(quality.log_perplexities(frame.union(frame.limit(1)), model), "row").collect()}
+    for i, own in enumerate(spelled(asked)):
+        if own:
+            assert abs(got[i].x + sum(map(log_p, own)) / len(own)) < 1e-5 and got[i].n == len(own) * (2 if i == 0 else 1)
+        else:
+            assert i not in got
+
+
+def test_quality_on_odd_rows_and_any_batches(spark, odd, none, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(odd, labels).count() == 9 and quality.classify(none, labels).count() == 0
+    assert quality.classify(odd, labels.limit(0)).where("accepted").count() == 9
+    assert quality.keep_good(odd, labels).columns == odd.columns
+    assert quality.keep_good(odd, labels).where("text is null or text = ''").count() == 2
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = []
+    for rows in ("7", "2000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        kept.append(sorted((r.doc_id, r.perplexity or 0, r.accepted) for r in quality.classify(docs, labels).collect()))
+    assert kept[0] == kept[1] and not all(k[2] for k in kept[0])
 
 
 def test_limits_come_from_held_out_texts(spark):
-    """The upper limit is the held-out texts' own quantile; texts of the fit, better known, only count for the lower one."""
-    rows = [(i, "en", 10.0 + i, False) for i in range(100)] + [(i, "en", 1000.0 + i, True) for i in range(40)] + [(1, "de", 5.0, False), (2, "de", 3000.0, True)]
-    kept = quality.limits(spark.createDataFrame(rows, "doc_id long, lang string, perplexity double, held boolean"))
-    assert kept == {"en": (10.0, 1039.0), "": (5.0, 3000.0)}
-    assert quality.limits(spark.createDataFrame([(1, "en", 7.0, False)], "doc_id long, lang string, perplexity double, held boolean")) == {"": (7.0, 7.0)}
+    rows = [(i, "en", math.log(v), held, 10**9) for i, (v, held) in enumerate([(1.0 + k / 100, False) for k in range(200)] + [(2.0 + k / 100, True) for k in range(40)])]
+    kept = quality.limits(spark.createDataFrame(rows, "doc_id long, lang string, x double, held boolean, n long"))
+    assert kept["en"][0] == pytest.approx(0.0, abs=0.002) and kept["en"][1] == pytest.approx(math.log(2.39), abs=0.002)
+    alone = quality.limits(spark.createDataFrame([(1, "en", 7.0, False, 100)], "doc_id long, lang string, x double, held boolean, n long"))
+    assert list(alone) == [""] and alone[""][0] == 7.0 and alone[""][1] == pytest.approx(5.0, abs=0.002)
 
 
-# Queries and the pipeline.
 def test_every_number_has_a_query():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
 
@@ -517,7 +524,7 @@ def test_pipeline_against_its_parts(spark, docs):
     import corpus_pipeline
 
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    accepted = {r.doc_id for r in quality.classify(docs, quality.trusted_docs(docs, labels)).where("accepted").collect()}
+    accepted = {r.doc_id for r in quality.classify(docs, labels).where("accepted").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in accepted]
     least = {d[1]: c for d, _, c in brute_components(rows)}
     rows = [(d, t) for d, t in rows if least[d] == d]

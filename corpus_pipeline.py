@@ -15,7 +15,7 @@ from colloquy.llm.scratch import materialize
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity is outside the limits of their language."""
-    return quality.keep_good(docs, quality.trusted_docs(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.scratch import materialize
+from colloquy.llm.scratch import Scratch
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def _both(links: DataFrame) -> DataFrame:
 def large_star(links: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the node's smallest neighbour (or itself)."""
     both = _both(links)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
@@ -30,15 +30,20 @@ def small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every linked node but the least of its component, and that least node.
 
-    ``links`` has columns u, v of one orderable type. Each round is written to the shared folder;
-    rounds grow with the logarithm of the largest component.
+    ``links`` has columns u, v of one orderable type. Each round is written to the shared folder, where the last
+    one stays; rounds grow with the logarithm of the largest component.
     """
-    links = materialize(links.where("u <> v").select("u", "v").distinct(), "links")
+    spark = links.sparkSession
+    done = Scratch(spark)
+    links = done.keep(links.where("u <> v").select("u", "v").distinct(), "links")
     mark = None
     while True:
-        links = materialize(small_star(large_star(links)), "stars")
-        # Nodes and their sum of ranks: a fixed point has every node linked to a root alone.
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        now = Scratch(spark)
+        links = now.keep(small_star(large_star(links)), "stars")
+        done.clear()
+        done = now
+        # Links and their sum of hashes: a fixed point has every node linked to a root alone.
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == mark:
             return links
-        mark = now
+        mark = state

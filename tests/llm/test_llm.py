@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -297,6 +298,47 @@ def test_secrets_against_python(spark, odd, none):
     assert secrets.mask(odd).columns == odd.columns and secrets.report(none).count() == 0
 
 
+def python_spans(t):
+    """All spans of a text, from re and a plain count of every window."""
+    key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+    assign = re.compile(rf"""({key}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
+        x = m[0]
+        allowed = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z]+[0-9]{1,4}", x) or (re.fullmatch("[A-Za-z/_-]*[0-9]{0,4}", x) and re.search("[/_-]", x))
+        if len(x) < 20 or not re.search("[0-9]", x) or allowed:
+            continue
+        counts, best = collections.Counter(x[:20]), 0
+        for i in range(len(x) - 19):
+            if i:
+                counts[x[i + 19]] += 1
+                counts[x[i - 1]] -= 1
+            best = max(best, -sum(c / 20 * math.log2(c / 20) for c in counts.values() if c))
+        if best >= (3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x) else 3.6 if re.fullmatch("[0-9A-Za-z]+", x) else 3.8) - 1e-12:
+            spans.append((m.start(), 3, m.end()))
+    return sorted(spans)
+
+
+def test_secrets_of_long_texts_in_time(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["a/" * 500_000 + "x1+", "-" * 1_000_000, "".join(rng.choice(letters) for _ in range(1_000_000)), " ".join(f"é token={i:08d}" for i in range(20_000)), "9" + "_a" * 300_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    for r in secrets.report(frame).collect():
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in python_spans(texts[r.doc_id]))
+    for r in secrets.mask(frame).collect():
+        at, out = 0, ""
+        for a, _, b in python_spans(texts[r.doc_id]):
+            if a >= at:
+                out += texts[r.doc_id][at:a] + "[secret]"
+            at = max(at, b)
+        assert r.text == out + texts[r.doc_id][at:]
+    assert time.perf_counter() - began < 90
+
+
 def test_window_entropy_against_counting(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcXYZ0123+/") for _ in range(rng.randint(1, 45))) for _ in range(30)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,18 +37,18 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(TRIM))), lambda w: w != "")
 
 
-def stem(word: Column, suffixes: Iterable[tuple[str, str]] = L.SUFFIXES) -> Column:
+def stem(word: Column, suffixes: Sequence[tuple[str, str]] = L.SUFFIXES) -> Column:
     """The word without its longest known suffix that leaves three bytes or more."""
+    rules = F.arrays_zip(listed(s for s, _ in suffixes).alias("cut"), listed(r for _, r in suffixes).alias("put"))
     size = F.octet_length(word)
-    out = F.when(size <= 3, word)
-    for suffix, put in suffixes:
-        out = out.when(word.endswith(suffix) & (size - len(suffix) + len(put) >= 3), F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(put)))
-    return out.otherwise(word)
+    fits = F.filter(rules, lambda r: F.endswith(word, r["cut"]) & (size - F.octet_length(r["cut"]) + F.octet_length(r["put"]) >= 3))
+    cut = once(F.get(fits, F.lit(0)), lambda r: F.when(r.isNotNull(), F.concat(F.left(word, F.length(word) - F.length(r["cut"])), r["put"])).otherwise(word))
+    return F.when(size <= 3, word).otherwise(cut)
 
 
 def keywords(text: Column, stemmed: bool = True, min_bytes: int = 3, stopwords: Iterable[str] = L.STOPWORDS) -> Column:
     """Distinct content words in order of first use."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
+    stop = listed(stopwords)
     plain = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     kept = F.filter(plain, lambda w: (F.octet_length(w) >= max(min_bytes, 1)) & ~F.array_contains(stop, w))
     return F.array_distinct(F.transform(kept, lambda w: stem(w)) if stemmed else kept)
@@ -59,17 +59,20 @@ def numeric_tokens(text: Column) -> Column:
     characters around; what is no number (1.2.3) is dropped."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     gaps = F.transform(F.split(text, NUMBER, -1), lambda g: F.length(g))
+    # Behind the last amount there is one more gap, which the pairs have no amount for.
+    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap")), lambda p: p["m"].isNotNull())
 
-    def total(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
+    def step(state: Column, p: Column) -> Column:
+        at = state["at"] + p["gap"]
+        return F.struct((at + F.length(p["m"])).alias("at"), F.array_append(state["out"], F.struct(p["m"].alias("m"), at.alias("at"))).alias("out"))
 
-    def one(m: Column, i: Column) -> Column:
-        at = total(F.slice(gaps, 1, i + 1)) + total(F.transform(F.slice(found, 1, i), lambda x: F.length(x)))
-        start = F.greatest(at - 50, F.lit(0))
-        around = F.substr(text, start + 1, at + F.length(m) + 50 - start)
-        return F.struct(F.regexp_replace(m, "[$€£,%]", "").try_cast("double").alias("value"), at.alias("position"), around.alias("context"))
+    def one(p: Column) -> Column:
+        start = F.greatest(p["at"] - 50, F.lit(0))
+        around = F.substr(text, start + 1, p["at"] + F.length(p["m"]) + 50 - start)
+        return F.struct(F.regexp_replace(p["m"], "[$€£,%]", "").try_cast("double").alias("value"), p["at"].alias("position"), around.alias("context"))
 
-    return F.filter(F.transform(found, one), lambda s: s["value"].isNotNull())
+    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,at:int>>").alias("out")), step)["out"]
+    return F.filter(F.transform(placed, one), lambda s: s["value"].isNotNull())
 
 
 def entity_mentions(text: Column) -> Column:
@@ -90,35 +93,35 @@ def sentences_hard(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[.!?;]"), lambda s: F.btrim(s, F.lit(" \n\t"))), lambda s: s != "")
 
 
+def listed(phrases: Iterable[str]) -> Column:
+    """Strings as an array that is folded to one constant, so that long lists make small plans."""
+    return F.split(F.lit(MARK.join(phrases)), MARK)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def phrase_any(text: Column, phrases: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | text.contains(p)
-    return out
+    return once(text, lambda t: F.exists(listed(phrases), lambda p: F.contains(t, p)))
 
 
 def phrase_first(text: Column, phrases: Iterable[str]) -> Column:
     """The first phrase, in the list's order, that the text contains."""
-    return F.coalesce(*[F.when(text.contains(p), F.lit(p)) for p in phrases])
+    return once(text, lambda t: F.get(F.filter(listed(phrases), lambda p: F.contains(t, p)), F.lit(0)))
 
 
 def phrase_hits(text: Column, phrases: Iterable[str]) -> Column:
     """How many phrases the text contains."""
-    out = F.lit(0)
-    for p in phrases:
-        out = out + text.contains(p).cast("int")
-    return out
+    return once(text, lambda t: F.size(F.filter(listed(phrases), lambda p: F.contains(t, p))))
 
 
 def phrase_occurrences(text: Column, phrases: Iterable[str], overlapping: bool = False) -> Column:
     """Occurrences of all phrases, each counted non-overlapping or at every position."""
-    out = F.lit(0)
-    for p in phrases:
-        if overlapping:
-            out = out + F.regexp_count(text, F.lit(f"(?={_quoted(p)})"))
-        else:
-            out = out + ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")
-    return out
+    if overlapping:
+        return once(text, lambda t: F.aggregate(listed(phrases), F.lit(0), lambda n, p: n + F.regexp_count(t, F.concat(F.lit("(?=\\Q"), p, F.lit("\\E)")))))
+    return once(text, lambda t: F.aggregate(listed(phrases), F.lit(0), lambda n, p: n + ((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.length(p)).cast("int")))
 
 
 def bounded(text: Column, phrase: str) -> Column:
@@ -143,14 +146,9 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 
 def topic_vector(stems: Column, topics: Mapping[str, Mapping[str, float]] = L.TOPICS) -> Column:
-    """Sum of lexicon weights of the stems, by topic in order of name."""
-    out = []
-    for topic in sorted(topics):
-        total = F.lit(0.0)
-        for word, weight in topics[topic].items():
-            total = total + F.when(F.array_contains(stems, word), F.lit(float(weight))).otherwise(0.0)
-        out.append(total)
-    return F.array(*out)
+    """Sum of lexicon weights of the words, by topic in order of name."""
+    weights = [F.create_map(*[F.lit(x) for pair in sorted(topics[t].items()) for x in (pair[0], float(pair[1]))]) for t in sorted(topics)]
+    return F.array(*[F.aggregate(stems, F.lit(0.0), lambda total, w, m=m: total + F.coalesce(F.try_element_at(m, w), F.lit(0.0))) for m in weights])
 
 
 def topic_similarity(a: Column, b: Column, n: int = len(L.TOPICS)) -> Column:
@@ -165,37 +163,48 @@ def bracket_citations(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\[[0-9]+\]"))
 
 
-def strong_declarative(text: Column) -> Column:
+def strong_declarative(text: Column, hedges: Iterable[str] = L.HEDGE_WORDS, openers: Iterable[str] = L.INTERROGATIVE, markers: Iterable[str] = L.DECLARATIVE, starts: Iterable[str] = L.DECLARATIVE_OPENERS) -> Column:
     """A statement of six words or more, without hedge or question, that asserts something."""
-    low = lowered(text)
-    first = F.get(words(low), F.lit(0))
-    opener = F.array_contains(F.array(*[F.lit(w) for w in L.INTERROGATIVE]), F.coalesce(first, F.lit("")))
-    return ~text.contains("?") & ~opener & (word_count(text) >= 6) & ~phrase_any(low, L.HEDGES) & phrase_any(low, L.ASSERTIVE)
+
+    def of(low: Column) -> Column:
+        begins = lambda these: F.exists(listed(these), lambda p: F.startswith(low, p))
+        return ~F.btrim(low, F.lit(" \n\t")).endswith("?") & ~begins(openers) & (word_count(low) >= 6) & ~phrase_any(low, hedges) & (phrase_any(low, markers) | begins(starts))
+
+    return once(lowered(text), of)
 
 
-def authority_citation(text: Column) -> Column:
-    """A fixed phrase; else "as NAME verb"; else "word verb that"."""
-    low = lowered(text)
-    verbs = "|".join(L.AUTHORITY_VERBS)
-    named = F.regexp_extract(low, rf"as [^.,;]{{1,40}} (?:{verbs})", 0)
-    held = F.regexp_extract(low, rf"[a-z]{{3,}} (?:{verbs}) that", 0)
-    return F.coalesce(phrase_first(low, L.AUTHORITY), F.nullif(named, F.lit("")), F.nullif(held, F.lit("")))
+def authority_citation(text: Column, phrases: Iterable[str] = L.AUTHORITY, verbs: Iterable[str] = L.CITATION_VERBS, held: Iterable[str] = L.HELD_THAT, reach: int = 40) -> Column:
+    """A fixed phrase; else "as NAME verb" within ``reach`` characters of the first "as "; else "word held that"."""
 
+    def of(low: Column) -> Column:
+        after = F.substr(low, F.locate("as ", low) + 3, F.length(low))
+        at = lambda v: F.position(v, after) - 1
+        name = lambda v: F.btrim(F.left(after, at(v)), F.lit(" \n\t"))
+        named = F.filter(listed(verbs), lambda v: F.contains(low, F.lit("as ")) & at(v).between(1, reach) & (F.length(name(v)) >= 3) & ~F.contains(name(v), F.lit("?")))
+        before = lambda v: F.element_at(F.concat(F.array(F.lit("")), words(F.left(low, F.position(v, low) - 1))), -1)
+        told = F.filter(listed(held), lambda v: (F.position(v, low) > 1) & (F.length(before(v)) >= 3))
+        first = once(F.get(named, F.lit(0)), lambda v: F.concat(F.lit("as "), name(v), v))
+        return F.coalesce(phrase_first(low, phrases), first, once(F.get(told, F.lit(0)), lambda v: F.concat(before(v), v)))
 
-def independent_justification(text: Column, min_words: int = 10) -> Column:
+    return once(lowered(text), of)
+
+
+def independent_justification(text: Column, min_words: int = 10, markers: Iterable[str] = L.MERIT, bare: Iterable[str] = L.NO_MERIT) -> Column:
     """No bare assertion, and a merit marker that ``min_words`` words or more follow."""
-    low = lowered(text)
-    followed = F.lit(False)
-    for m in L.MERIT:
-        after = F.substr(low, F.locate(m, low) + F.lit(len(m)), F.length(low))
-        followed = followed | (low.contains(m) & (word_count(after) >= min_words))
-    return ~phrase_any(low, L.BARE_ASSERTION) & followed
-
-
-def defended_claim(text: Column) -> Column:
-    """The first 120 characters of the sentence that holds the authority citation."""
-    cited = authority_citation(text)
-    return F.left(F.get(F.filter(sentences(text), lambda s: lowered(s).contains(cited)), F.lit(0)), F.lit(120))
+
+    def of(low: Column) -> Column:
+        after = lambda m: F.substr(low, F.position(m, low) + F.length(m), F.length(low))
+        return ~phrase_any(low, bare) & F.exists(listed(markers), lambda m: F.contains(low, m) & (word_count(after(m)) >= min_words))
+
+    return once(lowered(text), of)
+
+
+def defended_claim(text: Column, phrases: Iterable[str] = L.AUTHORITY, verbs: Iterable[str] = L.CITATION_VERBS, limit: int = 120) -> Column:
+    """The sentence that cites an authority, or else the text, cut at ``limit`` characters with dots behind."""
+    parts = F.filter(F.split(text, "[.!?;]"), lambda s: s != "")
+    cites = lambda s: once(lowered(s), lambda x: phrase_any(x, phrases) | phrase_any(x, verbs))
+    claim = F.coalesce(F.btrim(F.get(F.filter(parts, cites), F.lit(0)), F.lit(" \n\t")), text)
+    return once(claim, lambda c: F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("..."))).otherwise(c))
 
 
 def trigrams(text: Column) -> Column:

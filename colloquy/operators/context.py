@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy.functions import text as T
+from colloquy.operators.fuzzy import URGENCY, FuzzySet, fuzzy_score
 
 REASONS = ("no_turns", "too_many_turns", "too_large", "toxic", "language")
 
@@ -61,30 +64,37 @@ def detect_language(turns: DataFrame, profiles: DataFrame, supported: tuple[str,
     return samples.join(best, "conv_id", "left").select("conv_id", F.when(short, fallback).otherwise(known).alias("language"), F.when(short, 0.5).otherwise(F.coalesce("score", F.lit(0.0))).alias("confidence"), ok.alias("supported"))
 
 
-def gain(turns: DataFrame) -> DataFrame:
-    """(conv_id, urgency, complexity, formality, mode)."""
+def gain(
+    turns: DataFrame, formal: Iterable[str] = (*L.FORMAL, *L.CLASSICAL_FORMAL), informal: Iterable[str] = L.INFORMAL, contractions: Iterable[str] = L.CONTRACTIONS, rhetorical: Iterable[str] = L.RHETORICAL,
+    urgent: Iterable[str] = L.URGENT, stakes: Iterable[str] = L.STAKES, recent: int = 5, phasic: float = 0.6,
+) -> DataFrame:
+    """(conv_id, urgency, complexity, formality, mode), from phrases and sizes of a conversation's turns; urgency reads the ``recent`` last turns."""
     rows = low(turns)
     words = T.word_count(F.col("raw_text"))
-    formal = (T.phrase_any(F.col("low"), L.FORMAL)).cast("int") + (words > 25).cast("int") + (words > 50).cast("int") + (F.regexp_count("raw_text", F.lit(";")) >= 2).cast("int")
-    informal = T.phrase_any(F.col("low"), L.INFORMAL).cast("int") + (words < 8).cast("int") + F.col("low").contains("n't").cast("int") + F.col("raw_text").contains("!").cast("int")
+    text = F.col("low")
+    as_int = lambda flag: flag.cast("int")
+    for_ = T.phrase_hits(text, formal) + as_int(words > 25) + as_int(words > 50) + as_int(F.regexp_count("raw_text", F.lit(";")) >= 2) + as_int(T.phrase_any(text, rhetorical))
+    against = T.phrase_hits(text, informal) + as_int((words < 8) & (words > 0)) + as_int(T.phrase_any(text, contractions)) + as_int(F.col("raw_text").contains("!"))
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn_number")))
-    tokens = T.tokenize(F.col("low"))
-
-    def listed(words_: tuple[str, ...]) -> Column:
-        known = F.array(*[F.lit(w) for w in words_])
-        return F.size(F.filter(tokens, lambda t: F.array_contains(known, t)))
-
-    per_turn = rows.select("conv_id", "speaker", words.alias("words"), formal.alias("formal"), informal.alias("informal"), F.when(back <= 5, listed(L.URGENT) + 2 * listed(L.STAKES)).otherwise(0).alias("pressing"))
+    listed = lambda tokens, these: F.size(F.filter(tokens, lambda t: F.array_contains(T.listed(these), t)))
+    pressing = T.once(T.tokenize(text), lambda t: listed(t, urgent) + 2 * listed(t, stakes))
+    per_turn = rows.select("conv_id", "speaker", words.alias("words"), for_.alias("formal"), against.alias("informal"), F.when(back <= recent, pressing).otherwise(0).alias("pressing"))
     sums = per_turn.groupBy("conv_id").agg(
-        F.count("*").cast("double").alias("turns"), F.count_distinct("speaker").cast("double").alias("speakers"), F.avg("words").alias("words"),
+        F.count("*").cast("double").alias("turns"), F.size(F.collect_set("speaker")).cast("double").alias("speakers"), F.avg("words").alias("words"),
         F.sum("formal").cast("double").alias("formal"), F.sum("informal").cast("double").alias("informal"), F.sum("pressing").cast("double").alias("pressing"),
     )
-    urgency = T.clamp(F.lit(0.15) + F.col("pressing") / 10.0)
-    complexity = T.clamp(F.col("turns") / 10.0 * 0.4 + F.col("speakers") / 5.0 * 0.2 + F.col("words") / 200.0 * 0.4)
+    urgency = T.clamp(F.lit(0.15) + F.col("pressing") / F.lit(10.0))
+    complexity = T.clamp(F.col("turns") / F.lit(10.0) * F.lit(0.4) + F.col("speakers") / F.lit(5.0) * F.lit(0.2) + F.col("words") / F.lit(200.0) * F.lit(0.4))
     total = F.col("formal") + F.col("informal")
     formality = F.when(total == 0, F.lit(0.5)).otherwise(F.col("formal") / total)
     found = sums.select("conv_id", urgency.alias("urgency"), complexity.alias("complexity"), formality.alias("formality"))
-    return found.withColumn("mode", F.when(F.col("urgency") > 0.6, "PHASIC").otherwise("TONIC"))
+    return found.withColumn("mode", F.when(F.col("urgency") > phasic, "PHASIC").otherwise("TONIC"))
+
+
+def gain_fuzzy(gains: DataFrame, rules: FuzzySet = URGENCY, phasic: float = 0.6) -> DataFrame:
+    """The same with urgency replaced by its fuzzy score with complexity and formality, where a rule fires."""
+    score = F.coalesce(fuzzy_score({c: F.col(c) for c in ("urgency", "complexity", "formality")}, rules), F.col("urgency"))
+    return gains.withColumn("urgency", score).withColumn("mode", F.when(F.round("urgency", 9) > phasic, "PHASIC").otherwise("TONIC"))
 
 
 def gain_enriched(gains: DataFrame, enrichment: DataFrame) -> DataFrame:
@@ -107,46 +117,70 @@ def apply_offset(offsets: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 
 def activation_level(gains: DataFrame) -> DataFrame:
-    """(conv_id, level): 3 all detectors, 2 without the costly two, 1 only drift and contradiction."""
+    """(conv_id, score, level, label): the hint mixed of all three signals; level 3 (all detectors), 2 (without the costly two) or 1 (only
+    those that always run) by urgency."""
     score = T.clamp(F.lit(0.4) * F.col("urgency") + F.lit(0.4) * F.col("complexity") + F.lit(0.2) * F.col("formality"))
-    return gains.select("conv_id", score.alias("score"), F.when(score >= 0.65, 3).when(score >= 0.35, 2).otherwise(1).alias("level"), F.format_string("%.2f", score).alias("label"))
+    level = F.when(F.round("urgency", 9) >= 0.65, 3).when(F.round("urgency", 9) >= 0.35, 2).otherwise(1)
+    return gains.select("conv_id", score.alias("score"), level.alias("level"), F.format_string("%.2f", score).alias("label"))
 
 
-def classical_text(turns: DataFrame, markers: tuple[str, ...] = L.CLASSICAL) -> DataFrame:
-    """(conv_id, n_markers, classical): two or more distinct markers over all turns."""
-    rows = low(turns)
-    found = rows.groupBy("conv_id").agg(*[F.max(F.col("low").contains(m).cast("int")).alias(f"_{i}") for i, m in enumerate(markers)])
-    n = sum((F.col(f"_{i}") for i in range(1, len(markers))), F.col("_0"))
-    return found.select("conv_id", n.alias("n_markers"), (n >= 2).alias("classical"))
+#: Detectors that always run, and those that a middling urgency leaves out.
+ALWAYS, COSTLY = ("scope_drift", "contradiction"), ("inherited_position", "conceptual_anchoring")
 
 
-#: Detector -> its condition on a conversation's counts.
+def activated(rows: DataFrame, levels: DataFrame, column: str = "detector") -> DataFrame:
+    """The rows (conv_id, detector, ..) whose detector runs at its conversation's activation level."""
+    runs = F.col(column).isin(*ALWAYS) | (F.col("level") == 3) | ((F.col("level") == 2) & ~F.col(column).isin(*COSTLY))
+    return rows.join(levels.select("conv_id", "level"), "conv_id").where(runs).drop("level")
+
+
+def classical_text(turns: DataFrame, markers: Iterable[str] = L.CLASSICAL_FORMAL, more: Iterable[str] = (), least: int = 2) -> DataFrame:
+    """(conv_id, n_markers, classical): ``least`` or more distinct markers over all turns; ``more`` are those of a finding type."""
+    known = T.listed(dict.fromkeys((*markers, *more)))
+    met = turns.select("conv_id", T.once(F.lower("raw_text"), lambda t: F.filter(known, lambda p: F.contains(t, p))).alias("m"))
+    found = met.groupBy("conv_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("m")))).alias("n_markers"))
+    return found.withColumn("classical", F.col("n_markers") >= least)
+
+
+#: Detector -> (its condition on a conversation's counts, why).
 ROUTES = {
-    "anchoring": "numbers >= 2 AND number_turns >= 2",
-    "sunk_cost": "cost > 0",
-    "contradiction": "turns >= 2",
-    "scope_drift": "turns >= 3",
-    "confidence_miscalibration": "turns >= 1",
-    "silent_revision": "decisions > 0 AND turns >= 2",
-    "conceptual_anchoring": "turns >= 4 AND early_declarative > 0",
-    "inherited_position": "turns >= 4 AND authority > 0",
-    "evidence_asymmetry": "assistant >= 2",
-    "sustained_conviction": "assistant >= 1",
-    "underevidenced_claims": "assistant >= 2",
-    "entity_coherence": "assistant >= 3",
+    "anchoring_context": ("numbers >= 2 AND number_turns >= 2", "amounts in several turns"),
+    "confidence_miscalibration": ("turns >= 1", "there are turns"),
+    "contradiction": ("turns >= 2", "turns can be compared"),
+    "silent_revision": ("turns >= 2 AND decisions > 0", "decisions are announced"),
+    "scope_drift": ("objectives > 0 AND turns >= 3", "an objective and turns enough to leave it"),
+    "sunk_cost": ("cost > 0", "costs are spoken of"),
+    "conceptual_anchoring": ("turns >= 4 AND early_declarative > 0", "an early claim"),
+    "inherited_position": ("turns >= 4 AND authority > 0", "authorities are cited"),
+    "evidence_asymmetry": ("turns >= 4 AND assistant >= 2", "several assistant turns"),
+    "sustained_conviction": ("assistant >= 1", "an assistant turn"),
+    "sustained_conviction_wide": ("assistant >= 1", "an assistant turn"),
+    "underevidenced_claims": ("assistant >= 2", "several assistant turns"),
+    "negative_claim_confidence": ("assistant >= 1", "an assistant turn"),
+    "assumption_surfacer": ("assistant >= 1", "an assistant turn"),
+    "circular_reasoning": ("assistant >= 2", "several assistant turns"),
+    "evidence_quality": ("assistant >= 1", "an assistant turn"),
+    "status_quo_bias": ("assistant >= 1", "an assistant turn"),
+    "entity_coherence": ("assistant >= 3", "three assistant turns"),
 }
 
 
-def route(turns: DataFrame) -> DataFrame:
-    """(conv_id, detector): detectors that have something to look at, from one pass of counts."""
-    rows = low(turns)
-    counts = rows.groupBy("conv_id").agg(
-        F.count("*").alias("turns"), F.count_if(F.col("speaker") == "assistant").alias("assistant"), F.sum(F.size(T.numeric_tokens(F.col("raw_text")))).alias("numbers"),
-        F.count_if(F.col("raw_text").rlike("[0-9]")).alias("number_turns"), F.count_if(T.phrase_any(F.col("low"), L.COST)).alias("cost"), F.count_if(T.phrase_any(F.col("low"), L.DECISION)).alias("decisions"),
-        F.count_if((F.col("turn_number") <= 3) & T.strong_declarative(F.col("raw_text"))).alias("early_declarative"), F.count_if(T.authority_citation(F.col("raw_text")).isNotNull()).alias("authority"),
+def route(turns: DataFrame, objectives: DataFrame | None = None, cost: Iterable[str] = L.ROUTE_COST, decisions: Iterable[str] = L.ROUTE_DECISION, authority: Iterable[str] = L.ROUTE_AUTHORITY) -> DataFrame:
+    """(conv_id, detector, reason): detectors that have something to look at, from one pass of counts; ``objectives`` has (conv_id, objective)."""
+    text = F.col("plain")
+    n = F.size(T.numeric_tokens(F.col("raw_text")))
+    counts = turns.withColumn("plain", F.lower("raw_text")).withColumn("n", n).groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.count_if(F.lower("speaker") == "assistant").alias("assistant"), F.sum("n").alias("numbers"), F.count_if(F.col("n") > 0).alias("number_turns"),
+        F.count_if(T.phrase_any(text, cost)).alias("cost"), F.count_if(T.phrase_any(text, decisions)).alias("decisions"), F.count_if(T.phrase_any(text, authority)).alias("authority"),
+        F.count_if((F.col("turn_number") <= 3) & T.strong_declarative(F.col("raw_text"))).alias("early_declarative"),
     )
-    flags = F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in ROUTES.items()])
-    return counts.select("conv_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("detector"))
+    if objectives is None:
+        counts = counts.withColumn("objectives", F.lit(0))
+    else:
+        told = objectives.where("objective <> ''").groupBy("conv_id").agg(F.count("*").alias("objectives"))
+        counts = counts.join(told, "conv_id", "left").withColumn("objectives", F.coalesce("objectives", F.lit(0)))
+    flags = F.array(*[F.when(F.expr(rule), F.struct(F.lit(name).alias("detector"), F.lit(why).alias("reason"))) for name, (rule, why) in ROUTES.items()])
+    return counts.select("conv_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("r")).select("conv_id", "r.*")
 
 
 def domain_thresholds(domains: DataFrame) -> DataFrame:
@@ -160,9 +194,12 @@ def domain_thresholds(domains: DataFrame) -> DataFrame:
     )
 
 
-def orchestration_mode(turns: DataFrame, drift: float = 0.79) -> DataFrame:
-    """(conv_id, orchestrating, drift): long conversations about several parts of a project may drift more."""
-    rows = low(turns)
-    found = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.phrase_hits(F.col("low"), L.PROJECT)).alias("mentions"))
-    on = (F.col("turns") > 4) & (F.col("mentions") >= 3)
-    return found.select("conv_id", on.alias("orchestrating"), F.when(on, F.least(F.lit(drift * 1.2), F.lit(0.98))).otherwise(F.lit(drift)).alias("drift"))
+def orchestration_mode(turns: DataFrame, drift: float = 0.79, more_than: int = 8, mentions: int = 3, words: Iterable[str] = L.PROJECT, names: Iterable[str] = ()) -> DataFrame:
+    """(conv_id, orchestrating, drift): conversations of more than ``more_than`` turns that mention projects (``words``, or capital ``names``) in
+    several ways may drift a fifth more."""
+    told = T.phrase_any(F.lower("raw_text"), words).cast("int")
+    if names:
+        told = told + T.phrase_any(F.col("raw_text"), names).cast("int")
+    found = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(told).alias("mentions"))
+    on = (F.col("turns") > more_than) & (F.col("mentions") >= mentions)
+    return found.select("conv_id", on.alias("orchestrating"), F.when(on, F.lit(min(drift * 1.2, 0.98))).otherwise(F.lit(drift)).alias("drift"))

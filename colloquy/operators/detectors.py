@@ -1,12 +1,19 @@
 """Detectors: turns -> at most one finding per conversation and detector.
 
-A finding is (conv_id, finding_type, severity 1-4, confidence, detector_name, relevant_turns). What
-"first" means is always spelt out as a sort key, so results don't depend on row order.
+A finding is (conv_id, finding_type, severity 1-4, confidence, detector_name, relevant_turns, explanation, signal,
+strength); ``signal`` and ``strength`` are the numbers behind it that later steps read (a relative shift and the anchor's
+value, an overlap and the kind's strength, a calibration error, or a gap in turns). What "first" means is always spelt out
+as a sort key, so results don't depend on row order.
+
+Most detectors are sums over a conversation's turns. Each of them says what it reads of one turn, how that is summed up, and
+what finding the sums make; ``run`` puts any number of them into one projection and one aggregation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +22,44 @@ from colloquy import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators.context import low
 
-FINDING = ["conv_id", "finding_type", "severity", "confidence", "detector_name", "relevant_turns"]
+FIELDS = "finding_type string, severity int, confidence double, detector_name string, relevant_turns array<int>, explanation string, signal double, strength double"
+FINDING = ["conv_id", *[f.split()[0] for f in FIELDS.split(", ")]]
 INFO, CAUTION, WARNING, CRITICAL = 1, 2, 3, 4
+EXPLANATIONS = {
+    "anchoring": "An early amount stays close to a later estimate, which may be anchored on it",
+    "anchoring_context": "An early amount stays close to a later estimate in a similar context, which may be anchored on it",
+    "sunk_cost": "Costs already borne are followed by a call to continue, rather than by a look at what lies ahead",
+    "sunk_cost_proximity": "Costs already borne are closely followed by a call to continue, rather than by a look ahead",
+    "contradiction": "One speaker says two things in different turns that cannot both hold",
+    "scope_drift": "The words of a run of turns have moved away from those of the stated objective",
+    "scope_drift_kl": "The word frequencies of a run of turns diverge from those of the stated objective",
+    "scope_drift_centroid": "A run of turns lies far from the moving centre of the turns on topic",
+    "confidence_miscalibration": "A turn claims more certainty, or less, than the evidence it gives would warrant",
+    "silent_revision": "A decision on the same topic has changed later on, and no reason for that is given",
+    "conceptual_anchoring": "Most later turns keep circling a claim that was made early and never conceded",
+    "inherited_position": "Positions are held on the word of authorities, mostly without reasons of their own",
+    "evidence_asymmetry": "Turns that argue against are far better grounded than those that argue for",
+    "sustained_conviction": "Praise or ever grander designs are kept up over several assistant turns in a row",
+    "sustained_conviction_wide": "Praise or ever grander designs are kept up over a wide window of assistant turns",
+    "underevidenced_claims": "Assistant turns make positive claims, and hardly any turn gives evidence for one",
+    "negative_claim_confidence": "Counter-evidence is dismissed, or complexity added, in very confident sentences",
+    "assumption_surfacer": "Confident claims far outnumber stated premises: a chain of unstated assumptions",
+    "circular_reasoning": "In several turns a claim is given as its own reason, in nearly the same words",
+    "evidence_quality": "Hearsay and impressions carry the claims, with little measured evidence beside them",
+    "status_quo_bias": "What exists is taken as good, and only change has to justify itself in these turns",
+    "entity_coherence": "The same things are described with opposite properties in different assistant turns",
+}
 
 
-def finding(rows: DataFrame, kind: str | Column, severity: Column, confidence: Column, name: str, turns: Column | None = None) -> DataFrame:
-    return rows.select(
-        "conv_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("finding_type"), severity.cast("int").alias("severity"), confidence.cast("double").alias("confidence"),
-        F.lit(name).alias("detector_name"), (turns if turns is not None else F.array()).cast("array<int>").alias("relevant_turns"),
-    )
+def finding(kind: str | Column, severity: Column | int, confidence: Column | float, name: str, turns: Column | None = None, signal: Column | None = None, strength: Column | None = None) -> Column:
+    parts = [F.lit(kind) if isinstance(kind, str) else kind, severity if isinstance(severity, Column) else F.lit(severity), confidence if isinstance(confidence, Column) else F.lit(confidence)]
+    parts += [F.lit(name), turns if turns is not None else F.array(), F.lit(EXPLANATIONS.get(name, "")), *[F.lit(None) if x is None else x for x in (signal, strength)]]
+    return F.struct(*[x.cast(f.split()[1]).alias(f.split()[0]) for x, f in zip(parts, FIELDS.split(", "))])
+
+
+def of_rows(rows: DataFrame, found: Column) -> DataFrame:
+    """A finding of every row."""
+    return rows.select("conv_id", found.alias("f")).where("f is not null").select("conv_id", "f.*")
 
 
 def first_by(rows: DataFrame, *order: Column) -> DataFrame:
@@ -43,56 +79,334 @@ def above(x: Column, t: float) -> Column:
     return F.least(F.lit(0.5) + F.lit(0.5) * (x - t) / (1 - t), F.lit(1.0))
 
 
-def assistant(turns: DataFrame) -> DataFrame:
-    return low(turns).where(F.lower("speaker") == "assistant")
+def ratio(a: Column, b: Column) -> Column:
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+@dataclass(frozen=True)
+class Signal:
+    """What a detector reads of a turn, by name; how each is summed up, by name; and the finding of the sums, or null."""
+
+    turn: dict[str, Column]
+    sums: dict[str, Column]
+    found: Column
+
+
+SIGNALS: dict[str, Callable[..., Signal]] = {}
+
+
+def signal(make: Callable[..., Signal]) -> Callable[..., DataFrame]:
+    """Makes a detector of a function from names (``c(key)`` is the column of a key) and parameters to a Signal."""
+    SIGNALS[make.__name__] = make
+
+    @wraps(make)
+    def detector(turns: DataFrame, **params) -> DataFrame:
+        return run(turns, {make.__name__: params})
+
+    return detector
+
+
+def enrich(turns: DataFrame) -> DataFrame:
+    """Turns with their lowered text (``plain``; ``low`` with plain quotes too), and whether the assistant ``said`` something."""
+    return low(turns).withColumn("plain", F.lower("raw_text")).withColumn("said", (F.lower("speaker") == "assistant") & (F.btrim("raw_text", F.lit(" \n\t")) != ""))
+
+
+def run(turns: DataFrame, chosen: dict[str, dict]) -> DataFrame:
+    """Findings of the chosen signals (name -> parameters), from one pass over the turns."""
+    made = {}
+    for i, (name, params) in enumerate(chosen.items()):
+        made[i] = SIGNALS[name](lambda key, i=i: F.col(f"_{i}_{key}"), **params)
+    rows = enrich(turns).select("conv_id", "turn_number", *[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.turn.items()])
+    sums = rows.groupBy("conv_id").agg(*[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.sums.items()])
+    found = F.filter(F.array(*[s.found for s in made.values()]), lambda f: f.isNotNull())
+    return sums.select("conv_id", F.explode(found).alias("f")).select("conv_id", "f.*")
+
+
+def turns_with(flag: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(flag, F.col("turn_number"))))
+
+
+def in_order(x: Column) -> Column:
+    """All values of a conversation, sorted; structs begin with the turn."""
+    return F.array_sort(F.collect_list(x))
+
+
+def _anchor(numbers: Column, threshold: float) -> Column:
+    """Later amounts close to a conversation's first one: array of (turn, position, shift, context), with the first."""
+    flat = F.flatten(F.transform(numbers, lambda n: F.transform(n["t"], lambda x: F.struct(n["turn"].alias("turn"), x["value"].alias("value"), x["position"].alias("position"), x["context"].alias("context")))))
+
+    def of(all_: Column) -> Column:
+        first = F.get(all_, F.lit(0))
+        shifted = F.transform(all_, lambda x: F.struct(x["turn"].alias("turn"), x["position"].alias("position"), (F.abs(x["value"] - first["value"]) / F.greatest(F.abs(first["value"]), F.lit(1.0))).alias("shift"), x["context"].alias("context")))
+        return F.struct(first.alias("first"), F.filter(shifted, lambda x: (x["turn"] > first["turn"]) & (x["shift"] < threshold)).alias("close"))
+
+    return T.once(flat, of)
+
 
+def _numbers() -> Column:
+    return T.once(T.numeric_tokens(F.col("raw_text")), lambda t: F.when(F.size(t) > 0, F.struct(F.col("turn_number").alias("turn"), t.alias("t"))))
 
-def _anchor_pairs(turns: DataFrame, threshold: float) -> DataFrame:
-    """Later amounts close to a conversation's first one."""
-    n = turns.select("conv_id", "turn_number", F.explode(T.numeric_tokens(F.col("raw_text"))).alias("t")).select("conv_id", "turn_number", F.col("t.value").alias("value"), F.col("t.position").alias("position"), F.col("t.context").alias("context"))
-    anchor = n.groupBy("conv_id").agg(F.min(F.struct("turn_number", "position", "value", "context")).alias("a"))
-    pairs = n.join(anchor, "conv_id").where(F.col("turn_number") > F.col("a.turn_number"))
-    return pairs.withColumn("shift", F.abs(F.col("value") - F.col("a.value")) / F.greatest(F.abs("a.value"), F.lit(1.0))).where(F.col("shift") < threshold)
 
+def _anchor_severity(share: Column) -> Column:
+    return F.when(share < 0.3, WARNING).when(share < 0.7, CAUTION).otherwise(INFO)
 
-def _anchor_severity(ratio: Column) -> Column:
-    return F.when(ratio < 0.3, WARNING).when(ratio < 0.7, CAUTION).otherwise(INFO)
 
+@signal
+def anchoring(c, threshold: float = 0.15) -> Signal:
+    """The first later amount close to a conversation's first one."""
 
-def anchoring(turns: DataFrame, threshold: float = 0.15) -> DataFrame:
-    best = first_by(_anchor_pairs(turns, threshold), F.col("turn_number"), F.col("position"))
-    ratio = F.col("shift") / threshold
-    return finding(best, "ANCHORING_BIAS", _anchor_severity(ratio), 1 - ratio, "anchoring", F.array("a.turn_number", "turn_number"))
+    def of(a: Column) -> Column:
+        x = F.get(a["close"], F.lit(0))
+        share = x["shift"] / threshold
+        return F.when(x.isNotNull(), finding("ANCHORING_BIAS", _anchor_severity(share), 1 - share, "anchoring", F.array(a["first"]["turn"], x["turn"]), x["shift"], a["first"]["value"]))
 
+    return Signal({"n": _numbers()}, {"n": in_order(c("n"))}, T.once(_anchor(c("n"), threshold), of))
 
-def anchoring_context(turns: DataFrame, threshold: float = 0.15, least: float = 0.2) -> DataFrame:
+
+@signal
+def anchoring_context(c, threshold: float = 0.15, least: float = 0.2) -> Signal:
     """As above, for amounts in similar contexts; the surest pair."""
-    pairs = _anchor_pairs(turns, threshold)
-    similar = T.jaccard(T.keywords(F.col("context"), stemmed=False), T.keywords(F.col("a.context"), stemmed=False))
-    pairs = pairs.withColumn("sim", similar).where(F.col("sim") >= least)
-    pairs = pairs.withColumn("confidence", (1 - F.col("shift") / threshold) * (F.lit(0.5) + F.lit(0.5) * F.col("sim")))
-    best = first_by(pairs, F.round("confidence", 9).desc(), F.col("turn_number"), F.col("position"))
-    return finding(best, "ANCHORING_BIAS", _anchor_severity(F.col("shift") / threshold), F.col("confidence"), "anchoring_context", F.array("a.turn_number", "turn_number"))
 
+    def scored(a: Column) -> Column:
+        own = T.keywords(a["first"]["context"], stemmed=False)
+
+        def score(x: Column, kept: Column) -> Column:
+            sim = T.jaccard(T.keywords(x["context"], stemmed=False), kept, 1.0)
+            return T.once(sim, lambda y: F.struct((-F.round((1 - x["shift"] / threshold) * (F.lit(0.5) + F.lit(0.5) * y), 9)).alias("c"), x["turn"].alias("turn"), x["position"].alias("position"), x["shift"].alias("shift"), y.alias("sim"), a["first"].alias("first")))
+
+        return F.array_min(F.filter(T.once(own, lambda kept: F.transform(a["close"], lambda x: score(x, kept))), lambda x: x["sim"] >= least))
+
+    def of(x: Column) -> Column:
+        sure = (1 - x["shift"] / threshold) * (F.lit(0.5) + F.lit(0.5) * x["sim"])
+        return F.when(x.isNotNull(), finding("ANCHORING_BIAS", _anchor_severity(x["shift"] / threshold), sure, "anchoring_context", F.array(x["first"]["turn"], x["turn"]), x["shift"], x["first"]["value"]))
+
+    return Signal({"n": _numbers()}, {"n": in_order(c("n"))}, T.once(T.once(_anchor(c("n"), threshold), scored), of))
+
+
+def _cost_turns(costs: Iterable[str], continuations: Iterable[str]) -> dict[str, Column]:
+    cost = T.once(T.phrase_first(F.col("low"), costs), lambda p: F.when(p.isNotNull(), F.struct(F.col("turn_number").alias("at"), p.alias("phrase"))))
+    return {"cost": cost, "on": F.when(T.phrase_any(F.col("low"), continuations), F.col("turn_number"))}
+
+
+def _cost_pairs(costs: Column, ons: Column, strong: Iterable[str]) -> Column:
+    """(at, on, gap, base) of every cost with every continuation from its turn on."""
+
+    def pair(k: Column, o: Column) -> Column:
+        base = F.lit(0.5) + F.when(o > k["at"], 0.2).otherwise(0.0) + F.when(o - k["at"] <= 2, 0.15).otherwise(0.0) + F.when(k["phrase"].isin(*strong), 0.1).otherwise(0.0)
+        return F.struct(k["at"].alias("at"), o.alias("on"), (o - k["at"]).alias("gap"), F.least(base, F.lit(1.0)).alias("base"))
+
+    return F.flatten(F.transform(costs, lambda k: F.transform(F.filter(ons, lambda o: o >= k["at"]), lambda o: pair(k, o))))
+
+
+def _cost_finding(x: Column, sure: Column, name: str) -> Column:
+    return F.when(x.isNotNull(), finding("SUNK_COST_FALLACY", steps(sure, (0.8, WARNING), (0.6, CAUTION), otherwise=INFO), sure, name, F.array(x["at"], x["on"]), x["gap"].cast("double")))
 
-def _cost_pairs(turns: DataFrame) -> DataFrame:
-    rows = low(turns).select("conv_id", "turn_number", T.phrase_first(F.col("low"), L.COST).alias("cost"), T.phrase_first(F.col("low"), L.CONTINUATION).alias("go_on"))
-    a = rows.where("cost is not null").select("conv_id", F.col("turn_number").alias("at"), "cost")
-    b = rows.where("go_on is not null").select("conv_id", F.col("turn_number").alias("on"), "go_on")
-    pairs = a.join(b, "conv_id").where(F.col("on") >= F.col("at")).withColumn("gap", F.col("on") - F.col("at"))
-    base = F.lit(0.5) + F.when(F.col("gap") > 0, 0.2).otherwise(0.0) + F.when(F.col("gap") <= 2, 0.15).otherwise(0.0) + F.when(F.col("cost").isin(*L.STRONG_COST), 0.1).otherwise(0.0)
-    return pairs.withColumn("base", F.least(base, F.lit(1.0)))
 
+@signal
+def sunk_cost(c, least: float = 0.5, costs: Iterable[str] = L.COST, continuations: Iterable[str] = L.CONTINUATION, strong: Iterable[str] = L.STRONG_COST) -> Signal:
+    first = F.get(F.filter(_cost_pairs(c("cost"), c("on"), strong), lambda x: x["base"] >= least), F.lit(0))
+    return Signal(_cost_turns(costs, continuations), {"cost": in_order(c("cost")), "on": in_order(c("on"))}, T.once(first, lambda x: _cost_finding(x, x["base"], "sunk_cost")))
 
-def sunk_cost(turns: DataFrame, least: float = 0.5) -> DataFrame:
-    best = first_by(_cost_pairs(turns).where(F.col("base") >= least), F.col("at"), F.col("on"))
-    return finding(best, "SUNK_COST_FALLACY", steps(F.col("base"), (0.8, WARNING), (0.6, CAUTION), otherwise=INFO), F.col("base"), "sunk_cost", F.array("at", "on"))
 
+@signal
+def sunk_cost_proximity(c, decay: float = 0.3, least: float = 0.3, costs: Iterable[str] = L.COST, continuations: Iterable[str] = (*L.CONTINUATION, *L.MORE_CONTINUATION), strong: Iterable[str] = L.STRONG_COST) -> Signal:
+    """The surest pair, with confidence falling with the gap."""
+    near = F.transform(_cost_pairs(c("cost"), c("on"), strong), lambda x: F.struct((-F.round(x["base"] / (1 + F.lit(decay) * x["gap"]), 9)).alias("c"), x["at"].alias("at"), x["on"].alias("on"), x["gap"].alias("gap"), x["base"].alias("base")))
+    best = F.array_min(F.filter(near, lambda x: -x["c"] >= least))
+    return Signal(_cost_turns(costs, continuations), {"cost": in_order(c("cost")), "on": in_order(c("on"))}, T.once(best, lambda x: _cost_finding(x, x["base"] / (1 + F.lit(decay) * x["gap"]), "sunk_cost_proximity")))
 
-def sunk_cost_proximity(turns: DataFrame, decay: float = 0.3, least: float = 0.3) -> DataFrame:
-    pairs = _cost_pairs(turns).withColumn("c", F.col("base") / (1 + F.lit(decay) * F.col("gap"))).where(F.col("c") >= least)
-    best = first_by(pairs, F.round("c", 9).desc(), F.col("at"), F.col("on"))
-    return finding(best, "SUNK_COST_FALLACY", steps(F.col("c"), (0.8, WARNING), (0.6, CAUTION), otherwise=INFO), F.col("c"), "sunk_cost_proximity", F.array("at", "on"))
+
+@signal
+def confidence_miscalibration(c, least: float = 0.5, min_words: int = 5, levels=L.CONFIDENCE, evidence: Iterable[str] = L.EVIDENCE) -> Signal:
+    """The turn whose confidence and evidence differ most, the earliest of equals. The surest level needs ``min_words`` words."""
+    text = F.col("low")
+    level = F.coalesce(*[F.when(T.phrase_any(text, phrases) & ((T.word_count(text) >= min_words) if rank == 3 else F.lit(True)), rank) for rank, phrases in levels])
+    marks = T.phrase_hits(text, evidence) + T.bracket_citations(text)
+    worst = T.once(F.struct(level.alias("c"), F.when(marks >= 2, 3).when(marks == 1, 2).otherwise(1).alias("e")), lambda x: F.when(x["c"].isNotNull(), F.struct((-F.abs(x["c"] - x["e"])).alias("off"), F.col("turn_number").alias("turn"), x["c"].alias("c"), x["e"].alias("e"))))
+    x = c("worst")
+    ece = -x["off"].cast("double") / F.lit(3.0)
+    severity = F.when((x["c"] == 3) & (x["e"] == 1), CRITICAL).when((x["c"] == 3) & (x["e"] == 2), WARNING).when((x["c"] == 2) & (x["e"] == 1), CAUTION).otherwise(INFO)
+    return Signal({"worst": worst}, {"worst": F.min(c("worst"))}, F.when(ece >= least, finding("CONFIDENCE_MISCALIBRATION", severity, ece, "confidence_miscalibration", F.array(x["turn"]), ece)))
+
+
+@signal
+def silent_revision(c, least: float = 0.5, topic_words: int = 8, markers: Iterable[str] = L.DECISION, reasons: Iterable[str] = L.RATIONALE, weak: Iterable[str] = L.WEAK_RATIONALE, stop: Iterable[str] = L.STOP_TOPIC) -> Signal:
+    """A later decision on the same topic, in other words and without a reason."""
+    text = F.col("low")
+    after = lambda m: F.slice(T.words(F.substr(text, F.position(m, text) + F.length(m), F.length(text))), 1, topic_words)
+    marker = F.get(F.filter(T.listed(markers), lambda m: F.contains(text, m) & (F.size(after(m)) > 0)), F.lit(0))
+    content = lambda w: F.filter(F.transform(w, lambda x: F.rtrim(x, F.lit(".,;:!?"))), lambda x: (F.length(x) > 1) & ~F.array_contains(T.listed(stop), x))
+    topic = T.once(T.once(marker, lambda m: F.when(m.isNotNull(), after(m))), lambda w: F.when(w.isNotNull(), F.struct(F.col("turn_number").alias("turn"), F.array_join(w, " ").alias("topic"), F.array_distinct(content(w)).alias("words"), T.phrase_any(text, reasons).alias("reasoned"), T.phrase_any(text, weak).alias("weak"))))
+
+    def later(a: Column, all_: Column) -> Column:
+        same = F.filter(all_, lambda b: (b["turn"] > a["turn"]) & ~b["reasoned"] & (b["topic"] != a["topic"]) & (T.jaccard(a["words"], b["words"]) >= least))
+        return F.transform(same, lambda b: F.struct(a["turn"].alias("a"), b["turn"].alias("b"), b["weak"].alias("weak")))
+
+    first = F.get(F.flatten(F.transform(c("d"), lambda a: later(a, c("d")))), F.lit(0))
+    found = T.once(first, lambda x: F.when(x.isNotNull(), finding("SILENT_REVISION", F.when(x["weak"], CAUTION).otherwise(WARNING), F.when(x["weak"], 0.6).otherwise(0.8), "silent_revision", F.array(x["a"], x["b"]))))
+    return Signal({"d": topic}, {"d": in_order(c("d"))}, found)
+
+
+@signal
+def inherited_position(c, least: int = 3, share: float = 0.7, min_words: int = 10, phrases: Iterable[str] = L.AUTHORITY, verbs: Iterable[str] = L.CITATION_VERBS, merit: Iterable[str] = L.MERIT, bare: Iterable[str] = L.NO_MERIT) -> Signal:
+    cited = T.authority_citation(F.col("raw_text"), phrases, verbs).isNotNull()
+    sums = {"n": F.count_if(c("cited")), "bare": F.count_if(c("cited") & ~c("reasoned")), "t": turns_with(c("cited"))}
+    unjustified = ratio(c("bare"), c("n"))
+    sure = F.lit(0.4) * F.least(c("n") / F.lit(10.0), F.lit(1.0)) + F.lit(0.6) * unjustified
+    found = finding("INHERITED_POSITION", steps(F.round(sure, 9), (0.75, WARNING), (0.55, CAUTION), otherwise=INFO), sure, "inherited_position", c("t"))
+    return Signal({"cited": cited, "reasoned": T.independent_justification(F.col("raw_text"), min_words, merit, bare)}, sums, F.when((c("n") >= least) & (unjustified >= share), found))
+
+
+@signal
+def evidence_asymmetry(c, threshold: float = 1.5, min_turns: int = 2, positive: Iterable[str] = L.POSITIVE_TURN, negative: Iterable[str] = L.NEGATIVE_TURN, links: Iterable[str] = L.EVIDENCE_LINKS) -> Signal:
+    """Assistant turns that argue against are better grounded than those that argue for."""
+    hits = lambda phrases: F.when(F.lower("speaker") == "assistant", T.phrase_hits(F.col("plain"), phrases))
+    sums = {"k": F.count(c("p")), "pos": F.avg(F.when(c("p") > c("n"), c("e"))), "neg": F.avg(F.when(c("n") > c("p"), c("e")))}
+    r = c("neg") / F.greatest(c("pos"), F.lit(0.1))
+    found = finding("CONFIDENCE_MISCALIBRATION", F.when(r >= threshold * 1.5, CRITICAL).otherwise(WARNING), F.least(F.lit(0.5) + F.lit(0.5) * (r - threshold) / threshold, F.lit(1.0)), "evidence_asymmetry")
+    return Signal({"p": hits(positive), "n": hits(negative), "e": hits(links)}, sums, F.when((c("k") >= min_turns) & c("pos").isNotNull() & c("neg").isNotNull() & (r >= threshold), found))
+
+
+def conviction_of(text: Column, praise: Iterable[str], dampers: Iterable[str], escalation: Iterable[str], dismissals: Iterable[str]) -> Column:
+    """How strongly a turn flatters or overreaches, 0 to 1."""
+    flattery = F.greatest(T.phrase_hits(text, praise) - F.lit(0.5) * T.phrase_hits(text, dampers), F.lit(0.0))
+    grand = T.phrase_hits(text, escalation) + T.phrase_hits(text, dismissals)
+    return F.greatest(F.tanh(flattery / F.lit(2.5)), F.tanh(grand / F.lit(1.5)))
+
+
+LISTS = {"praise": L.SYCOPHANCY, "dampers": L.DAMPERS, "escalation": L.ESCALATION, "dismissals": L.DISMISSALS}
+
+
+def conviction(turns: DataFrame, **lists) -> DataFrame:
+    """(conv_id, turn_number, mv) of assistant turns."""
+    rows = enrich(turns).where(F.lower("speaker") == "assistant")
+    return rows.select("conv_id", "turn_number", conviction_of(F.col("plain"), **(LISTS | lists)).alias("mv"))
+
+
+def _sustained(c, window: int, threshold: float, name: str, lists: dict) -> Signal:
+    mv = F.when(F.lower("speaker") == "assistant", F.struct(F.col("turn_number").alias("turn"), conviction_of(F.col("plain"), **(LISTS | lists)).alias("mv")))
+
+    def best(x: Column) -> Column:
+        size = F.least(F.lit(window), F.size(x))
+        mean = lambda i: F.aggregate(F.slice(x, i, size), F.lit(0.0), lambda a, b: a + b) / size
+        return F.when(F.size(x) > 0, F.array_max(F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), mean)))
+
+    def of(m: Column) -> Column:
+        sure = above(m, threshold)
+        return F.when(F.round(m, 9) > threshold, finding("SYCOPHANCY", steps(F.round(sure, 9), (0.9, CRITICAL), (0.7, WARNING), (0.5, CAUTION), otherwise=INFO), sure, name))
+
+    return Signal({"mv": mv}, {"mv": in_order(c("mv"))}, T.once(T.once(c("mv")["mv"], best), of))
+
+
+@signal
+def sustained_conviction(c, window: int = 5, threshold: float = 0.595, **lists) -> Signal:
+    """The best mean conviction over ``window`` consecutive assistant turns, or all where there are fewer."""
+    return _sustained(c, window, threshold, "sustained_conviction", lists)
+
+
+@signal
+def sustained_conviction_wide(c, window: int = 7, threshold: float = 0.338, **lists) -> Signal:
+    """The same over a wider window."""
+    return _sustained(c, window, threshold, "sustained_conviction_wide", lists)
+
+
+@signal
+def underevidenced_claims(c, threshold: float = 0.331, least: int = 2, positive: Iterable[str] = L.UNDEREVIDENCED_POSITIVE, evidence: Iterable[str] = L.UNDEREVIDENCED_EVIDENCE) -> Signal:
+    own = lambda phrases: (F.lower("speaker") == "assistant") & T.phrase_any(F.col("plain"), phrases)
+    r = ratio(c("e") + F.lit(0.01), c("p"))
+    found = finding("SYCOPHANCY", F.when(r <= 0.15, WARNING).when(r <= 0.25, CAUTION).otherwise(INFO), F.lit(0.4) + F.lit(0.6) * T.clamp((threshold - r) / threshold), "underevidenced_claims", c("t"))
+    return Signal({"p": own(positive), "e": own(evidence)}, {"p": F.count_if(c("p")), "e": F.count_if(c("e")), "t": turns_with(c("p"))}, F.when((c("p") >= least) & (r <= threshold), found))
+
+
+@signal
+def negative_claim_confidence(c, threshold: float = 0.45, dismissing: Iterable[str] = L.DISMISSING, additive: Iterable[str] = L.ADDITIVE, strong: Iterable[str] = L.STRONG_SINGLE, confident: Iterable[str] = L.HIGH_CONFIDENCE) -> Signal:
+    """Assistant sentences that dismiss counter-evidence or pile up parts, by the surest of them."""
+
+    def sentence(s: Column) -> Column:
+        sure = T.once(T.phrase_hits(s, confident), lambda n: F.when(n >= 2, F.least(F.lit(0.75) + F.lit(0.05) * (n - 2), F.lit(0.95))).when(n == 1, 0.72).when(T.phrase_any(s, strong), 0.65).otherwise(0.48))
+        return F.struct(sure.alias("mv"), T.phrase_hits(s, additive).alias("g"), T.phrase_hits(s, dismissing).alias("d"))
+
+    own = F.when(F.col("said"), F.filter(F.transform(T.sentences(F.col("plain")), sentence), lambda x: x["g"] + x["d"] > 0))
+    total = lambda x, k: F.aggregate(x[k], F.lit(0), lambda a, b: a + b)
+    read = T.once(own, lambda x: F.when(F.size(x) > 0, F.struct(F.array_max(x["mv"]).alias("mv"), total(x, "g").alias("g"), total(x, "d").alias("d"))))
+    sums = {"mv": F.max(c("x")["mv"]), "g": F.sum(c("x")["g"]), "d": F.sum(c("x")["d"]), "t": turns_with(c("x").isNotNull())}
+    kind = F.when(c("d") > c("g"), "COUNTER_EVIDENCE_DEPLETION").otherwise("CATHEDRAL_COMPLEXITY")
+    found = finding(kind, steps(F.round(c("mv"), 9), (0.85, CRITICAL), (0.70, WARNING), otherwise=CAUTION), c("mv"), "negative_claim_confidence", c("t"))
+    return Signal({"x": read}, sums, F.when(c("mv") > threshold, found))
+
+
+@signal
+def assumption_surfacer(c, threshold: float = 0.75, least: int = 2, claims: Iterable[str] = L.CLAIMS, premises: Iterable[str] = L.PREMISES) -> Signal:
+    n = lambda phrases: F.when(F.lower("speaker") == "assistant", T.phrase_occurrences(F.col("plain"), phrases)).otherwise(0)
+    x = ratio(c("c"), c("c") + c("p") + 1)
+    found = finding("UNSUPPORTED_CONCLUSION", F.when(x > 0.85, CRITICAL).otherwise(WARNING), above(x, threshold), "assumption_surfacer", c("t"))
+    sums = {"c": F.sum(c("c")), "p": F.sum(F.when(c("c") > 0, c("p")).otherwise(0)), "t": turns_with(c("c") > 0)}
+    return Signal({"c": n(claims), "p": n(premises)}, sums, F.when((c("c") >= least) & (x > threshold), found))
+
+
+@signal
+def circular_reasoning(c, similar: float = 0.55, least: int = 2, share: float = 0.35, connectors: Iterable[str] = L.CAUSAL, stop: Iterable[str] = L.CIRCULAR_STOP, substring: bool = False) -> Signal:
+    """Assistant turns in which two sentences say the same, one of them with a causal connector; ``substring`` finds
+    connectors inside words too."""
+    inside = lambda s: T.phrase_any(s, connectors) if substring else F.exists(T.listed(connectors), lambda p: F.concat(F.lit(" "), F.regexp_replace(s, "[^a-z0-9']+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" "))))
+    content = lambda s: F.array_distinct(F.filter(F.split(s, "[^a-z0-9]+"), lambda w: (w != "") & ~F.array_contains(T.listed(stop), w)))
+    parts = F.transform(T.sentences_hard(F.col("plain")), lambda s: F.struct(content(s).alias("w"), inside(s).alias("causal")))
+    twin = lambda x: F.exists(F.transform(x, lambda a, i: F.exists(F.slice(x, i + 2, F.size(x)), lambda b: (a["causal"] | b["causal"]) & (T.jaccard(a["w"], b["w"]) > similar))), lambda hit: hit)
+    hit = F.when(F.col("said"), T.once(parts, twin))
+    x = ratio(c("h"), c("n"))
+    found = finding("UNSUPPORTED_CONCLUSION", F.when(x > 0.6, CRITICAL).otherwise(WARNING), above(x, share), "circular_reasoning", c("t"))
+    return Signal({"hit": hit}, {"n": F.count(c("hit")), "h": F.count_if(c("hit")), "t": turns_with(c("hit"))}, F.when((c("h") >= least) & (x > share), found))
+
+
+@signal
+def evidence_quality(c, threshold: float = 0.70, least: int = 2, turns: int = 2, anecdotal: Iterable[str] = L.ANECDOTAL, empirical: Iterable[str] = L.EMPIRICAL, confident: Iterable[str] = L.CONFIDENT) -> Signal:
+    """Anecdotes outweigh evidence on the mean, or several turns claim with confidence and an anecdote."""
+    n = lambda phrases: F.when(F.col("said"), T.phrase_occurrences(F.col("plain"), phrases, overlapping=True))
+    sure = F.col("said") & T.phrase_any(F.col("plain"), confident)
+    hit = c("sure") & (c("a") > 0)
+    sums = {"x": F.avg(ratio(c("a"), c("a") + c("e") + 1)), "a": F.sum(c("a")), "h": F.count_if(hit), "t": turns_with(hit)}
+    found = finding("UNSUPPORTED_CONCLUSION", F.when((c("x") > 0.85) | (c("h") >= 3), CRITICAL).otherwise(WARNING), F.lit(0.5) + F.lit(0.5) * c("x"), "evidence_quality", c("t"))
+    return Signal({"a": n(anecdotal), "e": n(empirical), "sure": sure}, sums, F.when(((F.round(c("x"), 9) > threshold) & (c("a") >= least)) | (c("h") >= turns), found))
+
+
+@signal
+def status_quo_bias(c, threshold: float = 0.65, least: int = 3, keeping: Iterable[str] = L.STATUS_QUO, burden: Iterable[str] = L.CHANGE_BURDEN, changing: Iterable[str] = L.CHANGE_POSITIVE) -> Signal:
+    n = lambda phrases: F.when(F.col("said"), T.phrase_hits(F.col("plain"), phrases)).otherwise(0)
+    bias, every = c("s") + c("b"), c("s") + c("b") + c("g")
+    sums = {"x": F.avg(F.when(every > 0, ratio(bias, every + 1))), "n": F.sum(bias), "t": turns_with(every > 0)}
+    found = finding("STATUS_QUO_BIAS", F.when(c("x") > 0.85, CRITICAL).otherwise(WARNING), above(c("x"), threshold), "status_quo_bias", c("t"))
+    return Signal({"s": n(keeping), "b": n(burden), "g": n(changing)}, sums, F.when((F.round(c("x"), 9) > threshold) & (c("n") >= least), found))
+
+
+@signal
+def entity_coherence(c, reach: int = 5, least: int = 2, min_turns: int = 3, proxies: Iterable[str] = L.PROXIES, plus: Iterable[str] = L.PLUS_WORDS, minus: Iterable[str] = L.MINUS_WORDS, changed: Iterable[str] = L.CHANGE_ACK) -> Signal:
+    """Things of two words (listed ones, or two capitalised words) named in two or more assistant turns, praised in one and
+    blamed in another within ``reach`` words; turns that speak of a change don't count."""
+    bare = F.transform(T.words(F.col("raw_text")), lambda w: F.regexp_replace(w, "^[^A-z]+|[^A-z]+$", ""))
+    pairs = T.once(bare, lambda w: F.filter(F.transform(w, lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b"))), lambda p: p["a"].rlike("^[A-Z].") & F.coalesce(p["b"].rlike("^[A-Z]."), F.lit(False))))
+    names = F.array_distinct(F.concat(F.filter(T.listed(proxies), lambda p: F.contains(F.col("plain"), p)), F.transform(pairs, lambda p: F.lower(F.concat_ws(" ", p["a"], p["b"])))))
+    sign = lambda w: T.once(F.btrim(w, F.lit(",.;:!?")), lambda x: F.when(F.array_contains(T.listed(plus), x), 1).when(F.array_contains(T.listed(minus), x), -1))
+
+    def around(w: Column) -> Column:
+        """(turn, name, sign) of every two words near a descriptor."""
+        said = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), sign(x).alias("sign"))), lambda x: x["sign"].isNotNull())
+        name = lambda i: F.concat_ws(" ", F.btrim(F.get(w, i), F.lit(",.;:")), F.btrim(F.get(w, i + 1), F.lit(",.;:")))
+        spans = lambda x: F.sequence(F.greatest(x["i"] - reach - 1, F.lit(0)), F.greatest(F.least(x["i"] + reach, F.size(w) - 2), F.lit(0)))
+        near = F.transform(said, lambda x: F.transform(spans(x), lambda i: F.struct(F.col("turn_number").alias("turn"), name(i).alias("name"), x["sign"].alias("sign"))))
+        return F.array_distinct(F.flatten(F.filter(near, lambda x: x.isNotNull())))
+
+    near = F.when(F.col("said") & ~T.phrase_any(F.col("plain"), changed), T.once(T.words(F.col("plain")), lambda w: F.when(F.size(w) > 1, around(w))))
+    sums = {"k": F.count_if(c("said")), "names": F.flatten(F.collect_list(c("names"))), "near": F.flatten(F.collect_list(c("near")))}
+    often = F.filter(F.array_distinct(c("names")), lambda n: F.size(F.filter(c("names"), lambda m: m == n)) >= 2)
+    turns = lambda n, s: F.array_distinct(F.transform(F.filter(c("near"), lambda x: (x["name"] == n) & (x["sign"] == s)), lambda x: x["turn"]))
+    both = lambda n: T.once(F.struct(turns(n, 1).alias("p"), turns(n, -1).alias("m")), lambda x: F.struct((F.exists(x["p"], lambda a: F.exists(x["m"], lambda b: a != b))).alias("broken"), F.array_union(x["p"], x["m"]).alias("t")))
+    broken = F.filter(F.transform(often, both), lambda x: x["broken"])
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        return F.when((c("k") >= min_turns) & (n >= least), finding("CONTRADICTION", F.when(n >= 4, CRITICAL).otherwise(WARNING), F.least(F.lit(0.5) + F.lit(0.3) * n, F.lit(0.95)), "entity_coherence", F.array_sort(F.array_distinct(F.flatten(x["t"])))))
+
+    return Signal({"said": F.col("said"), "names": F.when(F.col("said"), names), "near": near}, sums, T.once(broken, of))
 
 
 def merge_enrichment(enrichment: DataFrame) -> DataFrame:
@@ -106,26 +420,77 @@ def merge_enrichment(enrichment: DataFrame) -> DataFrame:
 def sunk_cost_ml(turns: DataFrame, enrichment: DataFrame, boost: float = 0.1, lone: float = 0.4) -> DataFrame:
     """sunk_cost, surer where the enrichment has phrases of it too; where only that has them, a weak finding."""
     told = merge_enrichment(enrichment).where(F.size("phrases") > 0).select("conv_id", F.lit(True).alias("told"))
-    rows = sunk_cost(turns).join(told, "conv_id", "full_outer")
-    own = F.col("confidence").isNotNull()
-    surer = F.when(own & F.col("told"), T.clamp(F.col("confidence") + boost)).when(own, F.col("confidence")).otherwise(lone)
-    return finding(rows, "SUNK_COST_FALLACY", F.coalesce("severity", F.lit(INFO)), surer, "sunk_cost", F.coalesce("relevant_turns", F.array().cast("array<int>")))
-
-
-def sentence_table(turns: DataFrame) -> DataFrame:
-    """(conv_id, speaker, turn_number, at, s, w): sentences of 15 bytes or more and their content words."""
-    rows = turns.select("conv_id", "speaker", "turn_number", F.posexplode(T.sentences(F.col("raw_text"))).alias("at", "s")).where(F.octet_length("s") >= 15)
-    stop = F.array(*[F.lit(w) for w in L.STOPWORDS])
-    return rows.withColumn("t", T.tokenize(T.lowered(F.col("s")))).withColumn("w", F.array_distinct(F.filter("t", lambda x: ~F.array_contains(stop, x))))
-
-
-def contradiction(turns: DataFrame, overlap: float = 0.6, least: float = 0.75) -> DataFrame:
+    return _boosted(sunk_cost(turns), told, F.col("told"), F.col("told"), "SUNK_COST_FALLACY", "sunk_cost", boost, lone)
+
+
+def _boosted(own: DataFrame, told: DataFrame, confirms: Column, alone: Column, kind: str, name: str, boost: float, lone: float) -> DataFrame:
+    """Findings, surer where ``confirms``; where there is none and ``alone``, a weak one."""
+    rows = own.select("conv_id", F.struct(*FINDING[1:]).alias("f")).join(told, "conv_id", "full_outer")
+    f = F.col("f")
+    surer = f.withField("confidence", F.when(F.coalesce(confirms, F.lit(False)), T.clamp(f["confidence"] + boost)).otherwise(f["confidence"]))
+    return of_rows(rows, F.when(f.isNotNull(), surer).when(alone, finding(kind, INFO, lone, name)))
+
+
+def miscalibration_ml(turns: DataFrame, claims: DataFrame, markers: DataFrame, boost: float = 0.1, lone: float = 0.4, claims_least: int = 2, markers_least: int = 3, certainty: Iterable[str] = L.CERTAINTY, hedging: Iterable[str] = L.HEDGING, statuses: Iterable[str] = L.CERTAIN_STATUS) -> DataFrame:
+    """confidence_miscalibration with an outside model's claims (conv_id, status, n_evidence) and confidence markers (conv_id, marker).
+
+    A certain claim without evidence makes a finding surer. Without a finding, ``claims_least`` of them and ``markers_least``
+    markers of certainty, hedges not counted, make a weak one."""
+    bare = claims.where(F.col("status").isin(*statuses) & (F.col("n_evidence") == 0)).groupBy("conv_id").agg(F.count("*").alias("bare"))
+    marker = F.lower(F.btrim("marker", F.lit(" \n\t")))
+    sure = markers.where(~T.phrase_any(marker, hedging) & T.phrase_any(marker, certainty)).groupBy("conv_id").agg(F.count("*").alias("sure"))
+    told = bare.join(sure, "conv_id", "left")
+    alone = (F.col("bare") >= claims_least) & (F.coalesce("sure", F.lit(0)) >= markers_least)
+    return _boosted(confidence_miscalibration(turns), told, F.col("bare") >= 1, alone, "CONFIDENCE_MISCALIBRATION", "confidence_miscalibration", boost, lone)
+
+
+def anchoring_ml(turns: DataFrame, references: DataFrame, boost: float = 0.1, relevance: float = 0.5, **params) -> DataFrame:
+    """anchoring_context, surer where an outside model's references (conv_id, value, relevance) hold the anchor as relevant."""
+    own = anchoring_context(turns, **params)
+    told = references.where(F.col("relevance") > relevance).select("conv_id", F.col("value").alias("strength"), F.lit(True).alias("told")).distinct()
+    rows = own.join(told, ["conv_id", "strength"], "left")
+    return rows.withColumn("confidence", F.when(F.col("told"), T.clamp(F.col("confidence") + boost)).otherwise(F.col("confidence"))).select(*FINDING)
+
+
+def orbits(turns: DataFrame, min_turns: int = 8, early: int = 3, acknowledged: Iterable[str] = L.ACKNOWLEDGEMENTS, reasserted: Iterable[str] = L.REASSERTIONS) -> DataFrame:
+    """(conv_id, turn_number, anchor_turn, sim, conceded): how like each turn after a conversation's first early statement is to it, null
+    for a blank turn, and whether it concedes a point for good."""
+    rows = enrich(turns).select("conv_id", "turn_number", "raw_text", "low").withColumn("blank", F.btrim("raw_text", F.lit(" \n\t")) == "")
+    concedes = T.phrase_any(F.col("low"), acknowledged) & ~T.phrase_any(F.col("low"), reasserted)
+    kw = rows.select("conv_id", "turn_number", "blank", T.keywords(F.col("raw_text")).alias("k"), concedes.alias("conceded"), F.when(F.col("turn_number") <= early, T.strong_declarative(F.col("raw_text"))).alias("strong"))
+    size = turns.groupBy("conv_id").agg(F.count("*").alias("all")).where(F.col("all") >= min_turns)
+    anchor = kw.where("strong").groupBy("conv_id").agg(F.min(F.struct("turn_number", "k")).alias("a")).where(F.size("a.k") > 0).join(size, "conv_id")
+    later = kw.join(anchor, "conv_id").where(F.col("turn_number") > F.col("a.turn_number"))
+    sim = F.when(~F.col("blank"), F.when(F.size("k") > 0, T.jaccard(F.col("k"), F.col("a.k"))).otherwise(0.0))
+    return later.select("conv_id", "turn_number", F.col("a.turn_number").alias("anchor_turn"), sim.alias("sim"), "conceded")
+
+
+def conceptual_anchoring(turns: DataFrame, least: float = 0.3, share: float = 0.6, **params) -> DataFrame:
+    """Later turns that keep circling an early statement, none of which concedes a point for good; ``params`` as in ``orbits``."""
+    later = orbits(turns, **params)
+    sums = later.groupBy("conv_id").agg(F.count_if(F.col("sim") >= least).alias("near"), F.count("sim").alias("scored"), F.avg("sim").alias("mean"), F.count("*").alias("n"), F.min("anchor_turn").alias("t"), turns_with(F.lit(True)).alias("after"), F.max("conceded").alias("conceded"))
+    sums = sums.withColumn("orbit", ratio(F.col("near"), F.col("scored"))).where((F.col("orbit") >= share) & ~F.col("conceded"))
+    sure = T.clamp(F.lit(0.5) * F.col("orbit") + F.lit(0.3) * F.col("mean") + F.lit(0.2) * F.least(F.col("n") / F.lit(15.0), F.lit(1.0)))
+    return of_rows(sums, finding("CONCEPTUAL_ANCHORING", steps(F.round(sure, 9), (0.75, WARNING), (0.55, CAUTION), otherwise=INFO), sure, "conceptual_anchoring", F.concat(F.array("t"), F.col("after"))))
+
+
+def sentence_table(turns: DataFrame, stop: Iterable[str] = L.STOP_OVERLAP) -> DataFrame:
+    """(conv_id, speaker, turn_number, at, s, t, all, w): lowered sentences of 15 bytes or more, their words, the distinct ones without
+    punctuation, and those with content. Turns that change direction (``override``, where the turns have it) are left out."""
+    rows = low(turns.where(~F.col("override")) if "override" in turns.columns else turns)
+    rows = rows.select("conv_id", "speaker", "turn_number", F.posexplode(T.sentences(F.col("low"))).alias("at", "s")).where(F.octet_length("s") >= 15)
+    bare = lambda w: F.btrim(w, F.lit(".,!?;:\"'()-"))
+    rows = rows.withColumn("t", T.words(F.col("s"))).withColumn("all", F.array_distinct(F.filter(F.transform("t", bare), lambda w: w != "")))
+    return rows.withColumn("w", F.filter("all", lambda w: ~F.array_contains(T.listed(stop), w)))
+
+
+def contradiction(turns: DataFrame, overlap: float = 0.6, least: float = 0.75, negations: Iterable[str] = L.NEGATIONS, reversals: Iterable[str] = L.REVERSALS, antonyms=L.ANTONYMS, stop: Iterable[str] = L.STOP_OVERLAP) -> DataFrame:
     """Two sentences of one speaker in different turns that share most words, and one of them denies.
 
     Candidates come from an inverted index on (conversation, speaker, word): the smaller set's rarest
     words against all words of the other, so only sentences that can overlap enough are paired.
     """
-    s = sentence_table(turns)
+    s = sentence_table(turns, stop)
     words = s.select("conv_id", "speaker", "turn_number", "at", F.size("w").alias("n"), F.explode("w").alias("x"))
     rare = words.groupBy("conv_id", "speaker", "x").agg(F.count("*").alias("df"))
     ranked = words.join(rare, ["conv_id", "speaker", "x"])
@@ -135,37 +500,42 @@ def contradiction(turns: DataFrame, overlap: float = 0.6, least: float = 0.75) -
     q = words.select("conv_id", "speaker", "x", F.struct("turn_number", "at").alias("q"), F.col("n").alias("nq"))
     found = p.join(q, ["conv_id", "speaker", "x"]).where((F.col("np") <= F.col("nq")) & (F.col("p.turn_number") != F.col("q.turn_number")))
     pairs = found.select("conv_id", "speaker", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    key = s.select("conv_id", "speaker", F.struct("turn_number", "at").alias("k"), "s", "t", "w")
-    full = pairs.join(key.select("conv_id", "speaker", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"), F.col("w").alias("wa")), ["conv_id", "speaker", "a"])
-    full = full.join(key.select("conv_id", "speaker", F.col("k").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"), F.col("w").alias("wb")), ["conv_id", "speaker", "b"])
-    full = full.withColumn("overlap", T.overlap_coefficient(F.col("wa"), F.col("wb"))).where(F.col("overlap") >= overlap)
-    full = full.withColumn("kind", contradiction_kind()).where("kind is not null")
-    bonus = F.when(F.col("kind") == "negation", 0.15).when(F.col("kind") == "reversal", 0.12).otherwise(0.08)
-    full = full.withColumn("confidence", F.least(F.lit(0.65) + F.lit(0.2) * F.col("overlap") + bonus, F.lit(1.0))).where(F.col("confidence") >= least)
+    key = s.select("conv_id", "speaker", F.struct("turn_number", "at").alias("k"), F.struct("s", "t", "all", "w").alias("v"))
+    full = pairs.join(key.select("conv_id", "speaker", F.col("k").alias("a"), F.col("v").alias("x")), ["conv_id", "speaker", "a"]).join(key.select("conv_id", "speaker", F.col("k").alias("b"), F.col("v").alias("y")), ["conv_id", "speaker", "b"])
+    full = full.withColumn("overlap", T.overlap_coefficient(F.col("x.w"), F.col("y.w"))).where(F.col("overlap") >= overlap)
+    full = full.withColumn("kind", _contradiction_kind(F.col("x"), F.col("y"), negations, reversals, antonyms, stop)).where("kind is not null")
+    pick = lambda *values: F.when(F.col("kind") == "negation", values[0]).when(F.col("kind") == "reversal", values[1]).otherwise(values[2])
+    full = full.withColumn("confidence", F.least(F.lit(0.65) + F.lit(0.2) * F.col("overlap") + pick(0.15, 0.12, 0.08), F.lit(1.0))).where(F.round("confidence", 9) >= least)
     best = first_by(full, F.col("a"), F.col("b"))
-    return finding(best, "CONTRADICTION", steps(F.col("confidence"), (0.8, CRITICAL), otherwise=WARNING), F.col("confidence"), "contradiction", F.array("a.turn_number", "b.turn_number"))
+    return of_rows(best, finding("CONTRADICTION", steps(F.col("confidence"), (0.8, CRITICAL), otherwise=WARNING), F.col("confidence"), "contradiction", F.array("a.turn_number", "b.turn_number"), F.col("overlap"), pick(0.9, 0.7, 0.5)))
 
 
-def contradiction_kind() -> Column:
+def _contradiction_kind(x: Column, y: Column, negations, reversals, antonyms, stop) -> Column:
     """negation (near a shared word, on one side only), then reversal (in the later), then antonyms."""
-    shared = F.filter(F.array_intersect("wa", "wb"), lambda x: F.length(x) > 2)
-    no = F.array(*[F.lit(x) for x in L.NEGATIONS])
+    shared = F.filter(F.array_intersect(x["all"], y["all"]), lambda w: (F.octet_length(w) > 2) & ~F.array_contains(T.listed(stop), w))
+    bare = lambda w: F.btrim(w, F.lit(".,!?;:\"'()-"))
+
+    def near(own: Column, no: Column, both: Column) -> Column:
+        around = lambda i: F.array_join(F.slice(own, F.greatest(i - 4, F.lit(1)), i + 7 - F.greatest(i - 4, F.lit(1))), " ")
+        return F.exists(F.transform(own, lambda w, i: F.array_contains(both, bare(w)) & F.contains(around(i), no)), lambda hit: hit)
 
-    def denied(tokens: Column) -> Column:
-        return F.exists(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda e: F.array_contains(no, e["t"]) & F.arrays_overlap(F.slice(tokens, F.greatest(e["i"] - 4, F.lit(1)), e["i"] + 6 - F.greatest(e["i"] - 4, F.lit(1)) + 1), shared))
+    def denied(both: Column) -> Column:
+        sides = lambda no: F.struct(F.contains(x["s"], no).alias("a"), F.contains(y["s"], no).alias("b"))
+        return F.exists(T.listed(negations), lambda no: T.once(sides(no), lambda h: (h["a"] != h["b"]) & near(F.when(h["a"], x["t"]).otherwise(y["t"]), no, both)))
 
+    has = lambda words, w: F.array_contains(words, w)
     opposed = F.lit(False)
-    for x, y in L.ANTONYMS:
-        ax, ay, bx, by = (F.array_contains(c, v) for c in ("wa", "wb") for v in (x, y))
-        opposed = opposed | (ax & by) | (ay & bx)
-    return F.when(denied(F.col("ta")) != denied(F.col("tb")), "negation").when(T.phrase_any(T.lowered(F.col("sb")), L.REVERSALS), "reversal").when(opposed, "antonym")
+    for a, b in antonyms:
+        opposed = opposed | (has(x["all"], a) & has(y["all"], b)) | (has(x["all"], b) & has(y["all"], a))
+    return F.when(T.once(shared, lambda both: (F.size(both) > 0) & denied(both)), "negation").when(T.phrase_any(y["s"], reversals), "reversal").when(opposed, "antonym")
 
 
 def drift_windows(turns: DataFrame, objectives: DataFrame, reference_turns: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """((conv_id, turn_number, w, c), (conv_id, w, r)): stem counts of each turn's window and of the reference."""
+    """((conv_id, turn_number, w, c), (conv_id, w, r, goal)): stem counts of each turn's window and of the reference, and
+    whether the objective has the stem (1) or not (0)."""
     kw = turns.select("conv_id", "turn_number", F.explode(T.keywords(F.col("raw_text"))).alias("w"))
-    goal = objectives.select("conv_id", F.explode(T.keywords(F.col("objective"))).alias("w")).withColumn("n", F.lit(2.0))
-    ref = kw.where(F.col("turn_number") <= reference_turns).select("conv_id", "w", F.lit(1.0).alias("n")).union(goal).groupBy("conv_id", "w").agg(F.sum("n").alias("r"))
+    goal = objectives.select("conv_id", F.explode(T.keywords(F.col("objective"))).alias("w")).withColumn("n", F.lit(2.0)).withColumn("g", F.lit(1.0))
+    ref = kw.where(F.col("turn_number") <= reference_turns).select("conv_id", "w", F.lit(1.0).alias("n"), F.lit(0.0).alias("g")).union(goal).groupBy("conv_id", "w").agg(F.sum("n").alias("r"), F.max("g").alias("goal"))
     # A turn's words count in the windows of the next turns too: explode, then equi-joins.
     last = turns.groupBy("conv_id").agg(F.max("turn_number").alias("last"))
     spread = kw.join(last, "conv_id").select("conv_id", "w", F.explode(F.sequence(F.col("turn_number"), F.least(F.col("turn_number") + window, F.col("last")))).alias("turn_number"))
@@ -173,23 +543,38 @@ def drift_windows(turns: DataFrame, objectives: DataFrame, reference_turns: int,
     return own, ref
 
 
-def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: int = 2, window: int = 3) -> DataFrame:
+def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: int = 4, window: int = 3, topics=L.TOPICS) -> DataFrame:
     """(conv_id, turn_number, distance): weighted Jaccard distance of the last window+1 turns' stems from
-    the objective's (counted twice) and the first turns'."""
-    own, ref = drift_windows(turns, objectives, reference_turns, window)
-    both = own.join(ref, ["conv_id", "w"], "left").groupBy("conv_id", "turn_number").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0.0)))).alias("both"), F.sum("c").alias("sc"))
-    total = ref.groupBy("conv_id").agg(F.sum("r").alias("sr"))
-    return both.join(total, "conv_id").where(F.col("turn_number") > reference_turns).select("conv_id", "turn_number", (1 - F.col("both") / (F.col("sc") + F.col("sr") - F.col("both"))).alias("distance"))
-
-
-def scope_drift(turns: DataFrame, objectives: DataFrame, threshold: float = 0.79, sustained: int = 8, reference_turns: int = 4) -> DataFrame:
-    """Runs of turns that stay beyond the threshold; the turns from the ``sustained``-th on count."""
-    d = drift_distances(turns, objectives, reference_turns).withColumn("far", F.round("distance", 9) > threshold)
+    the objective's (counted twice) and the first turns'; or, if that is more and both sides have words of any topic, the distance by
+    topic. Conversations without a word in their objective give no row."""
+    told = objectives.where(F.size(T.keywords(F.coalesce("objective", F.lit("")))) > 0)
+    turns = turns.join(told.select("conv_id"), "conv_id", "left_semi")
+    own, ref = drift_windows(turns, told, reference_turns, window)
+    names = sorted(topics)
+    weight = {t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for w, v in sorted(topics[t].items()) for x in (w, float(v))]), F.col("w")), F.lit(0.0)) for t in names}
+    both = own.join(ref, ["conv_id", "w"], "left").groupBy("conv_id", "turn_number").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0.0)))).alias("both"), F.sum("c").alias("sc"), *[F.sum(F.col("c") * weight[t]).alias(f"c_{t}") for t in names])
+    # Objective's words count as such and as words of the reference, the others once.
+    total = ref.groupBy("conv_id").agg(F.sum("r").alias("sr"), *[F.sum((F.lit(1.0) + F.coalesce("goal", F.lit(0.0))) * weight[t]).alias(f"r_{t}") for t in names])
+    rows = both.join(total, "conv_id").where(F.col("turn_number") > reference_turns)
+    plain = 1 - F.col("both") / (F.col("sc") + F.col("sr") - F.col("both"))
+    vectors = [F.array(*[F.col(f"{side}_{t}") for t in names]) for side in "cr"]
+    alike = T.topic_similarity(*vectors, n=len(names))
+    return rows.select("conv_id", "turn_number", F.when(alike < 0, plain).otherwise(F.greatest(plain, 1 - alike)).alias("distance"))
+
+
+def _runs(d: DataFrame, value: str, threshold: Column | float, sustained: int, scale: float, name: str) -> DataFrame:
+    """Findings of runs of turns whose value stays beyond the threshold, from the ``sustained``-th turn on."""
+    far = d.withColumn("far", F.round(value, 9) > threshold)
     order = Window.partitionBy("conv_id").orderBy("turn_number")
-    runs = d.withColumn("run", F.sum((~F.col("far")).cast("int")).over(order)).where("far")
+    runs = far.withColumn("run", F.sum((~F.col("far")).cast("int")).over(order)).where("far")
     counted = runs.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn_number"))).where(F.col("k") >= sustained)
-    found = counted.groupBy("conv_id").agg(F.max("distance").alias("d"), F.array_sort(F.collect_list("turn_number")).alias("t"))
-    return finding(found, "SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), "scope_drift", F.col("t"))
+    found = counted.groupBy("conv_id").agg(F.least(F.max(value) / F.lit(scale), F.lit(1.0)).alias("d"), turns_with(F.lit(True)).alias("t"))
+    return of_rows(found, finding("SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), name, F.col("t")))
+
+
+def scope_drift(turns: DataFrame, objectives: DataFrame, threshold: float = 0.79, sustained: int = 8, reference_turns: int = 4, orchestrating: bool = False) -> DataFrame:
+    """Runs of turns that stay beyond the threshold, which is a fifth higher, 0.98 at most, for work on several projects."""
+    return _runs(drift_distances(turns, objectives, reference_turns), "distance", min(threshold * 1.2, 0.98) if orchestrating else threshold, sustained, 1.0, "scope_drift")
 
 
 def drift_divergences(turns: DataFrame, objectives: DataFrame, reference_turns: int = 4, window: int = 3, smoothing: float = 0.01) -> DataFrame:
@@ -215,12 +600,7 @@ def drift_divergences(turns: DataFrame, objectives: DataFrame, reference_turns:
 
 def scope_drift_kl(turns: DataFrame, objectives: DataFrame, threshold: float = 2.0, sustained: int = 5, reference_turns: int = 4) -> DataFrame:
     """As scope_drift, by divergence; the confidence is a quarter of it, 1 at most."""
-    d = drift_divergences(turns, objectives, reference_turns).withColumn("far", F.round("kl", 9) > threshold)
-    order = Window.partitionBy("conv_id").orderBy("turn_number")
-    runs = d.withColumn("run", F.sum((~F.col("far")).cast("int")).over(order)).where("far")
-    counted = runs.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn_number"))).where(F.col("k") >= sustained)
-    found = counted.groupBy("conv_id").agg(F.max("kl").alias("kl"), F.array_sort(F.collect_list("turn_number")).alias("t")).withColumn("d", F.least(F.col("kl") / F.lit(4.0), F.lit(1.0)))
-    return finding(found, "SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), "scope_drift_kl", F.col("t"))
+    return _runs(drift_divergences(turns, objectives, reference_turns), "kl", threshold, sustained, 4.0, "scope_drift_kl")
 
 
 def scope_drift_centroid(turns: DataFrame, objectives: DataFrame, threshold: float = 0.85, sustained: int = 7, decay: float = 0.8) -> DataFrame:
@@ -245,169 +625,30 @@ def scope_drift_centroid(turns: DataFrame, objectives: DataFrame, threshold: flo
 
     found = rows.withColumn("f", F.aggregate("ts", start, step)).where(F.size("f.hits") > 0)
     d = F.round("f.best", 9)
-    return finding(found, "SCOPE_DRIFT", steps(d, (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("f.best"), "scope_drift_centroid", F.col("f.hits"))
-
-
-def confidence_miscalibration(turns: DataFrame, least: float = 0.5, min_words: int = 5) -> DataFrame:
-    rows = low(turns)
-    text = F.col("low")
-    level = F.when(T.phrase_any(text, L.CERTAIN) & (T.word_count(text) >= min_words), 3).when(T.phrase_any(text, L.LIKELY), 2).when(T.phrase_any(text, L.POSSIBLE), 1).when(T.phrase_any(text, L.SPECULATIVE), 0)
-    marks = T.phrase_hits(text, L.EVIDENCE) + T.bracket_citations(text)
-    evidence = F.when(marks >= 2, 3).when(marks == 1, 2).otherwise(1)
-    rows = rows.select("conv_id", "turn_number", level.alias("c"), evidence.alias("e")).where("c is not null")
-    rows = rows.withColumn("ece", F.abs(F.col("c") - F.col("e")).cast("double") / F.lit(3.0)).where(F.col("ece") >= least)
-    best = first_by(rows, F.col("ece").desc(), F.col("turn_number"))
-    severity = F.when((F.col("c") == 3) & (F.col("e") == 1), CRITICAL).when((F.col("c") == 3) & (F.col("e") == 2), WARNING).when((F.col("c") == 2) & (F.col("e") == 1), CAUTION).otherwise(INFO)
-    return finding(best, "CONFIDENCE_MISCALIBRATION", severity, F.col("ece"), "confidence_miscalibration", F.array("turn_number"))
-
-
-def decisions(turns: DataFrame, topic_words: int = 8) -> DataFrame:
-    """(conv_id, turn_number, topic, told, reasoned, weak): the words after a decision marker."""
-    rows = low(turns).withColumn("m", T.phrase_first(F.col("low"), L.DECISION)).where("m is not null")
-    after = F.substr("low", F.position("m", "low") + F.length("m"), F.length("low"))
-    topic = F.slice(T.tokenize(after), 1, topic_words)
-    return rows.select("conv_id", "turn_number", topic.alias("topic"), T.phrase_any(F.col("low"), L.RATIONALE).alias("reasoned"), T.phrase_any(F.col("low"), L.WEAK_DECISION).alias("weak"))
-
-
-def silent_revision(turns: DataFrame, least: float = 0.5) -> DataFrame:
-    """A later decision on the same topic, in other words and without a reason."""
-    d = decisions(turns)
-    a = d.select("conv_id", F.col("turn_number").alias("a"), F.col("topic").alias("ta"))
-    b = d.where("not reasoned").select("conv_id", F.col("turn_number").alias("b"), F.col("topic").alias("tb"), "weak")
-    pairs = a.join(b, "conv_id").where((F.col("b") > F.col("a")) & (F.array_join("ta", " ") != F.array_join("tb", " ")) & (T.jaccard(F.col("ta"), F.col("tb")) >= least))
-    best = first_by(pairs, F.col("a"), F.col("b"))
-    return finding(best, "SILENT_REVISION", F.when(F.col("weak"), CAUTION).otherwise(WARNING), F.when(F.col("weak"), 0.6).otherwise(0.8), "silent_revision", F.array("a", "b"))
-
-
-def conceptual_anchoring(turns: DataFrame, min_turns: int = 8, least: float = 0.3, share: float = 0.6, early: int = 3) -> DataFrame:
-    """Later turns that keep circling an early statement."""
-    kw = turns.select("conv_id", "turn_number", T.keywords(F.col("raw_text")).alias("k"), T.strong_declarative(F.col("raw_text")).alias("strong"))
-    anchor = kw.where((F.col("turn_number") <= early) & F.col("strong")).groupBy("conv_id").agg(F.min(F.struct("turn_number", "k")).alias("a"))
-    size = turns.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_turns)
-    later = kw.join(anchor, "conv_id").join(size, "conv_id").where(F.col("turn_number") > F.col("a.turn_number")).withColumn("sim", T.jaccard(F.col("k"), F.col("a.k")))
-    sums = later.groupBy("conv_id").agg((F.count_if(F.col("sim") >= least).cast("double") / F.count("*").cast("double")).alias("orbit"), F.avg("sim").alias("mean"), F.max("n").alias("n"), F.min("a.turn_number").alias("t"))
-    c = F.lit(0.5) * F.col("orbit") + F.lit(0.3) * F.col("mean") + F.lit(0.2) * F.least(F.col("n") / 15.0, F.lit(1.0))
-    found = sums.where(F.col("orbit") >= share).withColumn("c", c)
-    return finding(found, "CONCEPTUAL_ANCHORING", steps(F.round("c", 9), (0.75, WARNING), (0.55, CAUTION), otherwise=INFO), F.col("c"), "conceptual_anchoring", F.array("t"))
-
-
-def inherited_position(turns: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
-    rows = turns.where(T.authority_citation(F.col("raw_text")).isNotNull()).withColumn("bare", ~T.independent_justification(F.col("raw_text")))
-    sums = rows.groupBy("conv_id").agg(F.count("*").alias("n"), (F.count_if("bare").cast("double") / F.count("*").cast("double")).alias("s"), F.array_sort(F.collect_list("turn_number")).alias("t"))
-    found = sums.where((F.col("n") >= least) & (F.col("s") >= share)).withColumn("c", F.lit(0.4) * F.least(F.col("n") / 10.0, F.lit(1.0)) + F.lit(0.6) * F.col("s"))
-    return finding(found, "INHERITED_POSITION", steps(F.round("c", 9), (0.75, WARNING), (0.55, CAUTION), otherwise=INFO), F.col("c"), "inherited_position", F.col("t"))
-
-
-def evidence_asymmetry(turns: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """Assistant turns that argue against are better grounded than those that argue for."""
-    rows = assistant(turns).select("conv_id", T.phrase_hits(F.col("low"), L.POSITIVE).alias("p"), T.phrase_hits(F.col("low"), L.NEGATIVE).alias("n"), T.phrase_hits(F.col("low"), L.EVIDENCE_LINKS).alias("e"))
-    sums = rows.groupBy("conv_id").agg(F.count("*").alias("k"), F.avg(F.when(F.col("p") > F.col("n"), F.col("e"))).alias("pos"), F.avg(F.when(F.col("n") > F.col("p"), F.col("e"))).alias("neg"))
-    found = sums.where("k >= 2 AND pos IS NOT NULL AND neg IS NOT NULL").withColumn("r", F.col("neg") / F.greatest("pos", F.lit(0.1))).where(F.col("r") >= threshold)
-    return finding(found, "CONFIDENCE_MISCALIBRATION", F.when(F.col("r") >= threshold * 1.5, CRITICAL).otherwise(WARNING), F.least(F.lit(0.5) + F.lit(0.5) * (F.col("r") - threshold) / threshold, F.lit(1.0)), "evidence_asymmetry")
+    return of_rows(found, finding("SCOPE_DRIFT", steps(d, (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("f.best"), "scope_drift_centroid", F.col("f.hits")))
 
 
-def conviction(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn_number, mv) of assistant turns: how strongly one flatters or overreaches."""
-    rows = assistant(turns)
-    flattery = F.greatest(T.phrase_hits(F.col("low"), L.SYCOPHANCY) - F.lit(0.5) * T.phrase_hits(F.col("low"), L.DAMPERS), F.lit(0.0))
-    grand = T.phrase_hits(F.col("low"), L.ESCALATION) + T.phrase_hits(F.col("low"), L.DISMISSAL)
-    return rows.select("conv_id", "turn_number", F.greatest(F.tanh(flattery / F.lit(2.5)), F.tanh(grand / F.lit(1.5))).alias("mv"))
-
-
-def sustained_conviction(turns: DataFrame, window: int = 5, threshold: float = 0.595, name: str = "sustained_conviction") -> DataFrame:
-    """The best mean over ``window`` consecutive assistant turns, or all where there are fewer."""
-    order = Window.partitionBy("conv_id").orderBy("turn_number")
-    rows = conviction(turns).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
-    rows = rows.withColumn("m", F.avg("mv").over(order.rowsBetween(-(window - 1), 0))).where(F.col("i") >= F.least(F.lit(window), F.col("n")))
-    found = rows.groupBy("conv_id").agg(F.max("m").alias("m")).where(F.round("m", 9) > threshold).withColumn("c", above(F.col("m"), threshold))
-    return finding(found, "SYCOPHANCY", steps(F.round("c", 9), (0.9, CRITICAL), (0.7, WARNING), (0.5, CAUTION), otherwise=INFO), F.col("c"), name)
-
-
-def underevidenced_claims(turns: DataFrame, threshold: float = 0.331) -> DataFrame:
-    rows = assistant(turns).select("conv_id", "turn_number", T.phrase_any(F.col("low"), L.POSITIVE).alias("p"), T.phrase_any(F.col("low"), L.EVIDENCE_LINKS).alias("e"))
-    sums = rows.groupBy("conv_id").agg(F.count_if("p").alias("p"), F.count_if("e").alias("e"), F.array_sort(F.collect_list(F.when(F.col("p"), F.col("turn_number")))).alias("t"))
-    found = sums.where("p >= 2").withColumn("r", (F.col("e") + F.lit(0.01)) / F.col("p")).where(F.col("r") <= threshold)
-    return finding(found, "SYCOPHANCY", F.when(F.col("r") <= 0.15, WARNING).when(F.col("r") <= 0.25, CAUTION).otherwise(INFO), F.lit(0.4) + F.lit(0.6) * T.clamp((threshold - F.col("r")) / threshold), "underevidenced_claims", F.col("t"))
-
-
-def negative_claim_confidence(turns: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Assistant sentences that dismiss or deplete counter-evidence, by their strongest."""
-    s = assistant(turns).select("conv_id", F.explode(T.sentences(F.col("low"))).alias("s"))
-    strong, single = T.phrase_hits(F.col("s"), L.DISMISSIVE_STRONG), T.phrase_any(F.col("s"), L.DISMISSIVE_SINGLE)
-    mv = F.when(strong >= 2, F.least(F.lit(0.75) + F.lit(0.05) * (strong - 2), F.lit(0.95))).when(strong == 1, 0.72).when(single, 0.65)
-    rows = s.select("conv_id", mv.alias("mv"), T.phrase_hits(F.col("s"), L.ESCALATION).alias("g"), T.phrase_hits(F.col("s"), L.DEPLETION).alias("d")).where("mv is not null")
-    found = rows.groupBy("conv_id").agg(F.max("mv").alias("mv"), F.sum("g").alias("g"), F.sum("d").alias("d")).where(F.col("mv") > threshold)
-    kind = F.when(F.col("d") > F.col("g"), "COUNTER_EVIDENCE_DEPLETION").otherwise("CATHEDRAL_COMPLEXITY")
-    return finding(found, kind, steps(F.round("mv", 9), (0.85, CRITICAL), (0.70, WARNING), otherwise=CAUTION), F.col("mv"), "negative_claim_confidence")
-
-
-def assumption_surfacer(turns: DataFrame, threshold: float = 0.55) -> DataFrame:
-    rows = low(turns).select("conv_id", T.phrase_occurrences(F.col("low"), L.CLAIMS).alias("c"), T.phrase_occurrences(F.col("low"), L.PREMISES).alias("p"))
-    sums = rows.groupBy("conv_id").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") > 0, F.col("p")).otherwise(0)).alias("p")).where("c >= 2")
-    found = sums.withColumn("x", F.col("c").cast("double") / (F.col("c") + F.col("p") + 1).cast("double")).where(F.col("x") > threshold)
-    return finding(found, "UNSUPPORTED_CONCLUSION", F.when(F.col("x") > 0.85, CRITICAL).otherwise(WARNING), above(F.col("x"), threshold), "assumption_surfacer")
-
-
-def circular_reasoning(turns: DataFrame, similar: float = 0.55, least: int = 2, share: float = 0.25) -> DataFrame:
-    """Turns in which two sentences say the same around a causal connector."""
-    causal = F.lit(False)
-    for c in L.CAUSAL:
-        causal = causal | T.bounded(F.col("low"), c)
-    rows = low(turns).select("conv_id", "turn_number", causal.alias("causal"), F.transform(T.sentences_hard(F.col("low")), lambda s: T.keywords(s)).alias("k"))
-    twin = F.exists(F.sequence(F.lit(0), F.size("k") - 1), lambda i: F.exists(F.sequence(F.lit(0), F.size("k") - 1), lambda j: (i < j) & (F.size(F.get("k", i)) > 0) & (T.jaccard(F.get("k", i), F.get("k", j)) > similar)))
-    rows = rows.withColumn("hit", F.col("causal") & F.when(F.size("k") > 1, twin).otherwise(False))
-    sums = rows.groupBy("conv_id").agg(F.count_if("hit").alias("h"), (F.count_if("hit").cast("double") / F.count("*").cast("double")).alias("x"), F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("turn_number")))).alias("t"))
-    found = sums.where((F.col("h") >= least) & (F.col("x") > share))
-    return finding(found, "UNSUPPORTED_CONCLUSION", F.when(F.col("x") > 0.6, CRITICAL).otherwise(WARNING), above(F.col("x"), share), "circular_reasoning", F.col("t"))
-
-
-def evidence_quality(turns: DataFrame, threshold: float = 0.5) -> DataFrame:
-    rows = low(turns).select("conv_id", "turn_number", T.phrase_occurrences(F.col("low"), L.ANECDOTAL, True).alias("a"), T.phrase_occurrences(F.col("low"), L.EMPIRICAL, True).alias("e"), T.phrase_any(F.col("low"), L.HIGH_CONFIDENCE).alias("h"))
-    rows = rows.where("a > 0").withColumn("x", F.col("a").cast("double") / (F.col("a") + F.col("e") + 1).cast("double"))
-    sums = rows.groupBy("conv_id").agg(F.avg("x").alias("x"), F.sum("a").alias("a"), F.count_if("h").alias("h"), F.array_sort(F.collect_list("turn_number")).alias("t"))
-    found = sums.where(((F.round("x", 9) > threshold) & (F.col("a") >= 2)) | (F.col("h") >= 2))
-    return finding(found, "UNSUPPORTED_CONCLUSION", F.when((F.col("x") > 0.85) | (F.size("t") >= 3), CRITICAL).otherwise(WARNING), F.lit(0.5) + F.lit(0.5) * F.col("x"), "evidence_quality", F.col("t"))
-
-
-def status_quo_bias(turns: DataFrame, threshold: float = 0.5, least: int = 2) -> DataFrame:
-    rows = low(turns).select("conv_id", T.phrase_hits(F.col("low"), L.STATUS_QUO).alias("s"), T.phrase_hits(F.col("low"), L.CHANGE_BAD).alias("b"), T.phrase_hits(F.col("low"), L.CHANGE_GOOD).alias("g"))
-    rows = rows.where("s + b + g > 0").withColumn("x", (F.col("s") + F.col("b")).cast("double") / (F.col("s") + F.col("b") + F.col("g") + 1).cast("double"))
-    found = rows.groupBy("conv_id").agg(F.avg("x").alias("x"), F.sum(F.col("s") + F.col("b")).alias("n")).where((F.round("x", 9) > threshold) & (F.col("n") >= least))
-    return finding(found, "STATUS_QUO_BIAS", F.when(F.col("x") > 0.85, CRITICAL).otherwise(WARNING), above(F.col("x"), threshold), "status_quo_bias")
-
-
-def entity_coherence(turns: DataFrame, reach: int = 5, least: int = 1) -> DataFrame:
-    """Entities of two capitalised words that are praised in one turn and blamed in another."""
-    rows = low(turns).where(~T.phrase_any(F.col("low"), L.CHANGE_ACK)).select("conv_id", "turn_number", T.tokenize(T.normalize_quotes(F.col("raw_text"))).alias("t"))
-    at = rows.select("conv_id", "turn_number", "t", F.posexplode("t").alias("i", "x"))
-    named = at.withColumn("y", F.get("t", F.col("i") + 1)).where(F.col("x").rlike(r"^\p{Lu}\p{Ll}+$") & F.coalesce(F.col("y").rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(False))).select("conv_id", "turn_number", F.lower(F.concat_ws(" ", "x", "y")).alias("entity"), F.col("i").alias("ei"))
-    said = at.select("conv_id", "turn_number", F.lower("x").alias("x"), "i").withColumn("sign", F.when(F.col("x").isin(*L.PLUS_WORDS), 1).when(F.col("x").isin(*L.MINUS_WORDS), -1)).where("sign is not null")
-    near = named.join(said, ["conv_id", "turn_number"]).where(F.abs(F.col("ei") - F.col("i")) <= reach)
-    good = near.where("sign = 1").select("conv_id", "entity", F.col("turn_number").alias("a")).distinct()
-    bad = near.where("sign = -1").select("conv_id", "entity", F.col("turn_number").alias("b")).distinct()
-    broken = good.join(bad, ["conv_id", "entity"]).where("a <> b").groupBy("conv_id").agg(F.count_distinct("entity").alias("n")).where(F.col("n") >= least)
-    return finding(broken, "CONTRADICTION", F.when(F.col("n") >= 4, CRITICAL).otherwise(WARNING), F.least(F.lit(0.5) + F.lit(0.3) * F.col("n"), F.lit(0.95)), "entity_coherence")
-
-
-#: Detectors of turns alone; users add their own by ``register``.
-REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
-    f.__name__: f
-    for f in (
-        anchoring, anchoring_context, sunk_cost, sunk_cost_proximity, contradiction, confidence_miscalibration, silent_revision, conceptual_anchoring, inherited_position, evidence_asymmetry,
-        sustained_conviction, underevidenced_claims, negative_claim_confidence, assumption_surfacer, circular_reasoning, evidence_quality, status_quo_bias, entity_coherence,
-    )
-}
+#: Detectors of turns alone that are no sums; users add their own by ``register``.
+REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"contradiction": contradiction, "conceptual_anchoring": conceptual_anchoring}
+#: What runs by default: anchoring by context stands for plain anchoring, and sunk cost for its variant by proximity.
+DEFAULT = tuple(n for n in SIGNALS if n not in ("anchoring", "sunk_cost_proximity")) + tuple(REGISTRY)
 
 
 def register(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
-    """Adds a detector: a function from turns to findings."""
+    """Adds a detector: a function from turns to findings (conv_id, finding_type, severity, confidence, detector_name and relevant_turns at least)."""
     REGISTRY[name] = detector
 
 
-def detect(turns: DataFrame, detectors: tuple[str, ...] | None = None) -> DataFrame:
-    """All findings of the named detectors (default: all)."""
-    out = None
-    for name in detectors or tuple(REGISTRY):
-        found = REGISTRY[name](turns).select(*FINDING)
-        out = found if out is None else out.unionByName(found)
+def detect(turns: DataFrame, detectors: Iterable[str] | None = None, params: dict[str, dict] | None = None, objectives: DataFrame | None = None) -> DataFrame:
+    """All findings of the named detectors (default: DEFAULT and those registered; with ``objectives`` also scope drift), with a
+    ``finding_id``; ``params`` has parameters by detector."""
+    params = params or {}
+    names = tuple(detectors) if detectors else (*DEFAULT, *[n for n in REGISTRY if n not in DEFAULT])
+    parts = [run(turns, {n: params.get(n, {}) for n in names if n in SIGNALS})] if any(n in SIGNALS for n in names) else []
+    parts += [REGISTRY[n](turns, **params.get(n, {})) for n in names if n in REGISTRY]
+    if objectives is not None:
+        parts.append(scope_drift(turns, objectives, **params.get("scope_drift", {})))
+    out = parts[0].select(*FINDING)
+    for found in parts[1:]:
+        out = out.unionByName(found.select(*[c for c in FINDING if c in found.columns]), allowMissingColumns=True)
     return out.withColumn("finding_id", T.finding_id(F.col("detector_name"), F.col("relevant_turns")))

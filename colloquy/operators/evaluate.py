@@ -35,11 +35,43 @@ def section_scores(counts: DataFrame) -> DataFrame:
 
 
 def param_sweep(scores: DataFrame, expected: DataFrame, grid: DataFrame) -> DataFrame:
-    """F1 of every threshold in ``grid`` (param) over scored candidates (entry_id, finding_type, score):
-    scores are computed once, the grid is a small broadcast table."""
-    emitted = scores.join(F.broadcast(grid), F.col("score") > F.col("param")).select("param", "entry_id", "finding_type")
-    wanted = expected.join(F.broadcast(grid))
-    return prf(confusion(emitted, wanted, ("param",)), "param")
+    """F1 of every threshold in ``grid`` (param) over scored candidates (entry_id, finding_type, score). Each pair of entry and type
+    counts once, in the slot between the thresholds that its best score passes and those it doesn't; sums over the slots give all thresholds."""
+    spark = scores.sparkSession
+    params = sorted(r["param"] for r in grid.select("param").distinct().collect())  # the grid is a parameter
+    tidy = F.upper(F.trim("finding_type"))
+    best = scores.groupBy("entry_id", tidy.alias("finding_type")).agg(F.max("score").alias("score"))
+    wanted = expected.select("entry_id", tidy.alias("finding_type")).distinct().withColumn("x", F.lit(True))
+    passed = F.size(F.filter(F.from_json(F.lit(str(params)), "array<double>"), lambda p: p < F.col("score")))
+    pairs = best.join(wanted, ["entry_id", "finding_type"], "full_outer").select(F.coalesce("x", F.lit(False)).alias("x"), F.when(F.col("score").isNotNull(), passed).otherwise(0).alias("slot"))
+    counts = pairs.groupBy("slot").agg(F.count_if("x").alias("hits"), F.count_if(~F.col("x")).alias("misses"))
+    slots = spark.createDataFrame([(i, float(params[i - 1]) if i else None) for i in range(len(params) + 1)], "slot int, param double").join(counts, "slot", "left").fillna(0, ["hits", "misses"])
+    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("slot"))  # one row a threshold
+    sums = slots.select("param", F.sum("hits").over(down).alias("tp"), F.sum("misses").over(down).alias("fp"), F.sum("hits").over(Window.partitionBy(F.lit(1))).alias("all"))
+    return prf(sums.where("param is not null").select("param", "tp", "fp", (F.col("all") - F.col("tp")).alias("fn")), "param")
+
+
+def hard_case_score(findings: DataFrame, expected: DataFrame, clean: DataFrame) -> DataFrame:
+    """(conv_id, score): how hard conversations are, from findings (conv_id, finding_type, confidence, relevant_turns), expected types (conv_id,
+    finding_type) and clean ranges of turns (conv_id, start, end): 0.3 for each type missed, 0.2 for each finding that isn't expected within a
+    clean range, 0.1 for each confidence near the middle, over what could be had."""
+    wanted = expected.select("conv_id", "finding_type").distinct()
+    hit = wanted.join(findings.select("conv_id", "finding_type").distinct().withColumn("hit", F.lit(True)), ["conv_id", "finding_type"], "left")
+    missed = hit.groupBy("conv_id").agg((F.count_if(F.col("hit").isNull()) * F.lit(0.3)).alias("won"), (F.count("*") * F.lit(0.3)).alias("most"))
+    false = findings.join(wanted, ["conv_id", "finding_type"], "left_anti").select("conv_id", "finding_id", F.explode("relevant_turns").alias("t"))
+    inside = false.join(clean, "conv_id").where(F.col("t").between(F.col("start"), F.col("end"))).select("conv_id", "finding_id").distinct()
+    extra = inside.select("conv_id", F.lit(0.2).alias("won")).union(findings.where(F.round("confidence", 9).between(0.35, 0.65)).select("conv_id", F.lit(0.1)))
+    parts = missed.select("conv_id", "won", "most").union(extra.select("conv_id", "won", F.col("won").alias("most")))
+    sums = parts.groupBy("conv_id").agg(F.sum("won").alias("won"), F.sum("most").alias("most"))
+    return sums.select("conv_id", F.coalesce(F.try_divide("won", "most"), F.lit(0.0)).alias("score"))
+
+
+def crisp_vs_fuzzy(crisp: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """(conv_id, crisp, fuzzy, both, mean_change): two configurations' findings side by side, matched by detector."""
+    a = crisp.select("conv_id", "detector_name", F.col("confidence").alias("a"))
+    b = fuzzy.select("conv_id", "detector_name", F.col("confidence").alias("b"))
+    rows = a.join(b, ["conv_id", "detector_name"], "full_outer")
+    return rows.groupBy("conv_id").agg(F.count("a").alias("crisp"), F.count("b").alias("fuzzy"), F.count(F.col("a") + F.col("b")).alias("both"), F.coalesce(F.avg(F.col("b") - F.col("a")), F.lit(0.0)).alias("mean_change"))
 
 
 def sensitivity(sweep: DataFrame, param: str) -> DataFrame:

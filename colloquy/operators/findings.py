@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators.context import classical_text, gain, low
-from colloquy.operators.fuzzy import fuzzy_score
-
-OPPOSITE = (("SUNK_COST_FALLACY", "SILENT_REVISION"), ("CONFIDENCE_MISCALIBRATION", "UNSUPPORTED_CONCLUSION"), ("SCOPE_DRIFT", "CONCEPTUAL_ANCHORING"))
+from colloquy.operators.fuzzy import ANCHORING, ARBITRATION, CALIBRATION, COMPOUND, CONTRADICTION, EVIDENCE_GATE, FORMALITY_GATE, SEVERITY_GATE, SUNK_COST, FuzzySet, fuzzy_score
+
+#: Finding types that speak against each other, what to do about each type, and what else to say of one.
+OPPOSITE = (("SYCOPHANCY", "CONTRADICTION"), ("CONFIDENCE_MISCALIBRATION", "UNSUPPORTED_CONCLUSION"), ("STATUS_QUO_BIAS", "SCOPE_DRIFT"))
+ACTIONS = {
+    "ANCHORING_BIAS": "Consider generating estimates independently before comparing to initial values",
+    "SUNK_COST_FALLACY": "Evaluate the decision based on future value, not past investment",
+    "CONTRADICTION": "Resolve contradictory claims before proceeding",
+    "SCOPE_DRIFT": "Re-anchor discussion to the original objective",
+    "CONFIDENCE_MISCALIBRATION": "Review confidence levels against available evidence",
+    "SILENT_REVISION": "Explicitly state rationale when revising earlier decisions",
+    "STATUS_QUO_BIAS": "Evaluate alternatives on merit rather than defaulting to the current state",
+}
+OTHER_ACTION = "Review finding: "
+#: Detector -> (peer that confirms it, or any, by how much it grows then, by how much it shrinks without any peer).
+PEERS = {
+    "contradiction": ("scope_drift", 0.1, 0.1), "anchoring": ("confidence_miscalibration", 0.1, 0.05), "anchoring_context": ("confidence_miscalibration", 0.1, 0.05),
+    "scope_drift": ("contradiction", 0.1, 0.0), "confidence_miscalibration": (None, 0.1, 0.05), "sunk_cost": ("silent_revision", 0.15, 0.0),
+}
 
 
 def corroboration(findings: DataFrame, reach: int = 2) -> DataFrame:
@@ -26,15 +44,29 @@ def corroboration(findings: DataFrame, reach: int = 2) -> DataFrame:
     return rows.withColumn("corroboration", share).drop("others", "met")
 
 
-def inhibit(findings: DataFrame, turns: DataFrame, formality: float = 0.85, urgency: float = 0.1, weak: float = 0.55, lone: float = 0.1, sure: float = 0.9) -> DataFrame:
-    """Adds ``action`` and ``reason`` by the first gate that decides."""
-    gains = gain(turns).select("conv_id", "formality", "urgency")
-    classical = classical_text(turns).select("conv_id", "classical")
-    hedged = low(turns).where(T.phrase_any(F.col("low"), L.HEDGES)).select("conv_id", F.col("turn_number").alias("t"))
+def _with_context(findings: DataFrame, turns: DataFrame, gains: DataFrame | None, hedges: Iterable[str]) -> DataFrame:
+    """Findings with corroboration, their conversation's formality and urgency, and whether a casual hedge in an informal
+    context speaks against them (``classical``, ``hedged``)."""
+    gains = (gain(turns) if gains is None else gains).select("conv_id", "formality", "urgency")
+    classical = classical_text(turns, more=L.CLASSICAL_CONFIDENCE).select("conv_id", "classical")
+    casual = T.once(T.tokenize(F.col("low")), lambda t: F.arrays_overlap(t, T.listed(hedges)))
+    hedged = low(turns).where(casual).select("conv_id", F.col("turn_number").alias("t"))
     hedging = findings.select("conv_id", "finding_id", F.explode("relevant_turns").alias("t")).join(hedged, ["conv_id", "t"]).select("conv_id", "finding_id").distinct().withColumn("hedged", F.lit(True))
-    rows = corroboration(findings).join(gains, "conv_id").join(classical, "conv_id").join(hedging, ["conv_id", "finding_id"], "left")
+    return corroboration(findings).join(gains, "conv_id").join(classical, "conv_id").join(hedging, ["conv_id", "finding_id"], "left")
+
+
+def _is_casual(formality: float) -> Column:
+    return (F.col("finding_type") == "CONFIDENCE_MISCALIBRATION") & (F.col("formality") < formality) & ~F.col("classical") & F.coalesce("hedged", F.lit(False))
+
+
+CONTEXT = ("formality", "urgency", "classical", "hedged")
+
+
+def inhibit(findings: DataFrame, turns: DataFrame, formality: float = 0.85, urgency: float = 0.1, weak: float = 0.55, lone: float = 0.1, sure: float = 0.9, gains: DataFrame | None = None, hedges: Iterable[str] = L.CASUAL_HEDGES) -> DataFrame:
+    """Adds ``action`` and ``reason`` by the first gate that decides."""
+    rows = _with_context(findings, turns, gains, hedges)
     reason = (
-        F.when((F.col("finding_type") == "CONFIDENCE_MISCALIBRATION") & (F.col("formality") < formality) & ~F.col("classical") & F.coalesce("hedged", F.lit(False)), "hedged")
+        F.when(_is_casual(formality), "hedged")
         .when(F.col("severity") == 4, "critical")
         .when((F.col("urgency") < urgency) & (F.col("severity") <= 2), "not_urgent")
         .when((F.col("severity") == 3) & (F.col("confidence") < weak), "weak")
@@ -42,13 +74,54 @@ def inhibit(findings: DataFrame, turns: DataFrame, formality: float = 0.85, urge
         .otherwise("passed")
     )
     rows = rows.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isin("critical", "passed"), "PASS").otherwise("INHIBIT"))
-    return rows.drop("formality", "urgency", "classical", "hedged")
+    return rows.drop(*CONTEXT)
+
+
+def inhibit_default_urgency(findings: DataFrame, turns: DataFrame, urgency: float = 0.5, **params) -> DataFrame:
+    """The same with one urgency for all conversations."""
+    return inhibit(findings, turns, gains=gain(turns).withColumn("urgency", F.lit(urgency)), **params)
+
+
+def inhibit_fuzzy(findings: DataFrame, turns: DataFrame, formality: float = 0.85, block: float = 0.8, gains: DataFrame | None = None, hedges: Iterable[str] = L.CASUAL_HEDGES) -> DataFrame:
+    """Adds ``action``, ``reason`` and ``inhibition``: casual hedges and critical findings are decided as before; else the strongest of
+    three fuzzy gates lowers the confidence, and one beyond ``block`` inhibits."""
+    rows = _with_context(findings, turns, gains, hedges)
+    gates = {
+        "formality_gate": fuzzy_score({"formality": F.col("formality")}, FORMALITY_GATE),
+        "severity_gate": fuzzy_score({"severity": F.col("severity") * F.lit(0.75), "urgency": F.col("urgency")}, SEVERITY_GATE),
+        "evidence_gate": fuzzy_score({"confidence": F.col("confidence"), "corroboration": F.col("corroboration")}, EVIDENCE_GATE),
+    }
+    rows = rows.withColumns({name: F.coalesce(F.round(x, 9), F.lit(0.0)) for name, x in gates.items()}).withColumn("most", F.greatest(*gates))
+    strongest = F.when(F.col("most") <= 0, "passed")
+    for name in gates:
+        strongest = strongest.when(F.col(name) == F.col("most"), name)
+    crisp = F.when(_is_casual(formality), "hedged").when(F.col("severity") == 4, "critical")
+    rows = rows.withColumn("reason", F.coalesce(crisp, strongest)).withColumn("inhibition", F.when(crisp.isNull(), F.col("most")).otherwise(0.0))
+    action = F.when(F.col("reason") == "hedged", "INHIBIT").when(F.col("inhibition") > block, "INHIBIT").otherwise("PASS")
+    rows = rows.withColumn("action", action).withColumn("confidence", F.col("confidence") * (1 - F.col("inhibition")))
+    return rows.drop(*CONTEXT, *gates, "most")
+
+
+def fuzzy_severity(findings: DataFrame, least: float = 0.1) -> DataFrame:
+    """Confidence replaced by a fuzzy severity for the detectors that have one (by their ``signal`` and ``strength``); what falls
+    below ``least`` is dropped."""
+    signal, sure = F.col("signal"), F.col("confidence")
+    score = (
+        F.when(F.col("detector_name").isin("anchoring", "anchoring_context"), fuzzy_score({"shift": signal}, ANCHORING))
+        .when(F.col("detector_name") == "contradiction", fuzzy_score({"overlap": signal, "strength": F.col("strength")}, CONTRADICTION))
+        .when(F.col("detector_name") == "confidence_miscalibration", fuzzy_score({"ece": F.coalesce(signal, sure)}, CALIBRATION))
+        .when(F.col("detector_name").isin("sunk_cost", "sunk_cost_proximity"), fuzzy_score({"confidence": sure, "gap": F.least(signal, F.lit(20.0))}, SUNK_COST))
+    )
+    rows = findings.withColumn("_score", score)
+    return rows.where(F.col("_score").isNull() | (F.round("_score", 9) >= least)).withColumn("confidence", F.coalesce("_score", "confidence")).drop("_score")
 
 
 def salience(findings: DataFrame, least: float = 0.3, top: int = 10) -> DataFrame:
     """Adds ``salience`` and ``rank``; keeps findings of enough salience, ``top`` a conversation at most (the feature)."""
     same = F.count("*").over(Window.partitionBy("conv_id", "finding_type"))
-    action = F.when(F.size("relevant_turns") > 0, 0.3).otherwise(0.0) + F.when(F.col("confidence") > 0.7, 0.2).otherwise(0.0) + F.when(F.col("finding_type").isin("ANCHORING_BIAS", "CONTRADICTION", "SUNK_COST_FALLACY"), 0.3).otherwise(0.0)
+    specific = F.col("detector_name").isin("anchoring", "anchoring_context", "contradiction", "sunk_cost", "sunk_cost_proximity")
+    action = F.when(specific, 0.3).otherwise(0.0) + F.when(F.size("relevant_turns") > 0, 0.3).otherwise(0.0)
+    action = action + F.when(F.octet_length("explanation") > 50, 0.2).otherwise(0.0) + F.when(F.col("confidence") > 0.7, 0.2).otherwise(0.0)
     score = F.lit(0.4) / same + F.lit(0.4) * action + F.lit(0.2) * F.col("severity") / F.lit(4.0)
     rows = findings.withColumn("salience", score).where(F.round("salience", 9) >= least)
     order = Window.partitionBy("conv_id").orderBy(F.round("salience", 9).desc(), "finding_id")
@@ -56,14 +129,16 @@ def salience(findings: DataFrame, least: float = 0.3, top: int = 10) -> DataFram
 
 
 def aggregate_report(findings: DataFrame) -> DataFrame:
-    """One row per conversation: counts by severity, integrity, detectors and the findings in order."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), (-F.round("confidence", 6)).alias("c"), F.col("finding_id").alias("i"))))
+    """One row per conversation: counts by severity, integrity, detectors, the findings in order, and one action for each type in order."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), (-F.round("confidence", 6)).alias("c"), F.col("finding_id").alias("i"), F.col("finding_type").alias("t"))))
     rows = findings.groupBy("conv_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("severity") == 4).alias("critical"), F.count_if(F.col("severity") == 3).alias("warning"), F.count_if(F.col("severity") == 2).alias("caution"),
         F.array_join(F.array_sort(F.collect_set("detector_name")), ",").alias("detectors"), order.alias("o"),
     )
     integrity = F.greatest(F.lit(0.0), 1 - F.lit(0.3) * F.col("critical") - F.lit(0.15) * F.col("warning") - F.lit(0.05) * F.col("caution"))
-    return rows.select("conv_id", "n", "critical", "warning", "caution", integrity.alias("integrity"), "detectors", F.array_join(F.col("o")["i"], ",").alias("findings"))
+    known = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    actions = F.transform(F.array_distinct(F.col("o")["t"]), lambda t: F.coalesce(F.try_element_at(known, t), F.concat(F.lit(OTHER_ACTION), t)))
+    return rows.select("conv_id", "n", "critical", "warning", "caution", integrity.alias("integrity"), "detectors", F.array_join(F.col("o")["i"], ",").alias("findings"), F.array_join(actions, "; ").alias("actions"))
 
 
 def conflict_pairs(findings: DataFrame) -> DataFrame:
@@ -76,24 +151,24 @@ def conflict_pairs(findings: DataFrame) -> DataFrame:
     return a.join(b, "conv_id").where((F.col("a") < F.col("b")) & clash).select("conv_id", "a", "b")
 
 
-def conflict_clusters(findings: DataFrame, rounds: int = 4) -> DataFrame:
+def conflict_clusters(findings: DataFrame) -> DataFrame:
     """(conv_id, finding_id, cluster): components of the conflict pairs, named by their least finding.
 
-    A conversation has at most one finding per detector, so its pairs fit one small array: each
-    round every pair takes the least name its two ends have met.
+    A conversation has at most one finding per detector, so its pairs fit one small array: each round every pair takes the
+    least name its two ends have met, and as many rounds as there are ends reach along any chain.
     """
     pairs = conflict_pairs(findings)
     ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
     grouped = pairs.select("conv_id", F.explode(ends).alias("e")).groupBy("conv_id").agg(F.collect_list("e").alias("links"))
-    names = F.transform(F.array_distinct(F.col("links")["x"]), lambda n: F.struct(n.alias("n"), n.alias("c")))
-    rows = grouped.select("conv_id", "links", names.alias("names"))
-    for _ in range(rounds):
-        def heard(n: Column) -> Column:
-            met = F.transform(F.filter("links", lambda e: e["x"] == n["n"]), lambda e: F.element_at(F.filter("names", lambda m: m["n"] == e["y"]), 1)["c"])
-            return F.struct(n["n"].alias("n"), F.least(n["c"], F.array_min(met)).alias("c"))
+    names = F.transform(F.array_sort(F.array_distinct(F.col("links")["x"])), lambda n: F.struct(n.alias("n"), n.alias("c")))
+
+    def heard(known: Column, n: Column) -> Column:
+        met = F.transform(F.filter("links", lambda e: e["x"] == n["n"]), lambda e: F.element_at(F.filter(known, lambda m: m["n"] == e["y"]), 1)["c"])
+        return F.struct(n["n"].alias("n"), F.least(n["c"], F.array_min(met)).alias("c"))
 
-        rows = rows.select("conv_id", "links", F.transform("names", heard).alias("names"))
-    return rows.select("conv_id", F.explode("names").alias("m")).select("conv_id", F.col("m.n").alias("finding_id"), F.col("m.c").alias("cluster"))
+    rows = grouped.select("conv_id", "links", names.alias("names"))
+    done = F.aggregate(F.sequence(F.lit(1), F.size("names")), F.col("names"), lambda known, _: F.transform(known, lambda n: heard(known, n)))
+    return rows.select("conv_id", F.explode(done).alias("m")).select("conv_id", F.col("m.n").alias("finding_id"), F.col("m.c").alias("cluster"))
 
 
 def apply_panel_score(findings: DataFrame, scores: DataFrame) -> DataFrame:
@@ -121,29 +196,76 @@ def self_confidence(findings: DataFrame, index: DataFrame) -> DataFrame:
     return rows.select("conv_id", "pattern", "agreement", "margin", "history", "score", F.when(F.round("score", 9) > 0.8, "HIGH").when(F.round("score", 9) > 0.5, "MODERATE").otherwise("REVIEW").alias("recommendation"))
 
 
-def consolidate(findings: DataFrame, index: DataFrame, sure: float = 0.8) -> DataFrame:
-    """(conv_id, pattern, trigger): what a run leaves in memory."""
-    rows = findings.groupBy("conv_id").agg(F.min("confidence").alias("least"), F.array_join(F.array_sort(F.collect_list("detector_name")), "+").alias("pattern"))
-    rows = rows.join(index.select("pattern", F.lit(True).alias("known")), "pattern", "left")
+def consolidate(findings: DataFrame, index: DataFrame, log: DataFrame, turns: DataFrame, gains: DataFrame, confidence: DataFrame, sure: float = 0.8) -> DataFrame:
+    """What runs leave in memory: rows of ``entries`` where all findings are sure or their pattern is new."""
+    rows = entries(findings, log, turns, gains, confidence).join(index.select("pattern", F.lit(True).alias("known")), "pattern", "left")
     trigger = F.when(F.round("least", 9) >= sure, "HIGH_CONFIDENCE").when(F.col("known").isNull(), "NOVEL_PATTERN")
-    return rows.select("conv_id", "pattern", trigger.alias("trigger")).where("trigger is not null")
+    return rows.withColumn("trigger", trigger).where("trigger is not null").drop("known", "least")
+
+
+def entries(findings: DataFrame, log: DataFrame, turns: DataFrame, gains: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(conv_id, pattern, finding_types, confidences, severities, n_inhibited, n_passed, reasons, turns, formality, urgency, outcome,
+    self_confidence, least) of every conversation with findings; ``log`` has what ``inhibit`` decided. A pattern has every detector as often as it fired."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), (-F.round("confidence", 6)).alias("c"), F.col("finding_id").alias("i"), F.col("finding_type").alias("t"))))
+    rows = findings.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("detector_name")), "+").alias("pattern"), F.min("confidence").alias("least"), order.alias("o"))
+    rows = rows.select("conv_id", "pattern", F.col("o")["t"].alias("finding_types"), F.transform(F.col("o")["c"], lambda x: F.abs(x)).alias("confidences"), F.transform(F.col("o")["s"], lambda x: -x).alias("severities"), "least")
+    logged = log.groupBy("conv_id").agg(F.count_if(F.col("action") == "INHIBIT").alias("n_inhibited"), F.count_if(F.col("action") == "PASS").alias("n_passed"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    found = rows.join(logged, "conv_id", "left").join(sizes, "conv_id", "left").join(gains.select("conv_id", "formality", "urgency"), "conv_id", "left").join(confidence.select("conv_id", F.col("score").alias("self_confidence")), "conv_id", "left")
+    return found.withColumn("outcome", F.lit("auto_confirmed"))
+
+
+def user_feedback(pending: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of pending conversations with a user's verdict (conv_id, outcome), verdicts on conversations that aren't pending)."""
+    known = pending.drop("outcome").join(verdicts, "conv_id").withColumn("trigger", F.lit("USER_FEEDBACK"))
+    return known, verdicts.join(pending.select("conv_id"), "conv_id", "left_anti")
+
+
+def feedback_pass(findings: DataFrame, confidence: DataFrame, rerun: Callable[[DataFrame], DataFrame], threshold: float = 0.6, top: int = 3, least: float = 0.1) -> DataFrame:
+    """Findings after a second look, with ``delta``: where a conversation's self-confidence is below ``threshold``, its ``top`` least sure
+    findings are detected anew, by ``rerun`` of the conversations (conv_id) concerned, and adjusted by findings of other detectors
+    within a turn of theirs. A change of ``least`` or more counts; what isn't found again goes if it was surer than that."""
+    unsure = confidence.where(F.round("score", 9) < threshold).select("conv_id")
+    order = Window.partitionBy("conv_id").orderBy(F.round("confidence", 9), "finding_id")
+    chosen = findings.join(unsure, "conv_id", "left_semi").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top).select("conv_id", "detector_name")
+    fresh = rerun(unsure).join(chosen, ["conv_id", "detector_name"], "left_semi").select("conv_id", "detector_name", F.col("confidence").alias("_new"), F.col("relevant_turns").alias("_turns"))
+    spread = fresh.select("conv_id", "detector_name", F.explode("_turns").alias("t")).select("conv_id", "detector_name", F.explode(F.sequence(F.col("t") - 1, F.col("t") + 1)).alias("t"))
+    other = findings.select("conv_id", F.col("detector_name").alias("peer"), F.explode("relevant_turns").alias("t")).distinct()
+    peers = spread.join(other, ["conv_id", "t"]).where("peer <> detector_name").groupBy("conv_id", "detector_name").agg(F.collect_set("peer").alias("_peers"))
+    seen = chosen.join(fresh, ["conv_id", "detector_name"], "left").join(peers, ["conv_id", "detector_name"], "left").withColumn("_looked", F.lit(True))
+    peer_set = F.coalesce("_peers", F.array().cast("array<string>"))
+    shift = F.lit(0.0)
+    for name, (peer, up, down) in PEERS.items():
+        confirmed = F.size(peer_set) > 0 if peer is None else F.array_contains(peer_set, peer)
+        shift = F.when(F.col("detector_name") == name, F.when(confirmed, up).when(F.size(peer_set) == 0, -down).otherwise(0.0)).otherwise(shift)
+    seen = seen.withColumn("_new", F.when(F.col("_new").isNotNull(), T.clamp(F.col("_new") + shift))).select("conv_id", "detector_name", "_new", "_looked")
+    rows = findings.join(seen, ["conv_id", "detector_name"], "left")
+    changed = F.abs(F.col("_new") - F.col("confidence")) >= least - 1e-9
+    gone = F.coalesce("_looked", F.lit(False)) & F.col("_new").isNull() & (F.col("confidence") > least)
+    rows = rows.where(~gone).withColumn("delta", F.when(changed, F.col("_new") - F.col("confidence")).otherwise(0.0))
+    return rows.withColumn("confidence", F.when(changed, F.col("_new")).otherwise(F.col("confidence"))).drop("_new", "_looked").where("confidence > 0")
+
+
+def effective_severity() -> Column:
+    """The confidence, or what the severity stands for if that is more."""
+    return F.greatest("confidence", F.col("severity") * F.lit(0.25))
 
 
 def risk_inputs(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("conv_id").agg(F.least(F.count("*") / F.lit(10.0), F.lit(1.0)).alias("n"), (F.max("severity") / F.lit(4.0)).alias("severity"), F.avg("confidence").alias("confidence"))
+    return findings.groupBy("conv_id").agg(F.least(F.count("*") / F.lit(10.0), F.lit(1.0)).alias("n"), T.clamp(F.max(effective_severity())).alias("severity"), F.avg("confidence").alias("confidence"))
 
 
-def compound_pathology(findings: DataFrame, threshold: float = 0.6, critical: float = 0.85) -> DataFrame:
+def compound_pathology(findings: DataFrame, threshold: float = 0.6, critical: float = 0.85, rules: FuzzySet = COMPOUND) -> DataFrame:
     """A finding where many, severe or sure findings meet, by a fuzzy risk."""
-    rows = risk_inputs(findings).withColumn("risk", fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")})).where(F.round("risk", 9) > threshold)
+    rows = risk_inputs(findings).withColumn("risk", fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}, rules)).where(F.round("risk", 9) > threshold)
     return rows.select("conv_id", F.lit("COMPOUND_PATHOLOGY").alias("finding_type"), F.when(F.col("risk") > critical, 4).otherwise(3).alias("severity"), F.col("risk").alias("confidence"))
 
 
-def arbitrate(inhibited: DataFrame) -> DataFrame:
-    """(conv_id, risk, decision) from inhibited findings: how many, how severe, and what share stood."""
-    rows = inhibited.groupBy("conv_id").agg(F.least(F.count("*") / F.lit(4.0), F.lit(1.0)).alias("n"), (F.max("severity") / F.lit(4.0)).alias("severity"), (F.count_if(F.col("action") == "PASS") / F.count("*")).alias("confidence"))
-    rows = rows.withColumn("risk", fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}))
-    return rows.select("conv_id", "risk", F.when(F.round("risk", 9) <= 0.35, "dismiss").when(F.round("risk", 9) <= 0.65, "monitor").otherwise("investigate").alias("decision"))
+def arbitrate(inhibited: DataFrame, low_: float = 0.35, high: float = 0.65, rules: FuzzySet = ARBITRATION) -> DataFrame:
+    """(conv_id, severity, density, inhibited, risk, decision) from inhibited findings: how severe, how many, and what share was stopped."""
+    rows = inhibited.groupBy("conv_id").agg(T.clamp(F.max(effective_severity())).alias("severity"), F.least(F.count("*") / F.lit(4.0), F.lit(1.0)).alias("density"), (F.count_if(F.col("action") == "INHIBIT") / F.count("*")).alias("inhibited"))
+    rows = rows.withColumn("risk", F.coalesce(fuzzy_score({c: F.col(c) for c in ("severity", "density", "inhibited")}, rules), F.lit(0.0)))
+    return rows.withColumn("decision", F.when(F.round("risk", 9) <= low_, "dismiss").when(F.round("risk", 9) <= high, "monitor").otherwise("investigate"))
 
 
 def record_outcomes(findings: DataFrame, least: float = 0.6) -> DataFrame:

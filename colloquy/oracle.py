@@ -21,23 +21,27 @@ def low(x: str) -> str:
 
 
 def any_of(x: str, phrases: Iterable[str]) -> str:
-    return "(" + " OR ".join(f"contains({x}, {lit(p)})" for p in phrases) + ")"
+    return f"(len(list_filter({strings(phrases)}, lambda p_: contains({x}, p_))) > 0)"
 
 
 def first_of(x: str, phrases: Iterable[str]) -> str:
-    return "CASE " + " ".join(f"WHEN contains({x}, {lit(p)}) THEN {lit(p)}" for p in phrases) + " END"
+    return f"(list_filter({strings(phrases)}, lambda p_: contains({x}, p_)))[1]"
 
 
 def hits(x: str, phrases: Iterable[str]) -> str:
-    return "(" + " + ".join(f"contains({x}, {lit(p)})::INTEGER" for p in phrases) + ")"
+    return f"len(list_filter({strings(phrases)}, lambda p_: contains({x}, p_)))"
+
+
+def total(parts: str) -> str:
+    return f"coalesce(list_sum({parts}), 0)::INTEGER"
 
 
 def occurrences(x: str, phrases: Iterable[str]) -> str:
-    return "(" + " + ".join(f"(length({x}) - length(replace({x}, {lit(p)}, '')))//{len(p)}" for p in phrases) + ")::INTEGER"
+    return total(f"list_transform({strings(phrases)}, lambda p_: (length({x}) - length(replace({x}, p_, ''))) // length(p_))")
 
 
 def overlapping(x: str, phrases: Iterable[str]) -> str:
-    return "(" + " + ".join(f"len(list_filter(range(1, length({x}) + 2), lambda i: substr({x}, i, {len(p)}) = {lit(p)}))" for p in phrases) + ")::INTEGER"
+    return total(f"list_transform(list_filter({strings(phrases)}, lambda p_: contains({x}, p_)), lambda p_: len(list_filter(range(1, length({x}) + 2), lambda i_: substr({x}, i_, length(p_)) = p_)))")
 
 
 def words(x: str) -> str:
@@ -101,28 +105,43 @@ def clamp(x: str, a: str = "0.0", b: str = "1.0") -> str:
 
 def declarative(x: str) -> str:
     lo = low(x)
-    return f"(NOT contains({x}, '?') AND NOT list_contains({strings(L.INTERROGATIVE)}, coalesce(({words(lo)})[1], '')) AND len({words(x)}) >= 6 AND NOT {any_of(lo, L.HEDGES)} AND {any_of(lo, L.ASSERTIVE)})"
+    begins = lambda these: f"(len(list_filter({strings(these)}, lambda p_: starts_with({lo}, p_))) > 0)"
+    asserts = f"({any_of(lo, L.DECLARATIVE)} OR {begins(L.DECLARATIVE_OPENERS)})"
+    return f"(NOT ends_with(trim({lo}, ' ' || chr(10) || chr(9)), '?') AND NOT {begins(L.INTERROGATIVE)} AND len({words(lo)}) >= 6 AND NOT {any_of(lo, L.HEDGE_WORDS)} AND {asserts})"
 
 
 def citation(x: str) -> str:
-    lo, verbs = low(x), "|".join(L.AUTHORITY_VERBS)
-    return f"coalesce({first_of(lo, L.AUTHORITY)}, nullif(regexp_extract({lo}, 'as [^.,;]{{1,40}} (?:{verbs})'), ''), nullif(regexp_extract({lo}, '[a-z]{{3,}} (?:{verbs}) that'), ''))"
+    lo = low(x)
+    after = f"substr({lo}, strpos({lo}, 'as ') + 3)"
+    name = f"trim(left({after}, strpos({after}, v_) - 1), ' ' || chr(10) || chr(9))"
+    named = f"(list_transform(list_filter({strings(L.CITATION_VERBS)}, lambda v_: contains({lo}, 'as ') AND strpos({after}, v_) BETWEEN 2 AND 41 AND length({name}) >= 3 AND NOT contains({name}, '?')), lambda v_: 'as ' || {name} || v_))[1]"
+    before = f"coalesce(({words(f'left({lo}, strpos({lo}, v_) - 1)')})[-1], '')"
+    told = f"(list_transform(list_filter({strings(L.HELD_THAT)}, lambda v_: strpos({lo}, v_) > 1 AND length({before}) >= 3), lambda v_: {before} || v_))[1]"
+    return f"coalesce({first_of(lo, L.AUTHORITY)}, {named}, {told})"
 
 
-def justification(x: str) -> str:
+def justification(x: str, least: int = 10) -> str:
     lo = low(x)
-    followed = " OR ".join(f"(contains({lo}, {lit(m)}) AND len({words(f'substr({lo}, strpos({lo}, {lit(m)}) + {len(m)})')}) >= 10)" for m in L.MERIT)
-    return f"(NOT {any_of(lo, L.BARE_ASSERTION)} AND ({followed}))"
+    after = f"substr({lo}, strpos({lo}, m_) + length(m_))"
+    return f"(NOT {any_of(lo, L.NO_MERIT)} AND len(list_filter({strings(L.MERIT)}, lambda m_: contains({lo}, m_) AND len({words(after)}) >= {least})) > 0)"
+
+
+def claim(x: str) -> str:
+    parts = f"list_filter(string_split_regex({x}, '[.!?;]'), lambda s_: s_ <> '')"
+    cites = f"list_filter({parts}, lambda s_: {any_of(low('s_'), L.AUTHORITY)} OR {any_of(low('s_'), L.CITATION_VERBS)})"
+    found = f"coalesce(trim(({cites})[1], ' ' || chr(10) || chr(9)), {x})"
+    return f"CASE WHEN length({found}) > 120 THEN left({found}, 120) || '...' ELSE {found} END"
 
 
 def topic_totals(k: str) -> list[str]:
-    return ["(" + " + ".join(f"CASE WHEN list_contains({k}, {lit(w)}) THEN {float(x)}::DOUBLE ELSE 0.0::DOUBLE END" for w, x in L.TOPICS[t].items()) + ")" for t in sorted(L.TOPICS)]
+    weighted = lambda t: f"list_sum(list_transform({k}, lambda w_: coalesce(map {{{', '.join(f'{lit(w)}: {x}::DOUBLE' for w, x in L.TOPICS[t].items())}}}[w_], 0.0::DOUBLE)))"
+    return [f"coalesce({weighted(t)}, 0.0::DOUBLE)" for t in sorted(L.TOPICS)]
 
 
 #: The seeded turns: conv_id, turn_number, speaker, raw_text and its lowered form.
 PLAIN = "plain AS (SELECT conv_id, (turn + 1)::INTEGER AS turn_number, role AS speaker, coalesce(text, '') AS raw_text FROM conversations)"
-TURNS = f"turns AS (SELECT conv_id, turn_number, speaker, raw_text || ' ' || ({strings(L.SEEDS)})[((conv_id * 5 + (turn_number - 1) * 3) % {len(L.SEEDS)})::INTEGER + 1] AS raw_text FROM plain)"
-LOW = f"lowt AS (SELECT *, {low('raw_text')} AS low FROM turns)"
+TURNS = f"turns AS (SELECT conv_id, turn_number, speaker, raw_text || ' ' || ({strings(L.SEEDS)})[((conv_id % {len(L.THEMES)}) * 8 + (turn_number - 1) % 8)::INTEGER + 1] AS raw_text FROM plain)"
+LOW = f"lowt AS (SELECT *, {low('raw_text')} AS low, lower(raw_text) AS plain_, lower(speaker) = 'assistant' AS said FROM turns)"
 
 
 def base(*more: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +13,53 @@ from colloquy.operators import findings as P
 
 #: Presets of enabled stages.
 PRESETS = {
-    "all": ("admission", "inhibit", "salience"),
-    "no_salience": ("admission", "inhibit"),
+    "all": ("admission", "modulation", "inhibit", "salience", "metacognition"),
+    "no_feedback": ("admission", "modulation", "inhibit", "salience"),
+    "no_modulation": ("admission", "inhibit", "salience", "metacognition"),
+    "no_salience": ("admission", "modulation", "inhibit", "metacognition"),
     "detectors_inhibited": ("inhibit",),
     "detectors_only": (),
 }
 
 
-def admitted(turns: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
-    """(turns of admitted conversations, rejections with their first reason)."""
-    checks = C.validate_format(turns, **limits).select("conv_id", "reason").join(C.screen_toxicity(turns).select("conv_id", "score"), "conv_id")
-    rejected = checks.withColumn("reason", F.coalesce("reason", F.when(F.col("score") > 0, F.lit("toxic")))).where("reason is not null").select("conv_id", "reason")
+def admitted(turns: DataFrame, profiles: DataFrame | None = None, blocklist: Iterable[str] | None = None, **limits) -> tuple[DataFrame, DataFrame]:
+    """(turns of admitted conversations, rejections with their first reason): format, then listed terms, then, with ``profiles``, language."""
+    screened = C.screen_toxicity(turns) if blocklist is None else C.screen_toxicity(turns, tuple(blocklist))
+    checks = C.validate_format(turns, **limits).select("conv_id", "reason").join(screened.select("conv_id", "score"), "conv_id")
+    reason = F.coalesce("reason", F.when(F.col("score") > 0, F.lit("toxic")))
+    if profiles is not None:
+        checks = checks.join(C.detect_language(turns, profiles).select("conv_id", "supported"), "conv_id", "left")
+        reason = F.coalesce(reason, F.when(~F.col("supported"), F.lit("language")))
+    rejected = checks.select("conv_id", reason.alias("reason")).where("reason is not null")
     return turns.join(rejected, "conv_id", "left_anti"), rejected
 
 
-def full_report(turns: DataFrame, detectors: tuple[str, ...] | None = None, preset: str = "detectors_only") -> DataFrame:
-    """Report, gain and detector set per conversation with findings, under one of PRESETS."""
+def full_report(
+    turns: DataFrame, objectives: DataFrame | None = None, detectors: Iterable[str] | None = None, preset: str = "all", params: dict[str, dict] | None = None, index: DataFrame | None = None,
+    profiles: DataFrame | None = None, routed: bool = True, **limits,
+) -> DataFrame:
+    """Report, gain and, with metacognition, self-confidence per conversation with findings, under one of PRESETS. ``index`` is the pattern
+    index of past runs; with ``routed``, only detectors that have something to look at count. Findings are worked out once: the
+    frame they are in is cached until the session's cache is cleared, as later stages read it several times."""
     stages = PRESETS[preset]
     if "admission" in stages:
-        turns, _ = admitted(turns)
-    findings = D.detect(turns, detectors).withColumn("confidence", F.round("confidence", 6))
+        turns, _ = admitted(turns, profiles, **limits)
+    found = D.detect(turns, detectors, params, objectives).withColumn("confidence", F.round("confidence", 6))
+    if routed:
+        found = found.join(C.route(turns, objectives).select("conv_id", F.col("detector").alias("detector_name")), ["conv_id", "detector_name"], "left_semi")
+    raw = found
+    gains = C.gain(turns)
     if "inhibit" in stages:
-        findings = P.inhibit(findings, turns).where("action = 'PASS'")
+        found = P.inhibit(found.persist(), turns, gains=gains if "modulation" in stages else gains.withColumn("urgency", F.lit(0.5)))
+        log = found.groupBy("conv_id").agg(F.count_if(F.col("action") == "INHIBIT").alias("inhibited"))
+        found = found.where("action = 'PASS'")
     if "salience" in stages:
-        findings = P.salience(findings)
-    return P.aggregate_report(findings).join(C.gain(turns), "conv_id")
+        found = P.salience(found)
+    report = P.aggregate_report(found).join(gains, "conv_id")
+    if "inhibit" in stages:
+        report = report.join(log, "conv_id", "left")
+    if "metacognition" in stages:
+        none = raw.sparkSession.createDataFrame([], "pattern string, n long, accuracy double")
+        own = P.self_confidence(found, none if index is None else index)
+        report = report.join(own.select("conv_id", F.col("score").alias("self_confidence"), "recommendation"), "conv_id")
+    return report

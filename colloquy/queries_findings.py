@@ -14,41 +14,51 @@ from colloquy.operators import detectors as D
 from colloquy.operators import evaluate as E
 from colloquy.operators import findings as P
 from colloquy.operators import fuzzy as Z
-from colloquy.queries_detectors import GAIN, rounded
+from colloquy.plans import sweep as W
+from colloquy.queries_detectors import AC, CTR, FIRST, GAIN, NUM, SENT, classical_sql, drift_sql, fuzzy_sql, orbit_sql, rounded
 from colloquy.queries_detectors import ORACLE as DETECTOR_SQL
+from colloquy.queries_text import LONG, objectives
 from colloquy.sources import turns as S
 
 QUERIES, ORACLE = {}, {}
-#: Detectors whose findings the later queries start from.
-USED = ("sunk_cost", "confidence_miscalibration", "silent_revision", "negative_claim_confidence", "assumption_surfacer", "evidence_quality", "entity_coherence")
-ALL = (*USED, "anchoring", "sunk_cost_proximity", "contradiction", "evidence_asymmetry", "underevidenced_claims", "circular_reasoning", "status_quo_bias")
+#: Parameters of the detectors where the test tables' short conversations would never meet the defaults.
+PARAMS = {"anchoring_context": {"least": 0.02}, "conceptual_anchoring": {"min_turns": 4, "least": 0.02, "share": 0.5}, "scope_drift": {"sustained": 2, "reference_turns": 2}}
+NAMES = (*D.DEFAULT, "scope_drift")
 
 
-def union_sql(names: tuple[str, ...]) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM ({DETECTOR_SQL[n]})" for n in names)
+def found(turns: DataFrame) -> DataFrame:
+    """Findings of all detectors."""
+    return D.detect(turns, None, PARAMS, objectives(turns)).withColumn("confidence", F.round("confidence", 6))
 
 
-def found(turns: DataFrame, names: tuple[str, ...] = USED) -> DataFrame:
-    return D.detect(turns, names).withColumn("confidence", F.round("confidence", 6))
+_held: dict[tuple[str, str], DataFrame] = {}
 
 
-FOUND = f"found AS MATERIALIZED (SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({union_sql(USED)}))"
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a folder's tables, worked out once a session for all queries that start from it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        _held[key] = found(S.seeded_turns(spark, sf_dir)).persist()
+    return _held[key]
+
+
+FOUND = f"""found AS MATERIALIZED (SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({" UNION ALL ".join(f"SELECT * FROM ({DETECTOR_SQL[n]})" for n in NAMES)}))"""
 
 
 def of_findings(name: str, make: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None, *ctes: str) -> None:
     """A query of (turns, findings)."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        turns = S.seeded_turns(spark, sf_dir)
-        return rounded(make(turns, found(turns)))
+        return rounded(make(S.seeded_turns(spark, sf_dir), shared(spark, sf_dir)))
 
     QUERIES[name] = query
     if sql:
         ORACLE[name] = f"{O.base(FOUND, *ctes)} {sql}"
 
 
-QUERIES["detect"] = lambda spark, sf_dir: rounded(D.detect(S.seeded_turns(spark, sf_dir), ALL))
-ORACLE["detect"] = f"SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({union_sql(ALL)})"
+PLAIN = ("conv_id", "finding_type", "severity", "confidence", "detector_name", "relevant_turns", "finding_id")
+QUERIES["detect"] = lambda spark, sf_dir: rounded(found(S.seeded_turns(spark, sf_dir)).select(*PLAIN))
+ORACLE["detect"] = f"{O.base(FOUND)} SELECT {', '.join(PLAIN)} FROM found"
 
 KEEP = "conv_id", "finding_id", "detector_name", "finding_type", "severity", "confidence"
 _keep = ", ".join(KEEP)
@@ -57,18 +67,78 @@ met AS (SELECT a.conv_id, a.finding_id, count(DISTINCT b.detector_name) AS met F
 nd AS (SELECT conv_id, count(DISTINCT detector_name) - 1 AS others FROM found GROUP BY conv_id),
 co AS (SELECT f.*, CASE WHEN others = 0 THEN 1.0::DOUBLE ELSE coalesce(met, 0)::DOUBLE / others END AS corroboration FROM found f JOIN nd USING (conv_id) LEFT JOIN met USING (conv_id, finding_id))"""
 of_findings("corroboration", lambda t, f: P.corroboration(f).select(*KEEP, "corroboration"), f"SELECT {_keep}, round(corroboration, 6) AS corroboration FROM co", NEAR)
-_marks = " + ".join(f"max(contains(low, {O.lit(m)})::INTEGER)" for m in L.CLASSICAL)
-INH = f"""cl AS (SELECT conv_id, ({_marks}) >= 2 AS classical FROM lowt GROUP BY conv_id), hd AS (SELECT DISTINCT ex.conv_id, finding_id FROM ex JOIN lowt ON ex.conv_id = lowt.conv_id AND ex.t = lowt.turn_number WHERE {O.any_of('low', L.HEDGES)}),
-ih AS (SELECT co.*, CASE WHEN finding_type = 'CONFIDENCE_MISCALIBRATION' AND formality < 0.85 AND NOT classical AND hd.finding_id IS NOT NULL THEN 'hedged' WHEN severity = 4 THEN 'critical' WHEN urgency < 0.1 AND severity <= 2 THEN 'not_urgent'
- WHEN severity = 3 AND confidence < 0.55 THEN 'weak' WHEN corroboration < 0.1 AND confidence <= 0.9 THEN 'uncorroborated' ELSE 'passed' END AS reason FROM co JOIN gain USING (conv_id) JOIN cl USING (conv_id) LEFT JOIN hd ON co.conv_id = hd.conv_id AND co.finding_id = hd.finding_id),
+_casual = f"list_has_any({O.tokens('low')}, {O.strings(L.CASUAL_HEDGES)})"
+CONTEXT = f"""{classical_sql(L.CLASSICAL_CONFIDENCE)}, hd AS (SELECT DISTINCT ex.conv_id, finding_id FROM ex JOIN lowt ON ex.conv_id = lowt.conv_id AND ex.t = lowt.turn_number WHERE {_casual}),
+cx AS (
+  SELECT co.*, formality, urgency, finding_type = 'CONFIDENCE_MISCALIBRATION' AND formality < 0.85 AND NOT classical AND hd.finding_id IS NOT NULL AS casual
+  FROM co JOIN gain USING (conv_id) JOIN cl USING (conv_id) LEFT JOIN hd ON co.conv_id = hd.conv_id AND co.finding_id = hd.finding_id)"""
+
+
+def inhibit_sql(urgency: str = "urgency") -> str:
+    return f"""ih AS (SELECT *, CASE WHEN casual THEN 'hedged' WHEN severity = 4 THEN 'critical' WHEN {urgency} < 0.1 AND severity <= 2 THEN 'not_urgent'
+ WHEN severity = 3 AND confidence < 0.55 THEN 'weak' WHEN corroboration < 0.1 AND confidence <= 0.9 THEN 'uncorroborated' ELSE 'passed' END AS reason FROM cx),
 inhibited AS (SELECT *, CASE WHEN reason IN ('critical', 'passed') THEN 'PASS' ELSE 'INHIBIT' END AS action FROM ih)"""
-of_findings("inhibit", lambda t, f: P.inhibit(f, t).select(*KEEP, "corroboration", "reason", "action"), f"SELECT {_keep}, round(corroboration, 6) AS corroboration, reason, action FROM inhibited", NEAR, GAIN, INH)
-SAL = """sa AS (SELECT *, 0.4::DOUBLE / count(*) OVER (PARTITION BY conv_id, finding_type) + 0.4::DOUBLE * ((CASE WHEN relevant_turns <> '' THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN confidence > 0.7 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN finding_type IN ('ANCHORING_BIAS', 'CONTRADICTION', 'SUNK_COST_FALLACY') THEN 0.3::DOUBLE ELSE 0 END)) + 0.2::DOUBLE * severity / 4.0::DOUBLE AS salience FROM found),
+
+
+INH = f"{CONTEXT}, {inhibit_sql()}"
+DECIDED = (*KEEP, "corroboration", "reason", "action")
+_decided = f"SELECT {_keep}, round(corroboration, 6) AS corroboration, reason, action FROM inhibited"
+of_findings("inhibit", lambda t, f: P.inhibit(f, t).select(*DECIDED), _decided, NEAR, GAIN, INH)
+of_findings("inhibit_default_urgency", lambda t, f: P.inhibit_default_urgency(f, t, 0.05).select(*DECIDED), _decided, NEAR, GAIN, CONTEXT, inhibit_sql("0.05"))
+FUZZY = ", ".join(
+    [
+        fuzzy_sql("(SELECT DISTINCT conv_id, formality FROM cx)", "zf", Z.FORMALITY_GATE, ("formality",)),
+        fuzzy_sql("cx", "zs", Z.SEVERITY_GATE, ("(severity * 0.75::DOUBLE)", "urgency"), "conv_id, finding_id"),
+        fuzzy_sql("cx", "ze", Z.EVIDENCE_GATE, ("confidence", "corroboration"), "conv_id, finding_id"),
+        """zg AS (SELECT cx.*, coalesce(round(zf.score, 9), 0) AS f_, coalesce(round(zs.score, 9), 0) AS s_, coalesce(round(ze.score, 9), 0) AS e_, greatest(f_, s_, e_) AS most
+          FROM cx JOIN zf USING (conv_id) JOIN zs USING (conv_id, finding_id) JOIN ze USING (conv_id, finding_id)),
+        zi AS (SELECT *, CASE WHEN casual THEN 'hedged' WHEN severity = 4 THEN 'critical' WHEN most <= 0 THEN 'passed' WHEN f_ = most THEN 'formality_gate' WHEN s_ = most THEN 'severity_gate' ELSE 'evidence_gate' END AS reason,
+          CASE WHEN casual OR severity = 4 THEN 0.0::DOUBLE ELSE most END AS inhibition FROM zg)""",
+    ]
+)
+of_findings("inhibit_fuzzy", lambda t, f: P.inhibit_fuzzy(f, t).select(*KEEP, "inhibition", "reason", "action"), """SELECT conv_id, finding_id, detector_name, finding_type, severity, round(confidence * (1 - inhibition), 6) AS confidence, round(inhibition, 6) AS inhibition, reason,
+CASE WHEN reason = 'hedged' OR inhibition > 0.8 THEN 'INHIBIT' ELSE 'PASS' END AS action FROM zi""", NEAR, GAIN, CONTEXT, FUZZY)
+DETAILS = f"""dt AS (
+  SELECT f.*, CASE detector_name WHEN 'anchoring_context' THEN a.shift WHEN 'contradiction' THEN c.ov WHEN 'confidence_miscalibration' THEN f.confidence
+    WHEN 'sunk_cost' THEN least(string_split(relevant_turns, ' ')[2]::DOUBLE - string_split(relevant_turns, ' ')[1]::DOUBLE, 20.0) END AS signal, CASE c.kind WHEN 'negation' THEN 0.9::DOUBLE WHEN 'reversal' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS strength
+  FROM found f LEFT JOIN (SELECT conv_id, shift FROM {FIRST.format(order='round(c, 9) DESC, turn_number, position', source='ac')} WHERE rn = 1) a ON f.conv_id = a.conv_id
+  LEFT JOIN (SELECT conv_id, ov, kind FROM {CTR} WHERE rn = 1) c ON f.conv_id = c.conv_id)"""
+_scored = " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(4))
+SEVERE = ", ".join(
+    f"y{i} AS (SELECT * FROM dt WHERE detector_name = '{name}'), {fuzzy_sql(f'y{i}', f'x{i}', rules, inputs, 'conv_id')}"
+    for i, (name, rules, inputs) in enumerate((("anchoring_context", Z.ANCHORING, ("signal",)), ("contradiction", Z.CONTRADICTION, ("signal", "strength")), ("confidence_miscalibration", Z.CALIBRATION, ("signal",)), ("sunk_cost", Z.SUNK_COST, ("confidence", "signal"))))
+)
+SEVERE += f""", fsev AS (SELECT conv_id, finding_id, detector_name, finding_type, severity, coalesce(score, confidence) AS confidence FROM ({_scored}) WHERE score IS NULL OR round(score, 9) >= 0.1
+UNION ALL SELECT {_keep} FROM found WHERE detector_name NOT IN ('anchoring_context', 'contradiction', 'confidence_miscalibration', 'sunk_cost'))"""
+of_findings("fuzzy_severity", lambda t, f: P.fuzzy_severity(f).select(*KEEP), "SELECT conv_id, finding_id, detector_name, finding_type, severity, round(confidence, 6) AS confidence FROM fsev", NUM, AC, SENT, DETAILS, SEVERE)
+of_findings("crisp_vs_fuzzy", lambda t, f: E.crisp_vs_fuzzy(f, P.fuzzy_severity(f)), """SELECT conv_id, count(a) AS crisp, count(b) AS fuzzy, count(a + b) AS "both", round(coalesce(avg(b - a), 0), 6) AS mean_change
+FROM (SELECT conv_id, detector_name, f.confidence AS a, z.confidence AS b FROM found f FULL JOIN fsev z USING (conv_id, detector_name)) GROUP BY conv_id""", NUM, AC, SENT, DETAILS, SEVERE)
+
+
+def salience_sql(source: str = "found") -> str:
+    return f"""sa AS (
+  SELECT *, 0.4::DOUBLE / count(*) OVER (PARTITION BY conv_id, finding_type) + 0.4::DOUBLE * ((CASE WHEN relevant_turns <> '' THEN 0.3::DOUBLE ELSE 0 END) + 0.2::DOUBLE + (CASE WHEN confidence > 0.7 THEN 0.2::DOUBLE ELSE 0 END)
+    + (CASE WHEN detector_name IN ('anchoring_context', 'contradiction', 'sunk_cost') THEN 0.3::DOUBLE ELSE 0 END)) + 0.2::DOUBLE * severity / 4.0::DOUBLE AS salience FROM {source}),
 salient AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(salience, 9) DESC, finding_id) AS rank FROM sa WHERE round(salience, 9) >= 0.3) WHERE rank <= 10)"""
+
+
+SAL = salience_sql()
 of_findings("salience", lambda t, f: P.salience(f).select(*KEEP, "salience", "rank"), f"SELECT {_keep}, round(salience, 6) AS salience, rank::INTEGER AS rank FROM salient", SAL)
-REP = """rep AS (SELECT conv_id, count(*) AS n, count(*) FILTER (severity = 4) AS critical, count(*) FILTER (severity = 3) AS warning, count(*) FILTER (severity = 2) AS caution, string_agg(DISTINCT detector_name, ',' ORDER BY detector_name) AS detectors, string_agg(finding_id, ',' ORDER BY severity DESC, round(confidence, 6) DESC, finding_id) AS findings,
- greatest(0.0::DOUBLE, 1 - 0.3::DOUBLE * count(*) FILTER (severity = 4) - 0.15::DOUBLE * count(*) FILTER (severity = 3) - 0.05::DOUBLE * count(*) FILTER (severity = 2)) AS integrity FROM found GROUP BY conv_id)"""
-of_findings("aggregate_report", lambda t, f: P.aggregate_report(f), "SELECT conv_id, n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings FROM rep", REP)
+_action = f"coalesce(map {{{', '.join(f'{O.lit(k)}: {O.lit(v)}' for k, v in P.ACTIONS.items())}}}[t_], {O.lit(P.OTHER_ACTION)} || t_)"
+
+
+def report_sql(source: str = "found") -> str:
+    return f"""ro AS (SELECT conv_id, list(finding_type ORDER BY severity DESC, round(confidence, 6) DESC, finding_id) AS ts FROM {source} GROUP BY conv_id),
+ra AS (SELECT conv_id, array_to_string(list_transform({O.distinct('ts')}, lambda t_: {_action}), '; ') AS actions FROM ro),
+rep AS (
+  SELECT conv_id, count(*) AS n, count(*) FILTER (severity = 4) AS critical, count(*) FILTER (severity = 3) AS warning, count(*) FILTER (severity = 2) AS caution,
+    string_agg(DISTINCT detector_name, ',' ORDER BY detector_name) AS detectors, string_agg(finding_id, ',' ORDER BY severity DESC, round(confidence, 6) DESC, finding_id) AS findings,
+    greatest(0.0::DOUBLE, 1 - 0.3::DOUBLE * count(*) FILTER (severity = 4) - 0.15::DOUBLE * count(*) FILTER (severity = 3) - 0.05::DOUBLE * count(*) FILTER (severity = 2)) AS integrity
+  FROM {source} GROUP BY conv_id)"""
+
+
+REP = report_sql()
+of_findings("aggregate_report", lambda t, f: P.aggregate_report(f), "SELECT conv_id, n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions FROM rep JOIN ra USING (conv_id)", REP)
 _opp = " OR ".join(f"(a.finding_type = '{x}' AND b.finding_type = '{y}') OR (a.finding_type = '{y}' AND b.finding_type = '{x}')" for x, y in P.OPPOSITE)
 CON = f"""cp AS (SELECT a.conv_id, a.finding_id AS a, b.finding_id AS b FROM found a JOIN found b ON a.conv_id = b.conv_id AND a.finding_id < b.finding_id
 WHERE (a.finding_type = b.finding_type AND ((a.confidence > 0.6 AND b.confidence < 0.4) OR (b.confidence > 0.6 AND a.confidence < 0.4))) OR {_opp})"""
@@ -97,30 +167,72 @@ sf AS (SELECT *, 0.4::DOUBLE * agreement + 0.35::DOUBLE * margin + 0.25::DOUBLE
 of_findings("pattern_index", lambda t, f: P.pattern_index(memory(f)), "SELECT pattern, n, round(accuracy, 6) AS accuracy FROM pidx", MEM)
 _rec = "CASE WHEN round(score, 9) > 0.8 THEN 'HIGH' WHEN round(score, 9) > 0.5 THEN 'MODERATE' ELSE 'REVIEW' END"
 of_findings("self_confidence", lambda t, f: P.self_confidence(f, P.pattern_index(memory(f))), f"SELECT conv_id, pattern, round(agreement, 6) AS agreement, round(margin, 6) AS margin, round(history, 6) AS history, round(score, 6) AS score, {_rec} AS recommendation FROM sf", MEM)
-of_findings("consolidate", lambda t, f: P.consolidate(f, P.pattern_index(memory(f)).where("n > 1")), """SELECT * FROM (SELECT conv_id, pt.pattern, CASE WHEN round(least, 9) >= 0.8 THEN 'HIGH_CONFIDENCE' WHEN i.pattern IS NULL THEN 'NOVEL_PATTERN' END AS trigger FROM pt LEFT JOIN (SELECT * FROM pidx WHERE n > 1) i ON pt.pattern = i.pattern) WHERE trigger IS NOT NULL""", MEM)
-
-
-def member_sql(x: str, shape: tuple[float, ...]) -> str:
-    a, b, c, d = shape if len(shape) == 4 else (shape[0], shape[1], shape[1], shape[2])
-    rise = "1.0" if a == b else f"({x} - {a}::DOUBLE) / {b - a}::DOUBLE"
-    fall = "1.0" if c == d else f"({d}::DOUBLE - {x}) / {d - c}::DOUBLE"
-    return f"(CASE WHEN {x} < {a} OR {x} > {d} THEN 0.0 WHEN {x} < {b} THEN {rise} WHEN {x} <= {c} THEN 1.0 ELSE {fall} END)::DOUBLE"
-
-
-def fuzzy_sql(source: str, name: str) -> str:
-    cuts = {}
-    for conditions, term, weight in Z.RISK:
-        cuts.setdefault(term, []).append(f"least({', '.join(member_sql(v, Z.TERMS[t]) for v, t in conditions.items())}) * {weight}::DOUBLE")
-    cut = ", ".join(f"greatest({', '.join(v)}) AS c_{k}" for k, v in cuts.items())
-    height = f"greatest({', '.join(f'least(c_{k}, ' + member_sql('x', Z.TERMS[k]) + ')' for k in cuts)})"
-    return f"""{name}_c AS (SELECT *, {cut} FROM {source}), {name} AS (SELECT conv_id, any_value(n) AS n, any_value(severity) AS severity, any_value(confidence) AS confidence, sum({height} * x) / nullif(sum({height}), 0) AS risk FROM {name}_c, (SELECT i / 200.0::DOUBLE AS x FROM range(201) r(i)) GROUP BY conv_id)"""
-
-
-RISK = "ri AS (SELECT conv_id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS n, max(severity) / 4.0::DOUBLE AS severity, avg(confidence) AS confidence FROM found GROUP BY conv_id)"
-of_findings("fuzzy_score", lambda t, f: P.risk_inputs(f).withColumn("risk", F.round(Z.fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}), 4)).withColumn("confidence", F.round("confidence", 4)), "SELECT conv_id, round(n, 6) AS n, round(severity, 6) AS severity, round(confidence, 4) AS confidence, round(risk, 4) AS risk FROM fz", RISK, fuzzy_sql("ri", "fz"))
-of_findings("compound_pathology", lambda t, f: P.compound_pathology(f, 0.5, 0.8), "SELECT conv_id, 'COMPOUND_PATHOLOGY' AS finding_type, (CASE WHEN risk > 0.8 THEN 4 ELSE 3 END)::INTEGER AS severity, round(risk, 6) AS confidence FROM fz WHERE round(risk, 9) > 0.5", RISK, fuzzy_sql("ri", "fz"))
-ARB = "ra AS (SELECT conv_id, least(count(*) / 4.0::DOUBLE, 1.0::DOUBLE) AS n, max(severity) / 4.0::DOUBLE AS severity, count(*) FILTER (action = 'PASS')::DOUBLE / count(*)::DOUBLE AS confidence FROM inhibited GROUP BY conv_id)"
-of_findings("arbitrate", lambda t, f: P.arbitrate(P.inhibit(f, t)), "SELECT conv_id, round(risk, 6) AS risk, CASE WHEN round(risk, 9) <= 0.35 THEN 'dismiss' WHEN round(risk, 9) <= 0.65 THEN 'monitor' ELSE 'investigate' END AS decision FROM fa", NEAR, GAIN, INH, ARB, fuzzy_sql("ra", "fa"))
+ENT = f"""en AS (
+  SELECT f.conv_id, string_agg(detector_name, '+' ORDER BY detector_name) AS pattern, string_agg(finding_type, ' ' ORDER BY severity DESC, confidence DESC, finding_id) AS finding_types, list(confidence ORDER BY severity DESC, confidence DESC, finding_id) AS cs,
+    string_agg(severity::VARCHAR, ' ' ORDER BY severity DESC, confidence DESC, finding_id) AS severities, min(confidence) AS least FROM found f GROUP BY f.conv_id),
+lo AS (SELECT conv_id, count(*) FILTER (action = 'INHIBIT') AS n_inhibited, count(*) FILTER (action = 'PASS') AS n_passed, string_agg(DISTINCT reason, ' ' ORDER BY reason) AS reasons FROM inhibited GROUP BY conv_id),
+ec AS (
+  SELECT en.*, n_inhibited, n_passed, reasons, turns, formality, urgency, score AS self_confidence, 'auto_confirmed' AS outcome
+  FROM en JOIN lo USING (conv_id) JOIN (SELECT conv_id, count(*) AS turns FROM turns GROUP BY conv_id) USING (conv_id) JOIN gain USING (conv_id) JOIN sf USING (conv_id))"""
+ENTRY = ("conv_id", "pattern", "finding_types", "confidences", "severities", "n_inhibited", "n_passed", "reasons", "turns", "formality", "urgency", "outcome", "self_confidence")
+_entry = """conv_id, pattern, finding_types, severities, n_inhibited, n_passed, reasons, turns, round(formality, 6) AS formality, round(urgency, 6) AS urgency, round(self_confidence, 6) AS self_confidence, round(list_sum(cs), 4) AS confidences"""
+
+
+def memory_entries(t: DataFrame, f: DataFrame, make: Callable, *more: str) -> DataFrame:
+    """Entries with the sum of their confidences in place of the list."""
+    own = P.self_confidence(f, P.pattern_index(memory(f)))
+    rows = make(f, P.inhibit(f, t), t, C.gain(t), own).select(*ENTRY, *more)
+    return rows.withColumn("confidences", F.round(F.aggregate("confidences", F.lit(0.0), lambda a, b: a + b), 4))
+
+
+def consolidated(t: DataFrame, f: DataFrame) -> DataFrame:
+    known = P.pattern_index(memory(f)).where("n > 1")
+    return memory_entries(t, f, lambda f_, log, t_, g, own: P.consolidate(f_, known, log, t_, g, own, sure=0.7), "trigger")
+
+
+of_findings("consolidate", consolidated, f"""SELECT {_entry}, outcome, CASE WHEN round(least, 9) >= 0.7 THEN 'HIGH_CONFIDENCE' ELSE 'NOVEL_PATTERN' END AS trigger FROM ec LEFT JOIN (SELECT pattern, true AS known FROM pidx WHERE n > 1) USING (pattern)
+WHERE round(least, 9) >= 0.7 OR known IS NULL""", NEAR, GAIN, INH, MEM, ENT)
+
+
+def told(t: DataFrame, f: DataFrame) -> DataFrame:
+    verdicts_ = t.select("conv_id").distinct().where("conv_id % 4 = 1").select("conv_id", F.lit("confirmed").alias("outcome"))
+    return memory_entries(t, f, lambda *parts: P.user_feedback(P.entries(*parts), verdicts_)[0], "trigger")
+
+
+of_findings("user_feedback", told, f"SELECT {_entry}, 'confirmed' AS outcome, 'USER_FEEDBACK' AS trigger FROM ec WHERE conv_id % 4 = 1", NEAR, GAIN, INH, MEM, ENT)
+
+
+def second_look(t: DataFrame, f: DataFrame) -> DataFrame:
+    """Findings whose confidence someone lowered by 0.15, seen again by the detectors."""
+    lowered_ = f.withColumn("confidence", F.greatest(F.round(F.col("confidence") - 0.15, 6), F.lit(0.05)))
+    own = P.self_confidence(lowered_, P.pattern_index(memory(f)))
+    again = lambda convs: found(t.join(convs, "conv_id", "left_semi")).where("detector_name <> 'status_quo_bias'")
+    return P.feedback_pass(lowered_, own, again, threshold=0.7).select(*KEEP, "delta")
+
+
+_peer = " ".join(
+    f"WHEN c.detector_name = '{n}' THEN CASE WHEN {'len(ps) > 0' if peer is None else f'list_contains(ps, {O.lit(peer)})'} THEN {up}::DOUBLE WHEN coalesce(len(ps), 0) = 0 THEN -{down}::DOUBLE ELSE 0 END" for n, (peer, up, down) in P.PEERS.items()
+)
+SECOND = f"""fl AS (SELECT * REPLACE (greatest(round(confidence - 0.15, 6), 0.05)::DOUBLE AS confidence) FROM found),
+ls AS (SELECT conv_id, string_agg(DISTINCT detector_name, '+' ORDER BY detector_name) AS pattern, count(*) AS n, stddev_pop(confidence) AS sd, avg(abs(confidence - 0.5::DOUBLE) * 2) AS margin FROM fl GROUP BY conv_id),
+lc AS (SELECT conv_id, 0.4::DOUBLE * CASE WHEN ls.n = 1 THEN 0.8::DOUBLE ELSE 1 - sd END + 0.35::DOUBLE * margin + 0.25::DOUBLE * coalesce(accuracy, 0.5::DOUBLE) AS score FROM ls LEFT JOIN pidx USING (pattern)),
+ch AS (SELECT conv_id, detector_name FROM (SELECT fl.*, row_number() OVER (PARTITION BY fl.conv_id ORDER BY round(confidence, 9), finding_id) AS k FROM fl JOIN lc ON fl.conv_id = lc.conv_id WHERE round(score, 9) < 0.7) WHERE k <= 3),
+pe AS (SELECT a.conv_id, a.detector_name, list(DISTINCT b.detector_name) AS ps FROM ex a JOIN ex b ON a.conv_id = b.conv_id AND a.detector_name <> b.detector_name AND abs(a.t - b.t) <= 1 GROUP BY ALL),
+sn2 AS (
+  SELECT c.conv_id, c.detector_name, CASE WHEN c.detector_name = 'status_quo_bias' THEN NULL ELSE {O.clamp(f"f.confidence + CASE {_peer} ELSE 0 END")} END AS fresh
+  FROM ch c JOIN found f ON c.conv_id = f.conv_id AND c.detector_name = f.detector_name LEFT JOIN pe ON c.conv_id = pe.conv_id AND c.detector_name = pe.detector_name),
+sk2 AS (
+  SELECT fl.*, fresh, sn2.conv_id IS NOT NULL AS looked, coalesce(abs(fresh - confidence) >= 0.1 - 1e-9, false) AS changed FROM fl LEFT JOIN sn2 ON fl.conv_id = sn2.conv_id AND fl.detector_name = sn2.detector_name)"""
+of_findings("feedback_pass", second_look, """SELECT conv_id, finding_id, detector_name, finding_type, severity, round(CASE WHEN changed THEN fresh ELSE confidence END, 6) AS confidence, round(CASE WHEN changed THEN fresh - confidence ELSE 0 END, 6) AS delta
+FROM sk2 WHERE NOT (looked AND fresh IS NULL AND confidence > 0.1) AND CASE WHEN changed THEN fresh ELSE confidence END > 0""", NEAR, MEM, SECOND)
+_eff = "greatest(confidence, severity * 0.25::DOUBLE)"
+RISK = f"ri AS (SELECT conv_id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS n, {O.clamp(f'max({_eff})')} AS severity, avg(confidence) AS confidence FROM found GROUP BY conv_id), {fuzzy_sql('ri', 'fz', Z.COMPOUND, ('n', 'severity', 'confidence'))}"
+of_findings("fuzzy_score", lambda t, f: P.risk_inputs(f).withColumn("risk", F.round(Z.fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}), 4)).withColumn("confidence", F.round("confidence", 4)), "SELECT conv_id, round(n, 6) AS n, round(severity, 6) AS severity, round(confidence, 4) AS confidence, round(score, 4) AS risk FROM fz", RISK)
+of_findings("compound_pathology", lambda t, f: P.compound_pathology(f), "SELECT conv_id, 'COMPOUND_PATHOLOGY' AS finding_type, (CASE WHEN score > 0.85 THEN 4 ELSE 3 END)::INTEGER AS severity, round(score, 6) AS confidence FROM fz WHERE round(score, 9) > 0.6", RISK)
+ARB = f"""ra_ AS (SELECT conv_id, {O.clamp(f'max({_eff})')} AS severity, least(count(*) / 4.0::DOUBLE, 1.0::DOUBLE) AS density, count(*) FILTER (action = 'INHIBIT')::DOUBLE / count(*)::DOUBLE AS inhibited FROM inhibited GROUP BY conv_id),
+{fuzzy_sql('ra_', 'fa', Z.ARBITRATION, ('severity', 'density', 'inhibited'))}"""
+of_findings("arbitrate", lambda t, f: P.arbitrate(P.inhibit(f, t)), """SELECT conv_id, round(severity, 6) AS severity, round(density, 6) AS density, round(inhibited, 6) AS inhibited, round(coalesce(score, 0), 6) AS risk,
+CASE WHEN round(coalesce(score, 0), 9) <= 0.35 THEN 'dismiss' WHEN round(coalesce(score, 0), 9) <= 0.65 THEN 'monitor' ELSE 'investigate' END AS decision FROM fa""", NEAR, GAIN, INH, ARB)
 OUT = "oc AS (SELECT md5(conv_id::VARCHAR || '|' || finding_id) AS id, conv_id, detector_name, finding_type, confidence, severity FROM found WHERE round(confidence, 9) >= 0.6)"
 of_findings("record_outcomes", lambda t, f: P.record_outcomes(f).drop("outcome"), "SELECT id, conv_id, detector_name, finding_type, round(confidence, 6) AS confidence, severity FROM oc", OUT)
 
@@ -201,3 +313,94 @@ tr AS (SELECT variant, {_sums}, round({_p}, 6) AS precision, round({_r}, 6) AS r
 of_findings("variant_traits", traits, "SELECT * FROM tr", EXP, TRA)
 of_findings("profile_scores", lambda t, f: E.profile_scores(rounded(traits(t, f)), {"precision": (0.5, False), "recall": (0.3, False), "fp": (0.2, True)}), "SELECT variant, round(0.5::DOUBLE * coalesce(precision / nullif(max(precision) OVER (), 0), 0) + 0.3::DOUBLE * coalesce(recall / nullif(max(recall) OVER (), 0), 0) + 0.2::DOUBLE * (1 - coalesce(fp::DOUBLE / nullif(max(fp) OVER (), 0)::DOUBLE, 0)), 6) AS score FROM tr", EXP, TRA)
 of_findings("pareto_front", lambda t, f: E.pareto_front(rounded(traits(t, f)), ("precision", "recall", "f1")), "SELECT * FROM tr a WHERE NOT EXISTS (SELECT 1 FROM tr b WHERE b.variant <> a.variant AND b.precision >= a.precision - 1e-9 AND b.recall >= a.recall - 1e-9 AND b.f1 >= a.f1 - 1e-9 AND (b.precision > a.precision + 1e-9 OR b.recall > a.recall + 1e-9 OR b.f1 > a.f1 + 1e-9))", EXP, TRA)
+
+#: For hard cases: the first turns of every other conversation are clean.
+HARD = """hx AS (SELECT DISTINCT entry_id AS conv_id, finding_type FROM expd), hm AS (SELECT conv_id, 0.3::DOUBLE * count(*) FILTER (f.conv_id_ IS NULL) AS won, 0.3::DOUBLE * count(*) AS most
+  FROM hx LEFT JOIN (SELECT DISTINCT conv_id AS conv_id_, finding_type AS ft FROM found) f ON hx.conv_id = conv_id_ AND hx.finding_type = ft GROUP BY conv_id),
+he AS (SELECT DISTINCT ex.conv_id, ex.finding_id, 0.2::DOUBLE AS won FROM ex JOIN found f ON ex.conv_id = f.conv_id AND ex.finding_id = f.finding_id
+  WHERE ex.conv_id % 2 = 0 AND ex.t BETWEEN 1 AND 4 AND NOT EXISTS (SELECT 1 FROM hx WHERE hx.conv_id = f.conv_id AND hx.finding_type = f.finding_type)),
+hp AS (SELECT conv_id, won, most FROM hm UNION ALL SELECT conv_id, won, won FROM he UNION ALL SELECT conv_id, 0.1::DOUBLE, 0.1::DOUBLE FROM found WHERE round(confidence, 9) BETWEEN 0.35 AND 0.65)"""
+
+
+def hard_cases(t: DataFrame, f: DataFrame) -> DataFrame:
+    clean = t.select("conv_id").distinct().where("conv_id % 2 = 0").select("conv_id", F.lit(1).alias("start"), F.lit(4).alias("end"))
+    wanted = expected(t).select(F.col("entry_id").alias("conv_id"), F.upper(F.trim("finding_type")).alias("finding_type"))
+    return E.hard_case_score(f, wanted, clean)
+
+
+of_findings("hard_case_score", hard_cases, "SELECT conv_id, round(coalesce(sum(won) / nullif(sum(most), 0), 0), 6) AS score FROM hp GROUP BY conv_id", NEAR, EXP, HARD)
+
+
+def grid(t: DataFrame, f: DataFrame) -> DataFrame:
+    """The whole grid over dialogues of five conversations each; labels by rule."""
+    long = S.long_turns(t)
+    kinds = F.array(*[F.lit(k) for k in ("SCOPE_DRIFT", "CONCEPTUAL_ANCHORING", "INHERITED_POSITION", "SYCOPHANCY")])
+    wanted = long.select("conv_id").distinct().select("conv_id", F.explode(F.slice(kinds, (F.col("conv_id") % 3 + 1).cast("int"), 2)).alias("finding_type"))
+    fixed = D.run(long, {"sustained_conviction": {}, "status_quo_bias": {}})
+    return W.parameter_grid(long, objectives(long), fixed, wanted, orbit={"min_turns": 8})
+
+
+_at = ", ".join(f"({v})" for v in W.GRID["anchor_threshold"])
+GRID = f"""{LONG}, {drift_sql("", "longt")}, {orbit_sql("longt", 8, 0.3, 0.6)}, gl AS (SELECT DISTINCT conv_id FROM longt),
+gx AS (SELECT conv_id, unnest((['SCOPE_DRIFT', 'CONCEPTUAL_ANCHORING', 'INHERITED_POSITION', 'SYCOPHANCY'])[(conv_id % 3)::INTEGER + 1:(conv_id % 3)::INTEGER + 2]) AS finding_type FROM gl),
+lowl AS (SELECT *, {O.low('raw_text')} AS low, lower(raw_text) AS plain_, lower(speaker) = 'assistant' AS said FROM longt),
+g0 AS (SELECT DISTINCT conv_id, finding_type FROM (SELECT * FROM ({DETECTOR_SQL["sustained_conviction"].replace("FROM lowt", "FROM lowl").replace(O.base(), O.base(LONG, f"lowl AS (SELECT *, lower(raw_text) AS plain_, lower(speaker) = 'assistant' AS said FROM longt)"))})
+  UNION ALL SELECT * FROM ({DETECTOR_SQL["status_quo_bias"].replace("FROM lowt", "FROM lowl").replace(O.base(), O.base(LONG, f"lowl AS (SELECT *, lower(raw_text) AS plain_, lower(speaker) = 'assistant' AS said FROM longt)"))}))),
+pd AS (SELECT v.dt, u.st FROM (VALUES (0.60), (0.65), (0.70), (0.75), (0.79)) v(dt), (VALUES (2), (3), (4), (5), (6)) u(st)),
+gf AS (SELECT dd.*, dt, round(distance, 9) > dt::DOUBLE AS far FROM dd, (SELECT DISTINCT dt FROM pd)), gr AS (SELECT *, sum((NOT far)::INTEGER) OVER (PARTITION BY conv_id, dt ORDER BY turn_number) AS run FROM gf),
+gm AS (SELECT conv_id, dt, max(n) AS n FROM (SELECT conv_id, dt, run, count(*) AS n FROM gr WHERE far GROUP BY ALL) GROUP BY ALL),
+k1 AS (SELECT pd.dt, pd.st, count(*) FILTER (gm.n >= st AND x.conv_id IS NOT NULL) AS tp, count(*) FILTER (gm.n >= st AND x.conv_id IS NULL) AS fp FROM pd LEFT JOIN gm ON gm.dt = pd.dt LEFT JOIN (SELECT * FROM gx WHERE finding_type = 'SCOPE_DRIFT') x ON x.conv_id = gm.conv_id GROUP BY ALL),
+po AS (SELECT a_.at_, o_.ot FROM (VALUES {_at}) a_(at_), (VALUES (0.45), (0.50), (0.55), (0.60)) o_(ot)),
+go AS (SELECT conv_id, at_, count(*) FILTER (sim >= at_::DOUBLE)::DOUBLE / count(*)::DOUBLE AS orbit, bool_or(conceded) AS conceded FROM orb, (SELECT DISTINCT at_ FROM po) GROUP BY ALL),
+k2 AS (SELECT po.at_, po.ot, count(*) FILTER (orbit >= ot AND NOT conceded AND x.conv_id IS NOT NULL) AS tp, count(*) FILTER (orbit >= ot AND NOT conceded AND x.conv_id IS NULL) AS fp FROM po LEFT JOIN go ON go.at_ = po.at_ LEFT JOIN (SELECT * FROM gx WHERE finding_type = 'CONCEPTUAL_ANCHORING') x ON x.conv_id = go.conv_id GROUP BY ALL),
+gc AS (SELECT conv_id, count(*) AS n, count(*) FILTER (NOT {O.justification('raw_text')})::DOUBLE / count(*)::DOUBLE AS s FROM longt WHERE {O.citation('raw_text')} IS NOT NULL GROUP BY conv_id),
+k3 AS (SELECT m.mc, count(*) FILTER (n >= mc AND s >= 0.7 AND x.conv_id IS NOT NULL) AS tp, count(*) FILTER (n >= mc AND s >= 0.7 AND x.conv_id IS NULL) AS fp FROM (VALUES (2), (3), (4)) m(mc) CROSS JOIN gc LEFT JOIN (SELECT * FROM gx WHERE finding_type = 'INHERITED_POSITION') x ON x.conv_id = gc.conv_id GROUP BY ALL),
+k0 AS (SELECT count(*) FILTER (g.conv_id IS NOT NULL AND x.conv_id IS NOT NULL) AS tp, count(*) FILTER (x.conv_id IS NULL) AS fp FROM g0 g FULL JOIN (SELECT * FROM gx WHERE finding_type NOT IN ('SCOPE_DRIFT', 'CONCEPTUAL_ANCHORING', 'INHERITED_POSITION')) x ON g.conv_id = x.conv_id AND g.finding_type = x.finding_type),
+kk AS (SELECT dt::DOUBLE AS drift_threshold, st::INTEGER AS sustained_turns, at_::DOUBLE AS anchor_threshold, ot::DOUBLE AS orbit_threshold, mc::INTEGER AS min_citations, k0.tp + k1.tp + k2.tp + k3.tp AS tp, k0.fp + k1.fp + k2.fp + k3.fp AS fp,
+  (SELECT count(*) FROM gx) - (k0.tp + k1.tp + k2.tp + k3.tp) AS fn FROM k0, k1, k2, k3)"""
+_gp, _gr = "coalesce(tp::DOUBLE / nullif(tp + fp, 0)::DOUBLE, 0)", "coalesce(tp::DOUBLE / nullif(tp + fn, 0)::DOUBLE, 0)"
+QUERIES["parameter_grid"] = lambda spark, sf_dir: rounded(grid(S.seeded_turns(spark, sf_dir), None))
+ORACLE["parameter_grid"] = f"""{O.base(GRID)} SELECT drift_threshold, sustained_turns, anchor_threshold, orbit_threshold, min_citations, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round({_gp}, 6) AS precision, round({_gr}, 6) AS recall,
+round(coalesce(2 * {_gp} * {_gr} / nullif({_gp} + {_gr}, 0), 0), 6) AS f1 FROM kk"""
+
+
+# Sources and sinks, over lines made of the tables.
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled corpus: one line a conversation; every seventh is broken, every eleventh lacks its input."""
+    turns = S.seeded_turns(spark, sf_dir)
+    parts = F.array_sort(F.collect_list(F.struct("turn_number", "speaker", "raw_text")))
+    rows = turns.groupBy("conv_id").agg(parts.alias("turns")).join(expected(turns).withColumnRenamed("entry_id", "conv_id"), "conv_id")
+    entry = F.struct(F.col("conv_id").cast("string").alias("entry_id"), F.when(F.col("conv_id") % 11 != 0, F.struct("turns", F.lit("").alias("objective"), F.size("turns").alias("total_turns"))).alias("input"), F.array(F.struct("finding_type")).alias("expected"))
+    return rows.select(F.when(F.col("conv_id") % 7 == 0, "{broken").otherwise(F.to_json(entry)).alias("value"))
+
+
+_good = "conv_id % 7 <> 0 AND conv_id % 11 <> 0"
+_kinds = "(['SUNK_COST_FALLACY', 'CONFIDENCE_MISCALIBRATION', 'unsupported_conclusion ', 'CONTRADICTION'])[(conv_id % 4)::INTEGER + 1]"
+_parsed = {
+    "read_snapshots": (lambda lines: S.parse_snapshots(lines)[0], f"SELECT conv_id::VARCHAR AS entry_id, turn_number, speaker, raw_text FROM turns WHERE {_good}"),
+    "read_labeled_corpus": (lambda lines: S.parse_snapshots(lines)[1], f"SELECT DISTINCT conv_id::VARCHAR AS entry_id, {_kinds} AS finding_type FROM turns WHERE {_good}"),
+    "snapshot_counts": (lambda lines: S.parse_snapshots(lines)[2], f"SELECT count(*) FILTER ({_good}) AS read, count(*) FILTER (NOT ({_good})) AS skipped FROM (SELECT DISTINCT conv_id FROM turns)"),
+    "corpus_quality": (
+        S.corpus_quality,
+        f"""SELECT count(*) AS lines, count(*) FILTER (conv_id % 7 = 0) AS invalid, floor(avg(n) FILTER ({_good}))::BIGINT AS mean_turns, string_agg(DISTINCT t, ',' ORDER BY t) AS types
+        FROM (SELECT conv_id, count(*) AS n, CASE WHEN conv_id % 7 <> 0 THEN {_kinds} END AS t FROM turns GROUP BY conv_id)""",
+    ),
+}
+for _name, (_make, _sql) in _parsed.items():
+    QUERIES[_name] = lambda spark, sf_dir, m=_make: m(corpus_lines(spark, sf_dir))
+    ORACLE[_name] = f"{O.base()} {_sql}"
+of_findings("annotations", lambda t, f: S.annotations(f.select(F.col("conv_id").alias("entry_id"), "finding_type"), t.select(F.col("conv_id").alias("entry_id"))), """SELECT t.conv_id AS entry_id, types FROM (SELECT DISTINCT conv_id FROM turns) t
+LEFT JOIN (SELECT conv_id, '["' || string_agg(DISTINCT finding_type, '","' ORDER BY finding_type) || '"]' AS types FROM found GROUP BY conv_id) f ON t.conv_id = f.conv_id""")
+of_findings("findings_to_corpus", lambda t, f: S.findings_to_corpus(f.where("confidence > 0.8").join(S.conversation_text(t), "conv_id").select(F.col("finding_id").alias("entry_id"), "conv_id", "finding_type", "conversation_text")), """SELECT finding_id AS entry_id, finding_type, i::INTEGER AS turn_number,
+CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS speaker, raw_text FROM (SELECT finding_id, finding_type, unnest(ls) AS raw_text, generate_subscripts(ls, 1) AS i FROM (SELECT finding_id, finding_type, string_split(ct.conversation_text, chr(10)) AS ls
+FROM found JOIN (SELECT conv_id, left(string_agg(trim(raw_text, ' ' || chr(10) || chr(9)), ' ' ORDER BY turn_number), 2000) AS conversation_text FROM turns WHERE turn_number <= 5 GROUP BY conv_id) ct USING (conv_id) WHERE confidence > 0.8)) WHERE raw_text <> ''""")
+
+
+def lexicon_of_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' lines as a phrase list, some of them comments."""
+    lines = S.load_conversations(spark, sf_dir).select(F.explode(F.split("raw_text", r"\.")).alias("x"), "turn_number")
+    return S.parse_lexicon(lines.select(F.when(F.col("turn_number") % 3 == 0, F.concat(F.lit("# "), "x")).otherwise(F.col("x")).alias("value")))
+
+
+QUERIES["load_lexicon"] = lexicon_of_stems
+ORACLE["load_lexicon"] = f"""{O.base()} SELECT trim(x, ' ') AS phrase FROM (SELECT unnest(string_split(raw_text, '.')) AS x, turn_number FROM plain) WHERE turn_number % 3 <> 0 AND trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), '#')"""

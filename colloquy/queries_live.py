@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from colloquy import lexicons as L
 from colloquy import oracle as O
 from colloquy.plans import report as R
-from colloquy.queries_detectors import GAIN, rounded
-from colloquy.queries_findings import FOUND, REP, USED
+from colloquy.queries_detectors import GAIN, LANG, ROUTE, ROUTED, language_profiles, rounded
+from colloquy.queries_findings import FOUND, INH, NEAR, PARAMS, report_sql, salience_sql, shared
+from colloquy.queries_text import objectives
 from colloquy.sources import turns as S
 from colloquy.streaming import sessions as W
 
@@ -28,13 +29,30 @@ ORACLE["session_counts"] = """WITH g AS (SELECT user_id AS session, ts, CASE WHE
 s AS (SELECT *, sum(d) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM s GROUP BY session, k"""
 
 
+QUERIES["last_runs"] = lambda spark, sf_dir: W.last_runs(events(spark, sf_dir))
+ORACLE["last_runs"] = """WITH n AS (SELECT *, max(ts) OVER () AS now_ FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)), r AS (SELECT * FROM n WHERE ts >= now_ - INTERVAL 5 MINUTE)
+SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, coalesce(floor(avg(value)), 0)::BIGINT AS mean, coalesce(floor(avg(value) FILTER (event_type <> 'error')), 0)::BIGINT AS mean_ok FROM r"""
+QUERIES["detector_counts"] = lambda spark, sf_dir: W.detector_counts(events(spark, sf_dir).select("ts", F.col("kind").alias("detector_name"), F.col("value").alias("confidence"))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+ORACLE["detector_counts"] = """SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS detector_name, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"""
+
+
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.full_report(S.seeded_turns(spark, sf_dir), USED))
+    """All stages over all detectors, with sunk costs and drift by the conversations' objectives."""
+    turns = S.seeded_turns(spark, sf_dir)
+    return rounded(R.full_report(turns, objectives(turns), params=PARAMS))
 
 
 QUERIES["full_report"] = full_report
-ORACLE["full_report"] = f"""{O.base(FOUND, REP, GAIN)} SELECT conv_id, n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, round(urgency, 6) AS urgency, round(complexity, 6) AS complexity, round(formality, 6) AS formality,
-CASE WHEN urgency > 0.6 THEN 'PHASIC' ELSE 'TONIC' END AS mode FROM rep JOIN gain USING (conv_id)"""
+_toxic = " OR ".join(O.bounded("low", t) for t in L.BLOCKLIST)
+_route = f"""{ROUTE}, {ROUTED}, rj AS (SELECT conv_id FROM lowt GROUP BY conv_id HAVING bool_or({_toxic}) OR count(*) > 500 OR sum(strlen(raw_text) + strlen(speaker)) > 1048576)"""
+_all = FOUND.replace("found AS MATERIALIZED", "every AS MATERIALIZED")
+REPORT = f"""{_all}, found AS MATERIALIZED (SELECT e.* FROM every e JOIN routed r ON e.conv_id = r.conv_id AND e.detector_name = r.detector WHERE e.conv_id NOT IN (SELECT conv_id FROM rj)),
+{NEAR}, {GAIN}, {INH}, passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS'), {salience_sql("passed")}, {report_sql("salient")},
+sg AS (SELECT conv_id, count(*) AS n, stddev_pop(confidence) AS sd, avg(abs(confidence - 0.5::DOUBLE) * 2) AS margin FROM salient GROUP BY conv_id),
+sz AS (SELECT conv_id, 0.4::DOUBLE * CASE WHEN n = 1 THEN 0.8::DOUBLE ELSE 1 - sd END + 0.35::DOUBLE * margin + 0.125::DOUBLE AS own FROM sg)"""
+ORACLE["full_report"] = f"""{O.base(_route, REPORT)} SELECT conv_id, rep.n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions, round(urgency, 6) AS urgency, round(complexity, 6) AS complexity, round(formality, 6) AS formality,
+CASE WHEN urgency > 0.6 THEN 'PHASIC' ELSE 'TONIC' END AS mode, lg.inhibited, round(own, 6) AS self_confidence, CASE WHEN round(own, 9) > 0.8 THEN 'HIGH' WHEN round(own, 9) > 0.5 THEN 'MODERATE' ELSE 'REVIEW' END AS recommendation
+FROM rep JOIN ra USING (conv_id) JOIN gain USING (conv_id) JOIN sz USING (conv_id) JOIN (SELECT conv_id, count(*) FILTER (action = 'INHIBIT') AS inhibited FROM inhibited GROUP BY conv_id) lg USING (conv_id)"""
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,17 +60,39 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["admission"] = admission
-_toxic = " OR ".join(O.bounded("low", t) for t in L.BLOCKLIST)
 ORACLE["admission"] = f"""{O.base()} SELECT * FROM (SELECT conv_id, CASE WHEN count(*) > 6 THEN 'too_many_turns' WHEN sum(strlen(raw_text) + strlen(speaker)) > 6000 THEN 'too_large' WHEN bool_or({_toxic}) THEN 'toxic' END AS reason FROM lowt GROUP BY conv_id) WHERE reason IS NOT NULL"""
 
 
 def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each run by detector, as text in order of name."""
-    from colloquy.queries_findings import found
-
-    rows = found(S.seeded_turns(spark, sf_dir)).groupBy("conv_id", "detector_name").agg(F.count("*").alias("n"))
+    rows = shared(spark, sf_dir).groupBy("conv_id", "detector_name").agg(F.count("*").alias("n"))
     return rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "detector_name", F.col("n").cast("string")))), ",").alias("by_detector"), F.sum("n").alias("findings"))
 
 
 QUERIES["run_outcome"] = run_outcome
 ORACLE["run_outcome"] = f"{O.base(FOUND)} SELECT conv_id, string_agg(x, ',' ORDER BY x) AS by_detector, sum(n)::BIGINT AS findings FROM (SELECT conv_id, detector_name || '=' || count(*) AS x, count(*) AS n FROM found GROUP BY conv_id, detector_name) GROUP BY conv_id"
+
+
+def admission_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the gate of language, by profiles of the documents."""
+    profiles = language_profiles(spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null"))
+    return R.admitted(S.seeded_turns(spark, sf_dir), profiles, max_turns=7)[1]
+
+
+QUERIES["admission_by_language"] = admission_by_language
+ORACLE["admission_by_language"] = f"""{O.base(LANG)}, fmt AS (SELECT conv_id, count(*) > 7 AS many, bool_or({_toxic}) AS toxic FROM lowt GROUP BY conv_id),
+lg AS (SELECT sm.conv_id, length(sample) < 20 OR (coalesce(lang, '') = 'en' AND round(coalesce(score, 0), 9) >= 0.55) AS ok FROM sm LEFT JOIN lb ON sm.conv_id = lb.conv_id)
+SELECT * FROM (SELECT conv_id, CASE WHEN many THEN 'too_many_turns' WHEN toxic THEN 'toxic' WHEN NOT ok THEN 'language' END AS reason FROM fmt LEFT JOIN lg USING (conv_id)) WHERE reason IS NOT NULL"""
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many conversations and findings each preset of stages reports."""
+    turns = S.seeded_turns(spark, sf_dir)
+    rows = [R.full_report(turns, None, ("status_quo_bias", "evidence_quality", "sunk_cost"), p).agg(F.lit(p).alias("variant"), F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings")) for p in R.PRESETS]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+QUERIES["variants"] = variants

@@ -48,8 +48,8 @@ per_turn("word_boundary_match", lambda raw, low: T.bounded(low, "ok"), O.bounded
 per_turn("bracket_citations", lambda raw, low: T.bracket_citations(raw), r"len(regexp_extract_all(raw_text, '\[[0-9]+\]'))::INTEGER")
 per_turn("strong_declarative", lambda raw, low: T.strong_declarative(raw), O.declarative("raw_text"))
 per_turn("authority_citation", lambda raw, low: T.authority_citation(raw), O.citation("raw_text"))
-per_turn("independent_justification", lambda raw, low: T.independent_justification(raw, 4), O.justification("raw_text").replace(">= 10", ">= 4"))
-per_turn("defended_claim", lambda raw, low: T.defended_claim(raw), f"left((list_filter({O.sentences('raw_text')}, lambda s: contains({O.low('s')}, {O.citation('raw_text')})))[1], 120)")
+per_turn("independent_justification", lambda raw, low: T.independent_justification(raw), O.justification("raw_text"))
+per_turn("defended_claim", lambda raw, low: T.defended_claim(raw), O.claim("raw_text"))
 per_turn("finding_id", lambda raw, low: T.finding_id(F.lit("scan"), F.array("turn_number")), "'scan:[' || turn_number || ']'")
 per_turn("user_override", lambda raw, low: (F.col("speaker") == "user") & T.phrase_any(low, L.OVERRIDE), f"speaker = 'user' AND {O.any_of('low', L.OVERRIDE)}")
 

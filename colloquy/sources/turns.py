@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
+from colloquy.functions.text import listed, lowered, phrase_any
 
 SNAPSHOT = "entry_id string, input struct<turns: array<struct<turn_number: int, speaker: string, raw_text: string>>, objective: string, total_turns: int>, expected array<struct<finding_type: string>>, _corrupt string"
 
@@ -17,10 +18,11 @@ def load_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with one known phrase added to every turn, so that every detector has something to find."""
-    seeds = F.array(*[F.lit(s) for s in L.SEEDS])
-    pick = F.get(seeds, F.pmod(F.col("conv_id") * 5 + (F.col("turn_number") - 1) * 3, F.lit(len(L.SEEDS))).cast("int"))
-    return load_conversations(spark, sf_dir).withColumn("raw_text", F.concat("raw_text", F.lit(" "), pick))
+    """The same with a known sentence added to every turn, so that every detector has something to find: conversations
+    have themes, and each turn the next sentence of its conversation's theme."""
+    rows = load_conversations(spark, sf_dir)
+    pick = F.pmod("conv_id", F.lit(len(L.THEMES))) * 8 + F.pmod(F.col("turn_number") - 1, F.lit(8))
+    return rows.withColumn("raw_text", F.concat("raw_text", F.lit(" "), F.get(listed(L.SEEDS), pick.cast("int"))))
 
 
 def long_turns(turns: DataFrame, group: int = 5) -> DataFrame:
@@ -66,26 +68,31 @@ def conversation_summary(turns: DataFrame, objectives: DataFrame, limit: int = 5
 
 def user_override(turns: DataFrame, phrases: tuple[str, ...] = L.OVERRIDE) -> DataFrame:
     """Marks user turns that change direction."""
-    from colloquy.functions.text import lowered, phrase_any
-
     return turns.withColumn("override", (F.col("speaker") == "user") & phrase_any(lowered(F.col("raw_text")), phrases))
 
 
-def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """NDJSON snapshots -> (turns, counts of good and skipped lines). Lines that don't parse, or lack
-    entry_id or input, are skipped and counted."""
-    rows = spark.read.schema(SNAPSHOT).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+def parse_snapshots(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """NDJSON snapshots (``value``) -> (turns, expected(entry_id, finding_type), counts of good and skipped lines). Lines that don't
+    parse, or lack entry_id or input, are skipped and counted."""
+    rows = lines.select(F.from_json("value", SNAPSHOT, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("p")).select("p.*")
     bad = F.col("_corrupt").isNotNull() | F.col("entry_id").isNull() | F.col("input").isNull()
-    turns = rows.where(~bad).select("entry_id", F.posexplode("input.turns").alias("at", "t"))
+    good = rows.where(~bad)
+    turns = good.select("entry_id", F.posexplode("input.turns").alias("at", "t"))
     turns = turns.select("entry_id", F.coalesce("t.turn_number", F.col("at") + 1).alias("turn_number"), F.coalesce("t.speaker", F.lit("unknown")).alias("speaker"), F.coalesce("t.raw_text", F.lit("")).alias("raw_text"))
-    return turns, rows.agg(F.count_if(~bad).alias("read"), F.count_if(bad).alias("skipped"))
+    expected = good.select("entry_id", F.explode("expected.finding_type").alias("finding_type"))
+    return turns, expected, rows.agg(F.count_if(~bad).alias("read"), F.count_if(bad).alias("skipped"))
+
+
+def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files of NDJSON snapshots -> (turns, counts of good and skipped lines)."""
+    turns, _, counts = parse_snapshots(spark.read.text(path))
+    return turns, counts
 
 
 def read_labeled_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """NDJSON corpus -> (turns, expected(entry_id, finding_type))."""
-    turns, _ = read_snapshots(spark, path)
-    rows = spark.read.schema(SNAPSHOT).option("columnNameOfCorruptRecord", "_corrupt").json(path).where("entry_id is not null")
-    return turns, rows.select("entry_id", F.explode("expected.finding_type").alias("finding_type"))
+    """Files of an NDJSON corpus -> (turns, expected(entry_id, finding_type))."""
+    turns, expected, _ = parse_snapshots(spark.read.text(path))
+    return turns, expected
 
 
 def normalize_records(raw: DataFrame) -> DataFrame:
@@ -104,13 +111,67 @@ def union_dedup(sources: list[DataFrame], key: str = "conv_id") -> DataFrame:
     return rows.withColumn("_best", F.min("source_prio").over(Window.partitionBy(key))).where("source_prio = _best").drop("_best")
 
 
-def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """One phrase a line; blank lines and comments are skipped."""
-    rows = spark.read.text(path).select(F.trim("value").alias("phrase"))
+def parse_lexicon(lines: DataFrame) -> DataFrame:
+    """Lines (``value``) -> (phrase): one a line; blank lines and comments are skipped."""
+    rows = lines.select(F.trim("value").alias("phrase"))
     return rows.where((F.col("phrase") != "") & ~F.col("phrase").startswith("#"))
 
 
+def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A file of phrases; ``phrases_of`` makes it a detector's list."""
+    return parse_lexicon(spark.read.text(path))
+
+
+def phrases_of(lexicon: DataFrame, most: int = 10_000) -> tuple[str, ...]:
+    """A lexicon as a list parameter, in lower case and order; more than ``most`` phrases are refused."""
+    rows = lexicon.select(F.lower("phrase").alias("phrase")).distinct().orderBy("phrase").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a phrase list has {most} phrases at most")
+    return tuple(r["phrase"] for r in rows)
+
+
+def parse_lang_profiles(files: DataFrame) -> DataFrame:
+    """(lang, value: {trigram: share}) -> (lang, trigram, freq)."""
+    return files.select("lang", F.explode(F.from_json("value", "map<string,double>")).alias("trigram", "freq"))
+
+
 def load_lang_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """{trigram: share} files -> (lang, trigram, freq)."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([a-z]+)\.json$", 1).alias("lang"), F.from_json("value", "map<string,double>").alias("m"))
-    return rows.select("lang", F.explode("m").alias("trigram", "freq"))
+    """{trigram: share} files, one a language -> (lang, trigram, freq)."""
+    return parse_lang_profiles(spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([a-z]+)\.json$", 1).alias("lang"), "value"))
+
+
+def findings_to_corpus(verified: DataFrame) -> DataFrame:
+    """Verified findings (entry_id, finding_type, conversation_text) -> labelled turns (entry_id, turn_number, speaker, raw_text,
+    finding_type): one turn a line, speakers A and B by turns; empty lines count and are left out."""
+    lines = verified.select("entry_id", "finding_type", F.posexplode(F.split("conversation_text", "\n")).alias("at", "raw_text")).where("raw_text <> ''")
+    return lines.select("entry_id", (F.col("at") + 1).alias("turn_number"), F.when(F.col("at") % 2 == 0, "A").otherwise("B").alias("speaker"), "raw_text", "finding_type")
+
+
+def annotations(expected: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry_id, types): every entry's expected types as a JSON list in order of name, null for a clean entry."""
+    lists = expected.groupBy("entry_id").agg(F.to_json(F.array_sort(F.collect_set("finding_type"))).alias("types"))
+    return entries.select("entry_id").distinct().join(lists, "entry_id", "left")
+
+
+def corpus_quality(lines: DataFrame) -> DataFrame:
+    """(lines, invalid, mean_turns, types) of NDJSON lines (``value``): how many, how many don't parse, their turns on the mean, rounded
+    down, and their expected types in order of name."""
+    parsed = lines.select(F.from_json("value", SNAPSHOT, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("p"))
+    bad = F.col("p._corrupt").isNotNull()
+    types = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~bad, F.col("p.expected.finding_type"))))))
+    return parsed.agg(F.count("*").alias("lines"), F.count_if(bad).alias("invalid"), F.floor(F.avg(F.when(~bad, F.size("p.input.turns")))).alias("mean_turns"), F.array_join(types, ",").alias("types"))
+
+
+def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None:
+    """Findings as Parquet, one folder a finding type."""
+    findings.write.mode(mode).partitionBy("finding_type").parquet(path)
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Adds rows to an append-only ledger of runs (memory) or outcomes; readers take the latest row of an id."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_annotations(expected: DataFrame, entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``annotations`` as JSON lines."""
+    annotations(expected, entries).write.mode(mode).option("ignoreNullFields", "false").json(path)

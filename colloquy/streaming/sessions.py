@@ -94,6 +94,59 @@ def alert_cooldown(alerts: DataFrame, gap: int = 5) -> DataFrame:
     return alerts.groupBy("session").transformWithStateInPandas(Cooldown(gap), schema, "append", "None")
 
 
+class RateLimit(StatefulProcessor):
+    """Passes an entry of a session if the last that passed is ``seconds`` back or more, and at most ``most`` of them."""
+
+    def __init__(self, seconds: float, most: int):
+        self.seconds, self.most = seconds, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", StructType([StructField("last", DoubleType()), StructField("n", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, n = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for event_id, ts in zip(frame["event_id"], frame["ts"]):
+            at = ts.timestamp()
+            if n < self.most and (last is None or at - last >= self.seconds):
+                last, n = at, n + 1
+                out.append((int(key[0]), int(event_id)))
+        if n:
+            self.state.update((float(last), int(n)))
+        yield pd.DataFrame(out, columns=["session", "event_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def memory_rate_limit(entries: DataFrame, seconds: float = 60.0, most: int = 10) -> DataFrame:
+    """(session, event_id) of the entries of a stream (session, event_id, ts) that may be kept: a pause between them, and so many a session."""
+    schema = StructType([StructField("session", LongType()), StructField("event_id", LongType())])
+    return entries.groupBy("session").transformWithStateInPandas(RateLimit(seconds, most), schema, "append", "None")
+
+
+def distinct_alerts(alerts: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of alerts (session, event_id, ts, ..) without repeats of an event that come within the watermark."""
+    return alerts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "event_id"])
+
+
+def detector_counts(findings: DataFrame, size: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """(start, detector_name, n, mean): findings (ts, detector_name, confidence) by window, tumbling or sliding, and detector."""
+    window = F.window("ts", size, slide) if slide else F.window("ts", size)
+    rows = findings.groupBy(window.alias("w"), "detector_name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return rows.select(F.col("w.start").alias("start"), "detector_name", "n", "mean")
+
+
+def last_runs(runs: DataFrame, most: int = 100, within: str = "5 minutes") -> DataFrame:
+    """(total, errors, mean, mean_ok) of the last ``most`` runs (event_id, ts, kind, value) that are no older than ``within`` of the
+    newest; means are rounded down, 0 without a run."""
+    newest = runs.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+    rows = newest.join(newest.agg(F.max("ts").alias("_now"))).where(F.col("ts") >= F.col("_now") - F.expr(f"INTERVAL '{within.split()[0]}' MINUTE"))  # one row
+    whole = lambda x: F.coalesce(F.floor(F.avg(x)), F.lit(0))
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "error").alias("errors"), whole(F.col("value")).alias("mean"), whole(F.when(F.col("kind") != "error", F.col("value"))).alias("mean_ok"))
+
+
 def recent_runs(events: DataFrame, size: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Per window: runs, errors and mean value, of all and of those that went well."""
     ok = F.col("kind") != "error"

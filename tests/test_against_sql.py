@@ -10,9 +10,8 @@ from colloquy import queries_detectors, queries_findings, queries_live, queries_
 SF = "/root/testdata/sf0.001"
 QUERIES = {**queries_text.QUERIES, **queries_detectors.QUERIES}
 ORACLE = {**queries_text.ORACLE, **queries_detectors.ORACLE}
-LATER = ("corroboration", "inhibit", "salience", "aggregate_report", "self_confidence", "per_section_scores", "pareto_front")
-QUERIES |= {n: queries_findings.QUERIES[n] for n in LATER} | queries_live.QUERIES
-ORACLE |= {n: queries_findings.ORACLE[n] for n in LATER} | queries_live.ORACLE
+QUERIES |= queries_findings.QUERIES | queries_live.QUERIES
+ORACLE |= queries_findings.ORACLE | queries_live.ORACLE
 
 
 def tidy(rows, columns):
@@ -35,3 +34,13 @@ def test_query(spark, name):
     assert sorted(names) == sorted(df.columns)
     expected = [dict(zip(names, r)) for r in found.fetchall()]
     assert tidy(df.collect(), sorted(names)) == tidy(expected, sorted(names))
+
+
+@pytest.mark.parametrize("name", ["sunk_cost", "contradiction_kinds", "assumption_surfacer", "evidence_quality", "status_quo_bias", "circular_reasoning", "inherited_position", "sustained_conviction", "negative_claim_confidence"])
+def test_detectors_fire_and_stay_silent(spark, name):
+    from colloquy.operators import detectors as D
+    from colloquy.sources import turns as S
+
+    turns = S.seeded_turns(spark, "/root/testdata/sf0.01")
+    found = (D.contradiction if name == "contradiction_kinds" else getattr(D, name))(turns).select("conv_id").distinct().count()
+    assert 0 < found < turns.select("conv_id").distinct().count()

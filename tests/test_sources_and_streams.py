@@ -40,7 +40,7 @@ def test_centroid_drift_follows_the_fold(spark):
 
 def test_a_user_detector_joins_the_union(spark):
     turns = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn_number int, speaker string, raw_text string")
-    D.register("mine", lambda t: D.finding(t, "SCOPE_DRIFT", F.lit(1), F.lit(0.5), "mine", F.array("turn_number")))
+    D.register("mine", lambda t: D.of_rows(t, D.finding("SCOPE_DRIFT", 1, 0.5, "mine", F.array("turn_number"))))
     try:
         assert [r.finding_id for r in D.detect(turns, ("mine",)).collect()] == ["mine:[1]"]
     finally:
@@ -72,3 +72,44 @@ def test_stream_of_runs_equals_the_batch(spark, tmp_path):
     out = W.run_once(W.recent_runs(stream), str(tmp_path / "ck"), "runs", "complete")
     batch = W.recent_runs(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_entries_pause_and_end(spark, tmp_path):
+    rows = [(1, i, f"2024-01-01 00:{i // 2:02d}:{30 * (i % 2):02d}", "k", 1.0, "", "") for i in range(40)]
+    out = W.run_once(W.memory_rate_limit(_events(spark, rows, str(tmp_path / "in"))), str(tmp_path / "ck"), "entries")
+    assert sorted(r.event_id for r in out.collect()) == [2 * i for i in range(10)]
+
+
+def test_repeated_alerts_go(spark, tmp_path):
+    rows = [(1, i % 5, f"2024-01-01 00:00:{i:02d}", "k", 1.0, "", "") for i in range(20)]
+    out = W.run_once(W.distinct_alerts(_events(spark, rows, str(tmp_path / "in"))), str(tmp_path / "ck"), "distinct")
+    assert sorted(r.event_id for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_ledgers_and_sinks_keep_all_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "SCOPE_DRIFT", 0.5), ("b", "CONTRADICTION", 0.7)], "entry_id string, finding_type string, confidence double")
+    for _ in range(2):
+        S.write_findings(rows, str(tmp_path / "f"))
+        S.append_ledger(rows, str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "f")).where("finding_type = 'SCOPE_DRIFT'").count() == 2 and spark.read.parquet(str(tmp_path / "l")).count() == 4
+    S.write_annotations(rows, rows.select("entry_id").union(spark.createDataFrame([("c",)], "entry_id string")), str(tmp_path / "a"))
+    assert sorted((r.entry_id, r.types) for r in spark.read.json(str(tmp_path / "a")).collect()) == [("a", '["SCOPE_DRIFT"]'), ("b", '["CONTRADICTION"]'), ("c", None)]
+
+
+def test_a_list_from_a_file_reaches_a_detector(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("# ours\nthrown away\n")
+    turns = spark.createDataFrame([(1, 1, "user", "Much was thrown away."), (1, 2, "user", "We must continue.")], "conv_id long, turn_number int, speaker string, raw_text string")
+    own = S.phrases_of(S.load_lexicon(spark, str(tmp_path / "l.txt")))
+    assert D.sunk_cost(turns).count() == 0 and [list(r.relevant_turns) for r in D.sunk_cost(turns, costs=own).collect()] == [[1, 2]]
+
+
+def test_clusters_follow_long_chains(spark):
+    from colloquy.operators import findings as P
+
+    kinds = ["SYCOPHANCY", "CONTRADICTION"]
+    rows = [(1, f"f{i:02d}", kinds[i % 2], 0.5) for i in range(12)]
+    frame = spark.createDataFrame(rows, "conv_id long, finding_id string, finding_type string, confidence double")
+    assert {r.cluster for r in P.conflict_clusters(frame).collect()} == {"f00"}
+    chain = [(2, f"g{i}", "SCOPE_DRIFT", 0.9 if i % 2 else 0.1) for i in range(9)]
+    frame = spark.createDataFrame(chain, "conv_id long, finding_id string, finding_type string, confidence double")
+    assert {r.cluster for r in P.conflict_clusters(frame).collect()} == {"g0"}

@@ -115,7 +115,8 @@ def in_order(docs: DataFrame, n_ranges: int) -> DataFrame:
     first = halo.groupBy("to", "key").agg(F.min("text").alias("text"))
     halo = first.select(F.col("to").alias("range"), F.lit(True).alias("halo"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"))
     both = rows.select("range", F.lit(False).alias("halo"), "doc_id", "text", "key").union(halo)
-    return both.repartition(n_ranges, "range").sortWithinPartitions("range", "halo", F.desc("key"), "text").select("range", "halo", "doc_id", "text")
+    # By range, as hashes of a few range numbers would fall together.
+    return both.repartitionByRange(n_ranges, "range").sortWithinPartitions("range", "halo", F.desc("key"), "text").select("range", "halo", "doc_id", "text")
 
 
 def _edited(k: int, w: int):
@@ -142,6 +143,16 @@ def _edited(k: int, w: int):
     return run
 
 
+#: Text bytes of a range of documents that one task compares.
+RANGE_BYTES = 32 << 20
+
+
+def _ranges(docs: DataFrame) -> int:
+    """As many ranges as there are shuffle partitions, and more where texts are large."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+
+
 def compare_with_edits(docs: DataFrame, n_ranges: int | None = None, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document.
 
@@ -149,6 +160,6 @@ def compare_with_edits(docs: DataFrame, n_ranges: int | None = None, k: int = GR
     document in descending doc_id; the first follows the last. Null text is empty, rows of equal id
     follow in the order of their text, null ids come last. One row per row of ``docs``.
     """
-    n = n_ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = n_ranges or _ranges(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs, n).mapInArrow(_edited(k, w), schema)

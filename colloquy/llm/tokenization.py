@@ -17,8 +17,8 @@ import pyarrow as pa
 from colloquy.llm.arrays import BASE, INVERSE, blocks, mix, powers, text_bytes
 
 #: Code points worked on at once, and distinct words kept by a worker before it starts anew.
-BLOCK_BYTES = 1 << 20
-KEPT_WORDS = 800_000
+BLOCK_BYTES = 512 << 10
+KEPT_WORDS = 600_000
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import context as C
 from colloquy.operators import detectors as D
 from colloquy.operators import findings as P
+from colloquy.plans.settle import settled
 
 #: Presets of enabled stages.
 PRESETS = {
@@ -39,18 +40,18 @@ def full_report(
     profiles: DataFrame | None = None, routed: bool = True, **limits,
 ) -> DataFrame:
     """Report, gain and, with metacognition, self-confidence per conversation with findings, under one of PRESETS. ``index`` is the pattern
-    index of past runs; with ``routed``, only detectors that have something to look at count. Findings are worked out once: the
-    frame they are in is cached until the session's cache is cleared, as later stages read it several times."""
+    index of past runs; with ``routed``, only detectors that have something to look at count. Findings, what was
+    decided on them and gains are worked out once (``settled``), as later stages read them several times."""
     stages = PRESETS[preset]
     if "admission" in stages:
         turns, _ = admitted(turns, profiles, **limits)
     found = D.detect(turns, detectors, params, objectives).withColumn("confidence", F.round("confidence", 6))
     if routed:
         found = found.join(C.route(turns, objectives).select("conv_id", F.col("detector").alias("detector_name")), ["conv_id", "detector_name"], "left_semi")
-    raw = found
-    gains = C.gain(turns)
+    found, gains = settled(found), settled(C.gain(turns))
+    spark = turns.sparkSession
     if "inhibit" in stages:
-        found = P.inhibit(found.persist(), turns, gains=gains if "modulation" in stages else gains.withColumn("urgency", F.lit(0.5)))
+        found = settled(P.inhibit(found, turns, gains=gains if "modulation" in stages else gains.withColumn("urgency", F.lit(0.5))))
         log = found.groupBy("conv_id").agg(F.count_if(F.col("action") == "INHIBIT").alias("inhibited"))
         found = found.where("action = 'PASS'")
     if "salience" in stages:
@@ -59,7 +60,7 @@ def full_report(
     if "inhibit" in stages:
         report = report.join(log, "conv_id", "left")
     if "metacognition" in stages:
-        none = raw.sparkSession.createDataFrame([], "pattern string, n long, accuracy double")
+        none = spark.createDataFrame([], "pattern string, n long, accuracy double")
         own = P.self_confidence(found, none if index is None else index)
         report = report.join(own.select("conv_id", F.col("score").alias("self_confidence"), "recommendation"), "conv_id")
     return report

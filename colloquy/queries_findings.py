@@ -15,6 +15,7 @@ from colloquy.operators import evaluate as E
 from colloquy.operators import findings as P
 from colloquy.operators import fuzzy as Z
 from colloquy.plans import sweep as W
+from colloquy.plans.settle import settled
 from colloquy.queries_detectors import AC, CTR, FIRST, GAIN, NUM, SENT, classical_sql, drift_sql, fuzzy_sql, orbit_sql, rounded
 from colloquy.queries_detectors import ORACLE as DETECTOR_SQL
 from colloquy.queries_text import LONG, objectives
@@ -38,7 +39,7 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of a folder's tables, worked out once a session for all queries that start from it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
-        _held[key] = found(S.seeded_turns(spark, sf_dir)).persist()
+        _held[key] = settled(found(S.seeded_turns(spark, sf_dir)))
     return _held[key]
 
 

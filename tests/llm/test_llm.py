@@ -600,7 +600,9 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
             at = stage(spark, at, SF)
             if i < 4:
                 assert at.columns == start.columns
-        assert at.count() == (0 if start.isEmpty() else at.count())
+        # Of what the first stage accepts, only the copies 1 and 2 of one text are alike.
+        kept = {r.doc_id for r in quality.classify(start, spark.read.parquet(f"{SF}/labels.parquet")).where("accepted").collect()}
+        assert {r.doc_id for r in at.select("doc_id").collect()} == kept - ({2} if 1 in kept else set())
 
 
 def test_pipeline_against_its_parts(spark, docs):

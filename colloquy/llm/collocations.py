@@ -5,9 +5,9 @@ The next relation comes from a merge-join of that one with itself, on the same p
 counted over all documents, and a semi-join with the frequent groups leaves what is extended further. Relations are written
 to the shared folder, packed: a row is a block of one language's texts, whose words are numbers into the block's vocabulary,
 in order, with -1 between pieces, so that sorted places lie side by side and the merge-join needs no shuffle. What crosses the
-network are a block's distinct groups with their counts.
+network are a block's distinct groups with their counts, packed by buckets of names.
 
-Groups are named by 64-bit hashes while they are searched; all counts are taken once more by the words themselves.
+Groups are named by hashes of 48 bits while they are searched; all counts are taken once more by the words themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ IS_BREAK = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(BREAKS, np.uint
 #: Text handled at once, and words of a block.
 BLOCK_BYTES, BLOCK_WORDS = 512 << 10, 400_000
 FIRST = 2000
+#: Bytes of a phrase's name.
+MARK_BYTES = 6
+#: Places of phrases whose names meet in one group, blocks of a lot, and buckets at least.
+GROUP_PLACES, LOT_BLOCKS, LEAST_BUCKETS = 1_500_000, 4096, 12
 #: Parts of a language that are ranked on their own before its first rows are picked.
 PARTS = 64
 
@@ -116,7 +120,7 @@ def _marks(vocabulary: np.ndarray, codes: np.ndarray, at: np.ndarray, k: int) ->
     out = np.zeros(len(at), np.uint64)
     for d in range(k):
         out = mix(out * BASE + vocabulary[codes[at + d]])
-    return out
+    return out >> np.uint64(64 - 8 * MARK_BYTES)
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -125,19 +129,69 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, np.frombuffer(vocabulary, np.uint64), np.frombuffer(codes, np.int32), None if starts is None else np.frombuffer(starts, np.int32)
 
 
-def _groups(k: int):
-    """(mark, block, n): a block's distinct phrases of k words whose first and last k - 1 are in the relation."""
+def _pack(marks: np.ndarray) -> bytes:
+    """Sorted names, the bytes of equal weight side by side: the upper ones hardly change and compress well."""
+    return marks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MARK_BYTES].T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // MARK_BYTES, 8), np.uint8)
+    out[:, :MARK_BYTES] = np.frombuffer(raw, np.uint8).reshape(MARK_BYTES, -1).T
+    return out.view("<u8").ravel()
+
+
+def _groups(k: int, buckets: int, lots: int):
+    """(bucket, lot, block, marks, n): a block's distinct phrases of k words whose first and last k - 1 are in the relation,
+    dealt by their names to buckets, and blocks to lots, so that no bucket gets a row from every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for i, vocabulary, codes, starts in _unpacked(batch):
+                block = batch.column("block")[i].as_py()
                 marks, n = np.unique(_marks(vocabulary, codes, extended(codes, starts), k), return_counts=True)
-                block = np.full(len(marks), batch.column("block")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(block), pa.array(n)], ["mark", "block", "n"])
+                ends = np.searchsorted(marks * np.uint64(buckets) >> np.uint64(8 * MARK_BYTES), np.arange(buckets + 1, dtype=np.uint64))
+                lot = (block * 0x9E3779B1 >> 7) % lots
+                rows = [(b, lot, block, _pack(marks[u:v]), n[u:v].astype("<u4").tobytes()) for b, (u, v) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if u < v]
+                columns = zip(*rows) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["bucket", "lot", "block", "marks", "n"])
 
     return run
 
 
+def _summed(marks: pa.ChunkedArray, n: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names of packed rows, with the sums of their counts."""
+    names = np.concatenate([_unpack(x.as_py()) for x in marks])
+    counts = np.concatenate([np.frombuffer(x.as_py(), kind) for x in n])
+    found, which = np.unique(names, return_inverse=True)
+    return found, np.bincount(which, counts, len(found)).astype(np.int64)
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    marks, n = _summed(rows.column("marks"), rows.column("n"), "<u4")
+    return pa.table({"bucket": rows.column("bucket")[:1], "marks": pa.array([_pack(marks)], pa.binary()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
+
+
+def _often(least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        marks, n = _summed(rows.column("marks"), rows.column("n"), "<i8")
+        return pa.table({"bucket": rows.column("bucket")[:1], "marks": pa.array([_pack(marks[n >= least])], pa.binary())})
+
+    return run
+
+
+def _semi_joined(groups: pa.Table, frequent: pa.Table) -> pa.Table:
+    """(block, marks): each block's names that are frequent."""
+    known = np.concatenate([_unpack(x.as_py()) for x in frequent.column("marks")] or [np.zeros(0, np.uint64)])
+    blocks_, kept = [], []
+    for block, raw in zip(groups.column("block").to_pylist(), groups.column("marks").to_pylist()):
+        own = np.intersect1d(_unpack(raw), known, assume_unique=True)
+        if len(own):
+            blocks_.append(block)
+            kept.append(_pack(own))
+    return pa.table({"block": pa.array(blocks_, pa.int64()), "marks": pa.array(kept, pa.binary())})
+
+
 def _kept(k: int):
     """The relation of length k: places of the block's frequent phrases."""
 
@@ -146,7 +200,7 @@ def _kept(k: int):
             packed = []
             for i, vocabulary, codes, starts in _unpacked(batch):
                 at = extended(codes, starts)
-                frequent = batch.column("marks")[i].values.to_numpy().view(np.uint64)
+                frequent = np.concatenate([_unpack(x) for x in batch.column("marks")[i].as_py()])
                 packed.append(at[np.isin(_marks(vocabulary, codes, at, k), frequent)].astype(np.int32).tobytes())
             columns = [batch.column(c) for c in ("block", "lang", "vocabulary", "codes")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["block", "lang", "vocabulary", "codes", "starts"])
@@ -154,6 +208,20 @@ def _kept(k: int):
     return run
 
 
+def extend(relation: DataFrame, k: int, least: int, scratch: Scratch) -> DataFrame:
+    """The relation of length k from that of length k - 1: merge-join, group-count over all blocks, semi-join."""
+    size = relation.agg(F.count("*").alias("blocks"), (F.sum(F.octet_length(F.coalesce("starts", "codes"))) / 4).alias("places")).first()
+    lots = max(1, -(-size["blocks"] // LOT_BLOCKS))
+    buckets = max(LEAST_BUCKETS, int((size["places"] or 0) / lots / GROUP_PLACES) + 1)
+    groups = relation.mapInArrow(_groups(k, buckets, lots), "bucket int, lot int, block long, marks binary, n binary")
+    counted = groups.select("bucket", "lot", "marks", "n").groupBy("bucket", "lot").applyInArrow(_counted, "bucket int, marks binary, n binary")
+    frequent = scratch.keep(counted.groupBy("bucket").applyInArrow(_often(least), "bucket int, marks binary"), "frequent")
+    to_all = frequent.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    held = groups.select("bucket", "lot", "block", "marks").groupBy("bucket", "lot").cogroup(to_all.groupBy("bucket", "lot")).applyInArrow(_semi_joined, "block long, marks binary")
+    held = scratch.keep(held.groupBy("block").agg(F.collect_list("marks").alias("marks")), "block-groups")
+    return relation.join(held, "block").mapInArrow(_kept(k), RELATION)
+
+
 def _phrases(k: int):
     """(phrase, n): the words of a block's phrases, counted."""
 
@@ -174,22 +242,25 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, scratch: Scratch
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
     salt = 0
     while True:
-        first = scratch.keep(texts.mapInArrow(_occurrences(salt), f"{RELATION}, words array<string>, counts array<long>"), "occurrences")
+        own = Scratch(docs.sparkSession)
+        first = own.keep(texts.mapInArrow(_occurrences(salt), f"{RELATION}, words array<string>, counts array<long>"), "occurrences", "zstd")
         blobs = first.select("lang", "vocabulary", "words", "counts").mapInArrow(_named, "word long, lang string, spelled string, n long")
         vocabulary = scratch.keep(blobs.groupBy("word", "lang", "spelled").agg(F.sum("n").alias("f")), "vocabulary")
-        # Two words of one hash: all is named anew.
         if vocabulary.groupBy("word").count().where("count > 1").isEmpty():
             break
+        # Two words of one hash: all is named anew.
+        own.clear()
         salt += 1
     phrases = vocabulary.where(F.col("f") >= least).select(F.array("word").alias("phrase"), "f")
-    relation = first.drop("words", "counts")
+    relation, made = first.drop("words", "counts"), own
     for k in range(2, longest + 1):
-        groups = relation.mapInArrow(_groups(k), "mark long, block long, n long")
-        frequent = scratch.keep(groups.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("mark"), "frequent")
-        held = scratch.keep(groups.select("mark", "block").join(frequent, "mark", "left_semi").groupBy("block").agg(F.collect_list("mark").alias("marks")), "block-groups")
-        relation = scratch.keep(relation.join(held, "block").mapInArrow(_kept(k), RELATION), "relation")
+        longer = Scratch(docs.sparkSession)
+        relation = longer.keep(extend(relation, k, least, scratch), "relation", "zstd")
+        made.clear()
+        made = longer
         counted = relation.mapInArrow(_phrases(k), "phrase array<long>, n long").groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         phrases = phrases.union(scratch.keep(counted, "phrases"))
+    made.clear()
     return vocabulary, phrases
 
 

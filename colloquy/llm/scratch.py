@@ -55,12 +55,12 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """As ``materialize``."""
         path = new_path(self.spark, name)
         self.paths.append(path)
         with shuffles_removed(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

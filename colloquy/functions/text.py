@@ -148,7 +148,11 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 def topic_vector(stems: Column, topics: Mapping[str, Mapping[str, float]] = L.TOPICS) -> Column:
     """Sum of lexicon weights of the words, by topic in order of name."""
     weights = [F.create_map(*[F.lit(x) for pair in sorted(topics[t].items()) for x in (pair[0], float(pair[1]))]) for t in sorted(topics)]
-    return F.array(*[F.aggregate(stems, F.lit(0.0), lambda total, w, m=m: total + F.coalesce(F.try_element_at(m, w), F.lit(0.0))) for m in weights])
+
+    def total(m: Column) -> Column:
+        return F.aggregate(stems, F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(F.try_element_at(m, w), F.lit(0.0)))
+
+    return F.array(*[total(m) for m in weights])
 
 
 def topic_similarity(a: Column, b: Column, n: int = len(L.TOPICS)) -> Column:

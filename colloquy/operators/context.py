@@ -116,6 +116,40 @@ def apply_offset(offsets: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return offsets.select("conv_id", "offset", table.alias("t")).select("conv_id", F.col("t.detector").alias("detector"), (F.col("t.base") * (1 + F.col("offset"))).alias("threshold"))
 
 
+#: The parameters that gain moves, by detector. Drift is left out.
+MODULATED = {"anchoring": "threshold", "anchoring_context": "threshold", "sunk_cost": "least", "contradiction": "overlap", "confidence_miscalibration": "least", "silent_revision": "least"}
+
+
+def own_thresholds(offsets: DataFrame | None, domains: DataFrame | None, bases: dict[str, float]) -> DataFrame | None:
+    """(conv_id, detector, parameter, value) as ``detect`` takes them: ``bases`` (detector -> threshold before gain) of MODULATED moved by ``offsets``, and what
+    ``domains`` (conv_id, domain, confidence) say for sure. None where there is neither."""
+    parts = []
+    if offsets is not None:
+        named = F.create_map(*[F.lit(x) for pair in MODULATED.items() for x in pair])
+        moved = apply_offset(offsets, {k: v for k, v in bases.items() if k in MODULATED})
+        parts.append(moved.select("conv_id", "detector", named[F.col("detector")].alias("parameter"), F.col("threshold").alias("value")))
+    if domains is not None:
+        own = domain_thresholds(domains).where("variant = 'unfiltered' OR NOT numeric_anchoring")
+        classical = F.col("variant") == "unfiltered"
+        row = lambda d, p, v: F.struct(F.lit(d).alias("detector"), F.lit(p).alias("parameter"), v.cast("double").alias("value"))
+        rows = F.array(
+            row("scope_drift", "threshold", F.col("drift")), row("scope_drift", "sustained", F.col("sustained")), row("conceptual_anchoring", "least", F.when(classical, F.col("anchor"))),
+            row("confidence_miscalibration", "min_words", F.when(classical, 8).otherwise(3)),
+        )
+        parts.append(own.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.*").where("value is not null"))
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def routed_detectors(turns: DataFrame, objectives: DataFrame | None = None, domains: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """(conv_id, detector): what is to run, before anything is detected. Conversations that ``domains`` hold for classical or code
+    review for sure have no numeric anchoring; ``levels`` of activation leave out more."""
+    rows = route(turns, objectives).select("conv_id", "detector")
+    if domains is not None:
+        skipped = domain_thresholds(domains).where("NOT numeric_anchoring").select("conv_id", F.explode(F.array(F.lit("anchoring"), F.lit("anchoring_context"))).alias("detector"))
+        rows = rows.join(skipped, ["conv_id", "detector"], "left_anti")
+    return rows if levels is None else activated(rows, levels)
+
+
 def activation_level(gains: DataFrame) -> DataFrame:
     """(conv_id, score, level, label): the hint mixed of all three signals; level 3 (all detectors), 2 (without the costly two) or 1 (only
     those that always run) by urgency."""

@@ -11,6 +11,7 @@ what finding the sums make; ``run`` puts any number of them into one projection
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import wraps
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy.functions import text as T
-from colloquy.operators.context import low
+from colloquy.operators.context import ROUTES, low
 
 FIELDS = "finding_type string, severity int, confidence double, detector_name string, relevant_turns array<int>, explanation string, signal double, strength double"
 FINDING = ["conv_id", *[f.split()[0] for f in FIELDS.split(", ")]]
@@ -111,14 +112,61 @@ def enrich(turns: DataFrame) -> DataFrame:
     return low(turns).withColumn("plain", F.lower("raw_text")).withColumn("said", (F.lower("speaker") == "assistant") & (F.btrim("raw_text", F.lit(" \n\t")) != ""))
 
 
+#: Parameters that may differ from conversation to conversation, by detector; the first is the detector's threshold.
+SETTABLE = {
+    "anchoring": ("threshold",), "anchoring_context": ("threshold",), "sunk_cost": ("least",), "sunk_cost_proximity": ("least",), "contradiction": ("overlap",),
+    "confidence_miscalibration": ("least", "min_words"), "silent_revision": ("least",), "scope_drift": ("threshold", "sustained"), "conceptual_anchoring": ("least",),
+}
+#: The column that holds a conversation's own settings, beside its turns and its sums.
+OWN = "_own"
+
+
+def settings(names: Iterable[str], thresholds: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """(conv_id, _own): a row for each conversation of either table; the struct has a value for every parameter that ``thresholds`` (conv_id, detector,
+    parameter, value) may set, null where it doesn't, and with ``routes`` (conv_id, detector) whether each detector of ROUTES runs; others always do."""
+    parts = []
+    if thresholds is not None:
+        of = lambda n, p: F.max(F.when((F.col("detector") == n) & (F.col("parameter") == p), F.col("value"))).alias(f"{n}_{p}")
+        keys = [(n, p) for n in names for p in SETTABLE.get(n, ())]
+        parts.append(thresholds.groupBy("conv_id").agg(F.struct(*[of(n, p) for n, p in keys]).alias("_set")))
+    if routes is not None:
+        flags = [F.coalesce(F.bool_or(F.col("detector") == n), F.lit(False)).alias(f"run_{n}") for n in names if n in ROUTES]
+        parts.append(routes.groupBy("conv_id").agg(F.struct(*flags).alias("_run")))
+    rows = parts[0] if len(parts) == 1 else parts[0].join(parts[1], "conv_id", "full_outer")
+    fields = [F.col(f"{c}.*") for c in ("_set", "_run") if c in rows.columns]
+    return rows.select("conv_id", *fields).select("conv_id", F.struct(*rows.select(*fields).columns).alias(OWN))
+
+
+def _params(name: str, params: dict, own: Iterable[str]) -> dict:
+    """Parameters, with a conversation's own value in place of those it may set."""
+    base = {k: v.default for k, v in inspect.signature(SIGNALS.get(name) or REGISTRY.get(name) or scope_drift).parameters.items()} | params
+    return params | {p: F.coalesce(F.col(f"{OWN}.{name}_{p}"), F.lit(base[p])) for p in SETTABLE.get(name, ()) if f"{name}_{p}" in own}
+
+
+def _runs_in(name: str, own: Iterable[str]) -> Column | None:
+    """Whether the detector runs for the conversation; None where it always does."""
+    return F.coalesce(F.col(f"{OWN}.run_{name}"), F.lit(False)) if f"run_{name}" in own else None
+
+
+def _own_fields(turns: DataFrame) -> list[str]:
+    return turns.schema[OWN].dataType.fieldNames() if OWN in turns.columns else []
+
+
 def run(turns: DataFrame, chosen: dict[str, dict]) -> DataFrame:
-    """Findings of the chosen signals (name -> parameters), from one pass over the turns."""
-    made = {}
+    """Findings of the chosen signals (name -> parameters), from one pass over the turns.
+
+    Turns may carry ``settings``: a detector then reads a turn only where it runs for the conversation, and takes the
+    conversation's own thresholds."""
+    made, only = {}, {}
+    own = _own_fields(turns)
     for i, (name, params) in enumerate(chosen.items()):
-        made[i] = SIGNALS[name](lambda key, i=i: F.col(f"_{i}_{key}"), **params)
-    rows = enrich(turns).select("conv_id", "turn_number", *[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.turn.items()])
-    sums = rows.groupBy("conv_id").agg(*[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.sums.items()])
-    found = F.filter(F.array(*[s.found for s in made.values()]), lambda f: f.isNotNull())
+        made[i] = SIGNALS[name](lambda key, i=i: F.col(f"_{i}_{key}"), **_params(name, params, own))
+        only[i] = _runs_in(name, own)
+    guarded = lambda i, x: x if only[i] is None else F.when(only[i], x)
+    kept = [OWN] if own else []
+    rows = enrich(turns).select("conv_id", "turn_number", *kept, *[guarded(i, x).alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.turn.items()])
+    sums = rows.groupBy("conv_id").agg(*[F.any_value(c).alias(c) for c in kept], *[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.sums.items()])
+    found = F.filter(F.array(*[guarded(i, s.found) for i, s in made.items()]), lambda f: f.isNotNull())
     return sums.select("conv_id", F.explode(found).alias("f")).select("conv_id", "f.*")
 
 
@@ -345,9 +393,9 @@ def assumption_surfacer(c, threshold: float = 0.75, least: int = 2, claims: Iter
 
 
 @signal
-def circular_reasoning(c, similar: float = 0.55, least: int = 2, share: float = 0.35, connectors: Iterable[str] = L.CAUSAL, stop: Iterable[str] = L.CIRCULAR_STOP, substring: bool = False) -> Signal:
-    """Assistant turns in which two sentences say the same, one of them with a causal connector; ``substring`` finds
-    connectors inside words too."""
+def circular_reasoning(c, similar: float = 0.55, least: int = 2, share: float = 0.35, connectors: Iterable[str] = L.CAUSAL, stop: Iterable[str] = L.CIRCULAR_STOP, substring: bool = True) -> Signal:
+    """Assistant turns in which two sentences say the same, one of them with a causal connector; without
+    ``substring``, connectors count as whole words only."""
     inside = lambda s: T.phrase_any(s, connectors) if substring else F.exists(T.listed(connectors), lambda p: F.concat(F.lit(" "), F.regexp_replace(s, "[^a-z0-9']+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" "))))
     content = lambda s: F.array_distinct(F.filter(F.split(s, "[^a-z0-9]+"), lambda w: (w != "") & ~F.array_contains(T.listed(stop), w)))
     parts = F.transform(T.sentences_hard(F.col("plain")), lambda s: F.struct(content(s).alias("w"), inside(s).alias("causal")))
@@ -452,57 +500,59 @@ def anchoring_ml(turns: DataFrame, references: DataFrame, boost: float = 0.1, re
     return rows.withColumn("confidence", F.when(F.col("told"), T.clamp(F.col("confidence") + boost)).otherwise(F.col("confidence"))).select(*FINDING)
 
 
-def orbits(turns: DataFrame, min_turns: int = 8, early: int = 3, acknowledged: Iterable[str] = L.ACKNOWLEDGEMENTS, reasserted: Iterable[str] = L.REASSERTIONS) -> DataFrame:
-    """(conv_id, turn_number, anchor_turn, sim, conceded): how like each turn after a conversation's first early statement is to it, null
+def orbits(turns: DataFrame, min_turns: int = 8, early: int = 3, acknowledged: Iterable[str] = L.ACKNOWLEDGEMENTS, reasserted: Iterable[str] = L.REASSERTIONS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, turn_number, anchor_turn, sim, conceded, and columns ``carried`` along): how like each turn after a conversation's first early statement is to it, null
     for a blank turn, and whether it concedes a point for good."""
-    rows = enrich(turns).select("conv_id", "turn_number", "raw_text", "low").withColumn("blank", F.btrim("raw_text", F.lit(" \n\t")) == "")
+    rows = enrich(turns).select("conv_id", "turn_number", "raw_text", "low", *carried).withColumn("blank", F.btrim("raw_text", F.lit(" \n\t")) == "")
     concedes = T.phrase_any(F.col("low"), acknowledged) & ~T.phrase_any(F.col("low"), reasserted)
-    kw = rows.select("conv_id", "turn_number", "blank", T.keywords(F.col("raw_text")).alias("k"), concedes.alias("conceded"), F.when(F.col("turn_number") <= early, T.strong_declarative(F.col("raw_text"))).alias("strong"))
+    kw = rows.select("conv_id", "turn_number", "blank", *carried, T.keywords(F.col("raw_text")).alias("k"), concedes.alias("conceded"), F.when(F.col("turn_number") <= early, T.strong_declarative(F.col("raw_text"))).alias("strong"))
     size = turns.groupBy("conv_id").agg(F.count("*").alias("all")).where(F.col("all") >= min_turns)
     anchor = kw.where("strong").groupBy("conv_id").agg(F.min(F.struct("turn_number", "k")).alias("a")).where(F.size("a.k") > 0).join(size, "conv_id")
     later = kw.join(anchor, "conv_id").where(F.col("turn_number") > F.col("a.turn_number"))
     sim = F.when(~F.col("blank"), F.when(F.size("k") > 0, T.jaccard(F.col("k"), F.col("a.k"))).otherwise(0.0))
-    return later.select("conv_id", "turn_number", F.col("a.turn_number").alias("anchor_turn"), sim.alias("sim"), "conceded")
+    return later.select("conv_id", "turn_number", F.col("a.turn_number").alias("anchor_turn"), sim.alias("sim"), "conceded", *carried)
 
 
-def conceptual_anchoring(turns: DataFrame, least: float = 0.3, share: float = 0.6, **params) -> DataFrame:
+def conceptual_anchoring(turns: DataFrame, least: float | Column = 0.3, share: float = 0.6, **params) -> DataFrame:
     """Later turns that keep circling an early statement, none of which concedes a point for good; ``params`` as in ``orbits``."""
-    later = orbits(turns, **params)
-    sums = later.groupBy("conv_id").agg(F.count_if(F.col("sim") >= least).alias("near"), F.count("sim").alias("scored"), F.avg("sim").alias("mean"), F.count("*").alias("n"), F.min("anchor_turn").alias("t"), turns_with(F.lit(True)).alias("after"), F.max("conceded").alias("conceded"))
+    level = least if isinstance(least, Column) else F.lit(least)
+    later = orbits(turns.withColumn("_level", level), carried=("_level",), **params)
+    sums = later.groupBy("conv_id").agg(F.count_if(F.col("sim") >= F.col("_level")).alias("near"), F.count("sim").alias("scored"), F.avg("sim").alias("mean"), F.count("*").alias("n"), F.min("anchor_turn").alias("t"), turns_with(F.lit(True)).alias("after"), F.max("conceded").alias("conceded"))
     sums = sums.withColumn("orbit", ratio(F.col("near"), F.col("scored"))).where((F.col("orbit") >= share) & ~F.col("conceded"))
     sure = T.clamp(F.lit(0.5) * F.col("orbit") + F.lit(0.3) * F.col("mean") + F.lit(0.2) * F.least(F.col("n") / F.lit(15.0), F.lit(1.0)))
     return of_rows(sums, finding("CONCEPTUAL_ANCHORING", steps(F.round(sure, 9), (0.75, WARNING), (0.55, CAUTION), otherwise=INFO), sure, "conceptual_anchoring", F.concat(F.array("t"), F.col("after"))))
 
 
-def sentence_table(turns: DataFrame, stop: Iterable[str] = L.STOP_OVERLAP) -> DataFrame:
-    """(conv_id, speaker, turn_number, at, s, t, all, w): lowered sentences of 15 bytes or more, their words, the distinct ones without
+def sentence_table(turns: DataFrame, stop: Iterable[str] = L.STOP_OVERLAP, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, speaker, turn_number, at, s, t, all, w, and columns ``carried`` along): lowered sentences of 15 bytes or more, their words, the distinct ones without
     punctuation, and those with content. Turns that change direction (``override``, where the turns have it) are left out."""
     rows = low(turns.where(~F.col("override")) if "override" in turns.columns else turns)
-    rows = rows.select("conv_id", "speaker", "turn_number", F.posexplode(T.sentences(F.col("low"))).alias("at", "s")).where(F.octet_length("s") >= 15)
+    rows = rows.select("conv_id", "speaker", "turn_number", *carried, F.posexplode(T.sentences(F.col("low"))).alias("at", "s")).where(F.octet_length("s") >= 15)
     bare = lambda w: F.btrim(w, F.lit(".,!?;:\"'()-"))
     rows = rows.withColumn("t", T.words(F.col("s"))).withColumn("all", F.array_distinct(F.filter(F.transform("t", bare), lambda w: w != "")))
     return rows.withColumn("w", F.filter("all", lambda w: ~F.array_contains(T.listed(stop), w)))
 
 
-def contradiction(turns: DataFrame, overlap: float = 0.6, least: float = 0.75, negations: Iterable[str] = L.NEGATIONS, reversals: Iterable[str] = L.REVERSALS, antonyms=L.ANTONYMS, stop: Iterable[str] = L.STOP_OVERLAP) -> DataFrame:
+def contradiction(turns: DataFrame, overlap: float | Column = 0.6, least: float = 0.75, negations: Iterable[str] = L.NEGATIONS, reversals: Iterable[str] = L.REVERSALS, antonyms=L.ANTONYMS, stop: Iterable[str] = L.STOP_OVERLAP) -> DataFrame:
     """Two sentences of one speaker in different turns that share most words, and one of them denies.
 
     Candidates come from an inverted index on (conversation, speaker, word): the smaller set's rarest
     words against all words of the other, so only sentences that can overlap enough are paired.
     """
-    s = sentence_table(turns, stop)
-    words = s.select("conv_id", "speaker", "turn_number", "at", F.size("w").alias("n"), F.explode("w").alias("x"))
+    level = overlap if isinstance(overlap, Column) else F.lit(overlap)
+    s = sentence_table(turns.withColumn("_level", level), stop, ("_level",))
+    words = s.select("conv_id", "speaker", "turn_number", "at", "_level", F.size("w").alias("n"), F.explode("w").alias("x"))
     rare = words.groupBy("conv_id", "speaker", "x").agg(F.count("*").alias("df"))
     ranked = words.join(rare, ["conv_id", "speaker", "x"])
     order = Window.partitionBy("conv_id", "speaker", "turn_number", "at").orderBy("df", "x")
-    prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * overlap) + 1)
+    prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.col("_level")) + 1)
     p = prefix.select("conv_id", "speaker", "x", F.struct("turn_number", "at").alias("p"), F.col("n").alias("np"))
     q = words.select("conv_id", "speaker", "x", F.struct("turn_number", "at").alias("q"), F.col("n").alias("nq"))
     found = p.join(q, ["conv_id", "speaker", "x"]).where((F.col("np") <= F.col("nq")) & (F.col("p.turn_number") != F.col("q.turn_number")))
     pairs = found.select("conv_id", "speaker", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    key = s.select("conv_id", "speaker", F.struct("turn_number", "at").alias("k"), F.struct("s", "t", "all", "w").alias("v"))
+    key = s.select("conv_id", "speaker", F.struct("turn_number", "at").alias("k"), F.struct("s", "t", "all", "w", "_level").alias("v"))
     full = pairs.join(key.select("conv_id", "speaker", F.col("k").alias("a"), F.col("v").alias("x")), ["conv_id", "speaker", "a"]).join(key.select("conv_id", "speaker", F.col("k").alias("b"), F.col("v").alias("y")), ["conv_id", "speaker", "b"])
-    full = full.withColumn("overlap", T.overlap_coefficient(F.col("x.w"), F.col("y.w"))).where(F.col("overlap") >= overlap)
+    full = full.withColumn("overlap", T.overlap_coefficient(F.col("x.w"), F.col("y.w"))).where(F.col("overlap") >= F.col("x._level"))
     full = full.withColumn("kind", _contradiction_kind(F.col("x"), F.col("y"), negations, reversals, antonyms, stop)).where("kind is not null")
     pick = lambda *values: F.when(F.col("kind") == "negation", values[0]).when(F.col("kind") == "reversal", values[1]).otherwise(values[2])
     full = full.withColumn("confidence", F.least(F.lit(0.65) + F.lit(0.2) * F.col("overlap") + pick(0.15, 0.12, 0.08), F.lit(1.0))).where(F.round("confidence", 9) >= least)
@@ -562,7 +612,7 @@ def drift_distances(turns: DataFrame, objectives: DataFrame, reference_turns: in
     return rows.select("conv_id", "turn_number", F.when(alike < 0, plain).otherwise(F.greatest(plain, 1 - alike)).alias("distance"))
 
 
-def _runs(d: DataFrame, value: str, threshold: Column | float, sustained: int, scale: float, name: str) -> DataFrame:
+def _runs(d: DataFrame, value: str, threshold: Column | float, sustained: Column | int, scale: float, name: str) -> DataFrame:
     """Findings of runs of turns whose value stays beyond the threshold, from the ``sustained``-th turn on."""
     far = d.withColumn("far", F.round(value, 9) > threshold)
     order = Window.partitionBy("conv_id").orderBy("turn_number")
@@ -572,9 +622,20 @@ def _runs(d: DataFrame, value: str, threshold: Column | float, sustained: int, s
     return of_rows(found, finding("SCOPE_DRIFT", steps(F.round("d", 9), (0.95, CRITICAL), (0.85, WARNING), (0.75, CAUTION), otherwise=INFO), F.col("d"), name, F.col("t")))
 
 
-def scope_drift(turns: DataFrame, objectives: DataFrame, threshold: float = 0.79, sustained: int = 8, reference_turns: int = 4, orchestrating: bool = False) -> DataFrame:
-    """Runs of turns that stay beyond the threshold, which is a fifth higher, 0.98 at most, for work on several projects."""
-    return _runs(drift_distances(turns, objectives, reference_turns), "distance", min(threshold * 1.2, 0.98) if orchestrating else threshold, sustained, 1.0, "scope_drift")
+def scope_drift(turns: DataFrame, objectives: DataFrame, threshold: float | Column = 0.79, sustained: int | Column = 8, reference_turns: int = 4, orchestrating: bool | DataFrame = False) -> DataFrame:
+    """Runs of turns that stay beyond the threshold, which is a fifth higher, 0.98 at most, for work on several projects:
+    in all conversations, or in those of a table (conv_id)."""
+    d = drift_distances(turns, objectives, reference_turns)
+    level, least = (x if isinstance(x, Column) else F.lit(x) for x in (threshold, sustained))
+    if isinstance(threshold, Column) or isinstance(sustained, Column):
+        d = d.join(turns.groupBy("conv_id").agg(F.any_value(level).alias("_level"), F.any_value(least).alias("_least")), "conv_id")
+        level, least = F.col("_level"), F.col("_least")
+    if isinstance(orchestrating, DataFrame):
+        d = d.join(orchestrating.select("conv_id", F.lit(True).alias("_several")), "conv_id", "left")
+        level = F.when(F.col("_several"), F.least(level * 1.2, F.lit(0.98))).otherwise(level)
+    elif orchestrating:
+        level = F.least(level * 1.2, F.lit(0.98))
+    return _runs(d, "distance", level, least, 1.0, "scope_drift")
 
 
 def drift_divergences(turns: DataFrame, objectives: DataFrame, reference_turns: int = 4, window: int = 3, smoothing: float = 0.01) -> DataFrame:
@@ -639,15 +700,29 @@ def register(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
     REGISTRY[name] = detector
 
 
-def detect(turns: DataFrame, detectors: Iterable[str] | None = None, params: dict[str, dict] | None = None, objectives: DataFrame | None = None) -> DataFrame:
+def detect(
+    turns: DataFrame, detectors: Iterable[str] | None = None, params: dict[str, dict] | None = None, objectives: DataFrame | None = None, thresholds: DataFrame | None = None, routes: DataFrame | None = None,
+) -> DataFrame:
     """All findings of the named detectors (default: DEFAULT and those registered; with ``objectives`` also scope drift), with a
-    ``finding_id``; ``params`` has parameters by detector."""
+    ``finding_id``; ``params`` has parameters by detector.
+
+    ``thresholds`` (conv_id, detector, parameter, value) has those of SETTABLE that a conversation sets for itself. With
+    ``routes`` (conv_id, detector) a detector reads only the conversations routed to it."""
     params = params or {}
     names = tuple(detectors) if detectors else (*DEFAULT, *[n for n in REGISTRY if n not in DEFAULT])
+    every = (*names, "scope_drift") if objectives is not None and "scope_drift" not in names else names
+    if thresholds is not None or routes is not None:
+        turns = turns.join(settings(every, thresholds, routes), "conv_id", "left")
+    own = _own_fields(turns)
+
+    def read_by(name: str) -> DataFrame:
+        runs = _runs_in(name, own)
+        return turns if runs is None else turns.where(runs)
+
     parts = [run(turns, {n: params.get(n, {}) for n in names if n in SIGNALS})] if any(n in SIGNALS for n in names) else []
-    parts += [REGISTRY[n](turns, **params.get(n, {})) for n in names if n in REGISTRY]
+    parts += [REGISTRY[n](read_by(n), **_params(n, params.get(n, {}), own)) for n in names if n in REGISTRY]
     if objectives is not None:
-        parts.append(scope_drift(turns, objectives, **params.get("scope_drift", {})))
+        parts.append(scope_drift(read_by("scope_drift"), objectives, **_params("scope_drift", params.get("scope_drift", {}), own)))
     out = parts[0].select(*FINDING)
     for found in parts[1:]:
         out = out.unionByName(found.select(*[c for c in FINDING if c in found.columns]), allowMissingColumns=True)

@@ -222,7 +222,7 @@ def user_feedback(pending: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, D
 
 
 def feedback_pass(findings: DataFrame, confidence: DataFrame, rerun: Callable[[DataFrame], DataFrame], threshold: float = 0.6, top: int = 3, least: float = 0.1) -> DataFrame:
-    """Findings after a second look, with ``delta``: where a conversation's self-confidence is below ``threshold``, its ``top`` least sure
+    """Findings after a second look, with ``delta``, and ``applied`` where anything changed in the conversation: where a conversation's self-confidence is below ``threshold``, its ``top`` least sure
     findings are detected anew, by ``rerun`` of the conversations (conv_id) concerned, and adjusted by findings of other detectors
     within a turn of theirs. A change of ``least`` or more counts; what isn't found again goes if it was surer than that."""
     unsure = confidence.where(F.round("score", 9) < threshold).select("conv_id")
@@ -242,8 +242,9 @@ def feedback_pass(findings: DataFrame, confidence: DataFrame, rerun: Callable[[D
     rows = findings.join(seen, ["conv_id", "detector_name"], "left")
     changed = F.abs(F.col("_new") - F.col("confidence")) >= least - 1e-9
     gone = F.coalesce("_looked", F.lit(False)) & F.col("_new").isNull() & (F.col("confidence") > least)
-    rows = rows.where(~gone).withColumn("delta", F.when(changed, F.col("_new") - F.col("confidence")).otherwise(0.0))
-    return rows.withColumn("confidence", F.when(changed, F.col("_new")).otherwise(F.col("confidence"))).drop("_new", "_looked").where("confidence > 0")
+    rows = rows.withColumns({"_gone": gone, "applied": F.bool_or(gone | F.coalesce(changed, F.lit(False))).over(Window.partitionBy("conv_id"))})
+    rows = rows.where("not _gone").withColumn("delta", F.when(changed, F.col("_new") - F.col("confidence")).otherwise(0.0))
+    return rows.withColumn("confidence", F.when(changed, F.col("_new")).otherwise(F.col("confidence"))).drop("_new", "_looked", "_gone").where("confidence > 0")
 
 
 def effective_severity() -> Column:
@@ -255,10 +256,20 @@ def risk_inputs(findings: DataFrame) -> DataFrame:
     return findings.groupBy("conv_id").agg(F.least(F.count("*") / F.lit(10.0), F.lit(1.0)).alias("n"), T.clamp(F.max(effective_severity())).alias("severity"), F.avg("confidence").alias("confidence"))
 
 
+def compound_risk(findings: DataFrame, rules: FuzzySet = COMPOUND) -> DataFrame:
+    """(conv_id, n, severity, confidence, risk): how much many, severe or sure findings amount to together; 0 where no rule applies."""
+    return risk_inputs(findings).withColumn("risk", F.coalesce(fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}, rules), F.lit(0.0)))
+
+
+def compound_severity(risk: Column, threshold: float = 0.6, critical: float = 0.85) -> Column:
+    """Of the finding that a risk beyond the threshold makes; 0 below."""
+    return F.when(F.round(risk, 9) <= threshold, 0).when(risk > critical, 4).otherwise(3)
+
+
 def compound_pathology(findings: DataFrame, threshold: float = 0.6, critical: float = 0.85, rules: FuzzySet = COMPOUND) -> DataFrame:
     """A finding where many, severe or sure findings meet, by a fuzzy risk."""
-    rows = risk_inputs(findings).withColumn("risk", fuzzy_score({c: F.col(c) for c in ("n", "severity", "confidence")}, rules)).where(F.round("risk", 9) > threshold)
-    return rows.select("conv_id", F.lit("COMPOUND_PATHOLOGY").alias("finding_type"), F.when(F.col("risk") > critical, 4).otherwise(3).alias("severity"), F.col("risk").alias("confidence"))
+    rows = compound_risk(findings, rules).withColumn("severity", compound_severity(F.col("risk"), threshold, critical)).where("severity > 0")
+    return rows.select("conv_id", F.lit("COMPOUND_PATHOLOGY").alias("finding_type"), "severity", F.col("risk").alias("confidence"))
 
 
 def arbitrate(inhibited: DataFrame, low_: float = 0.35, high: float = 0.65, rules: FuzzySet = ARBITRATION) -> DataFrame:

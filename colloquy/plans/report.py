@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -35,32 +36,61 @@ def admitted(turns: DataFrame, profiles: DataFrame | None = None, blocklist: Ite
     return turns.join(rejected, "conv_id", "left_anti"), rejected
 
 
+def _bases(params: dict[str, dict]) -> dict[str, float]:
+    """The thresholds that gain moves, before it does."""
+    of = lambda n, p: params.get(n, {}).get(p, inspect.signature(D.SIGNALS.get(n) or D.REGISTRY[n]).parameters[p].default)
+    return {n: of(n, p) for n, p in C.MODULATED.items()}
+
+
+def _gated(found: DataFrame, turns: DataFrame, gains: DataFrame, stages: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """(findings that pass the gates, counts (conv_id, inhibited) of those that don't)."""
+    log = None
+    if "inhibit" in stages:
+        found = settled(P.inhibit(found, turns, gains=gains if "modulation" in stages else gains.withColumn("urgency", F.lit(0.5))))
+        log = found.groupBy("conv_id").agg(F.count_if(F.col("action") == "INHIBIT").alias("inhibited"))
+        found = found.where("action = 'PASS'")
+    return (P.salience(found) if "salience" in stages else found).select(*D.FINDING, "finding_id"), log
+
+
 def full_report(
     turns: DataFrame, objectives: DataFrame | None = None, detectors: Iterable[str] | None = None, preset: str = "all", params: dict[str, dict] | None = None, index: DataFrame | None = None,
-    profiles: DataFrame | None = None, routed: bool = True, **limits,
+    profiles: DataFrame | None = None, routed: bool = True, domains: DataFrame | None = None, fuzzy_urgency: bool = False, **limits,
 ) -> DataFrame:
-    """Report, gain and, with metacognition, self-confidence per conversation with findings, under one of PRESETS. ``index`` is the pattern
-    index of past runs; with ``routed``, only detectors that have something to look at count. Findings, what was
-    decided on them and gains are worked out once (``settled``), as later stages read them several times."""
-    stages = PRESETS[preset]
+    """One row per conversation with findings after all gates, under one of PRESETS: the report, gain, ``inhibited``, and with metacognition
+    self-confidence and ``pass_count``; of all raw findings their number ``raw``, what they
+    amount to together (``compound_risk``), and the severity of the compound finding, 0 where none is due.
+
+    Before anything is detected, gain moves the thresholds of each conversation ("modulation") and ``domains`` (conv_id, domain, confidence) overrides them.
+    With ``routed``, detectors read only conversations that have something for them; with ``fuzzy_urgency``, urgency comes from rules and
+    decides how many detectors run. ``index`` is the pattern index of past runs.
+
+    Where self-confidence is low, the least sure findings are looked at again, and where that changes anything, the conversation
+    passes the gates a second time. Findings, what was decided on them and gains are worked out once (``settled``)."""
+    stages, params = PRESETS[preset], params or {}
     if "admission" in stages:
         turns, _ = admitted(turns, profiles, **limits)
-    found = D.detect(turns, detectors, params, objectives).withColumn("confidence", F.round("confidence", 6))
-    if routed:
-        found = found.join(C.route(turns, objectives).select("conv_id", F.col("detector").alias("detector_name")), ["conv_id", "detector_name"], "left_semi")
-    found, gains = settled(found), settled(C.gain(turns))
-    spark = turns.sparkSession
-    if "inhibit" in stages:
-        found = settled(P.inhibit(found, turns, gains=gains if "modulation" in stages else gains.withColumn("urgency", F.lit(0.5))))
-        log = found.groupBy("conv_id").agg(F.count_if(F.col("action") == "INHIBIT").alias("inhibited"))
-        found = found.where("action = 'PASS'")
-    if "salience" in stages:
-        found = P.salience(found)
-    report = P.aggregate_report(found).join(gains, "conv_id")
-    if "inhibit" in stages:
+    gains = C.gain(turns)
+    gains = settled(C.gain_fuzzy(gains) if fuzzy_urgency else gains)
+    levels = C.activation_level(gains) if fuzzy_urgency and "modulation" in stages else None
+    thresholds = C.own_thresholds(C.modulate(gains) if "modulation" in stages else None, domains, _bases(params))
+    routes = C.routed_detectors(turns, objectives, domains, levels) if routed else None
+    found = settled(D.detect(turns, detectors, params, objectives, thresholds, routes).withColumn("confidence", F.round("confidence", 6)))
+    kept, log = _gated(found, turns, gains, stages)
+    if "metacognition" in stages:
+        none = turns.sparkSession.createDataFrame([], "pattern string, n long, accuracy double")
+        kept = settled(kept)
+        own = P.self_confidence(kept, none if index is None else index).select("conv_id", F.col("score").alias("self_confidence"), "recommendation")
+        unsure = own.select("conv_id", F.col("self_confidence").alias("score"))
+        again = settled(P.feedback_pass(kept, unsure, lambda convs: found.join(convs, "conv_id", "left_semi")).where("applied"))
+        second = again.select("conv_id").distinct()
+        more, more_log = _gated(again.drop("applied", "delta"), turns, gains, stages)
+        first_only = lambda rows: rows.join(second, "conv_id", "left_anti")
+        kept = first_only(kept).unionByName(more)
+        log = log if log is None else first_only(log).unionByName(more_log)
+    report = P.aggregate_report(kept).join(gains, "conv_id")
+    if log is not None:
         report = report.join(log, "conv_id", "left")
     if "metacognition" in stages:
-        none = spark.createDataFrame([], "pattern string, n long, accuracy double")
-        own = P.self_confidence(found, none if index is None else index)
-        report = report.join(own.select("conv_id", F.col("score").alias("self_confidence"), "recommendation"), "conv_id")
-    return report
+        report = report.join(own, "conv_id").join(second.withColumn("pass_count", F.lit(2)), "conv_id", "left").withColumn("pass_count", F.coalesce("pass_count", F.lit(1)))
+    risk = P.compound_risk(found).select("conv_id", P.compound_severity(F.col("risk")).alias("compound_severity"), F.col("risk").alias("compound_risk"))
+    return report.join(found.groupBy("conv_id").agg(F.count("*").alias("raw")), "conv_id").join(risk, "conv_id")

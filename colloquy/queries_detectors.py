@@ -116,8 +116,8 @@ ROUTE = f"""rc AS (
   FROM lowt GROUP BY conv_id)"""
 ROUTED = "routed AS (" + " UNION ALL ".join(f"SELECT conv_id, '{k}' AS detector, {O.lit(why)} AS reason FROM rc WHERE {rule}" for k, (rule, why) in C.ROUTES.items()) + ")"
 of_turns("route", lambda t: C.route(t, objectives(t)), f"{O.base(ROUTE, ROUTED)} SELECT * FROM routed")
-_runs_at = "detector IN ('scope_drift', 'contradiction') OR level = 3 OR (level = 2 AND detector NOT IN ('inherited_position', 'conceptual_anchoring'))"
-of_turns("activated", lambda t: C.activated(C.route(t, objectives(t)), C.activation_level(C.gain(t))), f"{O.base(ROUTE, ROUTED, GAIN, LEVEL)} SELECT conv_id, detector, reason FROM routed JOIN levels USING (conv_id) WHERE {_runs_at}")
+RUNS_AT = "detector IN ('scope_drift', 'contradiction') OR level = 3 OR (level = 2 AND detector NOT IN ('inherited_position', 'conceptual_anchoring'))"
+of_turns("activated", lambda t: C.activated(C.route(t, objectives(t)), C.activation_level(C.gain(t))), f"{O.base(ROUTE, ROUTED, GAIN, LEVEL)} SELECT conv_id, detector, reason FROM routed JOIN levels USING (conv_id) WHERE {RUNS_AT}")
 
 
 def domains(turns: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ a1 AS (SELECT conv_id, sum(c) AS c, sum(CASE WHEN c > 0 THEN p ELSE 0 END) AS p,
 _above = lambda t: f"least(0.5::DOUBLE + 0.5::DOUBLE * (x - {t}::DOUBLE) / (1 - {t}::DOUBLE), 1.0::DOUBLE)"
 of_turns("assumption_surfacer", of_detector(D.assumption_surfacer), f"{O.base(ASM)} {found('UNSUPPORTED_CONCLUSION', 'CASE WHEN x > 0.85 THEN 4 ELSE 3 END', _above(0.75), 'assumption_surfacer', 't', 'a2', 'x > 0.75')}")
 _words_of = "list_distinct(list_filter(string_split_regex(s, '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains(" + O.strings(L.CIRCULAR_STOP) + ", w)))"
-_causal = f"len(list_filter({O.strings(L.CAUSAL)}, lambda p_: contains(' ' || regexp_replace(s, '[^a-z0-9'']+', ' ', 'g') || ' ', ' ' || p_ || ' '))) > 0"
+_causal = O.any_of("s", L.CAUSAL)
 CIR = f"""r0 AS (SELECT conv_id, turn_number, {O.sentences_hard('plain_')} AS ss FROM lowt WHERE said), r1 AS (SELECT conv_id, turn_number, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM r0), r2 AS (SELECT *, {_words_of} AS w, {_causal} AS causal FROM r1),
 r3 AS (SELECT DISTINCT a.conv_id, a.turn_number FROM r2 a JOIN r2 b ON a.conv_id = b.conv_id AND a.turn_number = b.turn_number AND a.i < b.i WHERE (a.causal OR b.causal) AND {O.jaccard('a.w', 'b.w')} > 0.55),
 r4 AS (SELECT r0.conv_id, count(r3.turn_number) AS h, count(r3.turn_number)::DOUBLE / count(*)::DOUBLE AS x, string_agg(r3.turn_number::VARCHAR, ' ' ORDER BY r3.turn_number) AS t FROM r0 LEFT JOIN r3 ON r0.conv_id = r3.conv_id AND r0.turn_number = r3.turn_number GROUP BY r0.conv_id)"""

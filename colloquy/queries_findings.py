@@ -112,7 +112,7 @@ SEVERE = ", ".join(
 SEVERE += f""", fsev AS (SELECT conv_id, finding_id, detector_name, finding_type, severity, coalesce(score, confidence) AS confidence FROM ({_scored}) WHERE score IS NULL OR round(score, 9) >= 0.1
 UNION ALL SELECT {_keep} FROM found WHERE detector_name NOT IN ('anchoring_context', 'contradiction', 'confidence_miscalibration', 'sunk_cost'))"""
 of_findings("fuzzy_severity", lambda t, f: P.fuzzy_severity(f).select(*KEEP), "SELECT conv_id, finding_id, detector_name, finding_type, severity, round(confidence, 6) AS confidence FROM fsev", NUM, AC, SENT, DETAILS, SEVERE)
-of_findings("crisp_vs_fuzzy", lambda t, f: E.crisp_vs_fuzzy(f, P.fuzzy_severity(f)), """SELECT conv_id, count(a) AS crisp, count(b) AS fuzzy, count(a + b) AS "both", round(coalesce(avg(b - a), 0), 6) AS mean_change
+of_findings("crisp_vs_fuzzy", lambda t, f: E.crisp_vs_fuzzy(f, P.fuzzy_severity(f)).withColumn("mean_change", F.round("mean_change", 4)), """SELECT conv_id, count(a) AS crisp, count(b) AS fuzzy, count(a + b) AS "both", round(coalesce(avg(b - a), 0), 4) AS mean_change
 FROM (SELECT conv_id, detector_name, f.confidence AS a, z.confidence AS b FROM found f FULL JOIN fsev z USING (conv_id, detector_name)) GROUP BY conv_id""", NUM, AC, SENT, DETAILS, SEVERE)
 
 
@@ -141,7 +141,8 @@ rep AS (
 REP = report_sql()
 of_findings("aggregate_report", lambda t, f: P.aggregate_report(f), "SELECT conv_id, n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions FROM rep JOIN ra USING (conv_id)", REP)
 _opp = " OR ".join(f"(a.finding_type = '{x}' AND b.finding_type = '{y}') OR (a.finding_type = '{y}' AND b.finding_type = '{x}')" for x, y in P.OPPOSITE)
-CON = f"""cp AS (SELECT a.conv_id, a.finding_id AS a, b.finding_id AS b FROM found a JOIN found b ON a.conv_id = b.conv_id AND a.finding_id < b.finding_id
+CON = f"""cn AS MATERIALIZED (SELECT conv_id, finding_id, finding_type, confidence FROM found),
+cp AS MATERIALIZED (SELECT a.conv_id, a.finding_id AS a, b.finding_id AS b FROM cn a JOIN cn b ON a.conv_id = b.conv_id AND a.finding_id < b.finding_id
 WHERE (a.finding_type = b.finding_type AND ((a.confidence > 0.6 AND b.confidence < 0.4) OR (b.confidence > 0.6 AND a.confidence < 0.4))) OR {_opp})"""
 of_findings("conflict_pairs", lambda t, f: P.conflict_pairs(f), "SELECT * FROM cp", CON)
 of_findings("conflict_clusters", lambda t, f: P.conflict_clusters(f), """SELECT s.conv_id, s.finding_id, min(r.b) AS cluster FROM (SELECT conv_id, a AS finding_id FROM cp UNION SELECT conv_id, b FROM cp) s

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy import oracle as O
 from colloquy.plans import report as R
-from colloquy.queries_detectors import GAIN, LANG, ROUTE, ROUTED, language_profiles, rounded
-from colloquy.queries_findings import FOUND, INH, NEAR, PARAMS, report_sql, salience_sql, shared
+from colloquy.operators import findings as P
+from colloquy.operators import fuzzy as Z
+from colloquy.queries_detectors import GAIN, LANG, LEVEL, OFFSET, ROUTE, ROUTED, RUNS_AT, domains, fuzzy_sql, language_profiles, rounded
+from colloquy.queries_findings import DETECTOR_SQL, FOUND, INH, NAMES, NEAR, PARAMS, RISK, report_sql, salience_sql, shared
 from colloquy.queries_text import objectives
 from colloquy.sources import turns as S
 from colloquy.streaming import sessions as W
@@ -37,22 +41,89 @@ ORACLE["detector_counts"] = """SELECT strftime(time_bucket(INTERVAL 10 MINUTE, t
 
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all detectors, with sunk costs and drift by the conversations' objectives."""
+    """All stages over all detectors, with sunk costs and drift by the conversations' objectives; a third of the conversations each
+    are hinted to be classical text or code review, not all of them for sure."""
+    turns = S.seeded_turns(spark, sf_dir)
+    return rounded(R.full_report(turns, objectives(turns), params=PARAMS, domains=domains(turns)))
+
+
+def full_report_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With urgency by rules, which decides how many detectors run, and without hints."""
     turns = S.seeded_turns(spark, sf_dir)
-    return rounded(R.full_report(turns, objectives(turns), params=PARAMS))
+    return rounded(R.full_report(turns, objectives(turns), params=PARAMS, fuzzy_urgency=True))
 
 
 QUERIES["full_report"] = full_report
+QUERIES["full_report_fuzzy"] = full_report_fuzzy
 _toxic = " OR ".join(O.bounded("low", t) for t in L.BLOCKLIST)
-_route = f"""{ROUTE}, {ROUTED}, rj AS (SELECT conv_id FROM lowt GROUP BY conv_id HAVING bool_or({_toxic}) OR count(*) > 500 OR sum(strlen(raw_text) + strlen(speaker)) > 1048576)"""
-_all = FOUND.replace("found AS MATERIALIZED", "every AS MATERIALIZED")
-REPORT = f"""{_all}, found AS MATERIALIZED (SELECT e.* FROM every e JOIN routed r ON e.conv_id = r.conv_id AND e.detector_name = r.detector WHERE e.conv_id NOT IN (SELECT conv_id FROM rj)),
-{NEAR}, {GAIN}, {INH}, passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS'), {salience_sql("passed")}, {report_sql("salient")},
+REJECTED = f"rj AS (SELECT conv_id FROM lowt GROUP BY conv_id HAVING bool_or({_toxic}) OR count(*) > 500 OR sum(strlen(raw_text) + strlen(speaker)) > 1048576)"
+_domain = "conv_id % 3 = {} AND (conv_id % 5) / 5.0::DOUBLE > 0.6"
+HINTS = f"hints AS (SELECT DISTINCT conv_id, {_domain.format(0)} AS classical_, {_domain.format(1)} AS review_ FROM turns)"
+NO_HINTS = "hints AS (SELECT DISTINCT conv_id, false AS classical_, false AS review_ FROM turns)"
+#: Each conversation's own thresholds, for the detectors that SETTABLE names.
+OWN = """th AS MATERIALIZED (
+  SELECT conv_id, 0.15::DOUBLE * (1 + offset_) AS th_anchor, 0.5::DOUBLE * (1 + offset_) AS th_half, 0.6::DOUBLE * (1 + offset_) AS th_overlap, CASE WHEN classical_ THEN 8 WHEN review_ THEN 3 ELSE 5 END AS th_words,
+    CASE WHEN classical_ THEN 0.70::DOUBLE WHEN review_ THEN 0.85::DOUBLE ELSE 0.79::DOUBLE END AS th_drift, CASE WHEN classical_ THEN 4 WHEN review_ THEN 3 ELSE 2 END AS th_runs,
+    CASE WHEN classical_ THEN 0.35::DOUBLE ELSE 0.02::DOUBLE END AS th_orbit
+  FROM offsets JOIN hints USING (conv_id))"""
+_with = "JOIN th USING (conv_id)"
+ADJUSTED = {
+    "anchoring_context": [("FROM ap WHERE shift < 0.15::DOUBLE", f"FROM ap {_with} WHERE shift < th_anchor"), ("shift / 0.15::DOUBLE", "shift / th_anchor")],
+    "sunk_cost": [("FROM based WHERE base >= 0.5", f"FROM based {_with} WHERE base >= th_half")],
+    "contradiction": [("FROM sp WHERE ov >= 0.6", f"FROM sp {_with} WHERE ov >= th_overlap")],
+    "confidence_miscalibration": [("AS marks FROM lowt)", f"AS marks FROM lowt {_with})"), (">= 5 THEN 3", ">= th_words THEN 3"), ("FROM m2 WHERE ece >= 0.5", f"FROM m2 {_with} WHERE ece >= th_half")],
+    "silent_revision": [("FROM d2 WHERE sim >= 0.5", f"FROM d2 {_with} WHERE sim >= th_half")],
+    "scope_drift": [("> 0.79 AS far FROM dd", f"> th_drift AS far FROM dd {_with}"), ("WHERE k >= 2 GROUP BY", "WHERE k >= th_runs GROUP BY")],
+    "conceptual_anchoring": [("FILTER (sim >= 0.02)", "FILTER (sim >= th_orbit)"), ("FROM orb GROUP BY", f"FROM orb {_with} GROUP BY")],
+}
+
+
+def adjusted(name: str) -> str:
+    """A detector's SQL with each conversation's thresholds in place of the literal ones."""
+    sql = DETECTOR_SQL[name]
+    for old, new in ADJUSTED.get(name, ()):
+        if old not in sql:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def second(sql: str) -> str:
+    """The same tables over the findings of the second pass."""
+    return re.sub(r"\b(ex|met|nd|co|hd|cx|ih|inhibited|passed|sa|salient|found|cl|cm|cd)\b", r"\g<1>2", sql)
+
+
+_every = " UNION ALL ".join(f"SELECT * FROM ({adjusted(n)})" for n in NAMES)
+_peers = " ".join(
+    f"WHEN c.detector_name = '{n}' THEN CASE WHEN {'len(ps) > 0' if peer is None else f'list_contains(ps, {O.lit(peer)})'} THEN {up}::DOUBLE WHEN coalesce(len(ps), 0) = 0 THEN -{down}::DOUBLE ELSE 0 END" for n, (peer, up, down) in P.PEERS.items()
+)
+GATES = f"{NEAR}, {INH}, passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS'), {salience_sql('passed')}"
+PASSES = f"""every AS MATERIALIZED (SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({_every})),
+found AS MATERIALIZED (SELECT e.* FROM every e JOIN routes r ON e.conv_id = r.conv_id AND e.detector_name = r.detector WHERE e.conv_id NOT IN (SELECT conv_id FROM rj)), {GATES},
 sg AS (SELECT conv_id, count(*) AS n, stddev_pop(confidence) AS sd, avg(abs(confidence - 0.5::DOUBLE) * 2) AS margin FROM salient GROUP BY conv_id),
-sz AS (SELECT conv_id, 0.4::DOUBLE * CASE WHEN n = 1 THEN 0.8::DOUBLE ELSE 1 - sd END + 0.35::DOUBLE * margin + 0.125::DOUBLE AS own FROM sg)"""
-ORACLE["full_report"] = f"""{O.base(_route, REPORT)} SELECT conv_id, rep.n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions, round(urgency, 6) AS urgency, round(complexity, 6) AS complexity, round(formality, 6) AS formality,
-CASE WHEN urgency > 0.6 THEN 'PHASIC' ELSE 'TONIC' END AS mode, lg.inhibited, round(own, 6) AS self_confidence, CASE WHEN round(own, 9) > 0.8 THEN 'HIGH' WHEN round(own, 9) > 0.5 THEN 'MODERATE' ELSE 'REVIEW' END AS recommendation
-FROM rep JOIN ra USING (conv_id) JOIN gain USING (conv_id) JOIN sz USING (conv_id) JOIN (SELECT conv_id, count(*) FILTER (action = 'INHIBIT') AS inhibited FROM inhibited GROUP BY conv_id) lg USING (conv_id)"""
+sz AS MATERIALIZED (SELECT conv_id, 0.4::DOUBLE * CASE WHEN n = 1 THEN 0.8::DOUBLE ELSE 1 - sd END + 0.35::DOUBLE * margin + 0.125::DOUBLE AS own FROM sg),
+ch AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.conv_id ORDER BY round(confidence, 9), finding_id) AS k FROM salient s JOIN sz ON s.conv_id = sz.conv_id WHERE round(own, 9) < 0.6) WHERE k <= 3),
+fx AS (SELECT conv_id, detector_name, unnest(string_split(relevant_turns, ' '))::INTEGER AS t FROM salient WHERE relevant_turns <> ''),
+pe AS (SELECT a.conv_id, a.detector_name, list(DISTINCT b.detector_name) AS ps FROM fx a JOIN fx b ON a.conv_id = b.conv_id AND a.detector_name <> b.detector_name AND abs(a.t - b.t) <= 1 GROUP BY ALL),
+fr AS (SELECT c.conv_id, c.detector_name, {O.clamp(f"c.confidence + CASE {_peers} ELSE 0 END")} AS fresh FROM ch c LEFT JOIN pe ON c.conv_id = pe.conv_id AND c.detector_name = pe.detector_name),
+ud AS (SELECT s.*, fresh, coalesce(abs(fresh - confidence) >= 0.1 - 1e-9, false) AS changed FROM salient s LEFT JOIN fr ON s.conv_id = fr.conv_id AND s.detector_name = fr.detector_name),
+ap2 AS MATERIALIZED (SELECT conv_id FROM ud GROUP BY conv_id HAVING bool_or(changed)),
+found2 AS MATERIALIZED (
+  SELECT conv_id, finding_type, severity, CASE WHEN changed THEN fresh ELSE confidence END AS confidence, detector_name, relevant_turns, finding_id
+  FROM ud WHERE conv_id IN (SELECT conv_id FROM ap2) AND CASE WHEN changed THEN fresh ELSE confidence END > 0), {second(GATES)},
+final_ AS MATERIALIZED (SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient WHERE conv_id NOT IN (SELECT conv_id FROM ap2) UNION ALL SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient2),
+lg AS (SELECT conv_id, count(*) FILTER (action = 'INHIBIT') AS inhibited FROM (SELECT conv_id, action FROM inhibited WHERE conv_id NOT IN (SELECT conv_id FROM ap2) UNION ALL SELECT conv_id, action FROM inhibited2) GROUP BY conv_id),
+{report_sql("final_")}, {RISK}"""
+_report = """SELECT conv_id, rep.n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions, round(urgency, 6) AS urgency, round(complexity, 6) AS complexity, round(formality, 6) AS formality,
+CASE WHEN round(urgency, 9) > 0.6 THEN 'PHASIC' ELSE 'TONIC' END AS mode, inhibited, round(own, 6) AS self_confidence, CASE WHEN round(own, 9) > 0.8 THEN 'HIGH' WHEN round(own, 9) > 0.5 THEN 'MODERATE' ELSE 'REVIEW' END AS recommendation,
+CASE WHEN conv_id IN (SELECT conv_id FROM ap2) THEN 2 ELSE 1 END AS pass_count, raw, CASE WHEN round(risk, 9) <= 0.6 THEN 0 WHEN risk > 0.85 THEN 4 ELSE 3 END AS compound_severity, round(risk, 6) AS compound_risk
+FROM rep JOIN ra USING (conv_id) JOIN gain USING (conv_id) JOIN sz USING (conv_id) JOIN lg USING (conv_id) JOIN (SELECT conv_id, count(*) AS raw FROM found GROUP BY conv_id) rw USING (conv_id) JOIN (SELECT conv_id, coalesce(score, 0) AS risk FROM fz) rk USING (conv_id)"""
+_routes = "routes AS (SELECT conv_id, detector FROM routed JOIN hints USING (conv_id) WHERE NOT (detector = 'anchoring_context' AND (classical_ OR review_)))"
+ORACLE["full_report"] = f"{O.base(ROUTE, ROUTED, REJECTED, GAIN, OFFSET, HINTS, OWN, _routes, PASSES)} {_report}"
+_fuzzy = GAIN.replace("gain AS (", "gain0 AS (")
+_urgent = f"{fuzzy_sql('gain0', 'urg', Z.URGENCY, ('urgency', 'complexity', 'formality'))}, gain AS MATERIALIZED (SELECT conv_id, coalesce(score, urgency) AS urgency, complexity, formality FROM urg)"
+_active = f"{LEVEL}, routes AS (SELECT conv_id, detector FROM routed JOIN levels USING (conv_id) WHERE {RUNS_AT})"
+ORACLE["full_report_fuzzy"] = f"{O.base(ROUTE, ROUTED, REJECTED, _fuzzy, _urgent, OFFSET, NO_HINTS, OWN, _active, PASSES)} {_report}"
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:

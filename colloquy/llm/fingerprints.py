@@ -17,11 +17,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.arrays import BASE, INVERSE, mix, powers
 
-#: Characters of a gram, and grams of a window: any 51 characters in common are found.
-GRAM, WINDOW = 12, 40
-#: Short texts have narrower windows, down to this many grams: what a wider window chooses, a narrower
-#: one within it chooses too, so the guarantee holds between short and long texts.
-LEAST_WINDOW = 4
+#: Characters of a gram, and grams of a window, for texts of all sizes: any 31 characters in common are found.
+GRAM, WINDOW = 12, 20
 #: Positions worked on at once in one text; their number fits the low bits beside a hash.
 SEGMENT = 1 << 20
 
@@ -35,14 +32,14 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes and their positions, ascending. A text of fewer than k characters is one gram;
-    one of few grams has narrower windows; an empty text has none."""
+    """Chosen hashes and their positions, ascending. A text of fewer than k characters is one gram, one of
+    fewer than w grams one window; an empty text has none."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     if not len(points):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k = min(k, len(points))
     n = len(points) - k + 1
-    w = min(w, n, max(LEAST_WINDOW, n // 8))
+    w = min(w, n)
     low = np.uint64(SEGMENT * 2 - 1)
     chosen_at = []
     for start in range(0, n - w + 1, SEGMENT):

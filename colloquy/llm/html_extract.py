@@ -35,37 +35,126 @@ CLUTTER_WORDS = frozenset(
     "related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|iframe|noframes|title|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements whose content is text without tags, none of it shown.
+RAW = frozenset("script style textarea iframe noframes title xmp".split())
+#: Elements that class words mark as clutter only where they say that readers wrote them: a page's text may be all in one of these.
+MAIN, READERS = frozenset("article main body html".split()), frozenset("comment comments disqus".split())
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/<>]*)")
+STOP = re.compile(r"""[>"']""")
+#: Open elements from which on paths grow no longer: text of deeper ones counts for the container at this depth.
+DEEPEST = 256
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Share of a container's score that its parent gets.
 LIFT = 0.75
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's generalised name, digits out, and whether it marks clutter."""
-    name, clutter = tag, tag in CLUTTER_TAGS
+class Tags:
+    """A page's tags, found in time that grows with its size whatever it holds.
+
+    A tag ends at the first > outside quotes. Where none follows, its < is text. A search that fails leaves what it
+    went through: a later one that comes to the same place fails too.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self._dead: set[int] = set()
+        #: No stop lies between these two places; the second is one, or the page's end.
+        self._from, self._stop = 0, -1
+        self._no_more = len(page) + 1
+
+    def _next_stop(self, at: int) -> int:
+        if not self._from <= at <= self._stop:
+            found = STOP.search(self.page, at)
+            self._from, self._stop = at, found.start() if found else len(self.page)
+        return self._stop
+
+    def end_of(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if it doesn't."""
+        seen = []
+        while at not in self._dead:
+            seen.append(at)
+            stop = self._next_stop(at)
+            if stop == len(self.page):
+                break
+            if self.page[stop] == ">":
+                return stop
+            close = self.page.find(self.page[stop], stop + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self._dead.update(seen)
+        return -1
+
+    def _plain_end(self, at: int) -> int:
+        """The next > from here on, or -1."""
+        if at >= self._no_more:
+            return -1
+        found = self.page.find(">", at)
+        if found < 0:
+            self._no_more = at
+        return found
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, tag or None for what isn't shown, whether it closes, attributes)."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                at = len(page) if close < 0 else close + 3
+                yield start, at, None, False, ""
+            elif page.startswith(("<!", "<?"), start):
+                close = self._plain_end(start)
+                if close >= 0:
+                    at = close + 1
+                    yield start, at, None, False, ""
+            elif name := TAG_NAME.match(page, at):
+                close = self.end_of(name.end())
+                if close < 0:
+                    continue
+                tag, ends = name[1].lower(), page[at] == "/"
+                attributes, at = page[name.end() : close], close + 1
+                if tag in RAW and not ends:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    at = close.end() if close else len(page)
+                    tag = None
+                yield start, at, tag, ends, attributes
+
+
+def _named(tag: str, attributes: str) -> tuple[str, int]:
+    """An element's generalised name, digits out, and what marks it as clutter: 2 its tag, 1 a word, 0 nothing."""
+    name, clutter = tag, 2 if tag in CLUTTER_TAGS else 0
     if attributes and "=" in attributes:
+        marks = READERS if tag in MAIN else CLUTTER_WORDS
         for kind, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
-            clutter = clutter or not CLUTTER_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+            if not marks.isdisjoint(re.split(r"[^a-z]+", value)):
+                clutter = max(clutter, 1)
             if kind.lower() == "class":
                 name += "." + ".".join(sorted(re.sub(r"[0-9]+", "#", value).split()))
     return name, clutter
 
 
+def _closes_itself(attributes: str) -> bool:
+    """A slash of its own at the end; one that ends an unquoted value belongs to the value."""
+    return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'")
+
+
 def blocks_of(page: str) -> list[tuple[str, bool, str, int]]:
-    """(container path, in clutter, text, characters in links) of every block, in page order."""
-    out: list[tuple[str, bool, str, int]] = []
-    #: Open elements: tag, path up to here, in clutter.
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    """(container path, in clutter, text, characters in links) of every block, in page order. Where all text is in clutter by
+    words, words don't count."""
+    found = _blocks(page)
+    least = 1 if any(not clutter for _, clutter, _, _ in found) else 2
+    return [(path, clutter >= least, text, linked) for path, clutter, text, linked in found]
+
+
+def _blocks(page: str) -> list[tuple[str, int, str, int]]:
+    out: list[tuple[str, int, str, int]] = []
+    #: Open elements: tag, path up to here, in what clutter.
+    stack: list[tuple[str, str, int]] = [("", "", 0)]
+    opened: dict[str, int] = defaultdict(int)
     parts: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link = 0, False
 
     def close() -> None:
         nonlocal linked
@@ -77,36 +166,37 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, int]]:
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
+    for start, end, tag, ends, attributes in Tags(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
-                linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = not ends
             continue
         close()
-        if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
+        if ends:
+            # A link that nobody closed ends with its block.
+            in_link = False
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
-        elif tag not in VOID and not m["attributes"].endswith("/"):
+        elif tag not in VOID and not _closes_itself(attributes):
             # A new block ends an open paragraph, and an item ends the one before it.
             while len(stack) > 1 and stack[-1][0] in LEAF and (stack[-1][0] == "p" or stack[-1][0] == tag):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             _, path, clutter = stack[-1]
-            name, own = _named(tag, m["attributes"])
-            stack.append((tag, path if tag in LEAF else f"{path}/{name}", clutter or own))
+            name, own = _named(tag, attributes)
+            stack.append((tag, path if tag in LEAF or len(stack) > DEEPEST else f"{path}/{name}", max(clutter, own)))
+            opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     close()

@@ -11,18 +11,27 @@ from colloquy import lexicons as L
 from colloquy.functions import text as T
 from colloquy.operators.fuzzy import URGENCY, FuzzySet, fuzzy_score
 
-REASONS = ("no_turns", "too_many_turns", "too_large", "toxic", "language")
+REASONS = ("no_turns", "too_many_turns", "too_large", "not_utf8", "toxic", "language")
 
 
 def low(turns: DataFrame) -> DataFrame:
     return turns.withColumn("low", T.lowered(F.col("raw_text")))
 
 
-def validate_format(turns: DataFrame, max_turns: int = 500, max_bytes: int = 1_048_576) -> DataFrame:
-    """(conv_id, n_turns, n_bytes, reason): the first reason to reject a conversation, or null."""
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.octet_length("raw_text") + F.octet_length("speaker")).alias("n_bytes"))
-    reason = F.when(F.col("n_turns") == 0, "no_turns").when(F.col("n_turns") > max_turns, "too_many_turns").when(F.col("n_bytes") > max_bytes, "too_large")
-    return sizes.withColumn("reason", reason)
+def validate_format(turns: DataFrame, max_turns: int = 500, max_bytes: int = 1_048_576, conversations: DataFrame | None = None) -> DataFrame:
+    """(conv_id, n_turns, n_bytes, reason): the first reason to reject a conversation, or null.
+
+    Texts may be binary; then bytes that aren't UTF-8 are a reason too. With ``conversations`` (conv_id, objective), those
+    without turns are rejected, and the objective's bytes count."""
+    text, speaker = F.col("raw_text"), F.col("speaker")
+    broken = F.bool_or(~F.coalesce(F.is_valid_utf8(text), F.lit(True))) if turns.schema["raw_text"].dataType.simpleString() == "binary" else F.lit(False)
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + F.coalesce(F.octet_length(speaker), F.lit(0))
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(size).alias("n_bytes"), broken.alias("_broken"))
+    if conversations is not None:
+        sizes = conversations.select("conv_id", F.coalesce(F.octet_length("objective"), F.lit(0)).alias("_own")).join(sizes, "conv_id", "left")
+        sizes = sizes.withColumns({"n_turns": F.coalesce("n_turns", F.lit(0)), "n_bytes": F.coalesce("n_bytes", F.lit(0)) + F.col("_own"), "_broken": F.coalesce("_broken", F.lit(False))})
+    reason = F.when(F.col("n_turns") == 0, "no_turns").when(F.col("n_turns") > max_turns, "too_many_turns").when(F.col("n_bytes") > max_bytes, "too_large").when(F.col("_broken"), "not_utf8")
+    return sizes.select("conv_id", "n_turns", F.col("n_bytes").cast("long").alias("n_bytes"), reason.alias("reason"))
 
 
 def screen_toxicity(turns: DataFrame, blocklist: tuple[str, ...] = L.BLOCKLIST) -> DataFrame:

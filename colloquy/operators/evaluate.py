@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,59 @@ def pareto_front(traits: DataFrame, up: tuple[str, ...], eps: float = 1e-9) -> D
 
 def label_distribution(expected: DataFrame) -> DataFrame:
     return expected.groupBy("finding_type").agg(F.count("*").alias("n"))
+
+
+#: Traits of a variant, and whether less is better.
+TRAITS = {
+    "precision": False, "recall": False, "f1": False, "false_positive_rate": True, "latency_mean_ms": True, "latency_p95_ms": True, "latency_p99_ms": True, "stage_count": True, "cog_count": True,
+}
+#: What each profile weighs.
+PROFILES = {
+    "balanced": {"f1": 0.35, "precision": 0.15, "recall": 0.15, "latency_mean_ms": 0.15, "latency_p95_ms": 0.10, "stage_count": 0.05, "cog_count": 0.05},
+    "precision-first": {"precision": 0.40, "f1": 0.20, "false_positive_rate": 0.20, "recall": 0.10, "latency_mean_ms": 0.05, "stage_count": 0.05},
+    "recall-first": {"recall": 0.40, "f1": 0.25, "precision": 0.15, "latency_mean_ms": 0.10, "stage_count": 0.05, "cog_count": 0.05},
+    "minimal": {"f1": 0.25, "latency_mean_ms": 0.20, "stage_count": 0.20, "cog_count": 0.15, "precision": 0.10, "recall": 0.10},
+}
+
+
+def variant_traits(found: DataFrame, expected: DataFrame, entries: DataFrame, measured: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row per variant: counts, accuracy, the share of clean entries with findings, latencies and sizes.
+
+    ``found`` has (variant, entry_id, finding_type), ``expected`` (entry_id, finding_type), ``entries`` all (entry_id), ``measured`` (variant, entry_id,
+    latency_ms), ``sizes`` (variant, stage_count, cog_count). Percentiles are exact, between two neighbours by their distance."""
+    # A handful of variants: each is held against all labels.
+    wanted = expected.select("entry_id", "finding_type").join(sizes.select("variant"))
+    both = confusion(found, wanted, ("variant",)).groupBy("variant").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    clean = entries.select("entry_id").distinct().join(expected.select("entry_id"), "entry_id", "left_anti")
+    loud = found.select("variant", "entry_id").distinct().join(clean, "entry_id", "left_semi").groupBy("variant").agg(F.count("*").alias("loud"))
+    quiet = clean.agg(F.count("*").alias("clean"))
+    at = lambda share: F.percentile("latency_ms", F.lit(share))
+    times = measured.groupBy("variant").agg(F.avg("latency_ms").alias("latency_mean_ms"), at(0.95).alias("latency_p95_ms"), at(0.99).alias("latency_p99_ms"))
+    # One row holds the number of clean entries.
+    rows = sizes.join(both, "variant", "left").join(loud, "variant", "left").join(times, "variant", "left").join(quiet).fillna(0)
+    precision, recall = (ratio(F.col("tp"), F.col("tp") + F.col(x)) for x in ("fp", "fn"))
+    rows = rows.withColumns({"precision": precision, "recall": recall, "false_positive_rate": ratio(F.col("loud"), F.col("clean"))})
+    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return rows.withColumn("f1", f1).select("variant", "tp", "fp", "fn", *TRAITS)
+
+
+def profile_winners(traits: DataFrame, profiles: Mapping[str, Mapping[str, float]] = PROFILES) -> DataFrame:
+    """(profile, variant, score): the variant that scores best under each profile, the first by name of equals."""
+    most = traits.agg(*[F.max(t).alias(f"_{t}") for t in TRAITS])
+    rows = traits.join(most)  # one row of maxima
+
+    def share(t: str) -> Column:
+        x = F.try_divide(F.col(t).cast("double"), F.col(f"_{t}").cast("double"))
+        return F.coalesce(1 - x if TRAITS[t] else x, F.lit(0.0))
+
+    scores = [F.struct(F.lit(name).alias("profile"), sum((F.lit(float(w)) * share(t) for t, w in weights.items()), F.lit(0.0)).alias("score")) for name, weights in profiles.items()]
+    each = rows.select("variant", F.explode(F.array(*scores)).alias("s")).select("variant", "s.*")
+    best = each.groupBy("profile").agg(F.min(F.struct((-F.round("score", 9)).alias("k"), "variant", "score")).alias("b"))
+    return best.select("profile", "b.variant", "b.score")
+
+
+def ranked_trials(trials: DataFrame, least_recall: float = 0.8, top: int = 10) -> DataFrame:
+    """The ``top`` trials (the feature) of enough recall, with ``rank``: by F1 to three digits, then fewer false positives, then the other columns in order."""
+    order = [F.round("f1", 3).desc(), F.col("fp"), *[F.col(c) for c in trials.columns if c not in ("f1", "fp")]]
+    best = trials.where(F.round("recall", 9) >= least_recall).orderBy(*order).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

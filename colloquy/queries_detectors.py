@@ -57,6 +57,23 @@ def fuzzy_sql(source: str, name: str, rules: Z.FuzzySet, inputs: tuple[str, ...]
 # Gates and context.
 of_turns("validate_format", lambda t: C.validate_format(t, max_turns=6, max_bytes=6000), f"""{O.base()} SELECT conv_id, count(*) AS n_turns, sum(strlen(raw_text) + strlen(speaker))::BIGINT AS n_bytes,
 CASE WHEN count(*) > 6 THEN 'too_many_turns' WHEN sum(strlen(raw_text) + strlen(speaker)) > 6000 THEN 'too_large' END AS reason FROM turns GROUP BY conv_id""")
+
+
+def bytes_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns as bytes, broken in one conversation of seven, none in one of five; all conversations, with a long objective in one of three)."""
+    raw = F.encode("raw_text", "UTF-8")
+    rows = turns.where("conv_id % 5 <> 0").withColumn("raw_text", F.when(F.col("conv_id") % 7 == 0, F.concat(raw, F.unhex(F.lit("C328")))).otherwise(raw))
+    return rows, turns.select("conv_id").distinct().withColumn("objective", F.when(F.col("conv_id") % 3 == 0, F.repeat(F.lit("goal "), 1200)))
+
+
+def validate_bytes(turns: DataFrame) -> DataFrame:
+    rows, conversations = bytes_of(turns)
+    return C.validate_format(rows, max_turns=6, max_bytes=6000, conversations=conversations)
+
+
+of_turns("validate_bytes", validate_bytes, f"""{O.base()}, vb AS (
+  SELECT conv_id, count(*) FILTER (conv_id % 5 <> 0) AS n_turns, (coalesce(sum(strlen(raw_text) + strlen(speaker) + CASE WHEN conv_id % 7 = 0 THEN 2 ELSE 0 END) FILTER (conv_id % 5 <> 0), 0) + CASE WHEN conv_id % 3 = 0 THEN 6000 ELSE 0 END)::BIGINT AS n_bytes FROM turns GROUP BY conv_id)
+SELECT *, CASE WHEN n_turns = 0 THEN 'no_turns' WHEN n_turns > 6 THEN 'too_many_turns' WHEN n_bytes > 6000 THEN 'too_large' WHEN conv_id % 7 = 0 THEN 'not_utf8' END AS reason FROM vb""")
 _terms = ", ".join(f"CASE WHEN max({O.bounded('low', t)}::INTEGER) = 1 THEN {O.lit(t)} END" for t in L.BLOCKLIST)
 of_turns("screen_toxicity", C.screen_toxicity, f"""{O.base()} SELECT conv_id, array_to_string(list_filter(m, lambda x: x IS NOT NULL), '|') AS matched, round(len(list_filter(m, lambda x: x IS NOT NULL))::DOUBLE / {len(L.BLOCKLIST)}::DOUBLE, 6) AS score
 FROM (SELECT conv_id, [{_terms}] AS m FROM lowt GROUP BY conv_id)""")
@@ -298,7 +315,20 @@ round(CASE WHEN f.conv_id IS NULL THEN 0.4::DOUBLE WHEN coalesce(confirms, false
 
 
 of_turns("sunk_cost_ml", of_detector(lambda t: D.sunk_cost_ml(t, enrichment(t))), boosted_sql(ORACLE["sunk_cost"], f"{O.base(ENR)} SELECT conv_id, true AS confirms, true AS alone FROM em WHERE phrases <> ''", "SUNK_COST_FALLACY", "sunk_cost"))
-QUERIES["scope_drift_centroid"] = lambda spark, sf_dir: rounded(of_detector(lambda t: D.scope_drift_centroid(t, objectives(t)))(S.long_turns(S.seeded_turns(spark, sf_dir))))
+of_turns("scope_drift_orchestrated", of_detector(lambda t: D.scope_drift(t, objectives(t), sustained=2, reference_turns=2, orchestrating=C.orchestration_mode(t, more_than=4).where("orchestrating"))),
+    f"""{O.base(drift_sql('', 'turns', 2), f"om AS (SELECT conv_id FROM lowt GROUP BY conv_id HAVING count(*) > 4 AND sum({O.any_of('plain_', L.PROJECT)}::INTEGER) >= 3)",
+    runs_sql('dd', 'distance', "CASE WHEN conv_id IN (SELECT conv_id FROM om) THEN least(0.79::DOUBLE * 1.2::DOUBLE, 0.98::DOUBLE) ELSE 0.79::DOUBLE END", 2))} {found('SCOPE_DRIFT', _sev_d, 'd', 'scope_drift', 't', 'dg')}""")
+_moved = "map_from_entries(list_transform(list_distinct(list_concat(map_keys(c), k)), lambda w_: {'key': w_, 'value': coalesce(c[w_], 0.0::DOUBLE) * 0.8::DOUBLE + CASE WHEN list_contains(k, w_) THEN 1 - 0.8::DOUBLE ELSE 0.0::DOUBLE END}))"
+FOLD = f"""ct AS MATERIALIZED (SELECT conv_id, turn_number, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn_number) AS i FROM dk),
+cf AS (
+  SELECT conv_id, 0::BIGINT AS i, map_from_entries(list_transform(coalesce(k, []), lambda w_: {{'key': w_, 'value': 1.0::DOUBLE}})) AS c, 0 AS run, 0.0::DOUBLE AS best, '' AS hits FROM (SELECT DISTINCT conv_id FROM ct) s LEFT JOIN ok USING (conv_id)
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN far THEN c ELSE {_moved} END, CASE WHEN far THEN run + 1 ELSE 0 END, CASE WHEN far AND run + 1 >= 7 THEN greatest(best, d) ELSE best END, CASE WHEN far AND run + 1 >= 7 THEN hits || ' ' || turn_number ELSE hits END
+  FROM (SELECT *, round(d, 9) > 0.85 AS far FROM (SELECT *, CASE WHEN total > 0 THEN 1 - shared / total ELSE 0.0::DOUBLE END AS d FROM (SELECT *, coalesce(list_sum(map_values(c)), 0.0::DOUBLE) + len(k) - shared AS total FROM (
+    SELECT cf.conv_id, ct.i, c, run, best, hits, k, turn_number, coalesce(list_sum(list_transform(k, lambda w_: least(coalesce(c[w_], 0.0::DOUBLE), 1.0::DOUBLE))), 0.0::DOUBLE) AS shared FROM cf JOIN ct ON ct.conv_id = cf.conv_id AND ct.i = cf.i + 1)))))
+, ce AS (SELECT conv_id, arg_max(best, i) AS d, ltrim(arg_max(hits, i)) AS t FROM cf GROUP BY conv_id)"""
+of_turns("scope_drift_centroid", of_detector(lambda t: D.scope_drift_centroid(t, objectives(t))),
+    f"{O.base(drift_sql(LONG + ', ', 'longt'), FOLD)} {found('SCOPE_DRIFT', _sev_d, 'd', 'scope_drift_centroid', 't', 'ce', chr(116) + ' <> ' + chr(39) * 2)}".replace("WITH", "WITH RECURSIVE", 1), long=True)
 MIS = f"""m0 AS (
   SELECT conv_id, turn_number, CASE {' '.join(f"WHEN {O.any_of('low', phrases)}{' AND len(' + O.words('low') + ') >= 5' if rank == 3 else ''} THEN {rank}" for rank, phrases in L.CONFIDENCE)} END AS c,
     {O.hits('low', L.EVIDENCE)} + len(regexp_extract_all(low, '\\[[0-9]+\\]')) AS marks FROM lowt),

@@ -32,13 +32,23 @@ def found(turns: DataFrame) -> DataFrame:
     return D.detect(turns, None, PARAMS, objectives(turns)).withColumn("confidence", F.round("confidence", 6))
 
 
-_held: dict[tuple[str, str], DataFrame] = {}
+_held: dict[tuple, DataFrame] = {}
+
+
+def _listing(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below a path, so that what was read from them is known to be current."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system.listStatus(at) if system.exists(at) else []
+    return " ".join(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
 
 
 def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of a folder's tables, worked out once a session for all queries that start from it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The same of a folder's tables, worked out once for all queries that start from it. One folder's are held at a time, and only while
+    its files stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, f"{sf_dir}/conversations.parquet"))
     if key not in _held:
+        _held.clear()
         _held[key] = settled(found(S.seeded_turns(spark, sf_dir)))
     return _held[key]
 
@@ -316,6 +326,45 @@ of_findings("variant_traits", traits, "SELECT * FROM tr", EXP, TRA)
 of_findings("profile_scores", lambda t, f: E.profile_scores(rounded(traits(t, f)), {"precision": (0.5, False), "recall": (0.3, False), "fp": (0.2, True)}), "SELECT variant, round(0.5::DOUBLE * coalesce(precision / nullif(max(precision) OVER (), 0), 0) + 0.3::DOUBLE * coalesce(recall / nullif(max(recall) OVER (), 0), 0) + 0.2::DOUBLE * (1 - coalesce(fp::DOUBLE / nullif(max(fp) OVER (), 0)::DOUBLE, 0)), 6) AS score FROM tr", EXP, TRA)
 of_findings("pareto_front", lambda t, f: E.pareto_front(rounded(traits(t, f)), ("precision", "recall", "f1")), "SELECT * FROM tr a WHERE NOT EXISTS (SELECT 1 FROM tr b WHERE b.variant <> a.variant AND b.precision >= a.precision - 1e-9 AND b.recall >= a.recall - 1e-9 AND b.f1 >= a.f1 - 1e-9 AND (b.precision > a.precision + 1e-9 OR b.recall > a.recall + 1e-9 OR b.f1 > a.f1 + 1e-9))", EXP, TRA)
 
+
+
+def measured(t: DataFrame, f: DataFrame) -> DataFrame:
+    """The traits of three ways to report: all findings, those that pass the gate, and of these the salient ones. One conversation in five is
+    clean; what would be measured milliseconds are taken from the texts' lengths."""
+    passed = P.inhibit(f, t).where("action = 'PASS'")
+    ways = {"detectors_only": (f, 1, 20), "detectors_inhibited": (passed, 2, 21), "all": (P.salience(passed), 3, 22)}
+    sizes = t.sparkSession.createDataFrame([(k, n, m) for k, (_, n, m) in ways.items()], "variant string, stage_count int, cog_count int")
+    rows = [emitted(x).select(F.lit(k).alias("variant"), "entry_id", "finding_type") for k, (x, _, _) in ways.items()]
+    lengths = t.groupBy(F.col("conv_id").alias("entry_id")).agg(F.sum(F.length("raw_text")).alias("n"))
+    times = lengths.join(sizes).select("variant", "entry_id", (F.col("n") * F.col("stage_count") / F.lit(100.0)).alias("latency_ms"))
+    return E.variant_traits(rows[0].union(rows[1]).union(rows[2]), expected(t).where("entry_id % 5 <> 0"), t.select(F.col("conv_id").alias("entry_id")), times, sizes)
+
+
+MEASURED = f"""vf AS (SELECT DISTINCT 'detectors_only' AS variant, conv_id AS entry_id, finding_type FROM found UNION SELECT 'detectors_inhibited', conv_id, finding_type FROM passed UNION SELECT 'all', conv_id, finding_type FROM salient),
+vz AS (SELECT * FROM (VALUES ('detectors_only', 1, 20), ('detectors_inhibited', 2, 21), ('all', 3, 22)) v(variant, stage_count, cog_count)), vx AS (SELECT variant, entry_id, finding_type FROM expd, vz WHERE entry_id % 5 <> 0),
+vc AS (SELECT coalesce(a.variant, b.variant) AS variant, (a.entry_id IS NOT NULL AND b.entry_id IS NOT NULL)::INTEGER AS tp, (b.entry_id IS NULL)::INTEGER AS fp, (a.entry_id IS NULL)::INTEGER AS fn FROM vf a FULL JOIN vx b ON a.variant = b.variant AND a.entry_id = b.entry_id AND a.finding_type = b.finding_type),
+vs AS (SELECT variant, {_sums}, {_p} AS precision, {_r} AS recall, {_f1} AS f1 FROM vc GROUP BY variant),
+vl AS (SELECT variant, count(DISTINCT entry_id) AS loud FROM vf WHERE entry_id % 5 = 0 GROUP BY variant), vn AS (SELECT count(DISTINCT conv_id)::DOUBLE AS clean FROM turns WHERE conv_id % 5 = 0),
+vt AS (SELECT variant, avg(ms) AS latency_mean_ms, quantile_cont(ms, 0.95) AS latency_p95_ms, quantile_cont(ms, 0.99) AS latency_p99_ms FROM (SELECT variant, conv_id, sum(length(raw_text)) * any_value(stage_count) / 100.0::DOUBLE AS ms FROM turns, vz GROUP BY ALL) GROUP BY variant),
+vr AS (SELECT variant, tp, fp, fn, precision, recall, f1, coalesce(loud, 0) / clean AS false_positive_rate, latency_mean_ms, latency_p95_ms, latency_p99_ms, stage_count, cog_count FROM vz JOIN vs USING (variant) JOIN vt USING (variant) LEFT JOIN vl USING (variant), vn)"""
+_doubles = [x for x in E.TRAITS if not x.endswith("count")]
+PASSED = "passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS')"
+of_findings("variant_measures", measured, f"SELECT variant, tp, fp, fn, stage_count, cog_count, {', '.join(f'round({x}, 6) AS {x}' for x in _doubles)} FROM vr", NEAR, GAIN, INH, PASSED, salience_sql("passed"), EXP, MEASURED)
+_share = lambda x: f"coalesce({'1 - ' if E.TRAITS[x] else ''}{x}::DOUBLE / nullif((SELECT max({x}) FROM vr), 0)::DOUBLE, 0)"
+_profiles = " UNION ALL ".join(f"SELECT '{k}' AS profile, variant, {' + '.join(f'{v}::DOUBLE * {_share(x)}' for x, v in w.items())} AS score FROM vr" for k, w in E.PROFILES.items())
+of_findings("profile_winners", lambda t, f: E.profile_winners(measured(t, f)), f"SELECT profile, variant, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY round(score, 9) DESC, variant) AS k FROM ({_profiles})) WHERE k = 1", NEAR, GAIN, INH, PASSED, salience_sql("passed"), EXP, MEASURED)
+
+
+def ledger(f: DataFrame) -> DataFrame:
+    """Outcomes as three runs leave them: all without a verdict, then with one for two of three conversations, then for one of five."""
+    rows = P.record_outcomes(f).select("id", "conv_id")
+    runs = [rows.select("id", "conv_id", F.lit(i).alias("at"), verdict.alias("outcome"), F.lit(f"run{i}").alias("run")) for i, verdict in enumerate((F.lit(None).cast("boolean"), F.col("conv_id") % 3 == 1))]
+    return runs[0].union(runs[1].where("conv_id % 3 <> 0")).union(rows.where("conv_id % 5 = 0").select("id", "conv_id", F.lit(1).alias("at"), F.lit(False).alias("outcome"), F.lit("run2").alias("run")))
+
+
+of_findings("ledger_latest", lambda t, f: S.latest(ledger(f)), """SELECT id, conv_id, (CASE WHEN conv_id % 5 = 0 OR conv_id % 3 <> 0 THEN 1 ELSE 0 END)::INTEGER AS at, CASE WHEN conv_id % 5 = 0 THEN false WHEN conv_id % 3 <> 0 THEN conv_id % 3 = 1 END AS outcome,
+CASE WHEN conv_id % 5 = 0 THEN 'run2' WHEN conv_id % 3 <> 0 THEN 'run1' ELSE 'run0' END AS run FROM oc""", OUT)
+
 #: For hard cases: the first turns of every other conversation are clean.
 HARD = """hx AS (SELECT DISTINCT entry_id AS conv_id, finding_type FROM expd), hm AS (SELECT conv_id, 0.3::DOUBLE * count(*) FILTER (f.conv_id_ IS NULL) AS won, 0.3::DOUBLE * count(*) AS most
   FROM hx LEFT JOIN (SELECT DISTINCT conv_id AS conv_id_, finding_type AS ft FROM found) f ON hx.conv_id = conv_id_ AND hx.finding_type = ft GROUP BY conv_id),
@@ -366,6 +415,12 @@ ORACLE["parameter_grid"] = f"""{O.base(GRID)} SELECT drift_threshold, sustained_
 round(coalesce(2 * {_gp} * {_gr} / nullif({_gp} + {_gr}, 0), 0), 6) AS f1 FROM kk"""
 
 
+TRIALS = {"least_recall": 0.25, "top": 10}
+QUERIES["ranked_trials"] = lambda spark, sf_dir: rounded(E.ranked_trials(rounded(grid(S.seeded_turns(spark, sf_dir), None)), **TRIALS))
+ORACLE["ranked_trials"] = f"""WITH g AS ({ORACLE["parameter_grid"]}) SELECT *, row_number() OVER (ORDER BY round(f1, 3) DESC, fp, drift_threshold, sustained_turns, anchor_threshold, orbit_threshold, min_citations, tp, fn, precision, recall)::INTEGER AS rank
+FROM g WHERE round(recall, 9) >= 0.25 QUALIFY rank <= 10"""
+
+
 # Sources and sinks, over lines made of the tables.
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled corpus: one line a conversation; every seventh is broken, every eleventh lacks its input."""

@@ -167,9 +167,30 @@ def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None
     findings.write.mode(mode).partitionBy("finding_type").parquet(path)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds rows to an append-only ledger of runs (memory) or outcomes; readers take the latest row of an id."""
-    rows.write.mode("append").parquet(path)
+def append_ledger(rows: DataFrame, path: str, run: str) -> None:
+    """Adds a run's rows to a ledger of runs (memory) or outcomes. A run has its own folder, which writing it again replaces, so a
+    run that is repeated after a failure counts once."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a ledger, with their ``run``, as text."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1))
+
+
+def latest(ledger: DataFrame, key: str = "id", at: str = "at") -> DataFrame:
+    """The latest row of every id: greatest ``at`` (null is before all), then the latest run by name, then the greatest other values in order. A
+    maximum, so many rows of one id are combined before they are shuffled; columns must be orderable."""
+    first = [o for o in (at, "run") if o in ledger.columns]
+    rest = [c for c in ledger.columns if c not in (key, *first)]
+    newest = ledger.groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("_row"))
+    return newest.select(key, "_row.*").select(*ledger.columns)
+
+
+def compact_ledger(spark: SparkSession, path: str, to: str, key: str = "id", at: str = "at") -> None:
+    """Writes a ledger's latest rows as one run of a new ledger at ``to``; the old one stays until its readers have moved."""
+    append_ledger(latest(read_ledger(spark, path), key, at).drop("run"), to, "compacted")
 
 
 def write_annotations(expected: DataFrame, entries: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,12 +1,13 @@
 """Live sessions with Structured Streaming: windows of recent turns, alerts with a cool-down, run counts.
 
-State is kept per session by ``transformWithStateInPandas`` (RocksDB state store); within a micro-batch rows
+State is kept per session by ``transformWithStateInPandas`` (RocksDB state store) and goes with a session that is silent for TTL; within a micro-batch rows
 are handled in order of time and event id, and what arrives after the watermark is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 KEEP, LIMIT = 20, 2000
+#: Characters kept of a tool's output, and what stands before it.
+TOOL_LIMIT, TOOL_MARK = 1000, "[tool:{}] "
+#: How long a session's state is kept after it was last written.
+TTL = timedelta(days=1)
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
@@ -24,46 +29,73 @@ def event_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> Da
     return rows.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value").withWatermark("ts", late)
 
 
+def _ms(ttl: timedelta) -> int:
+    return int(ttl.total_seconds() * 1000)
+
+
 class RecentTurns(StatefulProcessor):
-    """Keeps a session's last KEEP interactions and emits them, renumbered, at each stop event."""
+    """Keeps a session's last KEEP interactions and emits them, renumbered, at each stop event. The output of a tool is
+    cut shorter and marked with the tool's name. A session's turns go when nothing has come for the time of ``ttl``."""
 
-    def __init__(self, stop: str):
-        self.stop = stop
+    def __init__(self, stop: str, ttl: timedelta = TTL):
+        self.stop, self.ttl = stop, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", StructType([StructField("event_id", LongType()), StructField("text", StringType())]))
+        fields = [StructField("event_id", LongType()), StructField("speaker", StringType()), StructField("text", StringType())]
+        self.turns = handle.getListState("turns", StructType(fields), _ms(self.ttl))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(a), b) for a, b in self.turns.get()] if self.turns.exists() else []
+        held = [(int(a), b, c) for a, b, c in self.turns.get()] if self.turns.exists() else []
         out = []
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for event_id, kind, text in zip(frame["event_id"], frame["kind"], frame["text"]):
-            held = [*held, (int(event_id), str(text)[:LIMIT])][-KEEP:]
+        own = lambda c: frame[c] if c in frame.columns else [None] * len(frame)
+        for event_id, kind, text, speaker, tool in zip(frame["event_id"], frame["kind"], frame["text"], own("speaker"), own("tool")):
+            text = "" if text is None else str(text)
+            said = text[:LIMIT] if tool is None or pd.isna(tool) else TOOL_MARK.format(tool) + text[:TOOL_LIMIT]
+            held = [*held, (int(event_id), speaker or "assistant", said)][-KEEP:]
             if kind == self.stop and len(held) >= 2:
-                out += [(int(key[0]), int(event_id), i, t) for i, (_, t) in enumerate(held, 1)]
+                out += [(int(key[0]), int(event_id), i, s, t) for i, (_, s, t) in enumerate(held, 1)]
         self.turns.put(held)
-        yield pd.DataFrame(out, columns=["session", "stop_id", "turn_number", "raw_text"])
+        yield pd.DataFrame(out, columns=["session", "stop_id", "turn_number", "speaker", "raw_text"])
 
     def close(self) -> None:
         pass
 
 
-def session_turns(events: DataFrame, stop: str) -> DataFrame:
-    """(session, stop_id, turn_number, raw_text) of a stream (session, event_id, ts, kind, text)."""
-    schema = StructType([StructField("session", LongType()), StructField("stop_id", LongType()), StructField("turn_number", IntegerType()), StructField("raw_text", StringType())])
-    return events.groupBy("session").transformWithStateInPandas(RecentTurns(stop), schema, "append", "None")
+def session_turns(events: DataFrame, stop: str, ttl: timedelta = TTL) -> DataFrame:
+    """(session, stop_id, turn_number, speaker, raw_text) of a stream (session, event_id, ts, kind, text), which may have speaker and tool
+    (the name of a tool whose output the text is) too."""
+    fields = [StructField("session", LongType()), StructField("stop_id", LongType()), StructField("turn_number", IntegerType()), StructField("speaker", StringType()), StructField("raw_text", StringType())]
+    return events.groupBy("session").transformWithStateInPandas(RecentTurns(stop, ttl), StructType(fields), "append", "ProcessingTime")
+
+
+def evaluate_at_stops(events: DataFrame, stop: str, evaluate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, ttl: timedelta = TTL, once: bool = False):
+    """Starts a query that runs batch operators on a session's recent turns at each of its stop events.
+
+    ``evaluate`` takes turns (conv_id, turn_number, speaker, raw_text), where conv_id is ``session:stop_id``, and returns rows with that conv_id,
+    such as findings or a report. A micro-batch's rows go to a folder of their own, which a repeated batch replaces: none is written twice."""
+
+    def write(turns: DataFrame, batch: int) -> None:
+        turns = turns.withColumn("conv_id", F.concat_ws(":", "session", "stop_id")).select("conv_id", "turn_number", "speaker", "raw_text").persist()
+        try:
+            evaluate(turns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        finally:
+            turns.unpersist()
+
+    writer = session_turns(events, stop, ttl).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 class Cooldown(StatefulProcessor):
     """Passes an alert unless the same type passed within the last ``gap`` interactions of the session;
     a change of ``root`` forgets what passed."""
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    def __init__(self, gap: int, ttl: timedelta = TTL):
+        self.gap, self.ttl = gap, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getMapState("passed", StructType([StructField("kind", StringType())]), StructType([StructField("at", LongType())]))
-        self.at = handle.getValueState("at", StructType([StructField("n", LongType()), StructField("root", StringType())]))
+        self.passed = handle.getMapState("passed", StructType([StructField("kind", StringType())]), StructType([StructField("at", LongType())]), _ms(self.ttl))
+        self.at = handle.getValueState("at", StructType([StructField("n", LongType()), StructField("root", StringType())]), _ms(self.ttl))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, root = self.at.get() if self.at.exists() else (0, None)
@@ -88,20 +120,20 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def alert_cooldown(alerts: DataFrame, gap: int = 5) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, gap: int = 5, ttl: timedelta = TTL) -> DataFrame:
     """Alerts (session, event_id, ts, kind, value, root) without repeats of a type within ``gap`` interactions."""
     schema = StructType([StructField("session", LongType()), StructField("event_id", LongType()), StructField("kind", StringType()), StructField("value", DoubleType())])
-    return alerts.groupBy("session").transformWithStateInPandas(Cooldown(gap), schema, "append", "None")
+    return alerts.groupBy("session").transformWithStateInPandas(Cooldown(gap, ttl), schema, "append", "ProcessingTime")
 
 
 class RateLimit(StatefulProcessor):
     """Passes an entry of a session if the last that passed is ``seconds`` back or more, and at most ``most`` of them."""
 
-    def __init__(self, seconds: float, most: int):
-        self.seconds, self.most = seconds, most
+    def __init__(self, seconds: float, most: int, ttl: timedelta = TTL):
+        self.seconds, self.most, self.ttl = seconds, most, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType([StructField("last", DoubleType()), StructField("n", LongType())]))
+        self.state = handle.getValueState("state", StructType([StructField("last", DoubleType()), StructField("n", LongType())]), _ms(self.ttl))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, n = self.state.get() if self.state.exists() else (None, 0)
@@ -120,10 +152,10 @@ class RateLimit(StatefulProcessor):
         pass
 
 
-def memory_rate_limit(entries: DataFrame, seconds: float = 60.0, most: int = 10) -> DataFrame:
+def memory_rate_limit(entries: DataFrame, seconds: float = 60.0, most: int = 10, ttl: timedelta = TTL) -> DataFrame:
     """(session, event_id) of the entries of a stream (session, event_id, ts) that may be kept: a pause between them, and so many a session."""
     schema = StructType([StructField("session", LongType()), StructField("event_id", LongType())])
-    return entries.groupBy("session").transformWithStateInPandas(RateLimit(seconds, most), schema, "append", "None")
+    return entries.groupBy("session").transformWithStateInPandas(RateLimit(seconds, most, ttl), schema, "append", "ProcessingTime")
 
 
 def distinct_alerts(alerts: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -66,6 +66,35 @@ def test_session_turns_keep_the_last_and_renumber(spark, tmp_path):
     assert got == [(i, f"t{i + 5}") for i in range(1, 21)]
 
 
+def test_stops_are_evaluated_once_a_batch(spark, tmp_path):
+    fields = "session long, event_id long, ts string, kind string, speaker string, tool string, text string"
+    said = [(1, "say", "user", None, "We have already invested three months and 4000 dollars."), (2, "tool", None, "grep", "y" * 1500), (3, "stop", None, None, "We must continue, we should keep going."), (4, "stop", None, None, "done")]
+    rows = [(s, i, f"2024-01-01 00:00:{i:02d}", k, who, tool, text) for s in (1, 2) for i, k, who, tool, text in said if s == 1 or i > 3]
+    spark.createDataFrame(rows, fields).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    seen = lambda turns: turns.select("conv_id", "turn_number", "speaker", F.length("raw_text").alias("n"), F.left("raw_text", F.lit(11)).alias("begin"))
+    W.evaluate_at_stops(stream, "stop", seen, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
+    got = {(r.conv_id, r.turn_number): (r.speaker, r.n, r.begin) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # Session 2 has one interaction only, which is too few.
+    assert {c for c, _ in got} == {"1:3", "1:4"} and len(got) == 3 + 4
+    assert got["1:3", 2] == ("assistant", 1012, "[tool:grep]") and got["1:3", 1][0] == "user" and got["1:4", 4] == ("assistant", 4, "done")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+    W.evaluate_at_stops(stream, "stop", lambda t: D.sunk_cost(t), str(tmp_path / "found"), str(tmp_path / "ck2"), once=True).awaitTermination()
+    assert {r.conv_id for r in spark.read.parquet(str(tmp_path / "found")).collect()} == {"1:3", "1:4"}
+
+
+def test_thresholds_and_routes_of_one_conversation(spark):
+    rows = [(c, i, "user", t) for c in (1, 2, 3) for i, t in ((1, "The budget was 100 dollars."), (2, "Perhaps it takes 110 dollars then."), (3, "We have invested so much already that we must continue."))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn_number int, speaker string, raw_text string")
+    own = spark.createDataFrame([(1, "anchoring", "threshold", 0.05), (2, "anchoring", "threshold", 0.5)], "conv_id long, detector string, parameter string, value double")
+    plain = {r.conv_id for r in D.detect(turns, ("anchoring",)).collect()}
+    moved = {r.conv_id: r.confidence for r in D.detect(turns, ("anchoring",), thresholds=own).collect()}
+    assert plain == {1, 2, 3} and set(moved) == {2, 3} and abs(moved[2] - 0.8) < 1e-9 and abs(moved[3] - (1 - 0.1 / 0.15)) < 1e-9
+    routes = spark.createDataFrame([(1, "sunk_cost"), (3, "contradiction")], "conv_id long, detector string")
+    assert {r.conv_id for r in D.detect(turns, ("sunk_cost", "contradiction"), routes=routes).collect()} <= {1}
+    assert {r.conv_id for r in D.detect(turns, ("sunk_cost",), routes=routes).collect()} == {r.conv_id for r in D.sunk_cost(turns).collect()} & {1}
+
+
 def test_stream_of_runs_equals_the_batch(spark, tmp_path):
     rows = [(i % 3, i, f"2024-01-01 00:{i:02d}:00", "error" if i % 4 == 0 else "ok", float(i), "", "") for i in range(30)]
     stream = _events(spark, rows, str(tmp_path / "in"))
@@ -90,8 +119,14 @@ def test_ledgers_and_sinks_keep_all_rows(spark, tmp_path):
     rows = spark.createDataFrame([("a", "SCOPE_DRIFT", 0.5), ("b", "CONTRADICTION", 0.7)], "entry_id string, finding_type string, confidence double")
     for _ in range(2):
         S.write_findings(rows, str(tmp_path / "f"))
-        S.append_ledger(rows, str(tmp_path / "l"))
-    assert spark.read.parquet(str(tmp_path / "f")).where("finding_type = 'SCOPE_DRIFT'").count() == 2 and spark.read.parquet(str(tmp_path / "l")).count() == 4
+        S.append_ledger(rows.withColumn("at", F.lit(1)), str(tmp_path / "l"), "001")  # a repeated run counts once
+    S.append_ledger(rows.limit(1).withColumns({"at": F.lit(2), "confidence": F.lit(0.9)}), str(tmp_path / "l"), "002")
+    S.compact_ledger(spark, str(tmp_path / "l"), str(tmp_path / "m"), "entry_id")
+    for path, runs in (("l", {"001", "002"}), ("m", {"compacted"})):
+        read = S.read_ledger(spark, str(tmp_path / path))
+        assert sorted((r.entry_id, r.at, r.confidence) for r in S.latest(read, "entry_id").collect()) == [("a", 2, 0.9), ("b", 1, 0.7)]
+        assert {r.run for r in read.collect()} == runs and read.count() == (3 if path == "l" else 2)
+    assert spark.read.parquet(str(tmp_path / "f")).where("finding_type = 'SCOPE_DRIFT'").count() == 2
     S.write_annotations(rows, rows.select("entry_id").union(spark.createDataFrame([("c",)], "entry_id string")), str(tmp_path / "a"))
     assert sorted((r.entry_id, r.types) for r in spark.read.json(str(tmp_path / "a")).collect()) == [("a", '["SCOPE_DRIFT"]'), ("b", '["CONTRADICTION"]'), ("c", None)]
 

@@ -415,10 +415,10 @@ ORACLE["parameter_grid"] = f"""{O.base(GRID)} SELECT drift_threshold, sustained_
 round(coalesce(2 * {_gp} * {_gr} / nullif({_gp} + {_gr}, 0), 0), 6) AS f1 FROM kk"""
 
 
-TRIALS = {"least_recall": 0.25, "top": 10}
+TRIALS = {"least_recall": 0.1, "top": 10}
 QUERIES["ranked_trials"] = lambda spark, sf_dir: rounded(E.ranked_trials(rounded(grid(S.seeded_turns(spark, sf_dir), None)), **TRIALS))
 ORACLE["ranked_trials"] = f"""WITH g AS ({ORACLE["parameter_grid"]}) SELECT *, row_number() OVER (ORDER BY round(f1, 3) DESC, fp, drift_threshold, sustained_turns, anchor_threshold, orbit_threshold, min_citations, tp, fn, precision, recall)::INTEGER AS rank
-FROM g WHERE round(recall, 9) >= 0.25 QUALIFY rank <= 10"""
+FROM g WHERE round(recall, 9) >= 0.1 QUALIFY rank <= 10"""
 
 
 # Sources and sinks, over lines made of the tables.

@@ -29,15 +29,21 @@ def event_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> Da
     return rows.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value").withWatermark("ts", late)
 
 
-def _ms(ttl: timedelta) -> int:
-    return int(ttl.total_seconds() * 1000)
+def _ms(ttl: timedelta | None) -> int | None:
+    return None if ttl is None else int(ttl.total_seconds() * 1000)
+
+
+def _with_state(rows: DataFrame, processor: StatefulProcessor, schema: StructType, ttl: timedelta | None) -> DataFrame:
+    """State that ends asks for processing time, under which Spark looks for ended state in batch after batch: a query that is to stop
+    when its input is used up must have no ``ttl``."""
+    return rows.groupBy("session").transformWithStateInPandas(processor, schema, "append", "None" if ttl is None else "ProcessingTime")
 
 
 class RecentTurns(StatefulProcessor):
     """Keeps a session's last KEEP interactions and emits them, renumbered, at each stop event. The output of a tool is
     cut shorter and marked with the tool's name. A session's turns go when nothing has come for the time of ``ttl``."""
 
-    def __init__(self, stop: str, ttl: timedelta = TTL):
+    def __init__(self, stop: str, ttl: timedelta | None = TTL):
         self.stop, self.ttl = stop, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -62,18 +68,18 @@ class RecentTurns(StatefulProcessor):
         pass
 
 
-def session_turns(events: DataFrame, stop: str, ttl: timedelta = TTL) -> DataFrame:
+def session_turns(events: DataFrame, stop: str, ttl: timedelta | None = TTL) -> DataFrame:
     """(session, stop_id, turn_number, speaker, raw_text) of a stream (session, event_id, ts, kind, text), which may have speaker and tool
     (the name of a tool whose output the text is) too."""
     fields = [StructField("session", LongType()), StructField("stop_id", LongType()), StructField("turn_number", IntegerType()), StructField("speaker", StringType()), StructField("raw_text", StringType())]
-    return events.groupBy("session").transformWithStateInPandas(RecentTurns(stop, ttl), StructType(fields), "append", "ProcessingTime")
+    return _with_state(events, RecentTurns(stop, ttl), StructType(fields), ttl)
 
 
-def evaluate_at_stops(events: DataFrame, stop: str, evaluate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, ttl: timedelta = TTL, once: bool = False):
+def evaluate_at_stops(events: DataFrame, stop: str, evaluate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, ttl: timedelta | None = TTL, once: bool = False):
     """Starts a query that runs batch operators on a session's recent turns at each of its stop events.
 
     ``evaluate`` takes turns (conv_id, turn_number, speaker, raw_text), where conv_id is ``session:stop_id``, and returns rows with that conv_id,
-    such as findings or a report. A micro-batch's rows go to a folder of their own, which a repeated batch replaces: none is written twice."""
+    such as findings or a report. With ``once``, the query ends with its input. A micro-batch's rows go to a folder of their own, which a repeated batch replaces: none is written twice."""
 
     def write(turns: DataFrame, batch: int) -> None:
         turns = turns.withColumn("conv_id", F.concat_ws(":", "session", "stop_id")).select("conv_id", "turn_number", "speaker", "raw_text").persist()
@@ -82,7 +88,7 @@ def evaluate_at_stops(events: DataFrame, stop: str, evaluate: Callable[[DataFram
         finally:
             turns.unpersist()
 
-    writer = session_turns(events, stop, ttl).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = session_turns(events, stop, None if once else ttl).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -90,7 +96,7 @@ class Cooldown(StatefulProcessor):
     """Passes an alert unless the same type passed within the last ``gap`` interactions of the session;
     a change of ``root`` forgets what passed."""
 
-    def __init__(self, gap: int, ttl: timedelta = TTL):
+    def __init__(self, gap: int, ttl: timedelta | None = TTL):
         self.gap, self.ttl = gap, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -120,16 +126,16 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def alert_cooldown(alerts: DataFrame, gap: int = 5, ttl: timedelta = TTL) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, gap: int = 5, ttl: timedelta | None = TTL) -> DataFrame:
     """Alerts (session, event_id, ts, kind, value, root) without repeats of a type within ``gap`` interactions."""
     schema = StructType([StructField("session", LongType()), StructField("event_id", LongType()), StructField("kind", StringType()), StructField("value", DoubleType())])
-    return alerts.groupBy("session").transformWithStateInPandas(Cooldown(gap, ttl), schema, "append", "ProcessingTime")
+    return _with_state(alerts, Cooldown(gap, ttl), schema, ttl)
 
 
 class RateLimit(StatefulProcessor):
     """Passes an entry of a session if the last that passed is ``seconds`` back or more, and at most ``most`` of them."""
 
-    def __init__(self, seconds: float, most: int, ttl: timedelta = TTL):
+    def __init__(self, seconds: float, most: int, ttl: timedelta | None = TTL):
         self.seconds, self.most, self.ttl = seconds, most, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -152,10 +158,10 @@ class RateLimit(StatefulProcessor):
         pass
 
 
-def memory_rate_limit(entries: DataFrame, seconds: float = 60.0, most: int = 10, ttl: timedelta = TTL) -> DataFrame:
+def memory_rate_limit(entries: DataFrame, seconds: float = 60.0, most: int = 10, ttl: timedelta | None = TTL) -> DataFrame:
     """(session, event_id) of the entries of a stream (session, event_id, ts) that may be kept: a pause between them, and so many a session."""
     schema = StructType([StructField("session", LongType()), StructField("event_id", LongType())])
-    return entries.groupBy("session").transformWithStateInPandas(RateLimit(seconds, most, ttl), schema, "append", "ProcessingTime")
+    return _with_state(entries, RateLimit(seconds, most, ttl), schema, ttl)
 
 
 def distinct_alerts(alerts: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,8 @@
 """Files in, streams through: what SQL can't hold the queries against."""
 
 import json
+import time
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -47,25 +49,52 @@ def test_a_user_detector_joins_the_union(spark):
         del D.REGISTRY["mine"]
 
 
+EVENT = "session long, event_id long, ts string, kind string, value double, root string, text string"
+
+
 def _events(spark, rows, path):
-    frame = spark.createDataFrame(rows, "session long, event_id long, ts string, kind string, value double, root string, text string")
+    frame = spark.createDataFrame(rows, EVENT)
     frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def test_alerts_rest_for_some_interactions_and_a_new_root_clears(spark, tmp_path):
     rows = [(1, i, f"2024-01-01 00:00:{i:02d}", "k", 1.0, "a" if i < 8 else "b", "") for i in range(1, 10)]
-    out = W.run_once(W.alert_cooldown(_events(spark, rows, str(tmp_path / "in")), gap=5), str(tmp_path / "ck"), "alerts")
+    out = W.run_once(W.alert_cooldown(_events(spark, rows, str(tmp_path / "in")), gap=5, ttl=None), str(tmp_path / "ck"), "alerts")
     assert sorted(r.event_id for r in out.collect()) == [1, 6, 8]
 
 
 def test_session_turns_keep_the_last_and_renumber(spark, tmp_path):
     rows = [(1, i, f"2024-01-01 00:00:{i:02d}", "stop" if i == 25 else "say", 1.0, "", f"t{i}") for i in range(1, 26)]
-    out = W.run_once(W.session_turns(_events(spark, rows, str(tmp_path / "in")), "stop"), str(tmp_path / "ck"), "turns")
+    out = W.run_once(W.session_turns(_events(spark, rows, str(tmp_path / "in")), "stop", ttl=None), str(tmp_path / "ck"), "turns")
     got = sorted((r.turn_number, r.raw_text) for r in out.collect())
     assert got == [(i, f"t{i + 5}") for i in range(1, 21)]
 
 
+def test_a_silent_session_is_forgotten(spark, tmp_path):
+    """Alerts of one kind three seconds apart, with state that ends after one: none is held back."""
+    path = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+
+    def put(i):
+        spark.createDataFrame([(1, i, f"2024-01-01 00:00:{i:02d}", "k", 1.0, "a", "")], EVENT).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+
+    put(1)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    query = W.alert_cooldown(stream, gap=5, ttl=timedelta(seconds=1)).writeStream.format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for n in (1, 2):
+            began = time.time()
+            while spark.table("forgotten").count() < n and time.time() - began < 60:
+                time.sleep(0.5)
+            assert sorted(r.event_id for r in spark.table("forgotten").collect()) == list(range(1, n + 1))
+            if n == 1:
+                time.sleep(3)
+                put(2)
+    finally:
+        query.stop()
+
+
 def test_stops_are_evaluated_once_a_batch(spark, tmp_path):
     fields = "session long, event_id long, ts string, kind string, speaker string, tool string, text string"
     said = [(1, "say", "user", None, "We have already invested three months and 4000 dollars."), (2, "tool", None, "grep", "y" * 1500), (3, "stop", None, None, "We must continue, we should keep going."), (4, "stop", None, None, "done")]
@@ -105,7 +134,7 @@ def test_stream_of_runs_equals_the_batch(spark, tmp_path):
 
 def test_entries_pause_and_end(spark, tmp_path):
     rows = [(1, i, f"2024-01-01 00:{i // 2:02d}:{30 * (i % 2):02d}", "k", 1.0, "", "") for i in range(40)]
-    out = W.run_once(W.memory_rate_limit(_events(spark, rows, str(tmp_path / "in"))), str(tmp_path / "ck"), "entries")
+    out = W.run_once(W.memory_rate_limit(_events(spark, rows, str(tmp_path / "in")), ttl=None), str(tmp_path / "ck"), "entries")
     assert sorted(r.event_id for r in out.collect()) == [2 * i for i in range(10)]
 
 

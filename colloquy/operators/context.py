@@ -15,7 +15,23 @@ REASONS = ("no_turns", "too_many_turns", "too_large", "not_utf8", "toxic", "lang
 
 
 def low(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("low", T.lowered(F.col("raw_text")))
+    return turns if "low" in turns.columns else turns.withColumn("low", T.lowered(F.col("raw_text")))
+
+
+#: What detectors, routing and gain read of a turn's text: ``plain`` is lowered, ``low`` with plain quotes too.
+FEATURES = {
+    "plain": lambda: F.lower("raw_text"),
+    "low": lambda: T.lowered(F.col("raw_text")),
+    "said": lambda: (F.lower("speaker") == "assistant") & (F.btrim("raw_text", F.lit(" \n\t")) != ""),
+    "numbers": lambda: T.numeric_tokens(F.col("raw_text")),
+    "keywords": lambda: T.keywords(F.col("raw_text")),
+}
+
+
+def enrich(turns: DataFrame, *names: str) -> DataFrame:
+    """Turns with these features (all by default). Those that the turns have are kept, so a table of features is worked out once and read by all."""
+    missing = [n for n in names or FEATURES if n not in turns.columns]
+    return turns.withColumns({n: FEATURES[n]() for n in missing}) if missing else turns
 
 
 def validate_format(turns: DataFrame, max_turns: int = 500, max_bytes: int = 1_048_576, conversations: DataFrame | None = None) -> DataFrame:
@@ -211,8 +227,7 @@ ROUTES = {
 def route(turns: DataFrame, objectives: DataFrame | None = None, cost: Iterable[str] = L.ROUTE_COST, decisions: Iterable[str] = L.ROUTE_DECISION, authority: Iterable[str] = L.ROUTE_AUTHORITY) -> DataFrame:
     """(conv_id, detector, reason): detectors that have something to look at, from one pass of counts; ``objectives`` has (conv_id, objective)."""
     text = F.col("plain")
-    n = F.size(T.numeric_tokens(F.col("raw_text")))
-    counts = turns.withColumn("plain", F.lower("raw_text")).withColumn("n", n).groupBy("conv_id").agg(
+    counts = enrich(turns, "plain", "numbers").withColumn("n", F.size("numbers")).groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.count_if(F.lower("speaker") == "assistant").alias("assistant"), F.sum("n").alias("numbers"), F.count_if(F.col("n") > 0).alias("number_turns"),
         F.count_if(T.phrase_any(text, cost)).alias("cost"), F.count_if(T.phrase_any(text, decisions)).alias("decisions"), F.count_if(T.phrase_any(text, authority)).alias("authority"),
         F.count_if((F.col("turn_number") <= 3) & T.strong_declarative(F.col("raw_text"))).alias("early_declarative"),

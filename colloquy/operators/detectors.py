@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as L
 from colloquy.functions import text as T
-from colloquy.operators.context import ROUTES, low
+from colloquy.operators.context import ROUTES, enrich, low
 
 FIELDS = "finding_type string, severity int, confidence double, detector_name string, relevant_turns array<int>, explanation string, signal double, strength double"
 FINDING = ["conv_id", *[f.split()[0] for f in FIELDS.split(", ")]]
@@ -107,11 +108,6 @@ def signal(make: Callable[..., Signal]) -> Callable[..., DataFrame]:
     return detector
 
 
-def enrich(turns: DataFrame) -> DataFrame:
-    """Turns with their lowered text (``plain``; ``low`` with plain quotes too), and whether the assistant ``said`` something."""
-    return low(turns).withColumn("plain", F.lower("raw_text")).withColumn("said", (F.lower("speaker") == "assistant") & (F.btrim("raw_text", F.lit(" \n\t")) != ""))
-
-
 #: Parameters that may differ from conversation to conversation, by detector; the first is the detector's threshold.
 SETTABLE = {
     "anchoring": ("threshold",), "anchoring_context": ("threshold",), "sunk_cost": ("least",), "sunk_cost_proximity": ("least",), "contradiction": ("overlap",),
@@ -152,20 +148,34 @@ def _own_fields(turns: DataFrame) -> list[str]:
     return turns.schema[OWN].dataType.fieldNames() if OWN in turns.columns else []
 
 
+_made: dict[tuple, Signal] = {}
+
+
+def _signal(name: str, params: dict, own: list[str]) -> Signal:
+    """The detector's columns. They hang on no table, and building them takes the driver thousands of calls to the JVM, so those for plain
+    parameters are kept while the JVM lives."""
+    key = (name, repr(sorted(params.items())), tuple(f for f in own if f.startswith(name)), id(SparkContext._gateway))
+    if any(isinstance(v, Column) for v in params.values()):
+        return SIGNALS[name](lambda k: F.col(f"_{name}_{k}"), **_params(name, params, own))
+    if key not in _made:
+        _made[key] = SIGNALS[name](lambda k: F.col(f"_{name}_{k}"), **_params(name, params, own))
+    return _made[key]
+
+
 def run(turns: DataFrame, chosen: dict[str, dict]) -> DataFrame:
     """Findings of the chosen signals (name -> parameters), from one pass over the turns.
 
     Turns may carry ``settings``: a detector then reads a turn only where it runs for the conversation, and takes the
     conversation's own thresholds."""
-    made, only = {}, {}
     own = _own_fields(turns)
-    for i, (name, params) in enumerate(chosen.items()):
-        made[i] = SIGNALS[name](lambda key, i=i: F.col(f"_{i}_{key}"), **_params(name, params, own))
-        only[i] = _runs_in(name, own)
+    made = {i: _signal(name, params, own) for i, (name, params) in enumerate(chosen.items())}
+    only = {i: _runs_in(name, own) for i, name in enumerate(chosen)}
+    # Signals name their columns by detector.
+    at = dict(enumerate(chosen))
     guarded = lambda i, x: x if only[i] is None else F.when(only[i], x)
     kept = [OWN] if own else []
-    rows = enrich(turns).select("conv_id", "turn_number", *kept, *[guarded(i, x).alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.turn.items()])
-    sums = rows.groupBy("conv_id").agg(*[F.any_value(c).alias(c) for c in kept], *[x.alias(f"_{i}_{k}") for i, s in made.items() for k, x in s.sums.items()])
+    rows = enrich(turns).select("conv_id", "turn_number", *kept, *[guarded(i, x).alias(f"_{at[i]}_{k}") for i, s in made.items() for k, x in s.turn.items()])
+    sums = rows.groupBy("conv_id").agg(*[F.any_value(c).alias(c) for c in kept], *[x.alias(f"_{at[i]}_{k}") for i, s in made.items() for k, x in s.sums.items()])
     found = F.filter(F.array(*[guarded(i, s.found) for i, s in made.items()]), lambda f: f.isNotNull())
     return sums.select("conv_id", F.explode(found).alias("f")).select("conv_id", "f.*")
 
@@ -192,7 +202,7 @@ def _anchor(numbers: Column, threshold: float) -> Column:
 
 
 def _numbers() -> Column:
-    return T.once(T.numeric_tokens(F.col("raw_text")), lambda t: F.when(F.size(t) > 0, F.struct(F.col("turn_number").alias("turn"), t.alias("t"))))
+    return T.once(F.col("numbers"), lambda t: F.when(F.size(t) > 0, F.struct(F.col("turn_number").alias("turn"), t.alias("t"))))
 
 
 def _anchor_severity(share: Column) -> Column:
@@ -503,9 +513,9 @@ def anchoring_ml(turns: DataFrame, references: DataFrame, boost: float = 0.1, re
 def orbits(turns: DataFrame, min_turns: int = 8, early: int = 3, acknowledged: Iterable[str] = L.ACKNOWLEDGEMENTS, reasserted: Iterable[str] = L.REASSERTIONS, carried: tuple[str, ...] = ()) -> DataFrame:
     """(conv_id, turn_number, anchor_turn, sim, conceded, and columns ``carried`` along): how like each turn after a conversation's first early statement is to it, null
     for a blank turn, and whether it concedes a point for good."""
-    rows = enrich(turns).select("conv_id", "turn_number", "raw_text", "low", *carried).withColumn("blank", F.btrim("raw_text", F.lit(" \n\t")) == "")
+    rows = enrich(turns, "low", "keywords").select("conv_id", "turn_number", "raw_text", "low", "keywords", *carried).withColumn("blank", F.btrim("raw_text", F.lit(" \n\t")) == "")
     concedes = T.phrase_any(F.col("low"), acknowledged) & ~T.phrase_any(F.col("low"), reasserted)
-    kw = rows.select("conv_id", "turn_number", "blank", *carried, T.keywords(F.col("raw_text")).alias("k"), concedes.alias("conceded"), F.when(F.col("turn_number") <= early, T.strong_declarative(F.col("raw_text"))).alias("strong"))
+    kw = rows.select("conv_id", "turn_number", "blank", *carried, F.col("keywords").alias("k"), concedes.alias("conceded"), F.when(F.col("turn_number") <= early, T.strong_declarative(F.col("raw_text"))).alias("strong"))
     size = turns.groupBy("conv_id").agg(F.count("*").alias("all")).where(F.col("all") >= min_turns)
     anchor = kw.where("strong").groupBy("conv_id").agg(F.min(F.struct("turn_number", "k")).alias("a")).where(F.size("a.k") > 0).join(size, "conv_id")
     later = kw.join(anchor, "conv_id").where(F.col("turn_number") > F.col("a.turn_number"))
@@ -583,7 +593,7 @@ def _contradiction_kind(x: Column, y: Column, negations, reversals, antonyms, st
 def drift_windows(turns: DataFrame, objectives: DataFrame, reference_turns: int, window: int) -> tuple[DataFrame, DataFrame]:
     """((conv_id, turn_number, w, c), (conv_id, w, r, goal)): stem counts of each turn's window and of the reference, and
     whether the objective has the stem (1) or not (0)."""
-    kw = turns.select("conv_id", "turn_number", F.explode(T.keywords(F.col("raw_text"))).alias("w"))
+    kw = enrich(turns, "keywords").select("conv_id", "turn_number", F.explode("keywords").alias("w"))
     goal = objectives.select("conv_id", F.explode(T.keywords(F.col("objective"))).alias("w")).withColumn("n", F.lit(2.0)).withColumn("g", F.lit(1.0))
     ref = kw.where(F.col("turn_number") <= reference_turns).select("conv_id", "w", F.lit(1.0).alias("n"), F.lit(0.0).alias("g")).union(goal).groupBy("conv_id", "w").agg(F.sum("n").alias("r"), F.max("g").alias("goal"))
     # A turn's words count in the windows of the next turns too: explode, then equi-joins.
@@ -667,7 +677,7 @@ def scope_drift_kl(turns: DataFrame, objectives: DataFrame, threshold: float = 2
 def scope_drift_centroid(turns: DataFrame, objectives: DataFrame, threshold: float = 0.85, sustained: int = 7, decay: float = 0.8) -> DataFrame:
     """Distance from a centroid that follows only turns which don't drift: a fold over each
     conversation's turns in order, with the centroid as map state. Conversations are bounded by validate_format."""
-    kw = turns.select("conv_id", F.struct("turn_number", T.keywords(F.col("raw_text")).alias("k")).alias("t"))
+    kw = enrich(turns, "keywords").select("conv_id", F.struct("turn_number", F.col("keywords").alias("k")).alias("t"))
     rows = kw.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts")).join(objectives, "conv_id", "left")
     goal = T.keywords(F.coalesce("objective", F.lit("")))
     start = F.struct(F.transform_values(F.map_from_entries(F.transform(goal, lambda x: F.struct(x, F.lit(1.0)))), lambda k, v: v).alias("c"), F.lit(0).alias("run"), F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("hits"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import context as C
 from colloquy.operators import detectors as D
 from colloquy.operators import findings as P
-from colloquy.plans.settle import settled
+from colloquy.plans.settle import settled, written
 
 #: Presets of enabled stages.
 PRESETS = {
@@ -65,15 +65,17 @@ def full_report(
     decides how many detectors run. ``index`` is the pattern index of past runs.
 
     Where self-confidence is low, the least sure findings are looked at again, and where that changes anything, the conversation
-    passes the gates a second time. Findings, what was decided on them and gains are worked out once (``settled``)."""
+    passes the gates a second time. What detectors read of the turns is written once as a table of features; findings, what was
+    decided on them and gains are worked out once (``settled``)."""
     stages, params = PRESETS[preset], params or {}
     if "admission" in stages:
         turns, _ = admitted(turns, profiles, **limits)
+    turns = written(C.enrich(turns), "features")
     gains = C.gain(turns)
     gains = settled(C.gain_fuzzy(gains) if fuzzy_urgency else gains)
     levels = C.activation_level(gains) if fuzzy_urgency and "modulation" in stages else None
     thresholds = C.own_thresholds(C.modulate(gains) if "modulation" in stages else None, domains, _bases(params))
-    routes = C.routed_detectors(turns, objectives, domains, levels) if routed else None
+    routes = settled(C.routed_detectors(turns, objectives, domains, levels)) if routed else None
     found = settled(D.detect(turns, detectors, params, objectives, thresholds, routes).withColumn("confidence", F.round("confidence", 6)))
     kept, log = _gated(found, turns, gains, stages)
     if "metacognition" in stages:

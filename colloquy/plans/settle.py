@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: its plan is cut, so that what follows is planned quickly, and no executor's loss undoes it.
+_fallback: list[str] = []
+
 
-    The folder is that of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode (tests), on a cluster an error."""
+def _folder(df: DataFrame) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode (tests), on a cluster an error."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _fallback:
+        _fallback.append("file://" + tempfile.mkdtemp(prefix="spark-settled-"))
+    return _fallback[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet beside the checkpoints and read again: readers take only the columns they need."""
+    path = f"{_folder(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df``: its plan is cut, so that what follows is planned quickly, and no executor's loss undoes it."""
+    context = df.sparkSession.sparkContext
+    folder = _folder(df)
     if context.getCheckpointDir() is None:
-        if folder is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-settled-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -247,13 +247,18 @@ def _cost_turns(costs: Iterable[str], continuations: Iterable[str]) -> dict[str,
 
 
 def _cost_pairs(costs: Column, ons: Column, strong: Iterable[str]) -> Column:
-    """(at, on, gap, base) of every cost with every continuation from its turn on."""
+    """(at, on, gap, base) of every cost with its continuation in the same turn, if any, and the first later one. The longer the gap,
+    the less a later pair counts, so no other pair of the cost can be surer, or be the first that is sure enough."""
 
     def pair(k: Column, o: Column) -> Column:
         base = F.lit(0.5) + F.when(o > k["at"], 0.2).otherwise(0.0) + F.when(o - k["at"] <= 2, 0.15).otherwise(0.0) + F.when(k["phrase"].isin(*strong), 0.1).otherwise(0.0)
         return F.struct(k["at"].alias("at"), o.alias("on"), (o - k["at"]).alias("gap"), F.least(base, F.lit(1.0)).alias("base"))
 
-    return F.flatten(F.transform(costs, lambda k: F.transform(F.filter(ons, lambda o: o >= k["at"]), lambda o: pair(k, o))))
+    def nearest(k: Column) -> Column:
+        later = F.array_min(F.filter(ons, lambda o: o > k["at"]))
+        return F.filter(F.array(F.when(F.array_contains(ons, k["at"]), k["at"]), later), lambda o: o.isNotNull())
+
+    return F.flatten(F.transform(costs, lambda k: F.transform(nearest(k), lambda o: pair(k, o))))
 
 
 def _cost_finding(x: Column, sure: Column, name: str) -> Column:
@@ -297,10 +302,11 @@ def silent_revision(c, least: float = 0.5, topic_words: int = 8, markers: Iterab
     topic = T.once(T.once(marker, lambda m: F.when(m.isNotNull(), after(m))), lambda w: F.when(w.isNotNull(), F.struct(F.col("turn_number").alias("turn"), F.array_join(w, " ").alias("topic"), F.array_distinct(content(w)).alias("words"), T.phrase_any(text, reasons).alias("reasoned"), T.phrase_any(text, weak).alias("weak"))))
 
     def later(a: Column, all_: Column) -> Column:
+        """The first decision that revises ``a``, or null."""
         same = F.filter(all_, lambda b: (b["turn"] > a["turn"]) & ~b["reasoned"] & (b["topic"] != a["topic"]) & (T.jaccard(a["words"], b["words"]) >= least))
-        return F.transform(same, lambda b: F.struct(a["turn"].alias("a"), b["turn"].alias("b"), b["weak"].alias("weak")))
+        return T.once(F.get(same, F.lit(0)), lambda b: F.when(b.isNotNull(), F.struct(a["turn"].alias("a"), b["turn"].alias("b"), b["weak"].alias("weak"))))
 
-    first = F.get(F.flatten(F.transform(c("d"), lambda a: later(a, c("d")))), F.lit(0))
+    first = F.get(F.filter(F.transform(c("d"), lambda a: later(a, c("d"))), lambda x: x.isNotNull()), F.lit(0))
     found = T.once(first, lambda x: F.when(x.isNotNull(), finding("SILENT_REVISION", F.when(x["weak"], CAUTION).otherwise(WARNING), F.when(x["weak"], 0.6).otherwise(0.8), "silent_revision", F.array(x["a"], x["b"]))))
     return Signal({"d": topic}, {"d": in_order(c("d"))}, found)
 

@@ -13,7 +13,7 @@ from colloquy.operators import findings as P
 from colloquy.operators import fuzzy as Z
 from colloquy.plans import report as R
 from colloquy.queries_detectors import GAIN, LANG, LEVEL, OFFSET, ROUTE, ROUTED, RUNS_AT, domains, fuzzy_sql, language_profiles, rounded
-from colloquy.queries_findings import DETECTOR_SQL, FOUND, INH, NAMES, NEAR, PARAMS, RISK, report_sql, salience_sql, shared
+from colloquy.queries_findings import CONTEXT, DETECTOR_SQL, FOUND, NAMES, NEAR, PARAMS, RISK, inhibit_sql, report_sql, salience_sql, shared
 from colloquy.queries_text import objectives
 from colloquy.sources import turns as S
 from colloquy.streaming import sessions as W
@@ -93,13 +93,28 @@ def second(sql: str) -> str:
     return re.sub(r"\b(ex|met|nd|co|hd|cx|ih|inhibited|passed|sa|salient|found|cl|cm|cd)\b", r"\g<1>2", sql)
 
 
-_every = " UNION ALL ".join(f"SELECT * FROM ({adjusted(n)})" for n in NAMES)
 _peers = " ".join(
     f"WHEN c.detector_name = '{n}' THEN CASE WHEN {'len(ps) > 0' if peer is None else f'list_contains(ps, {O.lit(peer)})'} THEN {up}::DOUBLE WHEN coalesce(len(ps), 0) = 0 THEN -{down}::DOUBLE ELSE 0 END" for n, (peer, up, down) in P.PEERS.items()
 )
-GATES = f"{NEAR}, {INH}, passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS'), {salience_sql('passed')}"
-PASSES = f"""every AS MATERIALIZED (SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({_every})),
-found AS MATERIALIZED (SELECT e.* FROM every e JOIN routes r ON e.conv_id = r.conv_id AND e.detector_name = r.detector WHERE e.conv_id NOT IN (SELECT conv_id FROM rj)), {GATES},
+
+
+def gates_sql(stages: tuple[str, ...]) -> str:
+    """From ``found`` to ``salient``, the findings that pass the gates among these stages."""
+    decided = f"{NEAR}, {CONTEXT}, {inhibit_sql('urgency' if 'modulation' in stages else '0.5::DOUBLE')}, passed AS MATERIALIZED (SELECT * FROM inhibited WHERE action = 'PASS')"
+    if "inhibit" not in stages:
+        decided = "passed AS (SELECT * FROM found)"
+    return f"{decided}, {salience_sql('passed') if 'salience' in stages else 'salient AS MATERIALIZED (SELECT * FROM passed)'}"
+
+
+def passes_sql(stages: tuple[str, ...], names: tuple[str, ...]) -> str:
+    """From the detectors to ``final_``, the findings that are reported; ``ap2`` has the conversations of the second pass, ``sz`` self-confidence."""
+    own = " UNION ALL ".join(f"SELECT * FROM ({adjusted(n) if 'modulation' in stages else DETECTOR_SQL[n]})" for n in names)
+    admitted = "e.conv_id NOT IN (SELECT conv_id FROM rj)" if "admission" in stages else "true"
+    first = f"""every AS MATERIALIZED (SELECT *, detector_name || ':[' || relevant_turns || ']' AS finding_id FROM ({own})),
+found AS MATERIALIZED (SELECT e.* FROM every e JOIN routes r ON e.conv_id = r.conv_id AND e.detector_name = r.detector WHERE {admitted}), {gates_sql(stages)}"""
+    if "metacognition" not in stages:
+        return f"{first}, final_ AS (SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient)"
+    return f"""{first},
 sg AS (SELECT conv_id, count(*) AS n, stddev_pop(confidence) AS sd, avg(abs(confidence - 0.5::DOUBLE) * 2) AS margin FROM salient GROUP BY conv_id),
 sz AS MATERIALIZED (SELECT conv_id, 0.4::DOUBLE * CASE WHEN n = 1 THEN 0.8::DOUBLE ELSE 1 - sd END + 0.35::DOUBLE * margin + 0.125::DOUBLE AS own FROM sg),
 ch AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.conv_id ORDER BY round(confidence, 9), finding_id) AS k FROM salient s JOIN sz ON s.conv_id = sz.conv_id WHERE round(own, 9) < 0.6) WHERE k <= 3),
@@ -110,8 +125,11 @@ ud AS (SELECT s.*, fresh, coalesce(abs(fresh - confidence) >= 0.1 - 1e-9, false)
 ap2 AS MATERIALIZED (SELECT conv_id FROM ud GROUP BY conv_id HAVING bool_or(changed)),
 found2 AS MATERIALIZED (
   SELECT conv_id, finding_type, severity, CASE WHEN changed THEN fresh ELSE confidence END AS confidence, detector_name, relevant_turns, finding_id
-  FROM ud WHERE conv_id IN (SELECT conv_id FROM ap2) AND CASE WHEN changed THEN fresh ELSE confidence END > 0), {second(GATES)},
-final_ AS MATERIALIZED (SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient WHERE conv_id NOT IN (SELECT conv_id FROM ap2) UNION ALL SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient2),
+  FROM ud WHERE conv_id IN (SELECT conv_id FROM ap2) AND CASE WHEN changed THEN fresh ELSE confidence END > 0), {second(gates_sql(stages))},
+final_ AS MATERIALIZED (SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient WHERE conv_id NOT IN (SELECT conv_id FROM ap2) UNION ALL SELECT conv_id, finding_type, severity, confidence, detector_name, finding_id FROM salient2)"""
+
+
+PASSES = f"""{passes_sql(R.PRESETS["all"], NAMES)},
 lg AS (SELECT conv_id, count(*) FILTER (action = 'INHIBIT') AS inhibited FROM (SELECT conv_id, action FROM inhibited WHERE conv_id NOT IN (SELECT conv_id FROM ap2) UNION ALL SELECT conv_id, action FROM inhibited2) GROUP BY conv_id),
 {report_sql("final_")}, {RISK}"""
 _report = """SELECT conv_id, rep.n, critical, warning, caution, round(integrity, 6) AS integrity, detectors, findings, actions, round(urgency, 6) AS urgency, round(complexity, 6) AS complexity, round(formality, 6) AS formality,
@@ -156,10 +174,14 @@ lg AS (SELECT sm.conv_id, length(sample) < 20 OR (coalesce(lang, '') = 'en' AND
 SELECT * FROM (SELECT conv_id, CASE WHEN many THEN 'too_many_turns' WHEN toxic THEN 'toxic' WHEN NOT ok THEN 'language' END AS reason FROM fmt LEFT JOIN lg USING (conv_id)) WHERE reason IS NOT NULL"""
 
 
+#: Detectors of the comparison of presets.
+FEW = ("status_quo_bias", "evidence_quality", "sunk_cost")
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many conversations and findings each preset of stages reports."""
     turns = S.seeded_turns(spark, sf_dir)
-    rows = [R.full_report(turns, None, ("status_quo_bias", "evidence_quality", "sunk_cost"), p).agg(F.lit(p).alias("variant"), F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings")) for p in R.PRESETS]
+    rows = [R.full_report(turns, None, FEW, p).agg(F.lit(p).alias("variant"), F.count("*").alias("conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings")) for p in R.PRESETS]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -167,3 +189,9 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["variants"] = variants
+_all_routes = "routes AS (SELECT conv_id, detector FROM routed)"
+ORACLE["variants"] = " UNION ALL ".join(
+    f"""SELECT * FROM ({O.base(ROUTE, ROUTED, REJECTED, GAIN, OFFSET, NO_HINTS, OWN, _all_routes, passes_sql(stages, FEW))}
+SELECT '{name}' AS variant, count(*) AS conversations, coalesce(sum(n), 0)::BIGINT AS findings FROM (SELECT conv_id, count(*) AS n FROM final_ GROUP BY conv_id))"""
+    for name, stages in R.PRESETS.items()
+)

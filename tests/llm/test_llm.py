@@ -663,7 +663,7 @@ def test_limits_come_from_held_out_texts(spark):
 
 
 def test_every_number_has_a_query():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd, none):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import time
 import zlib
 from html.parser import HTMLParser
@@ -593,8 +594,9 @@ def brute_discounts(counts):
 
 
 def brute_model(texts):
-    """log p of a word by recursion over its spelling, from dictionaries."""
+    """log p of a text's words by recursion over their spelling, and of their runs, from dictionaries."""
     words = collections.Counter(w for own in spelled(texts) for w in own)
+    twice = collections.Counter(w for own in spelled(texts) for v, w in zip(own, own[1:]) if v == w)
     tables = [collections.Counter((bytes(2) + w + b"\0")[i : i + 3] for w in words for i in range(len(w) + 1))]
     for _ in range(2):
         tables.append(collections.Counter(g[1:] for g in tables[-1]))
@@ -614,10 +616,20 @@ def brute_model(texts):
     d, total = brute_discounts(words.values()), sum(words.values())
     freed = sum(d[min(n, 3)] for n in words.values()) / total if total else 1.0
 
-    def log_p(w):
+    d2, rate = brute_discounts(twice.values()), (len(twice) + 1) / (len(words) + 2)
+
+    def p(w):
         raw = bytes(2) + w + b"\0"
         below = freed * math.prod(byte(raw[i : i + 3]) for i in range(len(w) + 1))
-        return math.log((words[w] - d[min(words[w], 3)]) / total + below if words[w] else below)
+        return (words[w] - d[min(words[w], 3)]) / total + below if words[w] else below
+
+    def p_again(w):
+        n, r = words[w], twice[w]
+        cuts = [d2[min(r, 3)], d2[min(n - r, 3)]]
+        return (r - cuts[0]) / n + sum(cuts) / n * rate if n else rate
+
+    def log_p(own):
+        return sum(math.log(p(w)) + math.log(p_again(w) if own[i + 1 : i + 2] == [w] else 1 - p_again(w)) for i, w in enumerate(own))
 
     return log_p
 
@@ -627,15 +639,15 @@ def test_language_model_against_recursion(spark, odd, none, monkeypatch, small):
     if small:  # many shards, parts and blocks give the same
         for name, value in (("SHARD_WORDS", 5), ("GROUP_BYTES", 64), ("BLOCK_BYTES", 40)):
             monkeypatch.setattr(quality, name, value)
-    texts = ["the cat sat on the mat, the cat", "the dog sat on the log!", "a cat and a dog  sat", "x" * 70 + " caf\u00e9 the"]
+    texts = ["the cat sat on the mat, the cat", "the dog sat on the log!", "a cat and a dog  sat had had", "x" * 70 + " caf\u00e9 the", "had had !!!!! cat", "very very very", "the"]
     trusted = spark.createDataFrame([(t,) for t in texts], "text string")
     model, log_p = quality.fit(trusted), brute_model(texts)
-    asked = [*texts, "the elephant caf\u00e9 sat $$ mat", "", None, "zz zz zz", "the the"]
+    asked = [*texts, "the elephant caf\u00e9 sat $$ mat", "", None, "zz zz zz", "the the", "the had had very very dog dog dog log", "had"]
     frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in frame.withColumn("row", quality.row_key()).join(quality.log_perplexities(frame.union(frame.limit(1)).union(frame.limit(1)), model), "row").collect()}
     for i, own in enumerate(spelled(asked)):
         if own:
-            assert abs(got[i].x + sum(map(log_p, own)) / len(own)) < 1e-5 and got[i].n == len(own)
+            assert abs(got[i].x + log_p(own) / len(own)) < 1e-5 and got[i].n == len(own)
         else:
             assert i not in got
 
@@ -657,9 +669,35 @@ def test_quality_on_odd_rows_and_any_batches(spark, odd, none, docs):
 def test_limits_come_from_held_out_texts(spark):
     rows = [(i, "en", math.log(v), held, 10**9) for i, (v, held) in enumerate([(1.0 + k / 100, False) for k in range(200)] + [(2.0 + k / 100, True) for k in range(40)])]
     kept = quality.limits(spark.createDataFrame(rows, "doc_id long, lang string, x double, held boolean, n long"))
-    assert kept["en"][0] == pytest.approx(0.0, abs=0.002) and kept["en"][1] == pytest.approx(math.log(2.39), abs=0.002)
+    own = kept["en"]
+    assert own.b == 0 and own.mean == pytest.approx(statistics.fmean(r[2] for r in rows), abs=1e-6) and own.a == pytest.approx(statistics.pvariance([r[2] for r in rows]), abs=1e-6)
+    low, high = (own.mean + v * own.a**0.5 for v in own[3:])
+    assert low == pytest.approx(0.0, abs=0.002) and high == pytest.approx(math.log(2.39), abs=0.002)
     alone = quality.limits(spark.createDataFrame([(1, "en", 7.0, False, 100)], "doc_id long, lang string, x double, held boolean, n long"))
-    assert list(alone) == [""] and alone[""][0] == 7.0 and alone[""][1] == pytest.approx(5.0, abs=0.002)
+    assert list(alone) == [""] and alone[""] == pytest.approx((7.0, 0.0, 0.0, 0.0, 0.001))
+    # The spread of texts of n tokens is sqrt(a + b / n), by least squares weighted by n.
+    rng = random.Random(4)
+    sizes = [rng.choice([4, 30, 200, 5000]) for _ in range(4000)]
+    rows = [(i, "en", rng.gauss(8, math.sqrt(0.05 + 20 / n)), True, n) for i, n in enumerate(sizes)]
+    mean, a, b = quality.spreads(spark.createDataFrame(rows, "doc_id long, lang string, x double, held boolean, n long"))["en"]
+    d = np.array([(r[2] - mean) ** 2 for r in rows])
+    w = np.sqrt(np.array(sizes, float))
+    assert np.allclose(np.linalg.lstsq(np.stack([w, w / sizes], axis=1), w * d, rcond=None)[0], (a, b), rtol=1e-3)
+    assert a == pytest.approx(0.05, rel=0.3) and b == pytest.approx(20, rel=0.2)
+
+
+def test_one_word_over_and_over_is_rejected(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{min(int(rng.paretovariate(0.7)), 3000)}x" for _ in range(n))
+    rows = [(i, text(rng.choice([20, 80, 400]))) for i in range(300)] + [(300, "w1x " * 300), (301, "unseen " * 90), (302, text(100) + " w2x" * 200), (303, text(150)), (304, "% # " * 300)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    found = {r.doc_id: r.accepted for r in quality.classify(docs, labels).collect()}
+    assert [i for i in range(300, 305) if found[i]] == [303] and sum(found[i] for i in range(300)) >= 296
+    # Copies of rows change no verdict.
+    copies = docs.where("doc_id >= 300")
+    more = quality.classify(docs.unionByName(copies).unionByName(copies), labels)
+    assert more.count() == 315 and all(found[r.doc_id] == r.accepted for r in more.collect())
 
 
 def test_every_number_has_a_query():

@@ -1,7 +1,8 @@
 """Token ids as ORC files: integer run-length encoding, row indexes, Bloom filters on document ids.
 
-Files hold documents in ascending id order, one range of ids a file, so readers can take stripes in
+Files hold documents in ascending id order, one range a file, so readers can take stripes in
 parallel, skip files and stripes by their minimum and maximum, and row groups by the Bloom filter.
+There are as many ranges as the texts' bytes ask for, and one id's rows may lie in several.
 Positions in the whole stream are a file's offset (one number a file) plus a position kept in the file.
 """
 
@@ -21,6 +22,8 @@ from colloquy.llm.tokenization import bpe, with_end
 FILE_SCHEMA = "shard int, local_start long, doc_id long, ids array<int>"
 #: Fixed values of the file format used here: rows a row group, bytes a stripe.
 ROW_GROUP, STRIPE_BYTES = 1000, 16 << 20
+#: Text bytes of a range of documents, which one task encodes into one file.
+RANGE_BYTES = 32 << 20
 
 
 def _encode(tokenizer_path: str, end_id: int):
@@ -41,12 +44,17 @@ def _encode(tokenizer_path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Encodes all texts and writes them to ``path`` in ascending ``doc_id`` order.
 
-    Null ids come first; rows with one id are ordered by their text. Null text is empty and gives the end id alone.
+    Null ids come first; rows with one id are ordered by the hash of their text, so a frequent id is split between files, and
+    repeated rows by the partition they come from. Null text is empty and gives the end id alone.
     """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    keys = ["doc_id", "_hash", "_from"]
     sorted_docs = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.spark_partition_id().alias("_from"))
+        .repartitionByRange(n_ranges, *keys)
+        .sortWithinPartitions(*keys)
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
     (

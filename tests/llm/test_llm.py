@@ -83,6 +83,31 @@ def test_token_files_round_trip(spark, odd, none):
     assert token_io.digests(token_io.read_tokens(spark, empty)).count() == 0
 
 
+def test_one_id_is_split_and_row_groups_are_skipped(spark):
+    """An id that holds a third of all rows lies in several files; a reader of one id gets the row groups that may hold it."""
+    texts = F.concat(F.lit("text "), (F.col("id") % 1000).cast("string"))
+    ids = F.when(F.col("id") < 10000, F.lit(9000)).otherwise(F.col("id") * 2 - 20000)
+    path = new_path(spark, "tokens")
+    token_io.write_tokens(spark.range(0, 30000, 1, 8).select(ids.alias("doc_id"), texts.alias("text")), path, tokenizer_path())
+    files = token_io.read_tokens(spark, path)
+    by_shard = files.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.count_if(F.col("doc_id") == 9000).alias("hot")).orderBy("shard").collect()
+    assert sum(r.n for r in by_shard) == 30000 and max(r.n for r in by_shard) < 15000
+    assert sum(r.hot > 0 for r in by_shard) > 1 and sum(r.hot for r in by_shard) == 10001
+    assert all(x.b <= y.a for x, y in zip(by_shard, by_shard[1:]))
+    starts = sorted(token_io.digests(files).select("start", "n_tokens").collect())
+    assert starts[0].start == 0 and all(x.start + x.n_tokens == y.start for x, y in zip(starts, starts[1:]))
+
+    def scanned(doc_id):
+        rows = files.where(F.col("doc_id") == doc_id)
+        n = len(rows.collect())
+        return n, rows._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    # Odd ids lie between the even ones: neither least nor greatest ids tell, the Bloom filters do.
+    assert sum(scanned(d)[1] for d in range(20001, 20021, 2)) <= 2 * token_io.ROW_GROUP
+    found, read = scanned(30000)
+    assert found == 1 and read <= 2 * token_io.ROW_GROUP
+
+
 def check_packed(rows, texts, capacity):
     by_doc = collections.defaultdict(list)
     fill = collections.defaultdict(list)

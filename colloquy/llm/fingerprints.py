@@ -94,26 +94,29 @@ def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW, id_col: str =
 
 def in_order(docs: DataFrame, n_ranges: int) -> DataFrame:
     """Documents dealt into ranges of descending doc_id, sorted within each, with each range's
-    successor (the next range's first row, ``halo`` true) at its end. Ranges are found from quantiles,
+    successor (the next range's first row, ``halo`` true) at its end. Rows of one id are in the order of their text's hash,
+    and an id that holds several quantiles has as many ranges, cut by that hash. Ranges are found from quantiles,
     the successors are one row a range; the first range also follows the last."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)] or [0.5], 10000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bounds = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    # Range 0 holds the largest ids; null ids come last.
-    place: Column = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
-    rows = docs.withColumn("range", place.cast("int")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint")))
-    heads = rows.groupBy("range").agg(F.max("key").alias("key")).orderBy("range").collect()  # one row a range
+    # All bits turned, so that ids ascend as they should descend; null ids come last.
+    docs = docs.withColumn("rev", F.bitwise_not(F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint")))).withColumn("hash", F.xxhash64("text"))
+    cuts = docs.agg(F.percentile_approx("rev", [i / n_ranges for i in range(1, n_ranges)] or [0.5], 10000)).first()[0] or []
+    bounds = F.lit(sorted(cuts)).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    own = F.size(F.filter(bounds, lambda c: c == F.col("rev")))
+    share = F.shiftright((F.shiftright("hash", 32) + 2**31) * own, 32)
+    place: Column = F.size(F.filter(bounds, lambda c: c < F.col("rev"))) + F.when(own > 1, share).otherwise(0)
+    rows = docs.withColumn("range", place.cast("int"))
+    heads = rows.groupBy("range").agg(F.min(F.struct("rev", "hash")).alias("head")).orderBy("range").collect()  # one row a range
     if not heads:
-        return rows.select("range", F.lit(False).alias("halo"), "doc_id", "text", F.lit(0).alias("rank"))
-    before = spark.createDataFrame([(h["key"], heads[i - 1]["range"]) for i, h in enumerate(heads)], "key long, to int")
-    halo = rows.join(F.broadcast(before), "key")
-    first = halo.groupBy("to", "key").agg(F.min("text").alias("text"))
-    halo = first.select(F.col("to").alias("range"), F.lit(True).alias("halo"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"))
-    both = rows.select("range", F.lit(False).alias("halo"), "doc_id", "text", "key").union(halo)
+        return rows.select("range", F.lit(False).alias("halo"), "doc_id", "text")
+    before = spark.createDataFrame([(*h["head"], h["range"], heads[i - 1]["range"]) for i, h in enumerate(heads)], "rev long, hash long, range int, to int")
+    first = rows.join(F.broadcast(before), ["range", "rev", "hash"]).groupBy("to").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("long")
+    halo = first.select(F.col("to").alias("range"), F.lit(True).alias("halo"), none.alias("doc_id"), "text", none.alias("rev"), none.alias("hash"))
+    both = rows.select("range", F.lit(False).alias("halo"), "doc_id", "text", "rev", "hash").union(halo)
     # By range, as hashes of a few range numbers would fall together.
-    return both.repartitionByRange(n_ranges, "range").sortWithinPartitions("range", "halo", F.desc("key"), "text").select("range", "halo", "doc_id", "text")
+    return both.repartitionByRange(n_ranges, "range").sortWithinPartitions("range", "halo", "rev", "hash", "text").select("range", "halo", "doc_id", "text")
 
 
 def _edited(k: int, w: int):
@@ -155,7 +158,7 @@ def compare_with_edits(docs: DataFrame, n_ranges: int | None = None, k: int = GR
 
     Edited: the last third of the characters is replaced by as many from the start of the next
     document in descending doc_id; the first follows the last. Null text is empty, rows of equal id
-    follow in the order of their text, null ids come last. One row per row of ``docs``.
+    follow in the order of their text's hash, null ids come last. One row per row of ``docs``.
     """
     n = n_ranges or _ranges(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -458,6 +458,24 @@ def test_edited_texts_follow_the_order(spark, odd, none):
     assert fingerprints.compare_with_edits(none).count() == 0
 
 
+def test_edits_of_one_frequent_id(spark):
+    """An id and null ids that hold most rows are cut into several ranges, and the order stays whole."""
+    rows = [(7 if i % 2 else None if i % 3 else i, f"text number {i} " * (i % 5)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges = fingerprints.in_order(docs, 8).where("not halo").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("d")).agg(F.count_distinct("range").alias("n"))
+    own = {r.d: r.n for r in ranges.collect()}
+    assert own[7] >= 3 and own[-1] >= 2
+    hashed = docs.withColumn("hash", F.xxhash64("text")).collect()
+    order = sorted(((-(2**63) if r.doc_id is None else r.doc_id, r.hash, r.text) for r in hashed), key=lambda x: (-x[0], x[1], x[2]))
+    expected = []
+    for i, (d, _, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][2]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        expected.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprints.compare_with_edits(docs, n_ranges=8).collect()
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(expected)
+
+
 # Pages.
 PAGE = """<html><head><title>T</title></head><body><nav><a href="x">menu</a></nav><div class="wrap1"><header>Top</header><div class="post-9"><h1>A &amp; B</h1><p>First  para
 graph<p>second <b>bold</b><br>line<script>var x="</p>";</script></p><div class="ad">Buy</div></div><aside>side text that is long</aside><div class="comments">reader</div></div><footer>foot</footer>"""

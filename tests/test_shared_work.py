@@ -34,3 +34,9 @@ def test_windows_of_drift_are_counted_without_another_shuffle(spark):
     text = own.groupBy("conv_id", "turn_number").agg(F.sum("c"))._jdf.queryExecution().executedPlan().toString()
     above = text[: text.index("sequence(")]
     assert "Exchange" not in above
+
+
+def test_orchestrated_drift_reads_features(spark):
+    from colloquy.queries_detectors import QUERIES
+
+    assert "text#" not in plan(QUERIES["scope_drift_orchestrated"](spark, SF)).replace("raw_text#", "")

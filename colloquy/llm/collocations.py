@@ -52,9 +52,31 @@ class _Buffer:
     def __init__(self) -> None:
         self.hashes: list[np.ndarray] = []
         self.joined: list[np.ndarray] = []
-        self.spelled: dict[int, str] = {}
+        #: Texts' bytes, lowered, with where their words begin and end, and how many words come before.
+        self.spans: list[tuple[int, bytes, np.ndarray, np.ndarray]] = []
         self.n = 0
 
+    def spelled(self, at: np.ndarray) -> list[str]:
+        """The words at these places, which are sorted."""
+        out: list[str] = []
+        bounds = np.searchsorted(at, [*(before for before, *_ in self.spans), self.n]).tolist()
+        for (before, raw, starts, ends), i, j in zip(self.spans, bounds, bounds[1:]):
+            own = at[i:j] - before
+            out += [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[own].tolist(), ends[own].tolist())]
+        return out
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, the number of each place's value, and how often each occurs."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[first], order[first], which, np.diff(np.append(first, len(x)))
+
 
 def _occurrences(salt: int):
     """The relation of length 1, with each block's words, spelled out and counted."""
@@ -67,10 +89,13 @@ def _occurrences(salt: int):
             nonlocal number
             held = waiting.pop(lang)
             hashes, joined = np.concatenate(held.hashes), np.concatenate(held.joined)
-            vocabulary, codes, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            vocabulary, places, codes, n = _distinct(hashes)
+            by_place = np.argsort(places)
+            spelled = np.empty(len(places), object)
+            spelled[by_place] = held.spelled(places[by_place])
             # joined[i]: word i lies in one piece with its predecessor.
-            codes = np.insert(codes.astype(np.int32), np.flatnonzero(~joined[1:]) + 1, -1)
-            columns = [[number], [lang], [vocabulary.tobytes()], [codes.tobytes()], [None], [[held.spelled[h] for h in vocabulary.tolist()]], [n]]
+            codes = np.insert(codes, np.flatnonzero(~joined[1:]) + 1, -1)
+            columns = [[number], [lang], [vocabulary.tobytes()], [codes.tobytes()], [None], [spelled.tolist()], [n]]
             number += 1
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["block", "lang", "vocabulary", "codes", "starts", "words", "counts"])
@@ -93,14 +118,10 @@ def _occurrences(salt: int):
                 for lang, parts in rows.items():
                     at = np.concatenate(parts)
                     held = waiting[lang]
-                    marked = mix(hashes[at] ^ _lang_mark(lang, salt))
-                    held.hashes.append(marked)
+                    held.hashes.append(mix(hashes[at] ^ _lang_mark(lang, salt)))
                     held.joined.append(joined[at])
+                    held.spans.append((held.n, lowered, starts[at], ends[at]))
                     held.n += len(at)
-                    new, some = np.unique(marked, return_index=True)
-                    for h, p in zip(new.tolist(), at[some].tolist()):
-                        if h not in held.spelled:
-                            held.spelled[h] = lowered[starts[p] : ends[p]].decode("utf-8", "replace")
                 while sum(b.n for b in waiting.values()) > BLOCK_WORDS:
                     yield block(max(waiting, key=lambda x: waiting[x].n))
         for lang in list(waiting):
@@ -222,14 +243,25 @@ def extend(relation: DataFrame, k: int, least: int, scratch: Scratch) -> DataFra
     return relation.join(held, "block").mapInArrow(_kept(k), RELATION)
 
 
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of small numbers, and how often each occurs; where a row fits one number, that is sorted."""
+    bits, k = max(1, int(rows.max(initial=0)).bit_length()), rows.shape[1]
+    if bits * k > 63:
+        return np.unique(rows, axis=0, return_counts=True)
+    packed = np.zeros(len(rows), np.int64)
+    for d in range(k):
+        packed = packed << bits | rows[:, d]
+    found, n = np.unique(packed, return_counts=True)
+    return np.stack([found >> bits * (k - 1 - d) & (1 << bits) - 1 for d in range(k)], axis=1).astype(np.int32), n
+
+
 def _phrases(k: int):
     """(phrase, n): the words of a block's phrases, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, vocabulary, codes, starts in _unpacked(batch):
-                rows = codes[starts[:, None] + np.arange(k)] if len(starts) else np.zeros((0, k), np.int32)
-                found, n = np.unique(rows, axis=0, return_counts=True)
+                found, n = _distinct_rows(codes[starts[:, None] + np.arange(k)] if len(starts) else np.zeros((0, k), np.int32))
                 flat = pa.array(vocabulary[found].ravel().view(np.int64))
                 phrase = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * k), flat)
                 yield pa.RecordBatch.from_arrays([phrase, pa.array(n)], ["phrase", "n"])

@@ -15,6 +15,15 @@ A text's log perplexity is the sum of two by token: that of its words, and that
 itself. So one that says a word over and over is unlikely, however likely the word. (In one model of both, a repetition
 would cost less than a word of invented or rare spelling, and such texts would look like good ones.)
 
+Documents are judged by the model of order 2, in which a word's probability hangs on the word before it (the text's edge,
+spelled as the empty word, before the first one and as what follows the last):
+
+    p(word | before) = (c - D(c)) / c(before) + freed(before) / c(before) * p(word)
+
+Here c counts all pairs of words in all trusted text, freed(before) sums D(c) over what follows that word, and p(word) is the above with
+n the number of different words that it follows, as Kneser and Ney have it. In log p that is a sum of p(word), of the share
+that its context frees, and of a gain for each pair that the trusted text holds: gains are rows of the word table too.
+
 A text's log probability is then a sum that every text has (spelling and freed mass of each of its words)
 plus gains for each word that the trusted text holds, one by its occurrences and one by its repetitions. Byte grams are at most 2**24 by construction and
 are sent to the tasks, which sum up the first part; the words, counted per document, are dealt to the
@@ -30,8 +39,9 @@ the lower one from all of them, so that texts of the fit are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +50,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.arrays import blocks, span_hashes, text_bytes, word_table, words
-from colloquy.llm.scratch import materialize
+from colloquy.llm.arrays import BASE, blocks, mix, span_hashes, text_bytes, word_table, words
+from colloquy.llm.scratch import Scratch, materialize
 
 BLOCK_BYTES = 512 << 10
 #: Words are runs of ASCII letters, digits and non-ASCII characters, their case kept; runs of more than PIECE bytes are
@@ -50,6 +60,10 @@ TABLE = word_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0
 PIECE = 32
 #: Words of a shard of the model, and bytes of documents' words that meet it at once; a shard is copied for each such part.
 SHARD_WORDS, GROUP_BYTES = 350_000, 24 << 20
+#: The order of the model that judges documents. In that of order 2, tokens whose pairs are counted at once, rows of a shard of
+#: words and pairs, and the parts in which pairs are counted, gains worked out and documents looked up, so that a part's shuffle is gone before the next.
+ORDER = 2
+PAIR_TOKENS, SHARD_PAIRS, PARTS = 3_000_000, 1_500_000, 4
 #: A word's key in its shard: the low bytes of its hash; the others pick the shard.
 KEY_BYTES = 5
 #: Logarithms are whole numbers of this fraction.
@@ -128,6 +142,94 @@ def count_words(trusted: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
 
 
+def pairs_of(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word before, word) of all pairs, the edges of texts that have tokens being the word of hash 0."""
+    sizes = np.diff(first)
+    some = (sizes > 0).astype(np.int64)
+    after = np.insert(hashes, first[1:][sizes > 0], np.uint64(0))
+    return np.repeat(np.arange(len(sizes)), sizes + some), np.append(np.zeros(1, np.uint64), after)[:-1], after
+
+
+def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """By these 64 bits pairs are told apart."""
+    return mix(after ^ mix(before + BASE))
+
+
+def _packed(columns: dict[str, list], ints: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "shard" else pa.int64() if k in ints else pa.binary()) for k, v in columns.items()], list(columns))
+
+
+def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).drop_null().to_pylist()), kind)
+
+
+PAIRS = "shard int, heads binary, sizes binary, after binary, n binary"
+COUNTS = ("k1", "k2", "k3", "k4")
+FOLLOWERS = f"{PAIRS}, freed binary, contexts binary, context_n binary, context_freed binary, {', '.join(f'{k} long' for k in COUNTS)}"
+
+
+def count_pairs(trusted: DataFrame, shards: int, part: int, parts: int) -> DataFrame:
+    """PAIRS: all pairs of words, counted per block and dealt out by the first word; those of one part of the shards. ``heads`` are the
+    first words, with the number of pairs of each in ``sizes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for i, j in blocks(offsets, BLOCK_BYTES):
+                own = data[offsets[i] : offsets[j]]
+                starts, ends, first = tokens(own, offsets[i : j + 1] - offsets[i])
+                _, before, after = pairs_of(span_hashes(own, starts, ends), first)
+                wanted = _shard_of(before, shards) % parts == part
+                before, after = before[wanted], after[wanted]
+                _, at, n = np.unique(pair_hashes(before, after), return_index=True, return_counts=True)
+                before, after = before[at], after[at]
+                of = _shard_of(before, shards)
+                order = np.lexsort((before, of))
+                out: dict[str, list] = {c.split()[0]: [] for c in PAIRS.split(", ")}
+                for s, a, b in _dealt(of[order], shards):
+                    at = order[a:b]
+                    runs = np.flatnonzero(np.append(True, np.diff(before[at]) != 0))
+                    for c, v in zip(out, (s, before[at][runs].tobytes(), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), after[at].tobytes(), n[at].astype("<u4").tobytes())):
+                        out[c].append(v)
+                yield _packed(out, ())
+
+    found = trusted.select(F.col("text").cast("string")).mapInArrow(run, PAIRS)
+    return found.groupBy("shard").applyInArrow(lambda table: _by_context(table, shards), FOLLOWERS)
+
+
+def _by_context(table: pa.Table, shards: int) -> pa.Table:
+    """FOLLOWERS: the pairs of a shard of first words, summed up and dealt out by the second word. ``freed`` has how many pairs of each head occur once,
+    twice and more often; the same by word for the contexts of the shard that they are dealt to, with their occurrences; k1 to k4 how many pairs occur so often."""
+    before = np.repeat(_joined(table, "heads", "<u8"), _joined(table, "sizes", "<u4"))
+    after, n = _joined(table, "after", "<u8"), _joined(table, "n", "<u4")
+    _, at, which = np.unique(pair_hashes(before, after), return_index=True, return_inverse=True)
+    n = np.bincount(which, n, len(at)).astype(np.int64)
+    order = np.argsort(before[at], kind="stable")
+    before, after, n = before[at][order], after[at][order], n[order]
+    begins = np.flatnonzero(np.append(True, np.diff(before) != 0))
+    heads = before[begins]
+    freed = np.stack([np.add.reduceat(x.astype(np.int64), begins) for x in (n == 1, n == 2, n > 2)], axis=1)
+    total, head = np.add.reduceat(n, begins), np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(before))))
+    of, of_heads = _shard_of(after, shards), _shard_of(heads, shards)
+    order, own = np.argsort(of, kind="stable"), np.argsort(of_heads, kind="stable")
+    lots, contexts = ({s: (a, b) for s, a, b in _dealt(x, shards)} for x in (of[order], of_heads[own]))
+    out: dict[str, list] = {c.split()[0]: [] for c in FOLLOWERS.split(", ")}
+    for i, s in enumerate(sorted({*lots, *contexts})):
+        at, mine = order[slice(*lots.get(s, (0, 0)))], own[slice(*contexts.get(s, (0, 0)))]
+        runs = np.flatnonzero(np.diff(head[at], prepend=-1))
+        row = (s, heads[head[at][runs]].tobytes(), np.diff(np.append(runs, len(at))).astype("<u4").tobytes(), after[at].tobytes(), n[at].astype("<u4").tobytes(), freed[head[at][runs]].astype("<u4").tobytes())
+        row += (heads[mine].tobytes(), total[mine].astype("<i8").tobytes(), freed[mine].astype("<u4").tobytes(), *(int((n == k).sum()) if i == 0 else 0 for k in (1, 2, 3, 4)))
+        for c, v in zip(out, row):
+            out[c].append(v)
+    return pa.Table.from_batches([_packed(out, COUNTS)])
+
+
+def _continuations(table: pa.Table) -> pa.Table:
+    """How many words of a shard follow 1 to 4 different words, how many do at all, and their pairs."""
+    _, n = np.unique(_joined(table, "after", "<u8"), return_counts=True)
+    return pa.table({**{k: [int((n == i + 1).sum())] for i, k in enumerate(COUNTS)}, "size": [len(n)], "pairs": [int(n.sum())]})
+
+
 def count_spellings(vocabulary: DataFrame) -> DataFrame:
     """(gram int, n) of the byte grams of all distinct words; 2**24 rows at most."""
 
@@ -200,10 +302,14 @@ class Model:
     spelling: Spelling
     rate: float
     repeat_discounts: np.ndarray
+    order: int = 1
+    #: Of order 2: the word table with the pairs' gains, packed, and its number of shards.
+    table: DataFrame | None = None
+    shards: int = 0
 
 
-def fit(trusted: DataFrame) -> Model:
-    """The smoothed model of all texts in ``trusted``; without text, every word is as likely as its spelling."""
+def fit(trusted: DataFrame, order: int = 1) -> Model:
+    """The smoothed model of all texts in ``trusted``, of words (order 1) or of words behind words (2); without text, every word is as likely as its spelling."""
     vocabulary = materialize(count_words(trusted), "words")
     row = vocabulary.agg(
         F.count("*").alias("size"), F.sum("n").alias("total"), F.count_if(F.col("r") > 0).alias("repeated"),
@@ -214,7 +320,92 @@ def fit(trusted: DataFrame) -> Model:
     freed = row["n1"] * d[0] + row["n2"] * d[1] + (row["size"] - row["n1"] - row["n2"]) * d[2]
     grams = count_spellings(vocabulary).toArrow()  # 2**24 rows at most
     spelled = Spelling(grams.column("gram").to_numpy(), grams.column("n").to_numpy())
-    return Model(vocabulary, row["size"], float(np.log(freed / total)) if total else 0.0, total, d, spelled, (row["repeated"] + 1) / (row["size"] + 2), again_d)
+    model = Model(vocabulary, row["size"], float(np.log(freed / total)) if total else 0.0, total, d, spelled, (row["repeated"] + 1) / (row["size"] + 2), again_d)
+    return model if order == 1 or not total else _with_pairs(trusted, model)
+
+
+def _with_pairs(trusted: DataFrame, words_: Model) -> Model:
+    """The model of order 2 from that of order 1, of which it has words, spellings and repetitions."""
+    scratch = Scratch(trusted.sparkSession)
+    lots = max(1, -(-words_.total // PAIR_TOKENS))
+    followers = _in_parts(lambda part: scratch.keep(count_pairs(trusted, lots, part, PARTS), "followers", "zstd"), min(lots, PARTS))
+    times = followers.agg(*[F.sum(k).alias(k) for k in COUNTS]).first()
+    met = followers.select("shard", "after").groupBy("shard").applyInArrow(_continuations, ", ".join(f"{k} long" for k in (*COUNTS, "size", "pairs")))
+    row = materialize(met, "continuations").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "size", "pairs")]).first()
+    pair_d, d = (discounts(*(r[k] for k in COUNTS)) for r in (times, row))
+    freed = row["k1"] * d[0] + row["k2"] * d[1] + (row["size"] - row["k1"] - row["k2"]) * d[2]
+    model = replace(words_, freed=float(np.log(freed / row["pairs"])), total=row["pairs"], discounts=d, order=2, shards=max(1, -(-(row["size"] + row["pairs"]) // SHARD_PAIRS)))
+    dealt = _word_lots(words_.vocabulary, lots)
+
+    def part_of(part: int) -> DataFrame:
+        left, right = (x.where(F.col("shard") % PARTS == part) for x in (followers, dealt))
+        rows = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda key, x, y: _gains(key[0].as_py(), x, y, model_, pair_d), "shard int, keys binary, gains binary, repeats binary")
+        return materialize(rows, "model")
+
+    model_ = replace(model, vocabulary=None)  # what tasks read
+    table = _in_parts(part_of, min(lots, PARTS))
+    scratch.clear()
+    return replace(model, table=table)
+
+
+def _in_parts(make: Callable[[int], DataFrame], parts: int) -> DataFrame:
+    return reduce(DataFrame.union, [make(i) for i in range(parts)])
+
+
+def _word_lots(vocabulary: DataFrame, shards: int) -> DataFrame:
+    """(shard, text, sizes, n, r): words of the vocabulary, packed by the shard of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            n, r = (batch.column(i).to_numpy() for i in (1, 2))
+            of = _shard_of(span_hashes(data, offsets[:-1], offsets[1:]), shards)
+            out: dict[str, list] = {c: [] for c in ("shard", "text", "sizes", "n", "r")}
+            order = np.argsort(of, kind="stable")
+            for s, a, b in _dealt(of[order], shards):
+                at = order[a:b]
+                sizes = np.diff(offsets)[at]
+                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - offsets[at], sizes)
+                for c, v in zip(out, (s, data[place].tobytes(), sizes.astype("<u4").tobytes(), n[at].astype("<i8").tobytes(), r[at].astype("<i8").tobytes())):
+                    out[c].append(v)
+            yield _packed(out, ())
+
+    return vocabulary.select("word", "n", "r").mapInArrow(run, "shard int, text binary, sizes binary, n binary, r binary")
+
+
+def _gains(shard: int, pairs: pa.Table, lots: pa.Table, model: Model, pair_cuts: np.ndarray) -> pa.Table:
+    """Rows of the word table, for the words of one shard and the pairs that end in them."""
+    edge = [0] if shard == 0 else []  # the empty word
+    data, sizes = _joined(lots, "text", np.uint8), np.append(_joined(lots, "sizes", "<u4").astype(np.int64), edge).astype(np.int64)
+    n, r = (np.append(_joined(lots, c, "<i8"), [x for _ in edge]).astype(np.float64) for c, x in (("n", 1), ("r", 0)))
+    ends = np.cumsum(sizes)
+    hashes = span_hashes(data, ends - sizes, ends)
+    order = np.argsort(hashes)
+    known = hashes[order]
+    after, counts = _joined(pairs, "after", "<u8"), _joined(pairs, "n", "<u4").astype(np.int64)
+    at = order[np.searchsorted(known, after)]
+    met = np.bincount(at, minlength=len(known)).astype(np.float64)
+    below = model.freed + model.spelling.log_p(*spelling(data, ends - sizes, ends))
+    word = np.log((met - model.discounts[np.clip(met, 1, 3).astype(np.int64) - 1]) / model.total + np.exp(below))
+    cut = np.append(0.0, model.repeat_discounts)
+    less, rest = (cut[np.minimum(x, 3).astype(np.int64)] for x in (r, n - r))
+    repeats = np.where(sizes == 0, model.rate, (r - less) / n + (less + rest) / n * model.rate)
+    lone, more = both_log_p(word, repeats), both_log_p(below, model.rate)
+    share = np.zeros(len(known))
+    contexts, total = _joined(pairs, "contexts", "<u8"), _joined(pairs, "context_n", "<i8")
+    share[order[np.searchsorted(known, contexts)]] = np.log((_joined(pairs, "context_freed", "<u4").reshape(-1, 3) @ pair_cuts) / total)
+    runs = _joined(pairs, "sizes", "<u4")
+    before, freed = np.repeat(_joined(pairs, "heads", "<u8"), runs), np.repeat(_joined(pairs, "freed", "<u4").reshape(-1, 3) @ pair_cuts, runs)
+    pair = np.log1p((counts - pair_cuts[np.minimum(counts, 3) - 1]) / (freed * np.exp(word[at])))
+    keys, gains = np.append(hashes, pair_hashes(before, after)), whole(np.append(lone[0] - more[0] + share, pair))
+    again_gains = np.append(whole(lone[1] - more[1]), np.zeros(len(pair), np.int64))
+    of = _shard_of(keys, model.shards)
+    order = np.argsort(of, kind="stable")
+    out: dict[str, list] = {c: [] for c in ("shard", "keys", "gains", "repeats")}
+    for s, a, b in _dealt(of[order], model.shards):
+        for c, v in zip(out, (s, _pack(keys[order[a:b]]), *(x[order[a:b]].astype("<i4").tobytes() for x in (gains, again_gains)))):
+            out[c].append(v)
+    return pa.Table.from_batches([_packed(out, ())])
 
 
 def both_log_p(word: np.ndarray, repeats: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +440,8 @@ def _dealt(of: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 def _model_shards(model: Model, shards: int) -> DataFrame:
     """(shard, keys, gains, repeats): the word table, packed."""
+    if model.table is not None:
+        return model.table
     spelled, freed, total, cut = model.spelling, model.freed, model.total, model.discounts
     rate, again_cut = model.rate, np.append(0.0, model.repeat_discounts)
 
@@ -276,12 +469,13 @@ def _model_shards(model: Model, shards: int) -> DataFrame:
 REQUEST = "shard int, part int, block long, docs binary, sizes binary, keys binary, n binary, again_at binary, again_n binary, ids binary, base binary, tokens binary"
 
 
-def _requests(spelled: Spelling, freed: float, rate: float, shards: int, parts: int):
-    """Documents' words, counted per document and dealt to shards; a block's row for shard 0 also has each document's
+def _requests(spelled: Spelling, freed: float, rate: float, shards: int, parts: int, order_: int):
+    """Documents' words (and their pairs and edge, at order 2), counted per document and dealt to shards; a block's row for shard 0 also has each document's
     id, the sum that does not hang on the word table, and its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
+        edge = whole(freed + spelled.log_p(np.zeros(1, np.int32), np.zeros(1, np.int64)))[0]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
@@ -298,10 +492,18 @@ def _requests(spelled: Spelling, freed: float, rate: float, shards: int, parts:
                 # One entry for each word of a document, by shard and then by document.
                 pairs, entry, n = np.unique(doc * np.int64(len(known)) + which, return_inverse=True, return_counts=True)
                 repeated = np.bincount(entry[same], minlength=len(pairs))
-                doc, word = pairs // max(1, len(known)), pairs % max(1, len(known))
-                of = _shard_of(known, shards)[word]
-                order = np.argsort(of, kind="stable")
-                doc, word, n, repeated, of = doc[order], word[order], n[order], repeated[order], of[order]
+                doc, keys = pairs // max(1, len(known)), known[pairs % max(1, len(known))]
+                if order_ == 2:
+                    some = np.flatnonzero(np.diff(first))
+                    base[some] += edge
+                    at, *both = pairs_of(hashes, first)
+                    two, which = np.unique(pair_hashes(*both), return_inverse=True)
+                    pairs, more_n = np.unique(at * np.int64(len(two)) + which, return_counts=True)
+                    doc, keys = np.concatenate([doc, some, pairs // max(1, len(two))]), np.concatenate([keys, np.zeros(len(some), np.uint64), two[pairs % max(1, len(two))]])
+                    n, repeated = np.concatenate([n, np.ones(len(some), np.int64), more_n]), np.append(repeated, np.zeros(len(some) + len(more_n), np.int64))
+                of = _shard_of(keys, shards)
+                order = np.lexsort((doc, of))
+                doc, keys, n, repeated, of = doc[order], keys[order], n[order], repeated[order], of[order]
                 rows = {s: (a, b) for s, a, b in _dealt(of, shards)}
                 columns: list[list] = [[] for _ in range(12)]
                 for s in sorted({0, *rows}):
@@ -309,7 +511,7 @@ def _requests(spelled: Spelling, freed: float, rate: float, shards: int, parts:
                     own = doc[a:b]
                     runs = np.flatnonzero(np.diff(own, prepend=-1))
                     place = np.flatnonzero(repeated[a:b])
-                    row = (s, (block * 0x9E3779B1 >> 7) % parts, block, own[runs].astype("<u4").tobytes(), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _pack(known[word[a:b]]), n[a:b].astype("<u4").tobytes())
+                    row = (s, (block * 0x9E3779B1 >> 7) % parts, block, own[runs].astype("<u4").tobytes(), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _pack(keys[a:b]), n[a:b].astype("<u4").tobytes())
                     row += (place.astype("<u4").tobytes(), repeated[a:b][place].astype("<u4").tobytes())
                     row += (ids[i:j].astype("<i8").tobytes(), base.tobytes(), np.diff(first).astype("<i8").tobytes()) if s == 0 else (None, None, None)
                     for column, x in zip(columns, row):
@@ -355,25 +557,34 @@ def _merge(answers: pa.Table) -> pa.Table:
     return pa.table({"row": ids, "total": total, "n": n})
 
 
-def row_key() -> Column:
-    """What a document's score hangs on, hashed: repeated rows share it, and are scored alike."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-
-
 def log_perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(row, x, n): the log perplexity by token of every text with a token, and its tokens, ``row`` being its ``row_key``."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    shards = max(1, -(-model.size // SHARD_WORDS))
-    # A text of so many bytes has about 0.65 times as many of distinct words' keys and counts.
-    parts = max(1, -(-int(0.65 * size) // (shards * GROUP_BYTES)))
-    grams = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_requests(model.spelling, model.freed, model.rate, shards, parts), REQUEST)
+    shards = model.shards or max(1, -(-model.size // SHARD_WORDS))
+    slices = 1 if model.order == 1 else PARTS
+    # A text of so many bytes has about 0.65 times as many of distinct words' keys and counts, or 2.2 with pairs. Shards of words and pairs are
+    # larger, and copying them for a second part of the texts costs disk, so such a group may be larger too.
+    parts = max(1, -(-int((0.65, 2.2)[model.order - 1] * size) // (slices * shards * GROUP_BYTES * model.order)))
+    texts = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text"))
     table = _model_shards(model, shards).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    answers = grams.groupBy("shard", "part").cogroup(table.groupBy("shard", "part")).applyInArrow(
-        lambda key, left, right: _answer(left, right), "block long, docs binary, totals binary, ids binary, base binary, tokens binary"
-    )
-    sums = answers.where("block is not null").groupBy("block").applyInArrow(_merge, "row long, total long, n long").where("n > 0")
-    # Copies of a row have the same sums.
-    return sums.groupBy("row").agg((-F.max("total") / F.lit(float(UNIT)) / F.max("n")).alias("x"), F.max("n").alias("n"))
+
+    def answered(texts: DataFrame) -> DataFrame:
+        grams = texts.mapInArrow(_requests(model.spelling, model.freed, model.rate, shards, parts, model.order), REQUEST)
+        answers = grams.groupBy("shard", "part").cogroup(table.groupBy("shard", "part")).applyInArrow(
+            lambda key, left, right: _answer(left, right), "block long, docs binary, totals binary, ids binary, base binary, tokens binary"
+        )
+        sums = answers.where("block is not null").groupBy("block").applyInArrow(_merge, "row long, total long, n long").where("n > 0")
+        # Copies of a row have the same sums. At order 2 the end of a text is one more token.
+        return sums.groupBy("row").agg((-F.max("total") / F.lit(float(UNIT)) / (F.max("n") + (model.order - 1))).alias("x"), F.max("n").alias("n"))
+
+    if slices == 1:
+        return answered(texts)
+    return _in_parts(lambda i: materialize(answered(texts.where(F.pmod("row", F.lit(slices)) == i)), "perplexities"), slices)
+
+
+def row_key() -> Column:
+    """What a document's score hangs on, hashed: repeated rows share it, and are scored alike."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
 
 
 def held_out() -> Column:
@@ -476,7 +687,7 @@ def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, Limit]]:
     """((row, x, n) of all documents, limits) by the model of the trusted texts that aren't held out."""
-    model = fit(trusted_docs(docs, labels).where(~held_out()))
+    model = fit(trusted_docs(docs, labels).where(~held_out()), ORDER)
     found = materialize(log_perplexities(docs, model), "perplexities")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), row_key().alias("row"), held_out().alias("held"))
     return found, limits(rows.join(good_ids(labels), F.col("doc_id") == F.col("_good"), "left_semi").join(found, "row"))

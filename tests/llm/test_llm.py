@@ -674,6 +674,7 @@ def brute_model(texts):
     def log_p(own):
         return sum(math.log(p(w)) + math.log(p_again(w) if own[i + 1 : i + 2] == [w] else 1 - p_again(w)) for i, w in enumerate(own))
 
+    log_p.p_again, log_p.spelling = p_again, lambda w: math.prod(byte((bytes(2) + w + b"\0")[i : i + 3]) for i in range(len(w) + 1))
     return log_p
 
 
@@ -695,6 +696,59 @@ def test_language_model_against_recursion(spark, odd, none, monkeypatch, small):
             assert i not in got
 
 
+def brute_pairs(texts):
+    """log p of a text's words behind each other, from the edge (b"") to the edge, and of their runs; continuations instead of counts of words."""
+    words = brute_model(texts)
+    pairs = collections.Counter(p for own in spelled(texts) if own for p in zip([b"", *own], [*own, b""]))
+    follows, contexts = collections.Counter(w for _, w in pairs), collections.Counter()
+    for (v, _), c in pairs.items():
+        contexts[v] += c
+    d2, d1 = brute_discounts(pairs.values()), brute_discounts(follows.values())
+    freed = {v: sum(d2[min(c, 3)] for (u, _), c in pairs.items() if u == v) for v in contexts}
+    lower = sum(d1[min(n, 3)] for n in follows.values()) / len(pairs)
+
+    def p(v, w):
+        below = lower * words.spelling(w) + ((follows[w] - d1[min(follows[w], 3)]) / len(pairs) if w in follows else 0)
+        if v not in contexts:
+            return below
+        c = pairs[v, w]
+        return (c - d2[min(c, 3)]) / contexts[v] + freed[v] / contexts[v] * below
+
+    def log_p(own):
+        runs = sum(math.log(words.p_again(w) if own[i + 1 : i + 2] == [w] else 1 - words.p_again(w)) for i, w in enumerate(own))
+        return runs + sum(math.log(p(v, w)) for v, w in zip([b"", *own], [*own, b""]))
+
+    # What follows a word of the texts is one of their words or anything else: about 1 in all.
+    assert all(0 < sum(p(v, w) for w in follows) < 1 for v in contexts)
+    return log_p
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_pairs_of_words_against_dictionaries(spark, monkeypatch, small):
+    """Every pair of words counts, not only a word behind itself; many shards, parts and blocks give the same."""
+    if small:
+        for name, value in (("PAIR_TOKENS", 6), ("SHARD_PAIRS", 5), ("GROUP_BYTES", 64), ("BLOCK_BYTES", 40)):
+            monkeypatch.setattr(quality, name, value)
+    texts = ["the cat sat on the mat, the cat", "the dog sat on the log!", "a cat and a dog  sat had had", "x" * 70 + " caf\u00e9 the", "", None, "the cat sat", "very very very", "the"]
+    model, log_p = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"), 2), brute_pairs(texts)
+    asked = [*texts, "the elephant caf\u00e9 sat $$ mat", "zz zz zz", "cat the sat", "the cat sat on the log", "had"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in frame.withColumn("row", quality.row_key()).join(quality.log_perplexities(frame.union(frame.limit(1)), model), "row").collect()}
+    for i, own in enumerate(spelled(asked)):
+        if own:
+            assert abs(got[i].x + log_p(own) / (len(own) + 1)) < 1e-5 and got[i].n == len(own)
+        else:
+            assert i not in got
+
+
+def test_word_order_tells_texts_apart(spark):
+    """The same words, in the order of trusted texts and in another."""
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "en", f"the big dog number {i} ate my old red hat") for i in range(40)] + [(90, "en", "the big dog ate my old red hat"), (91, "en", "hat my the red dog old ate big")], "doc_id long, lang string, text string")
+    found = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    assert found[90] * 2 < found[91]
+
+
 def test_quality_on_odd_rows_and_any_batches(spark, odd, none, docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(odd, labels).count() == 9 and quality.classify(none, labels).count() == 0

@@ -30,3 +30,10 @@ def test_measures_send_only_variants(spark):
 
 def test_gates_send_nothing(spark):
     assert broadcast_rows(QUERIES["inhibit"](spark, SF)) == []
+
+
+def test_winners_work_out_traits_once(spark):
+    df = QUERIES["profile_winners"](spark, SF)
+    # No profile weighs the 99th percentile, so one is left.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
+    assert max(broadcast_rows(df)) <= 3

@@ -43,6 +43,10 @@ def test_winners_work_out_traits_once(spark):
     assert max(broadcast_rows(df)) <= 3
 
 
+def test_second_look_sends_patterns_alone(spark):
+    assert len(broadcast_rows(QUERIES["feedback_pass"](spark, SF))) <= 1
+
+
 def test_drift_sends_no_list_of_conversations(spark):
     turns = featured(S.seeded_turns(spark, SF))
     df = D.drift_distances(turns, objectives(turns), 2)
